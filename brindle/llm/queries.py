@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import exact_dedup
+from brindle.llm import exact_dedup, mixing, packing, toxicity
 from brindle.llm.common import table
 
 
@@ -30,8 +30,34 @@ SELECT doc_id, keep_id, group_size, (doc_id IS NOT DISTINCT FROM keep_id AND n =
 """
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from four fifths of the labels."""
+    return toxicity.scored_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn for a mixture by damped source weights, as many tokens as there are."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_exact_dedup": op6_exact_dedup}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_exact_dedup": op6_exact_dedup,
+        "op9_source_mixing": op9_source_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
