@@ -1,6 +1,6 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Training counts words in toxic and clean documents. A word's log-odds has an
+Training counts in how many toxic and clean documents a word is. A word's log-odds has an
 informative Dirichlet prior: pseudo-counts in proportion to the word's share of
 all text, so rare words need evidence. Words whose log-odds is significantly
 positive form the lexicon, together with word beginnings, for inflected forms
@@ -27,10 +27,10 @@ from brindle.llm.common import held_out, lower_ascii, materialise, residue, word
 
 #: Most labelled rows of each class that the model is fitted on.
 FIT_ROWS = 10_000
-#: Total Dirichlet pseudo-count, and the z-score from which a token counts.
-PRIOR, Z = 500.0, 3.0
+#: Total Dirichlet pseudo-count, and the z-score and log-odds from which a token counts.
+PRIOR, Z, LEAST = 10_000.0, 2.0, 3.0
 #: What a word outside the lexicon costs, and the most that one inside gains.
-DRIFT, CEILING = 0.25, 8.0
+DRIFT, CEILING = 0.05, 8.0
 #: Letters of a word's beginning.
 STEM = 4
 EDGES = ".,;:!?()[]{}\"'|*_-"
@@ -116,6 +116,13 @@ def _scorer(model: Model):
         values = [scores[w] for w in words]
         if not values or max(values) <= 0:
             return 0.0, len(words), []
+        seen: Counter = Counter()
+        for i, v in enumerate(values):  # a token gains twice a document at most: more repetition is no further evidence
+            if v > 0:
+                w = token(words[i])
+                if seen[w] >= 2:
+                    values[i] = -DRIFT
+                seen[w] += 1
         found = maximal_segments(np.array(values))
         return surprise(max(s for _, _, s in found), len(words), model.lam, model.k), len(words), found
 
@@ -123,11 +130,11 @@ def _scorer(model: Model):
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, clean, toxic) of a partition's texts, each token once a batch."""
+    """(token, clean, toxic): in how many texts of a batch each token is, so that no text's repetitions sway it."""
     for batch in batches:
         counts = (Counter(), Counter())
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[toxic].update(map(token, words_of(text)))
+            counts[toxic].update(set(map(token, words_of(text))))
         words = list(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], ["token", "clean", "toxic"])
 
@@ -156,7 +163,7 @@ def _log_odds(counts: DataFrame) -> DataFrame:
         counts.crossJoin(F.broadcast(totals))  # one row
         .filter("token <> '' AND toxic > 0 AND clean_all > 0")
         .select("token", score.alias("score"), (b / (F.col("clean_all") + PRIOR)).alias("clean_share"), (score / F.sqrt(1 / a + 1 / b)).alias("z"))
-        .filter((F.col("z") > Z) & (F.col("score") > 1))
+        .filter((F.col("z") > Z) & (F.col("score") > LEAST))
     )
 
 
