@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import exact_dedup, mixing, packing, toxicity
+from brindle.llm import chat, exact_dedup, mixing, packing, toxicity
 from brindle.llm.common import table
 
 
@@ -35,6 +35,43 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: A conversation of control strings that every run of op2 formats besides the table's.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and conversation -1, rendered and masked, then read back."""
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    path = tokenizer_path("byte_bpe_50k.json")
+    return chat.read_back(chat.format_conversations(turns, path), path).drop("n_tokens", "n_loss_tokens")
+
+
+def _escaped_sql(column: str) -> str:
+    out = f"replace({column}, chr(92), chr(92) || chr(92))"
+    for c in chat.CONTROLS:
+        out = f"replace({out}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return out
+
+
+OP2_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}'
+  UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}'
+), e AS (
+  SELECT *, length({_escaped_sql('role')}) + length({_escaped_sql('text')}) + {len(chat.ROLE + chat.TEXT + chat.END)} AS chars FROM t
+), c AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+         CAST(sum(chars) AS BIGINT) + {len(chat.BOS)} AS formatted_chars
+  FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c
+"""
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -54,6 +91,7 @@ def tokenizer_path(name: str) -> str:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_chat_formatting": op2_chat_formatting,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_exact_dedup": op6_exact_dedup,
         "op9_source_mixing": op9_source_mixing,
@@ -61,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op6_exact_dedup": OP6_SQL}
