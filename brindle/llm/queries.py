@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import chat, exact_dedup, mixing, packing, toxicity
+from brindle.llm import chat, exact_dedup, html_extract, mixing, packing, toxicity
 from brindle.llm.common import table
 
 
@@ -77,6 +77,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents drawn for a mixture by damped source weights, as many tokens as there are."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -94,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_formatting": op2_chat_formatting,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_html_extraction": op8_html_extraction,
         "op9_source_mixing": op9_source_mixing,
     }
 
