@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import gc
+import sys
 import tempfile
+import types
 import uuid
 import zlib
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,3 +102,41 @@ def release(spark: SparkSession) -> None:
 
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words of an Arrow array of texts as (word number of each, distinct words, first word of each text).
+
+    The last array has one more entry than there are texts: the number of all
+    words. A null text has no words.
+    """
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    flat = lists.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    if not pc.all(real, min_count=0).as_py():  # leading or trailing white space gives empty pieces
+        bounds = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[bounds]
+        flat = flat.filter(real)
+    coded = flat.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary, bounds
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int):
+    """The batch in slices whose texts have about `size` bytes together, one row at least."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    group = (np.cumsum(lengths) - lengths) // size
+    for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(group)) + 1):
+        if len(part):
+            yield batch.slice(int(part[0]), len(part))
+
+
+def per_process(key: tuple, make):
+    """What `make` gave when this worker process first asked for `key`.
+
+    Functions reach the workers by value, so the package's own globals are made
+    anew for every task; this keeps a cache from task to task.
+    """
+    store = sys.modules.setdefault("_brindle_worker_state", types.ModuleType("_brindle_worker_state")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]

@@ -13,47 +13,84 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import crc32, materialise, words_of
+from brindle.llm.common import crc32, materialise, per_process, slices, split_words
 
 #: Rows that one salt of a length holds on average.
 SALT_ROWS = 50_000
 #: Words a worker remembers; the cache is emptied when full.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
+#: Bytes of text that are tokenized together.
+SLICE_BYTES = 8_000_000
 
 
 class WordEncoder:
-    """Token ids of texts, by way of their words.
+    """Token ids of texts, by way of their distinct words.
 
     The vocabulary's pre-tokenizer never joins characters across white space,
-    so a text's ids are those of its words in order.
+    so a text's ids are those of its words in order. A word of letters and
+    closing punctuation, by far the most common kind, has two pre-tokens at
+    most and goes to the tokenizer's model directly; any other word goes
+    through the whole tokenizer.
     """
 
+    #: Lower-case letters up to U+024F.
+    PLAIN = "^[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
+    MARKS = ".,;:!?"
+    #: How byte-level vocabularies write the bytes that are no printable Latin-1 character.
+    BYTES = {b: chr(256 + n) for n, b in enumerate([*range(33), *range(127, 161), 173])}
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split = [words_of(t) for t in texts]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        new = list({w for w in chain.from_iterable(split) if w not in cache})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.cache = self.tokenizer.model, {"": b""}
+
+    def _ids(self, parts: pa.Array) -> list[bytes]:
+        """The packed ids of distinct parts: plain letters, runs of marks, or whole other words."""
+        cache, model, words = self.cache, self.model, parts.to_pylist()
+        if len(cache) > CACHED_WORDS:
+            cache.clear()
+            cache[""] = b""
+        new = [w for w in words if w not in cache]
+        simple = pc.match_substring_regex(pa.array(new, pa.large_string()), f"{self.PLAIN}|^[{self.MARKS}]+$").to_pylist()
+        other = [w for w, s in zip(new, simple, strict=True) if not s]
+        for w, s in zip(new, simple, strict=True):
+            if s:
+                mapped = w if w.isascii() else w.encode().decode("latin-1").translate(self.BYTES)
+                ids = [t.id for t in model.tokenize(mapped)]
+                cache[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for at in range(0, len(other), 20_000):
+            part = other[at : at + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return [b"".join([cache[w] for w in ws]) for ws in split]
+        return [cache[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and where each text's begin (one entry more than texts)."""
+        numbers, distinct, bounds = split_words(texts)
+        lower = pc.utf8_lower(distinct)
+        letters = pc.utf8_rtrim(lower, characters=self.MARKS)
+        # U+0130 alone has another lower case of its own than of its simple mapping
+        plain = pc.and_(pc.match_substring_regex(letters, self.PLAIN), pc.invert(pc.match_substring(distinct, "\u0130")))
+        marks = pc.if_else(plain, pc.replace_substring_regex(lower, f"^.*?([{self.MARKS}]*)$", "\\1"), "").dictionary_encode()
+        letters = pc.if_else(plain, letters, distinct).dictionary_encode()
+        ids = self._ids(letters.dictionary) + self._ids(marks.dictionary)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, starts = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes
+        pair = np.column_stack([letters.indices.to_numpy(), marks.indices.to_numpy() + len(letters.dictionary)])
+        part = pair[numbers].ravel()
+        own = sizes[part]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        return table[np.repeat(starts[part] - ends[:-1], own) + np.arange(int(ends[-1]))], ends[2 * bounds]
 
 
 def pieces(docs: DataFrame, tokenizer: str, max_length: int = 2048, end_id: int = 0) -> DataFrame:
@@ -65,13 +102,13 @@ def pieces(docs: DataFrame, tokenizer: str, max_length: int = 2048, end_id: int
     end, size = struct.pack("<I", end_id), 4 * max_length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = per_process(("WordEncoder", tokenizer), lambda: WordEncoder(tokenizer))
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, 1, SLICE_BYTES):
                 rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    ids += end
+                all_ids, bounds = encoder.encode(part.column(1))
+                for doc_id, first, last in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    ids = all_ids[first:last].tobytes() + end
                     for k, b in enumerate(range(0, len(ids), size)):
                         own = ids[b : b + size]
                         rows.append((doc_id, k, b // 4, len(own) // 4, crc32(own)))
