@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import chat, exact_dedup, html_extract, mixing, packing, toxicity
+from brindle.llm import chat, exact_dedup, html_extract, media, mixing, packing, toxicity
 from brindle.llm.common import table
 
 
@@ -87,6 +87,11 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text stored as lossless WebP, read back, with features."""
+    return media.read_features(media.store(table(spark, sf_dir, "documents")))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -101,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": op6_exact_dedup,
         "op8_html_extraction": op8_html_extraction,
         "op9_source_mixing": op9_source_mixing,
+        "op10_media_webp": op10_media_webp,
     }
 
 
