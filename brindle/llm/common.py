@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import sys
 import tempfile
 import types
@@ -44,15 +45,17 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 def words_of(text: str | None) -> list[str]:
     """The maximal runs of characters other than the six of `SPACE`.
 
-    str.split() without an argument also splits at other white space, so the
-    six are made one first.
+    str.split() without an argument also splits at other white space, so texts
+    that have any take another way.
     """
     if not text:
         return []
-    return [w for w in text.translate(_BLANK).split(" ") if w]
+    return text.split() if _OTHER_SPACE.search(text) is None else _WORD.findall(text)
 
 
-_BLANK = {c: 32 for c in range(9, 14)}
+#: Characters besides the six at which str.split() splits.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def shared_dir(spark: SparkSession) -> str:

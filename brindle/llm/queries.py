@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import chat, exact_dedup, html_extract, media, mixing, packing, toxicity
+from brindle.llm import chat, exact_dedup, html_extract, media, mixing, packing, substring_dedup, toxicity
 from brindle.llm.common import table
 
 
@@ -72,6 +72,27 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 """
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that a document with a smaller id has."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, words, i, array_to_string(words[i : i + 12], ' ') AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)
+), m AS (SELECT win, min(doc_id) AS owner FROM s GROUP BY win),
+r AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM s JOIN m USING (win) WHERE owner < doc_id
+), g AS (SELECT doc_id, list(k) AS gone FROM r GROUP BY doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+       sha256(array_to_string([words[k] FOR k IN range(1, len(words) + 1) IF NOT list_contains(coalesce(gone, []), k)], ' ')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+"""
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -102,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_chat_formatting": op2_chat_formatting,
+        "op3_substring_dedup": op3_substring_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_html_extraction": op8_html_extraction,
@@ -111,4 +133,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL}
