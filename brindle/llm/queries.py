@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import chat, exact_dedup, html_extract, media, mixing, packing, substring_dedup, toxicity
+from brindle.llm import chat, exact_dedup, html_extract, media, mixing, ngram_join, packing, substring_dedup, toxicity
 from brindle.llm.common import table
 
 
@@ -98,6 +98,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
@@ -126,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": op3_substring_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_ngram_join": op7_ngram_join,
         "op8_html_extraction": op8_html_extraction,
         "op9_source_mixing": op9_source_mixing,
         "op10_media_webp": op10_media_webp,
