@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import chat, exact_dedup, html_extract, media, mixing, ngram_join, packing, substring_dedup, toxicity
+from brindle.llm import chat, context_tree, exact_dedup, html_extract, media, mixing, ngram_join, packing, substring_dedup, toxicity
 from brindle.llm.common import table
 
 
@@ -93,6 +93,11 @@ FROM w LEFT JOIN g USING (doc_id)
 """
 
 
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every document under context-tree weighting, and under word counts."""
+    return context_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -129,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_chat_formatting": op2_chat_formatting,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_context_tree": op4_context_tree,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_ngram_join": op7_ngram_join,
