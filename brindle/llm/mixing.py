@@ -145,4 +145,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     packed = docs.withColumn("_row", F.struct(*[F.col(c) for c in docs.columns]))
     mixed = mix(packed, keep=("_row",), **options)
     rows = mixed.select("_row.*", F.col("used_tokens").alias("_used"), F.col("doc_tokens").alias("_all"))
-    return rows.withColumn("text", F.when(F.col("_used") < F.col("_all"), first_words(F.col("text"), F.col("_used").cast("int"))).otherwise(F.col("text"))).select(*docs.columns)
+    cut = F.col("_used") < F.col("_all")
+    rows = rows.withColumn("text", F.when(cut, first_words(F.col("text"), F.col("_used").cast("int"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
