@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +28,12 @@ def get_session(app: str = "brindle", cpus: int | None = None, memory: str = "8g
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; a new temporary one where that is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = tempfile.mkdtemp(prefix="brindle-shared-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
