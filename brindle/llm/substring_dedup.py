@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from brindle.llm.common import materialise, release, slices, split_words, words_of
 
 WINDOW, GRAM = 13, 7
-#: Words in a shard's automaton, about; an anchor's regions stay together.
-SHARD_WORDS = 100_000
+#: Regions in a shard's automaton, about; an anchor's regions stay together.
+SHARD_REGIONS = 6_000
 #: Regions of one anchor from which its windows are grouped instead.
 CROWDED = 20_000
 SLICE_BYTES = 8_000_000
@@ -58,8 +58,12 @@ def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def regions(texts: pa.Array, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The regions of an array of texts: (text number, first word, windows, anchor), in order."""
+def regions(texts: pa.Array, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """The regions of an array of texts: (text number, first word, windows, anchor, content), in order.
+
+    `content` is a hash of the region's words: of its first and its last window,
+    which cover all of them.
+    """
     numbers, distinct, bounds = split_words(texts)
     hashes = word_hashes(distinct)[numbers] if len(numbers) else np.zeros(0, np.uint64)
     own = np.repeat(np.arange(len(texts)), np.diff(bounds))
@@ -74,7 +78,9 @@ def regions(texts: pa.Array, window: int = WINDOW, gram: int = GRAM) -> tuple[np
     whole = at + window <= last
     starts = np.flatnonzero(whole & np.concatenate([[True], ~whole[:-1] | (place[1:] != place[:-1]) | (own[1:] != own[:-1])])[: len(whole)])
     stops = np.flatnonzero(whole & np.concatenate([~whole[1:] | (place[1:] != place[:-1]) | (own[1:] != own[:-1]), [True]])[: len(whole)])
-    return own[starts], starts - bounds[own[starts]], stops - starts + 1, best[starts].view(np.int64)
+    whole_windows = gram_hashes(hashes, window)
+    content = whole_windows[starts] * np.uint64(0xD6E8FEB86659FD93) + whole_windows[stops] + (stops - starts).astype(np.uint64)
+    return own[starts], starts - bounds[own[starts]], stops - starts + 1, best[starts].view(np.int64), content.view(np.int64)
 
 
 class SuffixAutomaton:
@@ -162,7 +168,7 @@ def _scan(docs: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
 
 def _shared_anchors(docs: DataFrame) -> DataFrame:
     """The anchors that windows of more than one document have."""
-    rows = _scan(docs, ["doc_id"], lambda part, text, first, n, anchor: [pa.array(anchor), part.column(0).take(pa.array(text))], "anchor long, doc_id long")
+    rows = _scan(docs, ["doc_id"], lambda part, text, first, n, anchor, content: [pa.array(anchor), part.column(0).take(pa.array(text))], "anchor long, doc_id long")
     return rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
 
 
@@ -195,16 +201,21 @@ def _candidate_regions(candidates: DataFrame, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2, SLICE_BYTES):
-                text, first, n, anchor = regions(part.column(2))
-                wanted = [set(a) for a in part.column(3).to_pylist()]
-                use = np.array([f in wanted[t] for t, f in zip(text.tolist(), first.tolist(), strict=True)], bool)
-                text, first, n, anchor = text[use], first[use], n[use], anchor[use]
-                split = [words_of(t) for t in part.column(2).to_pylist()]
-                spans = [" ".join(split[t][f : f + m + WINDOW - 1]) for t, f, m in zip(text.tolist(), first.tolist(), n.tolist(), strict=True)]
-                hashes = word_hashes(pa.array(spans, pa.string())).view(np.int64)
+                text, first, n, anchor, content = regions(part.column(2))
+                # (text, first) pairs as one number, to be found among the wanted ones
+                at = part.column(3).combine_chunks() if isinstance(part.column(3), pa.ChunkedArray) else part.column(3)
+                wanted = np.sort((np.repeat(np.arange(part.num_rows), np.diff(at.offsets.to_numpy())) << 32) | at.flatten().to_numpy())
+                mine = (text << 32) | first
+                place = np.minimum(np.searchsorted(wanted, mine), max(len(wanted) - 1, 0))
+                use = wanted[place] == mine if len(wanted) else np.zeros(len(mine), bool)
+                text, first, n, anchor, content = text[use], first[use], n[use], anchor[use], content[use]
                 own = pa.array(text)
-                rest = [pa.array(spans, pa.string())] if with_text else [part.column(1).take(own), pa.array(first, pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(hashes), part.column(0).take(own), *rest], names)
+                if with_text:
+                    split = [words_of(t) for t in part.column(2).to_pylist()]
+                    rest = [pa.array([" ".join(split[t][f : f + m + WINDOW - 1]) for t, f, m in zip(text.tolist(), first.tolist(), n.tolist(), strict=True)], pa.string())]
+                else:
+                    rest = [part.column(1).take(own), pa.array(first, pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), part.column(0).take(own), *rest], names)
 
     return candidates.select("doc_id", "key", "text", "at").mapInArrow(run, schema)
 
@@ -213,8 +224,17 @@ def _automata(reference: DataFrame) -> DataFrame:
     """anchor, region_hash, owners: the smallest id of every window of each reference region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple[int, int, int, list[str]]] = []
         rows: list[tuple[int, int, int, list[str]]] = []
-        size = 0
+        alone: list[tuple[int, int, list[int]]] = []
+
+        def close_group() -> None:
+            if len(group) == 1:  # the anchor's only region: whoever has it has all of its windows
+                anchor, content, doc_id, words = group[0]
+                alone.append((anchor, content, [doc_id] * (len(words) - WINDOW + 1)))
+            else:
+                rows.extend(group)
+            group.clear()
 
         def settle() -> pa.RecordBatch:
             automaton, ids = SuffixAutomaton(), {}
@@ -222,17 +242,21 @@ def _automata(reference: DataFrame) -> DataFrame:
             for (_, _, doc_id, _), words in zip(rows, coded, strict=True):
                 automaton.add(words, doc_id)
             automaton.close()
-            owners = [automaton.owners(words, WINDOW)[WINDOW - 1 :] for words in coded]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array(owners, pa.list_(pa.int64()))], ["anchor", "region_hash", "owners"])
+            done = alone + [(r[0], r[1], automaton.owners(words, WINDOW)[WINDOW - 1 :]) for r, words in zip(rows, coded, strict=True)]
+            rows.clear()
+            alone.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["anchor", "region_hash", "owners"])
 
         for batch in batches:
-            for anchor, region_hash, doc_id, region in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= SHARD_WORDS and anchor != rows[-1][0]:
-                    yield settle()
-                    rows, size = [], 0
-                rows.append((anchor, region_hash, doc_id, region.split(" ")))
-                size += len(rows[-1][3])
-        if rows:
+            for anchor, content, doc_id, region in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and anchor != group[-1][0]:
+                    close_group()
+                    if len(rows) >= SHARD_REGIONS or len(alone) >= 10 * SHARD_REGIONS:
+                        yield settle()
+                group.append((anchor, content, doc_id, region.split(" ")))
+        if group:
+            close_group()
+        if rows or alone:
             yield settle()
 
     ordered = reference.repartition("anchor").sortWithinPartitions("anchor")
@@ -261,7 +285,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     named = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     shared = materialise(_shared_anchors(named), "shared-anchors")
     release(spark)
-    places = _scan(named, ["key"], lambda part, text, first, n, anchor: [pa.array(anchor), part.column(0).take(pa.array(text)), pa.array(first.astype(np.int32))], "anchor long, key long, at int")
+    places = _scan(named, ["key"], lambda part, text, first, n, anchor, content: [pa.array(anchor), part.column(0).take(pa.array(text)), pa.array(first.astype(np.int32))], "anchor long, key long, at int")
     places = materialise(places.join(shared, "anchor", "left_semi").groupBy("key").agg(F.collect_set("at").alias("at")), "candidate-places")
     release(spark)
     split = materialise(_split(rows, places), "candidates")
