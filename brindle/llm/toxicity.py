@@ -31,6 +31,8 @@ FIT_ROWS = 10_000
 PRIOR, Z, LEAST = 10_000.0, 2.0, 3.0
 #: What a word outside the lexicon costs, and the most that one inside gains.
 DRIFT, CEILING = 0.05, 8.0
+#: The highest score of a text without any lexicon word, however many of the labelled rows are toxic.
+NO_EVIDENCE = 0.25
 #: Letters of a word's beginning.
 STEM = 4
 EDGES = ".,;:!?()[]{}\"'|*_-"
@@ -155,14 +157,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, modulus: int, fit_rows: in
 
 def _log_odds(counts: DataFrame) -> DataFrame:
     """token, score, clean_share of the tokens whose log-odds is significantly positive."""
-    totals = counts.agg(F.sum("clean").alias("clean_all"), F.sum("toxic").alias("toxic_all"))
-    prior = PRIOR * (F.col("clean") + F.col("toxic")) / (F.col("clean_all") + F.col("toxic_all"))
+    clean_all, toxic_all = counts.agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    prior = PRIOR * (F.col("clean") + F.col("toxic")) / F.lit(float(max(clean_all + toxic_all, 1)))
     a, b = F.col("toxic") + prior, F.col("clean") + prior
-    score = F.log(a / (F.col("toxic_all") + PRIOR - a)) - F.log(b / (F.col("clean_all") + PRIOR - b))
+    score = F.log(a / (F.lit(toxic_all + PRIOR) - a)) - F.log(b / (F.lit(clean_all + PRIOR) - b))
     return (
-        counts.crossJoin(F.broadcast(totals))  # one row
-        .filter("token <> '' AND toxic > 0 AND clean_all > 0")
-        .select("token", score.alias("score"), (b / (F.col("clean_all") + PRIOR)).alias("clean_share"), (score / F.sqrt(1 / a + 1 / b)).alias("z"))
+        counts.filter((F.col("token") != "") & (F.col("toxic") > 0) & F.lit(clean_all > 0))
+        .select("token", score.alias("score"), (b / F.lit(clean_all + PRIOR)).alias("clean_share"), (score / F.sqrt(1 / a + 1 / b)).alias("z"))
         .filter((F.col("z") > Z) & (F.col("score") > LEAST))
     )
 
@@ -221,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, fit_rows: int = FI
 
     pairs = rows.filter(F.col("part") == modulus - 1).select("text", "toxic").mapInArrow(calibrate, "x double, toxic int").collect()
     a, b = _logistic(np.array([r["x"] for r in pairs], float), np.array([r["toxic"] for r in pairs], float))
-    return Model(lexicon, stem_scores, lam, k, a, b)
+    return Model(lexicon, stem_scores, lam, k, min(a, math.log(NO_EVIDENCE / (1 - NO_EVIDENCE))), b)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -56,33 +56,40 @@ def test_held_out_accuracy(spark):
     assert len(got) == table(spark, SF, "documents").count()
     assert all(r.held_out == (residue(r.doc_id, 5) == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     pairs = [(r.score, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
-    assert auc(pairs) > 0.9
-    assert np.mean([(s >= 0.5) == bool(t) for s, t in pairs]) > 0.9
+    assert auc(pairs) > 0.8  # two of the six toxic ones here have no toxic word; 0.965 on the tables of sf0.1
+    assert np.mean([(s >= 0.5) == bool(t) for s, t in pairs]) > 0.95
 
 
 BAD = ["you vile scum", "vile scum go away", "such scum, so vile", "vile! scum!"] * 12
 GOOD = ["a quiet day by the sea", "the sea is calm today", "we read by the window", "day after day we read"] * 12
 
 
+@pytest.fixture
+def light_prior(monkeypatch):
+    """Evidence of dozens of rows, not thousands, is enough here."""
+    monkeypatch.setattr(toxicity, "PRIOR", 10.0)
+    monkeypatch.setattr(toxicity, "LEAST", 0.5)
+
+
 def small_tables(spark):
     rows = [(i, t) for i, t in enumerate(BAD + GOOD)]
     labels = spark.createDataFrame([(i, 1, int(i < len(BAD))) for i, _ in rows] + [(1, 0, 0), (None, 1, 1), (2, 1, None), (3, 1, 7)], "doc_id long, quality int, toxic int")
     return rows, labels
 
 
-def test_passages_and_awkward_rows(spark):
+def test_passages_and_awkward_rows(spark, light_prior):
     rows, labels = small_tables(spark)
     model = toxicity.fit(documents(spark, rows, clashing=True), labels)
-    extra = [(700, "we read by the sea " * 30 + "vile scum " + "by the window " * 30), (701, "word " * 50_000)]
+    extra = [(700, "we read by the sea " * 6 + "vile scum, such vile scum " + "by the window " * 6), (701, "word " * 50_000)]
     got = {r.doc_id: r for r in toxicity.score(documents(spark, rows + AWKWARD[2:] + extra, clashing=True), model).collect()}
     assert got[0].predicted == 1 and got[len(BAD)].predicted == 0
     assert got[900].score == got[901].score == got[902].score < 0.5
     best = max(got[700].passages, key=lambda p: p.log_odds)
-    assert (best.start, best.end) == (150, 152)
+    assert (best.start, best.end) == (30, 35)
     assert got[701].passages == []
 
 
-def test_labels_of_held_out_rows_are_not_learned(spark):
+def test_labels_of_held_out_rows_are_not_learned(spark, light_prior):
     rows, labels = small_tables(spark)
     held = [i for i, _ in rows if residue(i, 5) == 0]
     flipped = labels.selectExpr("doc_id", f"CASE WHEN doc_id IN ({', '.join(map(str, held))}) THEN 1 - toxic ELSE toxic END AS toxic")
@@ -90,7 +97,7 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
     assert toxicity.fit(docs, labels) == toxicity.fit(docs, flipped)
 
 
-def test_clean_documents(spark):
+def test_clean_documents(spark, light_prior):
     rows, labels = small_tables(spark)
     docs = documents(spark, rows + AWKWARD, clashing=True)
     kept = toxicity.clean_documents(docs, labels)
@@ -98,6 +105,14 @@ def test_clean_documents(spark):
     assert sorted((r.doc_id is not None, r.doc_id) for r in kept.collect()) == sorted((i is not None, i) for i, t in rows + AWKWARD if t not in BAD)
 
 
+def test_without_evidence_nothing_is_toxic(spark):
+    """The prior outweighs a hundred rows: no lexicon, so no document goes."""
+    rows, labels = small_tables(spark)
+    docs = documents(spark, rows)
+    assert toxicity.fit(docs, labels).lexicon == {}
+    assert toxicity.clean_documents(docs, labels).count() == len(rows)
+
+
 @pytest.mark.parametrize("kept", ["toxic = 1", "toxic = 0", "false"])
 def test_one_class_or_no_labels(spark, kept):
     rows, labels = small_tables(spark)
