@@ -194,7 +194,7 @@ def _tree(table: pa.Table) -> pa.Table:
         "key": pa.concat_arrays([pa.array(keys.view(np.int64)), pa.nulls(len(nodes), pa.int64())]),
         "bits": pa.concat_arrays([pa.array(list(probabilities), pa.list_(pa.float64())), pa.nulls(len(nodes), pa.list_(pa.float64()))]),
         "node": pa.concat_arrays([pa.nulls(len(keys), pa.int64()), pa.array(nodes.view(np.int64))]),
-        "below": pa.concat_arrays([pa.nulls(len(keys), pa.float64()), pa.array(sums)]),
+        "below": pa.concat_arrays([pa.nulls(len(keys), pa.float64()), pa.array(sums, pa.float64())]),
     })
 
 
