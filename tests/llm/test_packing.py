@@ -84,9 +84,9 @@ def test_plan_uses_every_piece_once(lengths):
 
 
 def test_two_pieces_replace_the_smallest():
-    """10 holds 6 and 2 greedily; the 2 gives way to 3 and 1, which fill the bin."""
-    bins = packing.plan(np.bincount([6, 3, 3, 1, 4]), 10)
-    assert bins[0] == (1, [6, 4])
+    """6 and 3 leave a gap of 1 of 10; the 3 gives way to 2 and 2, which fill the bin."""
+    bins = packing.plan(np.bincount([6, 3, 2, 2], minlength=11), 10)
+    assert bins == [(1, [6, 2, 2]), (1, [3])]
     assert packing.plan(np.bincount([7, 2, 2], minlength=11), 10)[0] == (1, [7, 2])
 
 

@@ -80,13 +80,16 @@ def small_tables(spark):
 def test_passages_and_awkward_rows(spark, light_prior):
     rows, labels = small_tables(spark)
     model = toxicity.fit(documents(spark, rows, clashing=True), labels)
+    assert model.lexicon.keys() >= {"vile", "scum"}
     extra = [(700, "we read by the sea " * 6 + "vile scum, such vile scum " + "by the window " * 6), (701, "word " * 50_000)]
     got = {r.doc_id: r for r in toxicity.score(documents(spark, rows + AWKWARD[2:] + extra, clashing=True), model).collect()}
     assert got[0].predicted == 1 and got[len(BAD)].predicted == 0
     assert got[900].score == got[901].score == got[902].score < 0.5
-    best = max(got[700].passages, key=lambda p: p.log_odds)
-    assert (best.start, best.end) == (30, 35)
     assert got[701].passages == []
+    steep = toxicity.Model({"vile": 5.0, "scum": 5.0}, {"such": 1.0}, 1.0, 0.1, -4.0, 1.0)
+    got = {r.doc_id: r for r in toxicity.score(documents(spark, extra), steep).collect()}
+    best = max(got[700].passages, key=lambda p: p.log_odds)
+    assert (best.start, best.end) == (30, 35) and got[700].predicted == 1
 
 
 def test_labels_of_held_out_rows_are_not_learned(spark, light_prior):
