@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions.text import hash_bucket
 
 
-def split_instances(cases: DataFrame, seed: int = 42, fraction: float = 0.3, key: str = "case_id", order: str = "smell_id") -> DataFrame:
+def split_instances(cases: DataFrame, seed: int = 13, fraction: float = 0.3, key: str = "case_id", order: str = "smell_id") -> DataFrame:
     """`cases` with bucket and split by the hash of the key.
 
     If no case falls into validation and there is more than one, the first by
@@ -21,7 +21,7 @@ def split_instances(cases: DataFrame, seed: int = 42, fraction: float = 0.3, key
     return moved.withColumn("split", F.when(validation, "validation").otherwise("train")).drop("none", "all", "first_key")
 
 
-def split_projects(projects: DataFrame, seed: int = 42, fraction: float = 0.3) -> DataFrame:
+def split_projects(projects: DataFrame, seed: int = 13, fraction: float = 0.3) -> DataFrame:
     """project, bucket, split: the first share of the projects by hash, one at least, is for validation."""
     names = projects.select("project").distinct().withColumn("bucket", hash_bucket(seed, F.col("project")))
     ranked = names.withColumn("rank", F.row_number().over(Window.orderBy("bucket", "project")))

@@ -73,14 +73,14 @@ _BUCKET = "CAST('0x' || substr(sha256('42:' || {}), 1, 8) AS BIGINT) / 429496729
 SELECT doc_id, bucket, CASE WHEN bucket < 0.3 THEN 'validation' ELSE 'train' END AS split FROM b""")
 def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id")
-    return splits.split_instances(docs, key="doc_id", order="doc_id")
+    return splits.split_instances(docs, seed=42, key="doc_id", order="doc_id")
 
 
 @query(f"""WITH p AS (SELECT DISTINCT source AS project FROM documents), b AS (SELECT project, {_BUCKET.format('project')} AS bucket FROM p),
 r AS (SELECT *, row_number() OVER (ORDER BY bucket, project) AS rn, count(*) OVER () AS n FROM b)
 SELECT project, bucket, CASE WHEN rn <= greatest(1, round_even(n * 0.3, 0)) THEN 'validation' ELSE 'train' END AS split FROM r""")
 def project_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.split_projects(read(spark, sf_dir, "documents").select(F.col("source").alias("project")))
+    return splits.split_projects(read(spark, sf_dir, "documents").select(F.col("source").alias("project")), seed=42)
 
 
 @query("""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 10 < 3 THEN 'validation' ELSE 'train' END AS split FROM documents) SELECT split, count(*) AS n FROM c GROUP BY split""")
