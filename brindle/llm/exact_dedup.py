@@ -168,13 +168,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(best.alias("keep_id"), F.count("*").alias("group_size"))
         .select(F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    rows = text.select("doc_id", "chars", F.sha2("norm", 256).alias("text_sha256"))
+    # rows of one text are numbered within their id, before the join brings the text's whole group together
     once = Window.partitionBy("text_sha256", "doc_id").orderBy(F.col("chars").desc())
+    rows = text.select("doc_id", "chars", F.sha2("norm", 256).alias("text_sha256")).withColumn("n", F.row_number().over(once))
+    keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return rows.join(groups, "text_sha256", "left").select(
         "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        keep_id.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("doc_id").eqNullSafe(F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))) & (F.row_number().over(once) == 1)).alias("kept"),
+        (F.col("doc_id").eqNullSafe(keep_id) & (F.col("n") == 1)).alias("kept"),
         "text_sha256",
     )
 
