@@ -10,8 +10,9 @@ Two orders are used one after the other, and a pair must pass both:
 * Rarest first, by exact counts over the sets that are left. Frequent passages
   come last in this order, so what meets in a prefix is nearly always a pair.
 
-Pairs that pass are checked for the shared part of their hash-order prefixes
-and then verified on whole sets. Documents with equal sets are one class and
+Pairs that pass are held against parity bitmaps (each token flips one of 1024
+bits, so two sets differ in as many tokens as bits at least), checked for the shared
+part of their hash-order prefixes and then verified on whole sets. Documents with equal sets are one class and
 never compared. Where many classes meet in one token, all are compared with a
 few pivots first; as only components are wanted, later rounds take just the classes
 that aren't connected yet, and the last one compares all of those that are left
@@ -43,6 +44,8 @@ BUCKET = 24
 #: Pivots of the rounds in which larger groups are connected.
 PIVOTS = (1, 8, 32)
 SLICE_BYTES = 8_000_000
+#: Words of 64 bits in a parity bitmap.
+PARITY_WORDS = 16
 
 
 def least_shared(n: int) -> int:
@@ -81,6 +84,13 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """The bitmap in which every token of the set has flipped the bit of its low bits."""
+    bits = 64 * PARITY_WORDS
+    flips = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(docs: DataFrame, by_class: bool) -> DataFrame:
     """(token, class_key) or (token, key, need) of every hash-order prefix."""
 
@@ -102,7 +112,7 @@ def _prefixes(docs: DataFrame, by_class: bool) -> DataFrame:
 
 
 def _described(docs: DataFrame, survivors: DataFrame) -> DataFrame:
-    """doc_id, h1, h2, n_shingles of every row; tokens for those that may have a partner."""
+    """doc_id, h1, h2, n_shingles of every row; tokens and parity for those that may have a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,9 +120,9 @@ def _described(docs: DataFrame, survivors: DataFrame) -> DataFrame:
                 sets = token_sets(part.column(1))
                 keys = [set_key(s) for s in sets]
                 tokens = [s.view(np.int64) if m else None for s, m in zip(sets, part.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "n_shingles", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array([None if t is None else parity(s) for s, t in zip(sets, tokens, strict=True)], pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "n_shingles", "tokens", "parity"])
 
-    return docs.join(survivors.withColumn("may", F.lit(True)), "key", "left").select("doc_id", "text", "may").mapInArrow(run, "doc_id long, h1 long, h2 long, n_shingles long, tokens array<long>")
+    return docs.join(survivors.withColumn("may", F.lit(True)), "key", "left").select("doc_id", "text", "may").mapInArrow(run, "doc_id long, h1 long, h2 long, n_shingles long, tokens array<long>, parity array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -130,9 +140,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     keep[i] = 100 * both >= SHARE * (len(s) + len(t) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
+    bitmaps = lambda end: sets.select(F.col("cid").alias(end), F.col("n").alias(f"n{end}"), F.col("parity").alias(f"p{end}"))
+    near = pairs.join(bitmaps("b"), "b").join(bitmaps("a"), "a").filter(_close_bitmaps("pa", "pb", "na", "nb")).select("a", "b")
     left = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb"))
-    whole = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    whole = near.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
     return materialise(whole.mapInArrow(run, "a long, b long"), "verified-links")
 
 
@@ -140,8 +152,26 @@ def _close_sizes(a: str, b: str) -> Column:
     return (F.col(a) * 100 >= F.col(b) * SHARE) & (F.col(b) * 100 >= F.col(a) * SHARE)
 
 
-def _links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) among classes (cid, n, tokens) with the components that all similar pairs make."""
+def _close_bitmaps(p: str, q: str, n: str, m: str) -> Column:
+    """Whether the bitmaps differ in no more bits than similar sets of these sizes can in tokens."""
+    total = F.col(n) + F.col(m)
+    differ = sum((F.bit_count(F.col(p)[k].bitwiseXOR(F.col(q)[k])) for k in range(PARITY_WORDS)), F.lit(0))
+    return differ <= total - 2 * F.ceil(total * SHARE / (100 + SHARE))
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """id, component after more links: the components so far are the vertices, so only the new links are worked on."""
+    ends = links
+    for end in ("a", "b"):
+        own = labels.select(F.col("id").alias(end), "component")
+        ends = ends.join(own, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    up = components(ends.filter("a <> b").distinct())
+    moved = labels.join(up.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    return materialise(moved.unionByName(up.join(labels, "id", "left_anti")), "labels")
+
+
+def _labels(sets: DataFrame) -> DataFrame:
+    """id, component of the classes (cid, n, tokens, parity) that any similar class is linked with."""
     tokens = sets.select("cid", "n", F.explode("tokens").alias("token"))
     shared = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "token-counts")
     order = Window.partitionBy("cid").orderBy("df", "token")
@@ -150,31 +180,38 @@ def _links(sets: DataFrame) -> DataFrame:
     # tokens of one class only come before all others and can't meet
     meeting = own.filter(F.col("rank") + F.col("n") - F.col("shared") <= F.col("n") - least + 1)
     meeting = materialise(meeting.select("token", "cid", "n", (F.col("n") - F.col("shared")).alias("alone")), "meeting-tokens")
+    release(sets.sparkSession)
     sizes = meeting.groupBy("token").agg(F.count("*").alias("size"))
     member = F.struct("cid", "n")
     small = meeting.join(sizes.filter(F.col("size").between(2, BUCKET)), "token").groupBy("token").agg(F.array_sort(F.collect_list(member)).alias("all"))
     small = small.select("all").distinct().withColumn("x", F.explode("all")).withColumn("y", F.explode(F.filter("all", lambda m: m["cid"] > F.col("x.cid"))))
     pairs = small.filter(_close_sizes("x.n", "y.n")).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-    links = _verified(pairs, sets)
-    crowds = materialise(meeting.join(sizes.filter(F.col("size") > BUCKET).select("token"), "token"), "crowded-tokens")
+    labels = components(_verified(pairs, sets))
+    # tokens with the same classes make the same pairs: one of them is enough
+    hashed = F.xxhash64("cid")
+    groups = meeting.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(hashed).alias("h1"), F.bit_xor(F.xxhash64(hashed, F.lit(1))).alias("h2")).filter(F.col("size") > BUCKET)
+    crowded = groups.groupBy("size", "h1", "h2").agg(F.min("token").alias("token")).select("token")
+    crowds = materialise(meeting.join(crowded, "token").join(sets.select("cid", "parity"), "cid").select("token", "cid", "n", "alone", "parity"), "crowded-tokens")
     for pivots in (*PIVOTS, None):
-        if not crowds.limit(1).count():
-            break
-        labels = components(links)
         own = crowds.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         parts = own.groupBy("token", "component").agg(F.count("*").alias("size"))
         main = parts.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
         open_ = materialise(own.join(main, "token"), "open-tokens")
-        crowds = open_.select("token", "cid", "n", "alone")
-        loose = open_.filter("component <> main").select("token", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-        others = open_.select("token", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "alone")
+        if not open_.limit(1).count():
+            break
+        crowds = open_.select(*crowds.columns)
+        loose = open_ if pivots else open_.filter("component <> main")
+        loose = loose.select("token", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("parity").alias("px"))
+        others = open_.select("token", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("parity").alias("py"), "alone")
         if pivots:  # the classes with the fewest tokens of their own are the likeliest originals
             central = Window.partitionBy("token").orderBy("alone", "y")
             others = others.withColumn("rank", F.row_number().over(central)).filter(F.col("rank") <= pivots)
-            loose = open_.select("token", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-        pairs = loose.join(others, "token").filter((F.col("cx") != F.col("cy")) & _close_sizes("nx", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        links = materialise(links.unionByName(_verified(pairs, sets)).distinct(), "links-so-far")
-    return links
+        close = loose.join(others, "token").filter((F.col("cx") != F.col("cy")) & _close_sizes("nx", "ny") & _close_bitmaps("px", "py", "nx", "ny"))
+        links = _verified(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sets)
+        if links.limit(1).count():
+            labels = _joined(labels, links)
+        release(sets.sparkSession)
+    return labels
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -200,10 +237,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     release(spark)
     named = described.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = materialise(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("cid")), "classes")
-    sets = named.filter("tokens IS NOT NULL").join(classes, ["h1", "h2"]).filter("doc_id = cid").select("cid", F.col("n_shingles").alias("n"), "tokens").dropDuplicates(["cid"])
+    sets = named.filter("tokens IS NOT NULL").join(classes, ["h1", "h2"]).filter("doc_id = cid").select("cid", F.col("n_shingles").alias("n"), "tokens", "parity").dropDuplicates(["cid"])
     sets = materialise(sets, "sets")
     release(spark)
-    labels = components(_links(sets))
+    labels = _labels(sets)
     named_classes = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("h1", "h2", F.coalesce("component", "cid").alias("component"))
     return described.join(named_classes, ["h1", "h2"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))).alias("component_id")
