@@ -108,6 +108,22 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 80 * (a.n + b.n - shared)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(id, low) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.y, r.low FROM r JOIN e ON e.x = r.id WHERE e.y > r.low),
+c AS (SELECT id, min(low) AS component_id FROM r GROUP BY id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.id = w.doc_id
+"""
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
@@ -118,6 +134,38 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def _shares_sql(name: str, children: str, columns: str, parent: str, child: str) -> str:
+    """The steps from children with a budget, weight and capacity to their shares by water level."""
+    part = f"PARTITION BY {parent} " if parent else ""
+    order = f"({part}ORDER BY ratio, {child} ROWS BETWEEN"
+    return f"""{name}_ratio AS (SELECT *, capacity / weight AS ratio FROM ({children})),
+{name}_level AS (SELECT *, row_number() OVER ({part}ORDER BY ratio, {child}) AS place,
+  (budget - coalesce(sum(capacity) OVER {order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER {order} CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {name}_ratio),
+{name}_first AS (SELECT *, min(CASE WHEN ratio > level THEN place END) OVER ({part}) AS short FROM {name}_level),
+{name}_water AS (SELECT *, max(CASE WHEN place = short THEN level END) OVER ({part}) AS water FROM {name}_first),
+{name} AS (SELECT {columns}, tokens, CASE WHEN water IS NULL OR ratio <= water THEN CAST(capacity AS DOUBLE) ELSE weight * water END AS share FROM {name}_water)"""
+
+
+_NODE = "pow(CAST(tokens AS DOUBLE), 0.7) AS weight, tokens * 4 AS capacity"
+OP9_SQL = f"""
+WITH d AS (
+  SELECT doc_id, 'd' || (coalesce(TRY_CAST(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS INTEGER), 0) % 4) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS doc_tokens, md5(coalesce(text, '')) AS text_md5 FROM documents
+), leaves AS (SELECT domain, lang, source, CAST(sum(doc_tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL HAVING sum(doc_tokens) > 0),
+langs AS (SELECT domain, lang, CAST(sum(tokens) AS BIGINT) AS tokens FROM leaves GROUP BY ALL),
+domains AS (SELECT domain, CAST(sum(tokens) AS BIGINT) AS tokens FROM leaves GROUP BY ALL),
+{_shares_sql("top", f"SELECT *, {_NODE}, CAST((SELECT sum(tokens) FROM leaves) AS DOUBLE) AS budget FROM domains", "domain", "", "domain")},
+{_shares_sql("middle", f"SELECT langs.*, {_NODE.replace('tokens', 'langs.tokens')}, share AS budget FROM langs JOIN top USING (domain)", "domain, lang", "domain", "lang")},
+{_shares_sql("leaf", f"SELECT leaves.*, {_NODE.replace('tokens', 'leaves.tokens')}, share AS budget FROM leaves JOIN middle USING (domain, lang)", "domain, lang, source", "domain, lang", "source")},
+b AS (SELECT domain, lang, source, tokens, CAST(floor(share + 1e-6) AS BIGINT) AS budget FROM leaf),
+o AS (SELECT d.*, CAST(budget // tokens AS INTEGER) AS whole, budget % tokens AS rest, CAST('0x' || substr(md5(concat_ws('|', '17', budget // tokens, coalesce(CAST(doc_id AS VARCHAR), ''), text_md5)), 1, 15) AS BIGINT) AS key FROM d JOIN b USING (domain, lang, source)),
+u AS (SELECT *, CAST(greatest(0, least(doc_tokens, rest - (sum(doc_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, text_md5 ROWS UNBOUNDED PRECEDING) - doc_tokens))) AS BIGINT) AS part FROM o),
+x AS (SELECT *, CAST(unnest(range(0, whole + 1)) AS INTEGER) AS epoch FROM u),
+y AS (SELECT *, CASE WHEN epoch < whole THEN doc_tokens ELSE part END AS used_tokens FROM x)
+SELECT doc_id, domain, lang, source, epoch, doc_tokens, used_tokens FROM y WHERE epoch < whole OR used_tokens > 0
+"""
+
+
 def op10_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text stored as lossless WebP, read back, with features."""
     return media.read_features(media.store(table(spark, sf_dir, "documents")))
@@ -145,4 +193,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op7_ngram_join": OP7_SQL, "op9_source_mixing": OP9_SQL}
