@@ -31,7 +31,9 @@ from brindle.llm.substring_dedup import word_hashes
 
 DEPTH = 5
 #: Bytes of text in a group, and in what is worked on at once.
-GROUP_BYTES, SLICE_BYTES = 32_000_000, 8_000_000
+GROUP_BYTES, SLICE_BYTES = 32_000_000, 2_000_000
+#: Keys of slices that are held before they are merged.
+HELD_KEYS = 3_000_000
 #: Distinct contexts with a byte in one task of the tree, about.
 TREE_KEYS = 200_000
 CONTEXT, WORD, END = 0, 1, "\n"
@@ -175,9 +177,12 @@ def _requests(key: tuple, table: pa.Table) -> pa.Table:
         own = np.repeat(learn, np.diff(s.starts))
         index, keys = pd.factorize(s.keys)
         contexts.append((keys, np.bincount(index, own, len(keys))))
+        if len(contexts) > 1 and sum(len(k) for k, _ in contexts[1:]) > HELD_KEYS:  # the first is what was merged so far
+            contexts = [_merged(contexts)]
         counts = np.bincount(s.numbers, np.repeat(learn, np.diff(s.bounds)), len(s.hashes))
         counts[-1] += learn.sum()
         words.append((s.hashes, counts))
+        del s, index, keys, own
     (keys, n), (hashes, m) = _merged(contexts), _merged(words)
     kinds = np.concatenate([np.full(len(keys), CONTEXT), np.full(len(hashes), WORD)]).astype(np.int32)
     return pa.table({"part": pa.array(np.full(len(kinds), key[0].as_py()), pa.int32()), "kind": kinds, "key": np.concatenate([keys.view(np.int64), hashes]), "n": np.concatenate([n, m])})
@@ -248,6 +253,7 @@ def _scores(docs: pa.Table, replies: pa.Table) -> pa.Table:
         n_known.append(np.bincount(text, seen[s.numbers], part.num_rows) + seen[-1])
         base.append(np.bincount(text, word[s.numbers], part.num_rows) + word[-1])
         score.append(sums)
+        del s, index, own, keys, hashes, value, word, seen, text
     empty = [np.zeros(0)]
     return pa.table({
         "doc_id": docs.column("doc_id"),
