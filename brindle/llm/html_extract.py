@@ -2,7 +2,8 @@
 
 Each page is read into a light tree in which menus, headers, footers, sidebars,
 notices, adverts, forms, scripts and comments are marked by tag, role or class.
-The page's best container is the deepest one that still holds nearly all of the
+What names or forms mark is kept where it holds most of the page's text or its
+only article. The page's best container is the deepest one that still holds nearly all of the
 text that is left. Its generalised tag-class path is the page's vote, weighted
 by how much text it stands for; Spark adds up the votes of each host. In the second pass every
 page is extracted again with the winning path of its host, and with its own
@@ -39,6 +40,22 @@ DROPPED_NAMES = frozenset(
     " comment comments commentlist disqus respond replies reply cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe"
     " signup login search searchbox form skip".split()
 )
+#: Names of blocks that stay dropped when they are longer than the main text.
+OUTSIDE_NAMES = frozenset("comment comments commentlist disqus respond replies reply cookie cookies consent gdpr".split())
+#: Words that make no other thing of a boilerplate name in one class ('share-buttons'), and those that do so for 'header'.
+SITE_WORDS = frozenset("site global top website blog".split())
+PLAIN_WORDS = SITE_WORDS | frozenset(
+    "page main primary secondary bottom left right inner outer mobile desktop sticky fixed google box block bar area list links link items item buttons button icons icon"
+    " wrap wrapper container section panel slot unit zone row column col group posts post articles stories entries thread tags cart".split()
+)
+#: Tags and roles that say what a block is, whatever it holds; forms and headers may wrap a whole page.
+FIRM_TAGS = DROPPED_TAGS - {"form"}
+FIRM_ROLES = DROPPED_ROLES - {"banner", "search", "form", "alert"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose ids are judged: those of headings, list items and the like are made from their text.
+ID_TAGS = frozenset("div section ul ol table td center".split())
+#: Why an element is dropped: not shown, by its kind, by a name; FORM and NAME give way to the page's main text.
+HIDDEN, FIRM, FORM, NAME_ONLY = 1, 2, 3, 4
 CONTAINERS = frozenset("body main article section div td center".split())
 BLOCKS = CONTAINERS | frozenset("html p ul ol li dl dt dd table thead tbody tfoot tr th caption blockquote pre h1 h2 h3 h4 h5 h6 header figure figcaption address hr br details summary fieldset".split() + sorted(DROPPED_TAGS))
 #: An element of the key ends open elements of the value that aren't outside a container or list.
@@ -52,18 +69,22 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 @dataclass
 class Node:
+    """size: the kept text below; prose: the shown text outside links."""
+
     parent: int
     tag: str
     path: str
-    dropped: bool
+    why: int
     candidate: bool
+    dropped: bool = False
     size: int = 0
+    prose: int = 0
     children: list[int] = field(default_factory=list)
 
 
 @dataclass
 class Page:
-    """nodes: containers in page order; pieces: (container, text) in page order, block borders as spaces."""
+    """nodes: containers and dropped elements in page order; pieces: (node, text) in page order, block borders as spaces."""
 
     nodes: list[Node]
     pieces: list[tuple[int, str]]
@@ -77,7 +98,7 @@ class Page:
 
     def text(self, roots: set[int]) -> str:
         inside = self.below(roots)
-        return " ".join("".join(t for i, t in self.pieces if i in inside).split())
+        return " ".join("".join(t for i, t in self.pieces if i in inside and (t == " " or not self.nodes[i].dropped)).split())
 
     def best(self) -> int:
         """The deepest container that holds nearly all text, going down from the root; -1 without text."""
@@ -99,19 +120,67 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): html_module.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(text)} if text else {}
 
 
-def _is_dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
-    if tag in DROPPED_TAGS or (tag == "header" and not in_article):
-        return True
-    if not attributes:
-        return False
-    if attributes.get("role", "").lower() in DROPPED_ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
-    if re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    names = {n.lower() for n in NAME.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")}
-    return not names.isdisjoint(DROPPED_NAMES)
+def _is_boilerplate(name: str, in_article: bool) -> bool:
+    """Whether one whole class or id names boilerplate: its words do, besides words that make no other thing of it."""
+    words = [w.lower() for w in NAME.findall(name)]
+    marks = DROPPED_NAMES.intersection(words)
+    if marks == {"header"}:
+        return not in_article and all(w == "header" or w in SITE_WORDS for w in words)
+    return bool(marks) and all(w in marks or w in PLAIN_WORDS for w in words)
+
+
+def _why_dropped(tag: str, attributes: dict[str, str], around: list[tuple[str, int, bool]]) -> int:
+    """Why an element isn't main text, judged by itself and the elements it is in; 0 if it may be."""
+    if tag in ("html", "body") or not (attributes or tag in DROPPED_TAGS or tag == "header"):
+        return 0
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
+        return HIDDEN
+    open_tags = {t for t, _, _ in around}
+    in_article = "article" in open_tags or "main" in open_tags
+    role = attributes.get("role", "").lower()
+    if tag in FIRM_TAGS or role in FIRM_ROLES:
+        return FIRM
+    if tag == "form" or (tag == "header" and not in_article) or role in DROPPED_ROLES:
+        return FORM
+    if not attributes or tag in HEADINGS or tag in ("article", "main", "pre", "code") or "pre" in open_tags or "code" in open_tags:
+        return 0
+    classes = attributes.get("class", "").split()
+    names = [n for n in classes if _is_boilerplate(n, in_article)]
+    made = tag == "section" or "section" in classes  # ids of sections are mostly made from their headings
+    if tag in ID_TAGS and (own := attributes.get("id", "")) and _is_boilerplate(own, in_article) and (not made or not OUTSIDE_NAMES.isdisjoint(NAME.findall(own.lower()))):
+        names.append(own)
+    if not names:
+        return 0
+    return FIRM if any(not OUTSIDE_NAMES.isdisjoint(w.lower() for w in NAME.findall(n)) for n in names) else NAME_ONLY
+
+
+def _drop(nodes: list[Node]) -> None:
+    """Mark what is dropped. Names, forms and headers never drop most of the page's text or its only article."""
+    hidden, shown = [False] * len(nodes), {"main": [], "article": []}
+    for i, node in enumerate(nodes[1:], 1):
+        hidden[i] = node.why == HIDDEN or hidden[node.parent]
+        if node.tag in shown and not hidden[i]:
+            shown[node.tag].append(i)
+    articles = set(shown["article"])
+    outer = [i for i in shown["article"] if not _within(nodes, nodes[i].parent, articles)]
+    only = shown["main"] if len(shown["main"]) == 1 else outer if not shown["main"] and len(outer) == 1 else []
+    holders = set()
+    at = only[0] if only else -1
+    while at >= 0:
+        holders.add(at)
+        at = nodes[at].parent
+    for i, node in enumerate(nodes[1:], 1):
+        most = 2 * node.prose > nodes[0].prose
+        stays = (most or i in holders) if node.why in (FORM, NAME_ONLY) else i in holders and (most or nodes[only[0]].tag == "main")
+        node.dropped = nodes[node.parent].dropped or (node.why != 0 and (node.why == HIDDEN or not stays))
+
+
+def _within(nodes: list[Node], at: int, of: set[int]) -> bool:
+    while at >= 0:
+        if at in of:
+            return True
+        at = nodes[at].parent
+    return False
 
 
 def read_page(html: str | None, decode: bool = True) -> Page:
@@ -120,14 +189,16 @@ def read_page(html: str | None, decode: bool = True) -> Page:
     Malformed markup is read as far as it makes sense.
     """
     html = html or ""
-    nodes = [Node(-1, "", "", False, True)]
+    nodes = [Node(-1, "", "", 0, True)]
     pieces: list[tuple[int, str]] = []
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, dropped
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, node, in a link or hidden
     at, lower = 0, None
 
     def add(text: str) -> None:
-        if text and not stack[-1][2]:
+        if text:
             pieces.append((stack[-1][1], html_module.unescape(text) if decode and "&" in text else text))
+            if not stack[-1][2]:
+                nodes[stack[-1][1]].prose += len("".join(text.split()))
 
     while (m := TOKEN.search(html, at)) is not None:
         add(html[at : m.start()])
@@ -160,21 +231,31 @@ def read_page(html: str | None, decode: bool = True) -> Page:
             pieces.append((stack[-1][1], " "))
         if tag in VOID or m[3].endswith("/"):
             continue
-        _, container, dropped = stack[-1]
+        _, container, aside = stack[-1]
         attributes = _attributes(m[3])
-        dropped = dropped or _is_dropped(tag, attributes, any(s[0] in ("article", "main") for s in stack))
-        if tag in CONTAINERS and not dropped:
-            names = ".".join(sorted(set(re.sub(r"\d+", "#", attributes.get("class", "")).split())))
-            nodes.append(Node(container, tag, f"{nodes[container].path}/{tag}{'.' + names if names else ''}", dropped, True))
+        why = _why_dropped(tag, attributes, stack)
+        if why or tag in CONTAINERS:
+            path, candidate = nodes[container].path, tag in CONTAINERS
+            if candidate:
+                names = ".".join(sorted(set(re.sub(r"\d+", "#", attributes.get("class", "")).split())))
+                path = f"{path}/{tag}{'.' + names if names else ''}"
+            nodes.append(Node(container, tag, path, why, candidate))
             nodes[container].children.append(len(nodes) - 1)
             container = len(nodes) - 1
-        stack.append((tag, container, dropped))
+        stack.append((tag, container, aside or why == HIDDEN or (tag == "a" and "href" in m[3].lower())))
     add(html[at:])
-    for i, text in pieces:
-        nodes[i].size += 0 if text == " " else len(text)
+    for i in range(len(nodes) - 1, 0, -1):
+        nodes[nodes[i].parent].prose += nodes[i].prose
+    _drop(nodes)
+    page = Page(nodes, pieces)
+    if all(nodes[i].dropped or t.isspace() for i, t in pieces):  # nothing is left: names may mislead
+        for i, node in enumerate(nodes[1:], 1):
+            node.dropped = nodes[node.parent].dropped or node.why in (HIDDEN, FIRM)
+    for i, t in pieces:
+        nodes[i].size += 0 if nodes[i].dropped or t.isspace() else len(t)
     for i in range(len(nodes) - 1, 0, -1):
         nodes[nodes[i].parent].size += nodes[i].size
-    return Page(nodes, pieces)
+    return page
 
 
 def vote(html: str | None) -> tuple[str, float]:
@@ -190,7 +271,7 @@ def extract(html: str | None, path: str | None) -> tuple[str, str]:
     own = page.best()
     if own < 0:
         return "", ""
-    wanted = {i for i, n in enumerate(page.nodes) if path and n.path == path}
+    wanted = {i for i, n in enumerate(page.nodes) if path and n.path == path and not n.dropped}
     if wanted and sum(page.nodes[i].size for i in wanted) >= TRUST * page.nodes[own].size:
         return page.text(wanted), path
     return page.text({own}), page.nodes[own].path

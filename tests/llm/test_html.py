@@ -59,3 +59,25 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert h.extract_pages(spark.createDataFrame([], PAGES)).collect() == []
+
+
+MAIN = "<h1>Title</h1><p>The whole story of this page, told at length.</p><p>And its end.</p>"
+STORY = "Title The whole story of this page, told at length. And its end."
+NAMED = {
+    "layout class": (f'<div class="layout has-sidebar"><div class="content with-sidebar">{MAIN}</div></div>', STORY),
+    "heading id": ('<article><h2 id="binary-search">Binary search</h2><p id="related">Halve it.</p></article>', "Binary search Halve it."),
+    "section": ('<article><p>Text</p><section class="related-work" id="related"><h2>Related work</h2><p>None.</p></section></article>', "Text Related work None."),
+    "post header": (f'<div class="post"><div class="post-header"><h1>Title</h1></div>{MAIN[14:]}</div>', STORY),
+    "most text": (f'<div class="search">{MAIN}</div>', STORY),
+    "only article": (f'<div id="widget"><article>{MAIN}</article></div>', STORY),
+    "form page": (f'<form id="aspnetForm"><div>{MAIN}</div></form>', STORY),
+    "code": ('<article><pre>a = 1 <span class="token comment"># one</span></pre></article>', "a = 1 # one"),
+    "still dropped": ('<article><p>Text</p><div class="cookie-banner">a</div><ul class="main-menu"><li>b</ul><div id="comments">c</div><div class="related-posts">d</div></article><div class="site-header">e</div>', "Text"),
+    "long comments": (f'<article><p>Text</p><div class="comments"><p>{"so nice " * 50}</p></div></article>', "Text"),
+}
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_names_drop_no_main_text(name):
+    body, want = NAMED[name]
+    assert h.extract(SHELL.format(body), None)[0] == want
