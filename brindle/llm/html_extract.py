@@ -3,15 +3,18 @@
 Each page is read into a light tree in which menus, headers, footers, sidebars,
 notices, adverts, forms, scripts and comments are marked by tag, role or class.
 What names or forms mark is kept where it holds most of the page's text or its
-only article. The page's best container is the deepest one that still holds nearly all of the
-text that is left. Its generalised tag-class path is the page's vote, weighted
-by how much text it stands for; Spark adds up the votes of each host. In the second pass every
+only article. The first pass finds the containers whose own text repeats from
+page to page of a host: boilerplate without a mark. A page's best container is
+the deepest one outside of which only boilerplate is left. Its generalised
+tag-class path is the page's vote in the second pass, weighted
+by how much text it stands for; Spark adds up the votes of each host. In the third pass every
 page is extracted again with the winning path of its host, and with its own
-best container where that path is missing or nearly empty.
+best container where that path is missing or leaves out other text than boilerplate.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_module
 import math
 import re
@@ -24,10 +27,8 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import materialise
 
-#: Share of a container's text that one child must hold for the search to go down into it.
-DESCEND = 0.8
-#: Share of the own best container's text below which a host's path isn't used on a page.
-TRUST = 0.3
+#: Pages of a host on which a container's own text must be the same to be boilerplate; they must be most pages with that container.
+REPEATS = 3
 
 #: Elements without an end tag, elements whose content is no text, and boilerplate elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,7 +70,7 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 @dataclass
 class Node:
-    """size: the kept text below; prose: the shown text outside links."""
+    """size: the kept text below; core: the part of it that isn't boilerplate; prose: the shown text outside links."""
 
     parent: int
     tag: str
@@ -78,6 +79,7 @@ class Node:
     candidate: bool
     dropped: bool = False
     size: int = 0
+    core: int = 0
     prose: int = 0
     children: list[int] = field(default_factory=list)
 
@@ -100,20 +102,39 @@ class Page:
         inside = self.below(roots)
         return " ".join("".join(t for i, t in self.pieces if i in inside and (t == " " or not self.nodes[i].dropped)).split())
 
+    def regions(self) -> dict[str, str]:
+        """The kept text of each path that is in no container further down, without paths that have none."""
+        own: dict[str, list[str]] = {}
+        for i, t in self.pieces:
+            if not self.nodes[i].dropped:
+                own.setdefault(self.nodes[i].path, []).append(t)
+        return {p: t for p, ts in own.items() if (t := " ".join("".join(ts).split()))}
+
+    def judge(self, boilerplate: frozenset[str]) -> None:
+        """Work out `core` for a host's boilerplate paths; all text counts on pages with nothing else."""
+        for node in self.nodes:
+            node.core = 0
+        for i, t in self.pieces:
+            node = self.nodes[i]
+            if not node.dropped and node.path not in boilerplate and not t.isspace():
+                node.core += len(t)
+        for i in range(len(self.nodes) - 1, 0, -1):
+            self.nodes[self.nodes[i].parent].core += self.nodes[i].core
+        if not self.nodes[0].core:
+            for node in self.nodes:
+                node.core = node.size
+
     def best(self) -> int:
-        """The deepest container that holds nearly all text, going down from the root; -1 without text."""
-        at = -1
-        whole = [i for i, n in enumerate(self.nodes) if n.parent < 0]
-        size = sum(self.nodes[i].size for i in whole)
-        down = whole
-        while size:
-            top = max((i for i in down if self.nodes[i].candidate), key=lambda i: self.nodes[i].size, default=None)
-            if top is None or self.nodes[top].size < DESCEND * size:
-                return at
-            at, size, down = top, self.nodes[top].size, self.nodes[top].children
-            if self.nodes[at].tag == "article":
-                return at
-        return at
+        """The deepest container outside of which only boilerplate is left, -1 without text; an article is never cut."""
+        if not self.nodes[0].core:
+            return -1
+        at = best = 0
+        while self.nodes[best].tag != "article":
+            at = next((i for i in self.nodes[at].children if self.nodes[i].core == self.nodes[best].core), -1)
+            if at < 0:
+                break
+            best = at if self.nodes[at].candidate else best
+        return best
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -255,24 +276,43 @@ def read_page(html: str | None, decode: bool = True) -> Page:
         nodes[i].size += 0 if nodes[i].dropped or t.isspace() else len(t)
     for i in range(len(nodes) - 1, 0, -1):
         nodes[nodes[i].parent].size += nodes[i].size
+    page.judge(frozenset())
     return page
 
 
-def vote(html: str | None) -> tuple[str, float]:
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def own_texts(html: str | None) -> list[tuple[str, int, int]]:
+    """(path, digest of its own text, digest of the page's text) of each path with text of its own."""
+    page = read_page(html, decode=False)
+    regions = page.regions()
+    whole = _digest("\n".join(regions.values()))
+    return [(p, _digest(t), whole) for p, t in regions.items()]
+
+
+def vote(html: str | None, boilerplate: frozenset[str] = frozenset()) -> tuple[str, float]:
     """The path of a page's best container and the weight of that vote."""
     page = read_page(html, decode=False)
+    page.judge(boilerplate)
     best = page.best()
     return (page.nodes[best].path, math.log1p(page.nodes[best].size)) if best >= 0 else ("", 0.0)
 
 
-def extract(html: str | None, path: str | None) -> tuple[str, str]:
-    """The text below all containers with the given path, or below the page's own best one, and the path used."""
+def extract(html: str | None, path: str | None, boilerplate: frozenset[str] = frozenset()) -> tuple[str, str]:
+    """The text below all containers with the given path, or below the page's own best one, and the path used.
+
+    The given path is used where it leaves out nothing but boilerplate.
+    """
     page = read_page(html)
+    page.judge(boilerplate)
     own = page.best()
     if own < 0:
         return "", ""
-    wanted = {i for i, n in enumerate(page.nodes) if path and n.path == path and not n.dropped}
-    if wanted and sum(page.nodes[i].size for i in wanted) >= TRUST * page.nodes[own].size:
+    wanted = {i for i, n in enumerate(page.nodes) if path and n.path == path and n.candidate and not n.dropped}
+    top = {i for i in wanted if not _within(page.nodes, page.nodes[i].parent, wanted)}
+    if sum(page.nodes[i].core for i in top) == page.nodes[0].core:
         return page.text(wanted), path
     return page.text({own}), page.nodes[own].path
 
@@ -282,15 +322,35 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", ""), F.lit(""))
 
 
-def host_paths(pages: DataFrame) -> DataFrame:
+def host_boilerplate(pages: DataFrame) -> DataFrame:
+    """host, boilerplate: the paths of each host whose own text is the same on most pages that have them.
+
+    A text repeats if REPEATS pages have it that aren't all copies of one page.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(h, *r) for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in own_texts(page)]
+            columns = zip(*found, strict=True) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "path", "own", "whole"])
+
+    texts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, own long, whole long")
+    counts = texts.groupBy("host", "path", "own").agg(F.count(F.lit(1)).alias("n"), (F.min("whole") != F.max("whole")).alias("differ"))
+    repeated = F.sum(F.when(F.col("differ") & (F.col("n") >= REPEATS), F.col("n")).otherwise(0))
+    paths = counts.groupBy("host", "path").agg(repeated.alias("repeated"), F.sum("n").alias("n"))
+    return paths.filter("2 * repeated > n").groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("boilerplate"))
+
+
+def host_paths(pages: DataFrame, boilerplate: DataFrame) -> DataFrame:
     """host, path: the path with the most votes on each host; ties go to the path that sorts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = [vote(h) for h in batch.column(1).to_pylist()]
+            votes = [vote(h, frozenset(b or ())) for h, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v[0] for v in votes], pa.string()), pa.array([v[1] for v in votes], pa.float64())], ["host", "path", "weight"])
 
-    votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, weight double")
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html").join(boilerplate, "host", "left").select("host", "html", "boilerplate")
+    votes = rows.mapInArrow(run, "host string, path string, weight double")
     sums = votes.filter("path <> ''").groupBy("host", "path").agg(F.sum("weight").alias("weight"))
     best = Window.partitionBy("host").orderBy(F.col("weight").desc(), "path")
     return sums.withColumn("n", F.row_number().over(best)).filter("n = 1").select("host", "path")
@@ -304,13 +364,14 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     ''. A null url has the host ''. Repeated rows are extracted each. An empty
     table gives no rows. Other columns aren't read.
     """
-    winners = materialise(host_paths(pages), "host-paths")
+    known = materialise(host_boilerplate(pages), "host-boilerplate")
+    winners = materialise(host_paths(pages, known).join(known, "host", "left"), "host-paths")
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    joined = rows.join(winners, "host", "left").select("page_id", "url", "host", "path", "html")
+    joined = rows.join(winners, "host", "left").select("page_id", "url", "host", "path", "html", "boilerplate")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [extract(h, p) for h, p in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [extract(h, p, frozenset(b or ())) for h, p, b in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2), pa.array([f[1] for f in found], pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array([len(f[0]) for f in found], pa.int64())], ["page_id", "url", "host", "path", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, host string, path string, text string, n_chars long")

@@ -81,3 +81,23 @@ NAMED = {
 def test_names_drop_no_main_text(name):
     body, want = NAMED[name]
     assert h.extract(SHELL.format(body), None)[0] == want
+
+
+def test_no_unmarked_text_is_left_outside():
+    """A title and a lead beside the body stay, however long the body is."""
+    body = '<main><h1>Title</h1><p>lead</p><div class="body"><section><h2>Part</h2><div>' + "<p>long text</p>" * 99 + "</div></section></div></main>"
+    assert h.extract(SHELL.format(body), None)[0] == "Title lead Part" + " long text" * 99
+
+
+def test_host_path_that_leaves_out_main_text_is_not_used(spark):
+    """A page of another layout keeps all of its text; what repeats on a host without a mark goes everywhere."""
+    usual = '<div class="story"><p>{}</p></div><div class="extra"><p>see this</p></div>'
+    rows = [page(i, usual.format(f"story {i} " * 40)) for i in range(5)] + [page(8, '<div class="story"><p>a third of it</p></div><div class="more"><p>and the other two thirds</p></div>')]
+    got = {r.page_id: r.text for r in h.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[8] == "a third of it and the other two thirds"
+    assert all(got[i] == ("story %d " % i * 40).strip() for i in range(5))
+
+
+def test_copies_of_a_page_make_no_boilerplate(spark):
+    rows = [page(i, '<main><h1>Same title</h1><p>Same lead</p><div class="b"><p>Same text</p></div></main>') for i in range(6)]
+    assert {r.text for r in h.extract_pages(spark.createDataFrame(rows, PAGES)).collect()} == {"Same title Same lead Same text"}
