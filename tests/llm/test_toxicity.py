@@ -125,3 +125,32 @@ def test_one_class_or_no_labels(spark, kept):
 
 def test_empty_table(spark):
     assert toxicity.scored_query(documents(spark, []), small_tables(spark)[1]).collect() == []
+
+
+@given(st.lists(st.sampled_from(["the", "the", "vile", "scum", "base"]), min_size=1, max_size=25))
+@settings(max_examples=200, deadline=None)
+def test_repetition_is_bounded_in_the_best_part(words):
+    gain = {"vile": 0.11, "scum": 0.17, "base": 0.06}
+    values = [gain.get(w, -toxicity.DRIFT) for w in words]
+    if max(values) <= 0:
+        return
+    want = 0.0
+    for a in range(len(words)):
+        for b in range(a + 1, len(words) + 1):
+            part = words[a:b]
+            counted = {w: min(part.count(w), 2) for w in gain}
+            want = max(want, sum(gain[w] * n for w, n in counted.items()) - toxicity.DRIFT * (len(part) - sum(counted.values())))
+    most = max(words.count(w) for w in gain)
+    assert toxicity.bounded(words, values, -1.0) == (pytest.approx(want) if most > 2 else -1.0)
+
+
+def test_earlier_mentions_erase_no_passage():
+    """A dense passage counts the same wherever its words occurred before."""
+    model = toxicity.Model({"vile": 5.0, "scum": 5.0}, {}, 1.0, 0.1, -4.0, 1.0)
+    one = toxicity._scorer(model)
+    alone, before = "sea " * 1600 + "vile scum vile scum", ("sea " * 399 + "vile ") * 2 + ("sea " * 399 + "scum ") * 2
+    x, n, found = one(before + "sea " * 0 + "sea " * 400 + "vile scum vile scum")
+    assert max(found, key=lambda f: f[2]) == (n - 4, n, pytest.approx(20.0))
+    assert x == pytest.approx(one("sea " * (n - 4) + "vile scum vile scum")[0]) and one(alone)[0] > 4
+    far = one("vile scum vile scum " + "sea " * 1000 + "vile scum vile scum")[2]
+    assert [f[:2] for f in far] == [(0, 4), (1004, 1008)] and far[0][2] == pytest.approx(far[1][2])
