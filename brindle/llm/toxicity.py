@@ -158,13 +158,24 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], ["token", "clean", "toxic"])
 
 
+def _known(labels: DataFrame, modulus: int) -> DataFrame:
+    """doc_id, toxic of the labels outside the held-out rows, one row an id."""
+    return labels.filter(F.col("toxic").isin(0, 1) & (residue(F.col("doc_id"), modulus) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def class_weights(labels: DataFrame, modulus: int, fit_rows: int) -> tuple[float, float]:
+    """How many training labels a chosen row of the clean and of the toxic class stands for; 1 up to `fit_rows`."""
+    n = {r["toxic"]: r["n"] for r in _known(labels, modulus).groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return max(n.get(0, 0) / fit_rows, 1.0), max(n.get(1, 0) / fit_rows, 1.0)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, modulus: int, fit_rows: int) -> DataFrame:
     """text, toxic and part (the residue) of at most `fit_rows` labelled documents of each class.
 
     Rows are chosen by a hash of the id. Labels other than 0 and 1 and rows
     without an id don't count; of repeated labels of one id, toxic wins.
     """
-    known = labels.filter(F.col("toxic").isin(0, 1) & (residue(F.col("doc_id"), modulus) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = _known(labels, modulus)
     order = F.xxhash64(F.col("doc_id"), F.lit(5))
     chosen = [known.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(fit_rows) for c in (0, 1)]
     bounded = chosen[0].unionByName(chosen[1])  # at most 2 * fit_rows ids
@@ -172,10 +183,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, modulus: int, fit_rows: in
     return rows.select("text", F.col("toxic").cast("int").alias("toxic"), residue(F.col("doc_id"), modulus).alias("part"))
 
 
-def _log_odds(counts: DataFrame) -> DataFrame:
-    """token, score, clean_share of the tokens whose log-odds is significantly positive."""
+def _log_odds(counts: DataFrame, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """token, score, clean_share of the tokens whose log-odds is significantly positive; pseudo-counts follow the weighted text."""
     clean_all, toxic_all = counts.agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    prior = PRIOR * (F.col("clean") + F.col("toxic")) / F.lit(float(max(clean_all + toxic_all, 1)))
+    w0, w1 = weights
+    prior = PRIOR * (F.col("clean") * F.lit(w0) + F.col("toxic") * F.lit(w1)) / F.lit(float(max(clean_all * w0 + toxic_all * w1, 1)))
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     score = F.log(a / (F.lit(toxic_all + PRIOR) - a)) - F.log(b / (F.lit(clean_all + PRIOR) - b))
     return (
@@ -185,16 +197,17 @@ def _log_odds(counts: DataFrame) -> DataFrame:
     )
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope by Newton's method, with a weak ridge for separable data."""
+def _logistic(x: np.ndarray, y: np.ndarray, weights: tuple[float, float] = (1.0, 1.0)) -> tuple[float, float]:
+    """Intercept and slope by Newton's method, with a weak ridge for separable data; rows count by their class's weight."""
     if len(set(y.tolist())) < 2:
         return (-4.0, 1.0)
     m = np.column_stack([np.ones_like(x), x])
+    times = np.where(y > 0, weights[1], weights[0])
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-m @ w))
-        grad = m.T @ (p - y) + 1e-2 * w
-        hess = (m * (p * (1 - p))[:, None]).T @ m + 1e-2 * np.eye(2)
+        grad = m.T @ (times * (p - y)) + 1e-2 * w
+        hess = (m * (times * p * (1 - p))[:, None]).T @ m + 1e-2 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         w -= np.clip(step, -5, 5)
         if abs(step).max() < 1e-8:
@@ -207,16 +220,19 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, fit_rows: int = FI
 
     The lexicon comes from all residues but the last, the logistic curve from
     the last. What reaches the driver are significant tokens and one number a
-    calibration row, both bounded by `fit_rows`. Without toxic or without clean
+    calibration row, both bounded by `fit_rows`. Rows of a class over that bound
+    count for all labels of the class, so the bound doesn't change the rate of
+    toxic rows. Without toxic or without clean
     rows the lexicon is empty and every score is low.
     """
+    weights = class_weights(labels, modulus, fit_rows)
     rows = materialise(training_rows(docs, labels, modulus, fit_rows), "toxicity-rows")
     words = rows.filter(F.col("part") != modulus - 1).select("text", "toxic").mapInArrow(_count_words, "token string, clean long, toxic long")
     counts = materialise(words.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-counts")
     stems = counts.filter(F.length("token") > STEM).groupBy(F.substring("token", 1, STEM).alias("token")).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    found = _log_odds(counts).collect()
+    found = _log_odds(counts, weights).collect()
     lexicon = {r["token"]: min(r["score"], CEILING) for r in found}
-    stem_scores = {r["token"]: min(r["score"], CEILING) for r in _log_odds(stems).collect()}
+    stem_scores = {r["token"]: min(r["score"], CEILING) for r in _log_odds(stems, weights).collect()}
     gains = [(min(r["score"], CEILING), r["clean_share"]) for r in found]
     hit = min(sum(p for _, p in gains), 0.5)
 
@@ -238,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, fit_rows: int = FI
             yield pa.RecordBatch.from_arrays([pa.array([score(t)[0] for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], ["x", "toxic"])
 
     pairs = rows.filter(F.col("part") == modulus - 1).select("text", "toxic").mapInArrow(calibrate, "x double, toxic int").collect()
-    a, b = _logistic(np.array([r["x"] for r in pairs], float), np.array([r["toxic"] for r in pairs], float))
+    a, b = _logistic(np.array([r["x"] for r in pairs], float), np.array([r["toxic"] for r in pairs], float), weights)
     return Model(lexicon, stem_scores, lam, k, min(a, math.log(NO_EVIDENCE / (1 - NO_EVIDENCE))), b)
 
 

@@ -154,3 +154,18 @@ def test_earlier_mentions_erase_no_passage():
     assert x == pytest.approx(one("sea " * (n - 4) + "vile scum vile scum")[0]) and one(alone)[0] > 4
     far = one("vile scum vile scum " + "sea " * 1000 + "vile scum vile scum")[2]
     assert [f[:2] for f in far] == [(0, 4), (1004, 1008)] and far[0][2] == pytest.approx(far[1][2])
+
+
+def test_the_bound_leaves_the_class_rate(spark, light_prior):
+    """One population, below the bound and with its clean rows cut by it: scores stay."""
+    toxic = ["you vile scum"] * 70 + ["hello there"] * 30
+    clean = ["the sea is calm today", "hello there", "a quiet day by the sea", "we read by the window"] * 390 + ["vile weather, scum on the sea"] * 40
+    rows = list(enumerate(toxic + clean))
+    labels = spark.createDataFrame([(i, int(i < len(toxic))) for i, _ in rows], "doc_id long, toxic int")
+    docs = documents(spark, rows)
+    whole, cut = (toxicity.fit(docs, labels, fit_rows=n) for n in (10_000, 110))
+
+    def log_odds(model):
+        return np.array([model.a + model.b * toxicity._scorer(model)(t)[0] for t in ("hello there", "vile scum")])
+
+    assert np.abs(log_odds(whole) - log_odds(cut)).max() < 0.8  # ln 16 = 2.8 without weights
