@@ -3,6 +3,8 @@
 A text's UTF-8 bytes, filled up with bytes 255 to a positive multiple of 576,
 are the RGBA samples of images 144 pixels wide. A long text takes several
 images of at most `TILE_ROWS` rows, so that no image outgrows a worker's memory.
+How an image is coded is chosen by its checksum, so that the column holds every
+transform and coding of the format; the costly ones have the smaller shares.
 """
 
 from __future__ import annotations
@@ -22,11 +24,51 @@ ROW_BYTES, FILL = 576, b"\xff"
 WIDTH, TILE_ROWS = ROW_BYTES // 4, 1024
 
 
+#: Images of 64 that each way of coding gets; the rest have literals of one length and runs.
+SHARES = {"green": 8, "cross": 4, "cache": 2, "palette": 2, "references": 2, "predictor": 1, "huffman": 1, "all": 1}
+WAYS = [way for way, n in SHARES.items() for _ in range(n)]
+BLOCK, CACHE_BITS = 5, 6
+
+
+def copies(argb: np.ndarray) -> list[tuple[int, int, int]]:
+    """Back-references (start, length, distance) to the last place of the same pixels, from the left."""
+    values, places, found, at = argb.tolist(), {}, [], 0
+    while at + webp.LEAST_RUN <= len(values):
+        key, n = tuple(values[at : at + webp.LEAST_RUN]), 0
+        before = places.get(key)
+        if before is not None:
+            while at + n < len(values) and n < webp.MOST_RUN and values[before + n] == values[at + n]:
+                n += 1
+            found.append((at, n, at - before))
+        for k in range(at, at + max(n, 1)):
+            places[tuple(values[k : k + webp.LEAST_RUN])] = k
+        at += max(n, 1)
+    return found
+
+
+def encode(pixels: np.ndarray) -> bytes:
+    """The image in the way that its checksum chooses; one of too many colours for a palette has none."""
+    seed = crc32(pixels.tobytes())
+    way = WAYS[seed % 64] if seed % 64 < len(WAYS) else ""
+    shape = ((len(pixels) - 1 >> BLOCK) + 1, (WIDTH - 1 >> BLOCK) + 1)
+    places = np.arange(shape[0] * shape[1])
+    predictor = (webp.PREDICTOR, BLOCK, ((places + seed) % 14).reshape(shape))
+    cross = (webp.CROSS_COLOUR, BLOCK, ((places[:, None] * 7 + np.arange(4) * 31 + seed) % 256).reshape(*shape, 4))
+    green = (webp.SUBTRACT_GREEN,)
+    argb = np.ascontiguousarray(pixels).view(np.uint32).ravel()
+    if way == "palette":
+        return webp.encode(pixels, ((webp.PALETTE,),) if len(np.unique(argb)) <= 256 else ())
+    if way == "references":
+        return webp.encode(pixels, (green,), references=copies(argb))
+    transforms = {"green": (green,), "cross": (cross,), "predictor": (predictor,), "all": (predictor, cross, green)}
+    return webp.encode(pixels, transforms.get(way, ()), even=way not in ("huffman", "all"), cache_bits=CACHE_BITS if way in ("cache", "all") else 0)
+
+
 def to_media(data: bytes) -> list[bytes]:
     """The images of a payload, which is `data` filled up to whole rows."""
     payload = data + FILL * (-len(data) % ROW_BYTES if data else ROW_BYTES)
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 4)
-    return [webp.encode(rows[at : at + TILE_ROWS]) for at in range(0, len(rows), TILE_ROWS)]
+    return [encode(rows[at : at + TILE_ROWS]) for at in range(0, len(rows), TILE_ROWS)]
 
 
 def from_media(images: list[bytes]) -> np.ndarray:

@@ -117,3 +117,21 @@ def test_rows(spark):
 
 def test_empty_table(spark):
     assert media.read_features(media.store(documents(spark, []))).collect() == []
+
+
+def test_stored_images_use_every_coding(monkeypatch):
+    """Among stored texts are all transforms, a colour cache, optimal code lengths and references from further away."""
+    used = set()
+    plain = webp.encode
+
+    def watched(pixels, transforms=(), even=True, cache_bits=0, references=None):
+        used.update(t[0] for t in transforms)
+        used.update(m for t in transforms if t[0] == webp.PREDICTOR for m in ("mode %d" % k for k in np.unique(t[2])))
+        used.update(n for n, on in (("cache", cache_bits), ("huffman", not even), ("far", any(d > 1 for _, _, d in references or ()))) if on)
+        return plain(pixels, transforms, even, cache_bits, references)
+
+    monkeypatch.setattr(webp, "encode", watched)
+    for k in range(400):
+        data = (f"text {k} " + "again and again, " * 30).encode()
+        assert media.from_media(media.to_media(data)).tobytes()[: len(data)] == data
+    assert used == {webp.PREDICTOR, webp.CROSS_COLOUR, webp.SUBTRACT_GREEN, webp.PALETTE, "cache", "huffman", "far", *(f"mode {k}" for k in range(14))}
