@@ -4,38 +4,41 @@ A byte is eight binary decisions. Each decision has a node in the context of the
 last 0 to D bytes, with Krichevsky-Trofimov estimates from the counts of zeros
 and ones in training. A node's weighted probability mixes its own estimate with
 the product of its children's, one byte deeper, half and half; the share of its own
-estimate after training is its weight in prediction. Going up from the deepest
-known context, the predictions are mixed by these weights to the probability of
-a bit, and the eight bits make the byte.
+estimate after training is its weight in prediction. The predictions of all
+depths are mixed by these weights to the probability of a bit, and the eight
+bits make the byte. A context without training counts predicts one half.
 
-Documents are dealt to groups of bounded size. A group asks for each context and byte, and
+Documents are dealt to slices of bounded size. A slice asks for each context and byte, and
 each word, that it holds, once, with its training count. Spark sums up the
-requests, which is all of the corpus' statistics, works out one value for each
-distinct request, and sends the values back to the groups that asked. So nothing
-that grows with the corpus is broadcast.
+requests, which is all of the corpus' statistics, and builds the tree level by
+level: a task streams through sorted contexts, holding those with the same last
+D - 1 bytes, and the levels above are sums. One value for each distinct request
+goes back to the slices that asked. So nothing that grows with the corpus is broadcast
+or held by a task.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import held_out, materialise, release, residue, split_words
+from brindle.llm.common import SPACE, held_out, materialise, release, residue, split_words
 from brindle.llm.substring_dedup import word_hashes
 
 DEPTH = 5
-#: Bytes of text in a group, and in what is worked on at once.
-GROUP_BYTES, SLICE_BYTES = 32_000_000, 2_000_000
-#: Keys of slices that are held before they are merged.
-HELD_KEYS = 3_000_000
-#: Distinct contexts with a byte in one task of the tree, about.
-TREE_KEYS = 200_000
+#: Bytes of text in a slice (a longer text is one of its own), and in a piece, which is worked on at once.
+SLICE_BYTES, PIECE_BYTES = 8_000_000, 1_000_000
+#: Rows of sorted contexts that are worked on at once, besides those of one parent.
+BLOCK_ROWS = 50_000
 CONTEXT, WORD, END = 0, 1, "\n"
 SMOOTH = 0.1
 
@@ -61,10 +64,10 @@ class Level:
     """All nodes of one depth: sorted keys (context, bits so far), counts, and weighted probabilities."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
-        context, symbol = (keys >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1), keys & np.uint64(0xFF)
+        symbol = keys & np.uint64(0xFF)
         nodes, zeros, ones = [], [], []
         for bit in range(8):
-            at = (context << np.uint64(8)) | np.uint64(1 << bit) | (symbol >> np.uint64(8 - bit))
+            at = node_ids(keys, bit, depth)
             one = ((symbol >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
             nodes.append(at)
             zeros.append(np.where(one, 0, counts))
@@ -80,87 +83,116 @@ class Level:
         self.weighted = np.logaddexp(self.own, below) + math.log(0.5)
         self.weight = np.exp(self.own + math.log(0.5) - self.weighted)
 
-    def sums_above(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each parent node the sum over its children here."""
+    def above(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parents of the nodes, and for each the sums of the columns of `values` over its children here."""
         bits = np.uint64(8 * (self.depth - 1))
         parents = (self.nodes & np.uint64(0xFF)) | (((self.nodes >> np.uint64(8)) & ((np.uint64(1) << bits) - np.uint64(1))) << np.uint64(8))
         keys, index = np.unique(parents, return_inverse=True)
-        return keys, np.bincount(index, self.weighted, len(keys))
+        return keys, np.stack([np.bincount(index, v, len(keys)) for v in values])
 
-    def predict(self, keys: np.ndarray, bit: int, deeper: np.ndarray) -> np.ndarray:
-        """The probability of a one as the next bit; `deeper` is that of the next depth, NaN where it doesn't know the context."""
-        context, symbol = (keys >> np.uint64(8)) & np.uint64((1 << 8 * self.depth) - 1), keys & np.uint64(0xFF)
-        wanted = (context << np.uint64(8)) | np.uint64(1 << bit) | (symbol >> np.uint64(8 - bit))
-        at = np.minimum(np.searchsorted(self.nodes, wanted), max(len(self.nodes) - 1, 0))
-        known = self.nodes[at] == wanted if len(self.nodes) else np.zeros(len(keys), bool)
-        at = at if len(self.nodes) else np.zeros(len(keys), np.int64)
-        own = (self.ones[at] + 0.5) / (self.zeros[at] + self.ones[at] + 1) if len(self.nodes) else np.full(len(keys), 0.5)
-        weight = self.weight[at] if len(self.nodes) else np.ones(len(keys))
-        mixed = np.where(np.isnan(deeper), own, weight * own + (1 - weight) * deeper)
-        return np.where(known, mixed, np.nan)
+    def predict(self, keys: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the nodes at a bit of these keys: their own probability of a one, and their weight."""
+        at = np.searchsorted(self.nodes, node_ids(keys, bit, self.depth))
+        return (self.ones[at] + 0.5) / (self.zeros[at] + self.ones[at] + 1), self.weight[at]
+
+
+def node_ids(keys: np.ndarray, bit: int, depth: int) -> np.ndarray:
+    """The node of each (context, byte) key at a depth and bit: the context's last bytes and the bits so far after a one."""
+    context, symbol = (keys >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1), keys & np.uint64(0xFF)
+    return (context << np.uint64(8)) | np.uint64(1 << bit) | (symbol >> np.uint64(8 - bit))
 
 
 def grow(keys: np.ndarray, counts: np.ndarray, depths: range) -> list[Level]:
     """The levels of the given depths from counts of (context, byte) keys, the shallowest first."""
     levels = [Level(keys, counts, d) for d in depths]
     for above, below in zip(levels[-2::-1], levels[:0:-1], strict=True):
-        parents, sums = below.sums_above()
-        total = np.zeros(len(above.nodes))
-        total[np.searchsorted(above.nodes, parents)] = sums
-        above.mix(total)
+        above.mix(below.above(below.weighted[None])[1][0])  # a level's nodes are the parents of the next one's
     return levels
 
 
-def bit_probabilities(levels: list[Level], keys: np.ndarray, deeper: np.ndarray | None = None) -> np.ndarray:
-    """(keys, 8): the probability of a one at each bit, NaN where no level knows the context."""
-    out = np.full((len(keys), 8), np.nan) if deeper is None else deeper.copy()
+def bit_probabilities(levels: list[Level], keys: np.ndarray) -> np.ndarray:
+    """(keys, 8): the probability of a one at each bit, mixed over the levels, for keys that they were grown from."""
+    out = np.full((len(keys), 8), 0.5)
     for level in reversed(levels):
         for bit in range(8):
-            out[:, bit] = level.predict(keys, bit, out[:, bit])
+            own, weight = level.predict(keys, bit)
+            out[:, bit] = weight * own + (1 - weight) * out[:, bit]
     return out
 
 
 def log10_of(probabilities: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """log10 of each key's byte, from the probabilities of ones; one half where nothing is known."""
+    """log10 of each key's byte, from the probabilities of ones."""
     ones = (keys[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)) & np.uint64(1)
-    p = np.where(np.isnan(probabilities), 0.5, probabilities)
-    return np.log10(np.where(ones == 1, p, 1 - p)).sum(1)
+    return np.log10(np.where(ones == 1, probabilities, 1 - probabilities)).sum(1)
 
 
-def context_keys(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Every byte with its context as one number, and where each text's bytes begin. Texts begin after zeros."""
-    data = np.frombuffer(b"".join(b"\0" * depth + t for t in texts), np.uint8).astype(np.uint64)
+def context_keys(pieces: list[bytes], before: list[bytes] | None = None, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Every byte with its context as one number, and where each piece's bytes begin. A text's first piece begins after zeros."""
+    heads = before or [b"\0" * depth] * len(pieces)
+    data = np.frombuffer(b"".join(h + t for h, t in zip(heads, pieces, strict=True)), np.uint8).astype(np.uint64)
     keys = np.zeros(max(len(data) - depth, 0), np.uint64)
     for d in range(depth, -1, -1):
         keys = (keys << np.uint64(8)) | data[depth - d : len(data) - d]
-    sizes = np.array([len(t) for t in texts], np.int64)
+    sizes = np.array([len(t) for t in pieces], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    if len(texts) < 2:
+    if len(pieces) < 2:
         return keys, starts
-    # between two texts lie `depth` keys that belong to neither
+    # between two pieces lie `depth` keys that belong to neither
     use = np.ones(len(keys), bool)
-    use[(starts[1:-1, None] + depth * np.arange(len(texts) - 1)[:, None] + np.arange(depth)).ravel()] = False
+    use[(starts[1:-1, None] + depth * np.arange(len(pieces) - 1)[:, None] + np.arange(depth)).ravel()] = False
     return keys[use], starts
 
 
-def _slices(table: pa.Table):
-    sizes = pc.fill_null(pc.binary_length(table.column("text")), 0).to_numpy()
-    group = (np.cumsum(sizes) - sizes) // SLICE_BYTES
-    for part in np.split(np.arange(table.num_rows), np.flatnonzero(np.diff(group)) + 1):
-        if len(part):
-            yield table.slice(int(part[0]), len(part))
+def _cut(text: str) -> Iterator[str]:
+    """A text in parts of about PIECE_BYTES characters, cut at white space. The last one has a word, if the text has any."""
+    text, at = text.strip(SPACE), 0
+    while len(text) - at > PIECE_BYTES:
+        m = _SPACE.search(text, at + PIECE_BYTES)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
 
+_SPACE = re.compile(f"[{SPACE}]")
 
-class _Slice:
-    """Words and contexts of some rows. The model sees a text as its lower-case words, each but the last followed by a space, and the end."""
 
-    def __init__(self, part: pa.Table):
-        numbers, distinct, bounds = split_words(pc.ascii_lower(pc.fill_null(part.column("text").combine_chunks().cast(pa.large_string()), "")))
+class _Piece:
+    """Words and contexts of parts of texts: (row, part, whether it is the text's last).
+
+    The model sees a text as its lower-case words, each but the last followed by a space, and the end.
+    """
+
+    def __init__(self, parts: list[tuple[int, str, bool]], before: bytes):
+        self.rows = np.array([r for r, _, _ in parts])
+        numbers, distinct, bounds = split_words(pc.ascii_lower(pa.array([t for _, t, _ in parts], pa.large_string())))
         self.hashes = word_hashes(pa.concat_arrays([distinct.cast(pa.large_string()), pa.array([END], pa.large_string())])).view(np.int64)
-        self.numbers, self.bounds = numbers, bounds
+        self.numbers, self.words = numbers, np.diff(bounds)
+        self.last = np.array([e for _, _, e in parts])
         words = [w.encode() for w in distinct.to_pylist()]
-        self.texts = [b" ".join([words[k] for k in numbers[a:b].tolist()]) + END.encode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        self.keys, self.starts = context_keys(self.texts)
+        tails = [END.encode() if e else b" " for _, _, e in parts]
+        texts = [b" ".join([words[k] for k in numbers[a:b].tolist()]) + tail if b > a or tail != b" " else b"" for a, b, tail in zip(bounds[:-1].tolist(), bounds[1:].tolist(), tails, strict=True)]
+        self.keys, self.starts = context_keys(texts, [before, *[b"\0" * DEPTH] * (len(texts) - 1)])
+        self.end = (before + texts[-1])[-DEPTH:]
+
+
+def _pieces(texts: list[str | None]) -> Iterator[_Piece]:
+    """All texts in pieces of about PIECE_BYTES; a very long text takes several, each after the last bytes of the one before."""
+    waiting: list[tuple[int, str, bool]] = []
+    size, before = 0, b"\0" * DEPTH
+    for row, text in enumerate(texts):
+        parts = list(_cut(text or ""))
+        for k, part in enumerate(parts):
+            last = k + 1 == len(parts)
+            waiting.append((row, part, last))
+            size += len(part)
+            if size >= PIECE_BYTES or not last:
+                piece = _Piece(waiting, before)
+                yield piece
+                waiting, size, before = [], 0, b"\0" * DEPTH if last else piece.end
+    if waiting:
+        yield _Piece(waiting, before)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -168,129 +200,226 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(index, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def _requests(key: tuple, table: pa.Table) -> pa.Table:
-    """What a group asks for: (part, kind, key, n) with the training count n of the group."""
-    contexts, words = [], []
-    for part in _slices(table):
-        s = _Slice(part)
-        learn = part.column("learn").to_numpy().astype(np.int64)
-        own = np.repeat(learn, np.diff(s.starts))
-        index, keys = pd.factorize(s.keys)
-        contexts.append((keys, np.bincount(index, own, len(keys))))
-        if len(contexts) > 1 and sum(len(k) for k, _ in contexts[1:]) > HELD_KEYS:  # the first is what was merged so far
-            contexts = [_merged(contexts)]
-        counts = np.bincount(s.numbers, np.repeat(learn, np.diff(s.bounds)), len(s.hashes))
-        counts[-1] += learn.sum()
-        words.append((s.hashes, counts))
-        del s, index, keys, own
-    (keys, n), (hashes, m) = _merged(contexts), _merged(words)
-    kinds = np.concatenate([np.full(len(keys), CONTEXT), np.full(len(hashes), WORD)]).astype(np.int32)
-    return pa.table({"part": pa.array(np.full(len(kinds), key[0].as_py()), pa.int32()), "kind": kinds, "key": np.concatenate([keys.view(np.int64), hashes]), "n": np.concatenate([n, m])})
-
-
-def _tree(table: pa.Table) -> pa.Table:
-    """Of the contexts that share their last two bytes: each key's bit probabilities from depth 2 down, and the sums for the nodes above."""
-    keys, counts = table.column("key").to_numpy().view(np.uint64), table.column("c").to_numpy()
-    seen = counts > 0
-    levels = grow(keys[seen], counts[seen], range(2, DEPTH + 1))
-    probabilities = bit_probabilities(levels, keys)
-    nodes, sums = levels[0].sums_above()
-    return pa.table({
-        "key": pa.concat_arrays([pa.array(keys.view(np.int64)), pa.nulls(len(nodes), pa.int64())]),
-        "bits": pa.concat_arrays([pa.array(list(probabilities), pa.list_(pa.float64())), pa.nulls(len(nodes), pa.list_(pa.float64()))]),
-        "node": pa.concat_arrays([pa.nulls(len(keys), pa.int64()), pa.array(nodes.view(np.int64))]),
-        "below": pa.concat_arrays([pa.nulls(len(keys), pa.float64()), pa.array(sums, pa.float64())]),
-    })
-
-
-def _context_values(counts: DataFrame) -> DataFrame:
-    """key, value: log10 of the probability of a byte in its context, for every key asked for."""
-    low = F.col("key").bitwiseAND(F.lit(0xFFFF))
-    top = counts.groupBy(low.alias("key")).agg(F.sum("c").alias("c")).filter("c > 0").toPandas()  # at most 65,536 rows: a byte after a byte
-    groups = 1 + counts.count() // TREE_KEYS
-    tree = counts.withColumn("g", F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(groups)))
-    tree = materialise(tree.groupBy("g").applyInArrow(_tree, "key long, bits array<double>, node long, below double"), "context-tree")
-    below = tree.filter("node IS NOT NULL").groupBy("node").agg(F.sum("below").alias("below")).toPandas()  # at most 65,280 nodes
-    upper = grow(top["key"].to_numpy().astype(np.uint64), top["c"].to_numpy(), range(2))
-    sums = np.zeros(len(upper[1].nodes))
-    sums[np.searchsorted(upper[1].nodes, below["node"].to_numpy().astype(np.uint64))] = below["below"].to_numpy()
-    upper[1].mix(sums)
-    parents, sums = upper[1].sums_above()
-    total = np.zeros(len(upper[0].nodes))
-    total[np.searchsorted(upper[0].nodes, parents)] = sums
-    upper[0].mix(total)
-
-    def finish(batches):
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds `slice`, a number for rows that follow each other and have about SLICE_BYTES of text together."""
+    number, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = size + np.cumsum(lengths)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number + (ends - lengths) // SLICE_BYTES)], [*batch.schema.names, "slice"])
+        size = int(ends[-1]) if len(ends) else size
+
+
+def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each slice asks for: (slice, kind, key, n) with the training count n of the slice.
+
+    A slice whose rows are read by two tasks asks twice, which does no harm.
+    """
+
+    def asked(number: int, found: list[list]) -> pa.RecordBatch:
+        (keys, n), (hashes, m) = map(_merged, found)
+        kinds = np.concatenate([np.full(len(keys), CONTEXT), np.full(len(hashes), WORD)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), number)), pa.array(kinds), pa.array(np.concatenate([keys.view(np.int64), hashes])), pa.array(np.concatenate([n, m]))], ["slice", "kind", "key", "n"])
+
+    present, found = None, [[], []]
+    for batch in batches:
+        numbers = batch.column(2).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(numbers)) + 1, [len(numbers)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            if numbers[a] != present:
+                if found[0]:
+                    yield asked(present, found)
+                present, found = int(numbers[a]), [[], []]
+            learn = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64)
+            for piece in _pieces(batch.column(0).slice(a, b - a).to_pylist()):
+                own = learn[piece.rows]
+                index, keys = pd.factorize(piece.keys)
+                counts = np.bincount(piece.numbers, np.repeat(own, piece.words), len(piece.hashes))
+                counts[-1] += own[piece.last].sum()
+                for k, part in enumerate(((keys, np.bincount(index, np.repeat(own, np.diff(piece.starts)), len(keys))), (piece.hashes, counts))):
+                    found[k] = [_merged([*found[k], part])] if found[k] else [part]
+    if found[0]:
+        yield asked(present, found)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], group) -> Iterator[pa.Table]:
+    """Sorted rows in tables of BLOCK_ROWS and more that never part rows of one group: `group` gives each row's."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) < BLOCK_ROWS:
+            continue
+        rows = pa.Table.from_batches(waiting).combine_chunks()
+        edges = np.flatnonzero(np.diff(group(rows)))
+        if len(edges):
+            yield rows.slice(0, int(edges[-1]) + 1)
+            rows = rows.slice(int(edges[-1]) + 1)
+        waiting = rows.combine_chunks().to_batches()
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
+def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy().view(np.uint64)
+
+
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From sorted (parent, key, c) the sums for the nodes two levels above the leaves: (node, zeros, ones, below)."""
+    for block in _blocks(batches, lambda rows: rows.column(0).to_numpy()):
+        level = grow(_unsigned(block.column(1)), block.column(2).to_numpy(), range(DEPTH - 1, DEPTH + 1))[0]
+        nodes, (zeros, ones, below) = level.above(np.stack([level.zeros, level.ones, level.weighted]))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(zeros.astype(np.int64)), pa.array(ones.astype(np.int64)), pa.array(below)], ["node", "zeros", "ones", "below"])
+
+
+def _mixed(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of inner nodes: their own probability of a one, their weight, and the logarithm of their weighted probability."""
+    kt = log_kt(zeros, ones)
+    weighted = np.logaddexp(kt, below) + math.log(0.5)
+    return (ones + 0.5) / (zeros + ones + 1), np.exp(kt + math.log(0.5) - weighted), weighted
+
+
+NODES = "node long, zeros long, ones long, own double, weight double, weighted double"
+
+
+def _level(sums: DataFrame, name: str) -> DataFrame:
+    """The nodes of a level from what the one below gives them: (node, zeros, ones, below), several rows a node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy().view(np.uint64)
-            deeper = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, 8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(log10_of(bit_probabilities(upper, keys, deeper), keys))], ["key", "value"])
+            found = _mixed(*(batch.column(k).to_numpy() for k in (1, 2, 3)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, found)], ["node", "zeros", "ones", "own", "weight", "weighted"])
+
+    return materialise(_summed(sums).mapInArrow(run, NODES), name)
 
-    return tree.filter("key IS NOT NULL").select("key", "bits").mapInArrow(finish, "key long, value double")
+
+def _summed(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
+
+
+def _parent(node: Column, depth: int) -> Column:
+    """The node of the context one byte shorter, `depth` bytes."""
+    mask = (1 << 8 * depth) - 1
+    return F.shiftleft(F.shiftright(node, 8).bitwiseAND(F.lit(mask)), 8).bitwiseOR(node.bitwiseAND(F.lit(0xFF)))
+
+
+def _upwards(level: DataFrame, depth: int) -> DataFrame:
+    return level.select(_parent(F.col("node"), depth).alias("node"), "zeros", "ones", F.col("weighted").alias("below"))
+
+
+def _top(sums: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of the two shallowest levels, from the sums of depth 1: a and b by node, where the mixture is a + b times what the deeper levels say."""
+    node = sums["node"].to_numpy(np.int64)
+    own, weight, weighted = _mixed(*(sums[c].to_numpy(float) for c in ("zeros", "ones", "below")))
+    root = [np.bincount(node & 0xFF, v, 256) for v in (sums["zeros"].to_numpy(float), sums["ones"].to_numpy(float), weighted)]
+    own0, weight0, _ = _mixed(*root)
+    a, b = np.full(1 << 16, 0.5), np.zeros(1 << 16)
+    low = node & 0xFF
+    a[node] = weight0[low] * own0[low] + (1 - weight0[low]) * weight * own
+    b[node] = (1 - weight0[low]) * (1 - weight)
+    return a, b
+
+
+def _context_values(keys: DataFrame) -> DataFrame:
+    """key, value: log10 of the probability of a byte in its context, for every key (key, c) asked for."""
+    context = F.shiftright("key", 8)
+    parent = context.bitwiseAND(F.lit((1 << 8 * (DEPTH - 1)) - 1))
+    ordered = keys.select(parent.alias("parent"), "key", "c").repartition("parent").sortWithinPartitions("parent")
+    third = _level(ordered.mapInArrow(_leaves, "node long, zeros long, ones long, below double"), "level-3")
+    second = _level(_upwards(third, 2), "level-2")
+    top_a, top_b = _top(_summed(_upwards(second, 1)).toPandas())  # at most 65,280 rows: the nodes after one byte
+
+    def under_top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, own, weight = (batch.column(k).to_numpy() for k in range(3))
+            above = node & 0xFFFF
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(top_a[above] + top_b[above] * weight * own), pa.array(top_b[above] * (1 - weight))], ["up", "a", "b"])
+
+    mixed = second.select("node", "own", "weight").mapInArrow(under_top, "up long, a double, b double")
+    mixed = third.withColumn("up", _parent(F.col("node"), 2)).join(mixed, "up")
+    mixed = mixed.select("node", (F.col("a") + F.col("b") * F.col("weight") * F.col("own")).alias("a"), (F.col("b") * (1 - F.col("weight"))).alias("b"))
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Streams through the nodes of a context of three bytes and then the keys in it."""
+        nodes, a, b = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+        for block in _blocks(batches, lambda rows: rows.column(2).to_numpy() * 2 + rows.column(1).to_numpy()):
+            is_key, ids = block.column(1).to_numpy() == 1, _unsigned(block.column(3))
+            mine = ~is_key
+            nodes, a, b = np.concatenate([nodes, ids[mine]]), np.concatenate([a, block.column(4).to_numpy()[mine]]), np.concatenate([b, block.column(5).to_numpy()[mine]])
+            order = np.argsort(nodes)
+            nodes, a, b = nodes[order], a[order], b[order]
+            if is_key.any():
+                own = ids[is_key]
+                p = bit_probabilities(grow(own, block.column(4).to_numpy()[is_key], range(DEPTH - 1, DEPTH + 1)), own)
+                for bit in range(8):
+                    at = np.searchsorted(nodes, node_ids(own, bit, DEPTH - 2))
+                    p[:, bit] = a[at] + b[at] * p[:, bit]
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(log10_of(p, own))], ["key", "value"])
+            still = nodes >> np.uint64(8) == np.uint64(block.column(0)[-1].as_py())  # the next block may go on with the last context
+            nodes, a, b = nodes[still], a[still], b[still]
+
+    short = F.lit((1 << 8 * (DEPTH - 2)) - 1)
+    rows = mixed.select(F.shiftright("node", 8).alias("short"), F.lit(0).alias("is_key"), F.shiftright("node", 8).alias("parent"), F.col("node").alias("id"), "a", "b")
+    rows = rows.unionByName(keys.select(context.bitwiseAND(short).alias("short"), F.lit(1).alias("is_key"), parent.alias("parent"), F.col("key").alias("id"), F.col("c").cast("double").alias("a"), F.lit(0.0).alias("b")))
+    return rows.repartition("short").sortWithinPartitions("short", "is_key", "parent").mapInArrow(values, "key long, value double")
 
 
 def _scores(docs: pa.Table, replies: pa.Table) -> pa.Table:
-    """Scores of a group's documents from the values it asked for."""
-    kind = replies.column("kind").to_numpy()
-    known, values = {}, {}
+    """Scores of a slice's documents from the values it asked for."""
+    kind, key = replies.column("kind").to_numpy(), _unsigned(replies.column("key"))
+    known = replies.column("known").to_numpy(zero_copy_only=False).astype(np.int64)
+    value, n = replies.column("value").to_numpy(), docs.num_rows
+    tables = {}
     for k in (CONTEXT, WORD):
         mine = np.flatnonzero(kind == k)
-        keys = replies.column("key").to_numpy()[mine]
-        order = np.argsort(keys)
-        values[k] = (keys[order], replies.column("value").to_numpy()[mine][order])
-        known[k] = replies.column("known").to_numpy()[mine][order]
-    tokens, n_known, base, score = [], [], [], []
-    for part in _slices(docs):
-        s = _Slice(part)
-        keys, value = values[CONTEXT]
-        index, own = pd.factorize(s.keys)
-        sums = np.add.reduceat(value[np.searchsorted(keys, own.view(np.int64))][index], s.starts[:-1])
-        hashes, value = values[WORD]
-        at = np.searchsorted(hashes, s.hashes)
-        word, seen = value[at], known[WORD][at].astype(np.int64)
-        text = np.repeat(np.arange(part.num_rows), np.diff(s.bounds))
-        tokens.append(np.diff(s.bounds) + 1)
-        n_known.append(np.bincount(text, seen[s.numbers], part.num_rows) + seen[-1])
-        base.append(np.bincount(text, word[s.numbers], part.num_rows) + word[-1])
-        score.append(sums)
-        del s, index, own, keys, hashes, value, word, seen, text
-    empty = [np.zeros(0)]
-    return pa.table({
-        "doc_id": docs.column("doc_id"),
-        "held_out": docs.column("held_out"),
-        "n_tokens": np.concatenate(tokens or empty).astype(np.int64),
-        "n_known": np.concatenate(n_known or empty).astype(np.int64),
-        "base_score": np.concatenate(base or empty),
-        "score": np.concatenate(score or empty),
-    })
+        mine = mine[np.argsort(key[mine])]
+        tables[k] = (key[mine], value[mine], known[mine])
+    tokens, n_known, n_bytes, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+    for piece in _pieces(docs.column("text").to_pylist()):
+        keys, of_key, _ = tables[CONTEXT]
+        index, own = pd.factorize(piece.keys)
+        sizes = np.diff(piece.starts)
+        np.add.at(score, np.repeat(piece.rows, sizes), of_key[np.searchsorted(keys, own)][index])
+        np.add.at(n_bytes, piece.rows, sizes)
+        hashes, of_word, seen = tables[WORD]
+        at = np.searchsorted(hashes, piece.hashes.view(np.uint64))
+        rows = np.repeat(piece.rows, piece.words)
+        np.add.at(tokens, piece.rows, piece.words + piece.last)
+        np.add.at(n_known, rows, seen[at][piece.numbers])
+        np.add.at(n_known, piece.rows, seen[at[-1]] * piece.last)
+        np.add.at(base, rows, of_word[at][piece.numbers])
+        np.add.at(base, piece.rows, of_word[at[-1]] * piece.last)
+    return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": tokens, "n_known": n_known, "n_bytes": n_bytes, "base_score": base, "score": score})
 
 
 def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row.
 
-    The model learns from rows whose residue isn't 0; a row without an id is
+    bits_per_byte is the code length of the text as the model sees it, words
+    with single spaces and the end, by its bytes. The model learns from rows
+    whose residue isn't 0; a row without an id is
     scored but not learned from, and not held out. Null texts are empty: one
-    token, the end. Repeated rows count as often as they occur. If there are no
+    token, the end. Repeated rows count as often as they occur, and very long
+    texts are worked on in pieces that keep their contexts. If there are no
     training rows, every estimate is that of no counts. Other columns aren't
     read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = 1 + size // GROUP_BYTES
     learn = F.coalesce(residue(F.col("doc_id"), modulus) != 0, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id"), modulus).alias("held_out"), learn.alias("learn"), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(parts)).cast("int").alias("part"))
-    requests = materialise(rows.groupBy("part").applyInArrow(_requests, "part int, kind int, key long, n long"), "requests")
-    release(spark)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id"), modulus).alias("held_out"), learn.alias("learn"))
+    rows = materialise(rows.mapInArrow(_dealt, "doc_id long, text string, held_out boolean, learn boolean, slice long"), "slices")
+    requests = materialise(rows.select("text", "learn", "slice").mapInArrow(_requests, "slice long, kind int, key long, n long"), "requests")
     counts = materialise(requests.groupBy("kind", "key").agg(F.sum("n").alias("c")), "corpus-counts")
     release(spark)
     words = counts.filter(F.col("kind") == WORD)
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = int(total["n"]), int(total["v"])
     base = F.log10((F.col("c") + SMOOTH) / F.lit(n + SMOOTH * (v + 1)))
-    contexts = _context_values(counts.filter(F.col("kind") == CONTEXT))
+    contexts = _context_values(counts.filter(F.col("kind") == CONTEXT).select("key", "c"))
     model = contexts.select(F.lit(CONTEXT).alias("kind"), "key", "value", F.lit(True).alias("known")).unionByName(words.select("kind", "key", base.alias("value"), (F.col("c") > 0).alias("known")))
     model = materialise(model, "model-values")
-    replies = materialise(requests.select("part", "kind", "key").join(model, ["kind", "key"]), "replies")
     release(spark)
-    scored = rows.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_scores, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.withColumn("train_tokens", F.lit(n).cast("long"))
+    replies = requests.select("slice", "kind", "key").join(model, ["kind", "key"])
+    scored = rows.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(_scores, "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))

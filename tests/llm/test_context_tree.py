@@ -57,13 +57,9 @@ def model(training):
             for bit in range(8):
                 prefix, p = byte >> (8 - bit), None
                 for depth in range(DEPTH, -1, -1):
-                    own = context[DEPTH - depth :]
-                    if not counts[own, bit, prefix, 0] + counts[own, bit, prefix, 1]:
-                        continue
-                    zeros, ones, _, weight = node(own, bit, prefix)
+                    zeros, ones, _, weight = node(context[DEPTH - depth :], bit, prefix)
                     mine = (ones + 0.5) / (zeros + ones + 1)
                     p = mine if p is None else weight * mine + (1 - weight) * p
-                p = 0.5 if p is None else p
                 total += math.log10(p if (byte >> (7 - bit)) & 1 else 1 - p)
         return total
 
@@ -101,24 +97,41 @@ def test_scores_equal_brute_force(spark):
 
 
 def test_many_groups(spark, monkeypatch):
-    """Small groups, slices and tree tasks give the same values."""
-    monkeypatch.setattr(context_tree, "GROUP_BYTES", 500)
-    monkeypatch.setattr(context_tree, "SLICE_BYTES", 60)
-    monkeypatch.setattr(context_tree, "TREE_KEYS", 50)
+    """Small slices, pieces and blocks of contexts give the same values."""
+    monkeypatch.setattr(context_tree, "SLICE_BYTES", 500)
+    monkeypatch.setattr(context_tree, "PIECE_BYTES", 60)
+    monkeypatch.setattr(context_tree, "BLOCK_ROWS", 50)
     rng = random.Random(2)
     rows = [(i, sentence(rng, rng.randrange(0, 30), 30)) for i in range(60)]
+    rows += [(70, "  " + "long word " * 60 + " " * 200 + "x" * 150 + " \t\n end  "), (71, " " * 300), (72, "y" * 400)]
+    rows += [(None, "no id, a text of one length")] * 9 + [(73, "repeated row")] * 9
     same(scored(spark, rows), brute(rows))
 
 
+def test_very_long_text(spark):
+    """A text of several slices' size between short ones."""
+    rng = random.Random(3)
+    rows = [(1, "short one"), (2, sentence(rng, 2_000_000, 40)), (3, "short two")]
+    got = {r[0]: r for r in scored(spark, rows)}
+    assert got[2][2] == 2_000_001 and got[2][4] == sum(r[2] for r in got.values() if not r[1])
+    assert got[2][6] / got[2][2] > -4.2  # log10 of 40 words is 1.6, their spelling costs little more
+
+
+def test_code_length(spark):
+    rows = [(i, "the same words again and again") for i in range(30)]
+    got = context_tree.score_documents(documents(spark, rows)).collect()
+    assert all(r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / 31) and r.bits_per_byte < 1.5 for r in got)
+
+
 @pytest.mark.parametrize("rows", [[], [(None, "no training rows")], [(next(i for i in range(99) if residue(i, 10) == 0), "held out")]])
 def test_little_or_no_training(spark, rows):
     same(scored(spark, rows), brute(rows))
 
 
 def test_probabilities_sum_to_one():
-    keys = np.array([(7 << 8) | 65, (7 << 8) | 66, (9 << 8) | 65], np.uint64)
-    levels = context_tree.grow(keys, np.array([3, 1, 2]), range(DEPTH + 1))
+    seen = np.array([(7 << 8) | 65, (7 << 8) | 66, (9 << 8) | 65], np.uint64)
     every = (np.uint64(7) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+    levels = context_tree.grow(np.concatenate([seen, every]), np.array([3, 1, 2] + [0] * 256), range(DEPTH + 1))
     assert (10 ** context_tree.log10_of(context_tree.bit_probabilities(levels, every), every)).sum() == pytest.approx(1)
 
 
