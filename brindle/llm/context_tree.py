@@ -8,7 +8,7 @@ estimate after training is its weight in prediction. The predictions of all
 depths are mixed by these weights to the probability of a bit, and the eight
 bits make the byte. A context without training counts predicts one half.
 
-Documents are dealt to slices of bounded size. A slice asks for each context and byte, and
+Documents are dealt to slices by a hash. A task streams through a slice, which asks for each context and byte, and
 each word, that it holds, once, with its training count. Spark sums up the
 requests, which is all of the corpus' statistics, and builds the tree level by
 level: a task streams through sorted contexts, holding those with the same last
@@ -27,19 +27,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import SPACE, held_out, materialise, release, residue, split_words
+from brindle.llm.common import SPACE, discard, held_out, materialise, release, residue, split_words
 from brindle.llm.substring_dedup import word_hashes
 
 DEPTH = 5
-#: Bytes of text in a slice (a longer text is one of its own), and in a piece, which is worked on at once.
-SLICE_BYTES, PIECE_BYTES = 8_000_000, 1_000_000
+#: Bytes of text in a slice, about, and in a piece, which is worked on at once.
+SLICE_BYTES, PIECE_BYTES = 24_000_000, 1_000_000
+#: Keys of pieces that are held before they are merged.
+HELD_KEYS = 1_000_000
 #: Rows of sorted contexts that are worked on at once, besides those of one parent.
 BLOCK_ROWS = 50_000
-CONTEXT, WORD, END = 0, 1, "\n"
+CONTEXT, WORD, TEXT, END = 0, 1, 2, "\n"
 SMOOTH = 0.1
 
 
@@ -195,53 +196,59 @@ def _pieces(texts: list[str | None]) -> Iterator[_Piece]:
         yield _Piece(waiting, before)
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, index = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(index, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+class _Counts:
+    """Counts by key, merged now and then."""
 
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds `slice`, a number for rows that follow each other and have about SLICE_BYTES of text together."""
-    number, size = TaskContext.get().partitionId() << 32, 0
-    for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = size + np.cumsum(lengths)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number + (ends - lengths) // SLICE_BYTES)], [*batch.schema.names, "slice"])
-        size = int(ends[-1]) if len(ends) else size
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        if len(self.parts) > 1 and sum(len(k) for k, _ in self.parts[1:]) > HELD_KEYS:  # the first is what was merged so far
+            self.parts = [self.merged()]
 
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, index = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
+        return keys, np.bincount(index, np.concatenate([n for _, n in self.parts]), len(keys)).astype(np.int64)
 
-def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each slice asks for: (slice, kind, key, n) with the training count n of the slice.
 
-    A slice whose rows are read by two tasks asks twice, which does no harm.
-    """
+def _runs(batch: pa.RecordBatch, *columns: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut where one of the integer columns changes."""
+    edges = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for k in columns:
+        edges |= np.diff(batch.column(k).to_numpy()) != 0
+    cuts = [0, *(np.flatnonzero(edges) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
+def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each slice asks for, from its rows (slice, learn, text): (slice, kind, key, n) with the training count n of the slice."""
 
-    def asked(number: int, found: list[list]) -> pa.RecordBatch:
-        (keys, n), (hashes, m) = map(_merged, found)
+    def asked() -> pa.RecordBatch:
+        (keys, n), (hashes, m) = contexts.merged(), words.merged()
         kinds = np.concatenate([np.full(len(keys), CONTEXT), np.full(len(hashes), WORD)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), number)), pa.array(kinds), pa.array(np.concatenate([keys.view(np.int64), hashes])), pa.array(np.concatenate([n, m]))], ["slice", "kind", "key", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), present), pa.int32()), pa.array(kinds), pa.array(np.concatenate([keys.view(np.int64), hashes])), pa.array(np.concatenate([n, m]))], ["slice", "kind", "key", "n"])
 
-    present, found = None, [[], []]
+    present, contexts, words = None, _Counts(), _Counts()
     for batch in batches:
-        numbers = batch.column(2).to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(numbers)) + 1, [len(numbers)]])
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if a == b:
-                continue
-            if numbers[a] != present:
-                if found[0]:
-                    yield asked(present, found)
-                present, found = int(numbers[a]), [[], []]
-            learn = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64)
-            for piece in _pieces(batch.column(0).slice(a, b - a).to_pylist()):
+        for part in _runs(batch, 0):
+            number = part.column(0)[0].as_py()
+            if number != present:
+                if present is not None:
+                    yield asked()
+                present, contexts, words = number, _Counts(), _Counts()
+            learn = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for piece in _pieces(part.column(2).to_pylist()):
                 own = learn[piece.rows]
                 index, keys = pd.factorize(piece.keys)
+                contexts.add(keys, np.bincount(index, np.repeat(own, np.diff(piece.starts)), len(keys)))
                 counts = np.bincount(piece.numbers, np.repeat(own, piece.words), len(piece.hashes))
                 counts[-1] += own[piece.last].sum()
-                for k, part in enumerate(((keys, np.bincount(index, np.repeat(own, np.diff(piece.starts)), len(keys))), (piece.hashes, counts))):
-                    found[k] = [_merged([*found[k], part])] if found[k] else [part]
-    if found[0]:
-        yield asked(present, found)
+                words.add(piece.hashes, counts)
+    if present is not None:
+        yield asked()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], group) -> Iterator[pa.Table]:
@@ -365,32 +372,35 @@ def _context_values(keys: DataFrame) -> DataFrame:
     return rows.repartition("short").sortWithinPartitions("short", "is_key", "parent").mapInArrow(values, "key long, value double")
 
 
-def _scores(docs: pa.Table, replies: pa.Table) -> pa.Table:
-    """Scores of a slice's documents from the values it asked for."""
-    kind, key = replies.column("kind").to_numpy(), _unsigned(replies.column("key"))
-    known = replies.column("known").to_numpy(zero_copy_only=False).astype(np.int64)
-    value, n = replies.column("value").to_numpy(), docs.num_rows
-    tables = {}
-    for k in (CONTEXT, WORD):
-        mine = np.flatnonzero(kind == k)
-        mine = mine[np.argsort(key[mine])]
-        tables[k] = (key[mine], value[mine], known[mine])
-    tokens, n_known, n_bytes, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-    for piece in _pieces(docs.column("text").to_pylist()):
-        keys, of_key, _ = tables[CONTEXT]
-        index, own = pd.factorize(piece.keys)
-        sizes = np.diff(piece.starts)
-        np.add.at(score, np.repeat(piece.rows, sizes), of_key[np.searchsorted(keys, own)][index])
-        np.add.at(n_bytes, piece.rows, sizes)
-        hashes, of_word, seen = tables[WORD]
-        at = np.searchsorted(hashes, piece.hashes.view(np.uint64))
-        rows = np.repeat(piece.rows, piece.words)
-        np.add.at(tokens, piece.rows, piece.words + piece.last)
-        np.add.at(n_known, rows, seen[at][piece.numbers])
-        np.add.at(n_known, piece.rows, seen[at[-1]] * piece.last)
-        np.add.at(base, rows, of_word[at][piece.numbers])
-        np.add.at(base, piece.rows, of_word[at[-1]] * piece.last)
-    return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": tokens, "n_known": n_known, "n_bytes": n_bytes, "base_score": base, "score": score})
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of documents, from sorted rows: of each slice the values of contexts, then those of words, then documents."""
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base_score", "score"]
+    present, waiting, tables = None, ([], []), None
+    for batch in batches:
+        for part in _runs(batch, 0, 1):
+            number, kind = part.column(0)[0].as_py(), part.column(1)[0].as_py()
+            if number != present:
+                present, waiting, tables = number, ([], []), None
+            if kind != TEXT:
+                waiting[kind].append([part.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4)])
+                continue
+            if tables is None:
+                tables, waiting = [[np.concatenate(c) for c in zip(*rows, strict=True)] for rows in waiting], None
+            (keys, of_key, _), (hashes, of_word, seen) = tables
+            n = part.num_rows
+            tokens, n_known, n_bytes, base, score = np.zeros((5, n))
+            for piece in _pieces(part.column(7).to_pylist()):
+                index, own = pd.factorize(piece.keys)
+                sizes = np.diff(piece.starts)
+                add = lambda rows, values: np.bincount(rows, values, n)
+                score += add(np.repeat(piece.rows, sizes), of_key[np.searchsorted(keys, own.view(np.int64))][index])
+                n_bytes += add(piece.rows, sizes)
+                at = np.searchsorted(hashes, piece.hashes)
+                rows = np.repeat(piece.rows, piece.words)
+                tokens += add(piece.rows, piece.words + piece.last)
+                n_known += add(rows, seen[at][piece.numbers]) + add(piece.rows, seen[at[-1]] * piece.last)
+                base += add(rows, of_word[at][piece.numbers]) + add(piece.rows, of_word[at[-1]] * piece.last)
+            yield pa.RecordBatch.from_arrays([part.column(5), part.column(6), *(pa.array(x.astype(np.int64)) for x in (tokens, n_known, n_bytes)), pa.array(base), pa.array(score)], names)
 
 
 def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
@@ -406,10 +416,13 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
     read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    own = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // SLICE_BYTES)).cast("int")
     learn = F.coalesce(residue(F.col("doc_id"), modulus) != 0, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id"), modulus).alias("held_out"), learn.alias("learn"))
-    rows = materialise(rows.mapInArrow(_dealt, "doc_id long, text string, held_out boolean, learn boolean, slice long"), "slices")
-    requests = materialise(rows.select("text", "learn", "slice").mapInArrow(_requests, "slice long, kind int, key long, n long"), "requests")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id"), modulus).alias("held_out"), learn.alias("learn"), own.alias("slice"))
+    dealt = rows.select("slice", "learn", "text").repartition("slice").sortWithinPartitions("slice")
+    requests = materialise(dealt.mapInArrow(_requests, "slice int, kind int, key long, n long"), "requests")
+    release(spark)
     counts = materialise(requests.groupBy("kind", "key").agg(F.sum("n").alias("c")), "corpus-counts")
     release(spark)
     words = counts.filter(F.col("kind") == WORD)
@@ -417,9 +430,15 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
     n, v = int(total["n"]), int(total["v"])
     base = F.log10((F.col("c") + SMOOTH) / F.lit(n + SMOOTH * (v + 1)))
     contexts = _context_values(counts.filter(F.col("kind") == CONTEXT).select("key", "c"))
-    model = contexts.select(F.lit(CONTEXT).alias("kind"), "key", "value", F.lit(True).alias("known")).unionByName(words.select("kind", "key", base.alias("value"), (F.col("c") > 0).alias("known")))
+    model = contexts.select(F.lit(CONTEXT).alias("kind"), "key", "value", F.lit(1).alias("known")).unionByName(words.select("kind", "key", base.alias("value"), F.when(F.col("c") > 0, 1).otherwise(0).alias("known")))
     model = materialise(model, "model-values")
+    discard(counts)
+    replies = materialise(requests.select("slice", "kind", "key").join(model, ["kind", "key"]).select("slice", "kind", "key", "value", "known"), "replies")
+    discard(requests)
+    discard(model)
     release(spark)
-    replies = requests.select("slice", "kind", "key").join(model, ["kind", "key"])
-    scored = rows.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(_scores, "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double")
+    texts = rows.select("slice", F.lit(TEXT).alias("kind"), "doc_id", "held_out", "text")
+    both = replies.unionByName(texts, allowMissingColumns=True).select("slice", "kind", "key", "value", "known", "doc_id", "held_out", "text")
+    both = both.repartition("slice").sortWithinPartitions("slice", "kind", "key")
+    scored = both.mapInArrow(_scores, "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))

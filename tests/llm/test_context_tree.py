@@ -101,6 +101,7 @@ def test_many_groups(spark, monkeypatch):
     monkeypatch.setattr(context_tree, "SLICE_BYTES", 500)
     monkeypatch.setattr(context_tree, "PIECE_BYTES", 60)
     monkeypatch.setattr(context_tree, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(context_tree, "HELD_KEYS", 80)
     rng = random.Random(2)
     rows = [(i, sentence(rng, rng.randrange(0, 30), 30)) for i in range(60)]
     rows += [(70, "  " + "long word " * 60 + " " * 200 + "x" * 150 + " \t\n end  "), (71, " " * 300), (72, "y" * 400)]
