@@ -1,18 +1,23 @@
 """Similar documents by n-gram sets: multiple-global-order filtering.
 
 Two sets with a Jaccard similarity of t share ceil(t n) tokens of either, so
-under any total order of tokens their prefixes of n - ceil(t n) + 1 tokens meet.
-Two orders are used one after the other, and a pair must pass both:
-
-* Hash order, with prefixes longer by l - 1 tokens, in which similar sets share
-  at least l. A document with fewer than l prefix tokens that any other set has
-  in its own prefix can't have a partner and is out, without a pair being made.
-* Rarest first, by exact counts over the sets that are left. Frequent passages
-  come last in this order, so what meets in a prefix is nearly always a pair.
+under any total order of tokens their prefixes of n - ceil(t n) + 1 tokens meet,
+and prefixes longer by l - 1 tokens share at least l. A pair must pass four
+orders before its sets are compared:
+
+* Hash order, with the longer prefixes. A set with fewer than l prefix tokens
+  that any other set has in its own prefix can't have a partner and is out,
+  without a pair being made.
+* Rarest first, by exact counts, among the prefix tokens of the sets that are
+  left. Sets that share l of them meet in all but the l - 1 commonest, so
+  frequent passages seldom make a pair.
+* Two more hash orders, whose prefixes each set carries as bitmaps: a pair's
+  bitmaps must meet in both.
 
 Pairs that pass are held against parity bitmaps (each token flips one of 1024
 bits, so two sets differ in as many tokens as bits at least), checked for the shared
-part of their hash-order prefixes and then verified on whole sets. Documents with equal sets are one class and
+part of their hash-order prefixes and then verified on whole sets, of 64-bit token
+hashes. Documents with equal sets are one class and
 never compared. Where many classes meet in one token, all are compared with a
 few pivots first; as only components are wanted, later rounds take just the classes
 that aren't connected yet, and the last one compares all of those that are left
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialise, release, slices, split_words
+from brindle.llm.common import discard, materialise, release, slices, split_words
 from brindle.llm.components import components
 from brindle.llm.substring_dedup import gram_hashes, word_hashes
 
@@ -43,9 +49,13 @@ EXTRA = 20
 BUCKET = 24
 #: Pivots of the rounds in which larger groups are connected.
 PIVOTS = (1, 8, 32)
-SLICE_BYTES = 8_000_000
-#: Words of 64 bits in a parity bitmap.
-PARITY_WORDS = 16
+SLICE_BYTES = 4_000_000
+#: Words of 64 bits in a parity bitmap, and in the bitmap of a further order's prefix.
+PARITY_WORDS, ORDER_WORDS = 16, 8
+#: Odd factors that make further orders of the token hashes.
+ORDERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Sets with a possible partner up to which their keys are broadcast: 64 MB at most. More are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def least_shared(n: int) -> int:
@@ -91,42 +101,64 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
-def _prefixes(docs: DataFrame, by_class: bool) -> DataFrame:
-    """(token, class_key) or (token, key, need) of every hash-order prefix."""
+def order_bits(tokens: np.ndarray) -> np.ndarray:
+    """For each further order a bitmap of the set's prefix; similar sets' bitmaps meet in every one."""
+    out, bits, size = [], 64 * ORDER_WORDS, len(tokens) - least_shared(len(tokens)) + 1
+    for factor in ORDERS:
+        mixed = tokens * np.uint64(factor)
+        first = np.partition(mixed, size - 1)[:size] if size < len(mixed) else mixed
+        flags = np.zeros(bits, np.uint8)
+        flags[(first % np.uint64(bits - 1)).astype(np.int64)] = 1
+        out.append(np.packbits(flags).view(np.int64))
+    return np.concatenate(out)
+
+
+def _mapped(docs: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
+    """mapInArrow over slices of (text, columns...): make(slice, sets) gives the columns of a batch."""
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, SLICE_BYTES):
-                sets = token_sets(part.column(1))
-                sizes = [prefix_size(len(s)) if len(s) else 0 for s in sets]
-                tokens = np.concatenate([s[:k] for s, k in zip(sets, sizes, strict=True)]).view(np.int64)
-                if by_class:
-                    own = np.repeat(np.array([set_key(s)[0] for s in sets], np.int64), sizes)
-                    yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(own)], ["token", "class_key"])
-                else:
-                    keys = np.repeat(part.column(0).to_numpy(zero_copy_only=False), sizes)
-                    need = np.repeat(np.array([needed(len(s)) if len(s) else 0 for s in sets], np.int32), sizes)
-                    yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(keys), pa.array(need)], ["token", "key", "need"])
+            for part in slices(batch, 0, SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays(make(part, token_sets(part.column(0))), names)
 
-    return docs.select("key", "text").mapInArrow(run, "token long, class_key long" if by_class else "token long, key long, need int")
+    return docs.select("text", *columns).mapInArrow(run, schema)
 
 
-def _described(docs: DataFrame, survivors: DataFrame) -> DataFrame:
-    """doc_id, h1, h2, n_shingles of every row; tokens and parity for those that may have a partner."""
+def _described(rows: DataFrame) -> DataFrame:
+    """doc_id, mark, h1, h2, n of every row: the key of its set, and the set's size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1, SLICE_BYTES):
-                sets = token_sets(part.column(1))
-                keys = [set_key(s) for s in sets]
-                tokens = [s.view(np.int64) if m else None for s, m in zip(sets, part.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array([None if t is None else parity(s) for s, t in zip(sets, tokens, strict=True)], pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "n_shingles", "tokens", "parity"])
+    def make(part: pa.RecordBatch, sets: list[np.ndarray]) -> list[pa.Array]:
+        keys = [set_key(s) for s in sets]
+        return [part.column(1), part.column(2), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+
+    return _mapped(rows, ["doc_id", "mark"], make, "doc_id long, mark long, h1 long, h2 long, n long")
+
+
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """(token, h1) of every hash-order prefix."""
 
-    return docs.join(survivors.withColumn("may", F.lit(True)), "key", "left").select("doc_id", "text", "may").mapInArrow(run, "doc_id long, h1 long, h2 long, n_shingles long, tokens array<long>, parity array<long>")
+    def make(part: pa.RecordBatch, sets: list[np.ndarray]) -> list[pa.Array]:
+        sizes = [prefix_size(len(s)) if len(s) else 0 for s in sets]
+        own = np.repeat(np.array([set_key(s)[0] for s in sets], np.int64), sizes)
+        return [pa.array(np.concatenate([s[:k] for s, k in zip(sets, sizes, strict=True)]).view(np.int64)), pa.array(own)]
+
+    return _mapped(rows, [], make, "token long, h1 long")
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """sid, n, tokens, bits, head, need: whole sets, their bitmaps, their prefix's size and what similar ones share of it."""
+
+    def make(part: pa.RecordBatch, sets: list[np.ndarray]) -> list[pa.Array]:
+        sizes = [len(s) for s in sets]
+        bits = [np.concatenate([parity(s), order_bits(s)]) for s in sets]
+        return [part.column(1), pa.array(sizes, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(map(prefix_size, sizes), pa.int32()), pa.array(map(needed, sizes), pa.int32())]
+
+    return _mapped(rows, ["sid"], make, "sid long, n long, tokens array<long>, bits array<long>, head int, need int")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links among pairs (a, b) of class ids, by both filters and then whole sets."""
+    """The links among pairs (a, b) of set ids, by all filters and then whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,10 +172,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     keep[i] = 100 * both >= SHARE * (len(s) + len(t) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
-    bitmaps = lambda end: sets.select(F.col("cid").alias(end), F.col("n").alias(f"n{end}"), F.col("parity").alias(f"p{end}"))
+    bitmaps = lambda end: sets.select(F.col("sid").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"p{end}"))
     near = pairs.join(bitmaps("b"), "b").join(bitmaps("a"), "a").filter(_close_bitmaps("pa", "pb", "na", "nb")).select("a", "b")
-    left = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb"))
+    left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
+    right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
     whole = near.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
     return materialise(whole.mapInArrow(run, "a long, b long"), "verified-links")
 
@@ -153,10 +185,13 @@ def _close_sizes(a: str, b: str) -> Column:
 
 
 def _close_bitmaps(p: str, q: str, n: str, m: str) -> Column:
-    """Whether the bitmaps differ in no more bits than similar sets of these sizes can in tokens."""
+    """Whether the prefixes of every further order can meet, and parities differ in no more bits than similar sets of these sizes can in tokens."""
     total = F.col(n) + F.col(m)
     differ = sum((F.bit_count(F.col(p)[k].bitwiseXOR(F.col(q)[k])) for k in range(PARITY_WORDS)), F.lit(0))
-    return differ <= total - 2 * F.ceil(total * SHARE / (100 + SHARE))
+    close = differ <= total - 2 * F.ceil(total * SHARE / (100 + SHARE))
+    for first in range(PARITY_WORDS, PARITY_WORDS + len(ORDERS) * ORDER_WORDS, ORDER_WORDS):
+        close &= reduce(Column.__or__, (F.col(p)[k].bitwiseAND(F.col(q)[k]) != 0 for k in range(first, first + ORDER_WORDS)))
+    return close
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -170,46 +205,46 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(moved.unionByName(up.join(labels, "id", "left_anti")), "labels")
 
 
-def _labels(sets: DataFrame) -> DataFrame:
-    """id, component of the classes (cid, n, tokens, parity) that any similar class is linked with."""
-    tokens = sets.select("cid", "n", F.explode("tokens").alias("token"))
-    shared = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "token-counts")
-    order = Window.partitionBy("cid").orderBy("df", "token")
-    least = F.ceil(F.col("n") * SHARE / 100)
-    own = tokens.join(shared, "token").withColumns({"rank": F.row_number().over(order), "shared": F.count("*").over(Window.partitionBy("cid"))})
-    # tokens of one class only come before all others and can't meet
-    meeting = own.filter(F.col("rank") + F.col("n") - F.col("shared") <= F.col("n") - least + 1)
-    meeting = materialise(meeting.select("token", "cid", "n", (F.col("n") - F.col("shared")).alias("alone")), "meeting-tokens")
+def _labels(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """id, component of the sets that any similar set, or one of `links`, is linked with."""
+    heads = sets.select("sid", "n", "head", "need", F.explode(F.slice("tokens", 1, F.col("head"))).alias("token"))
+    shared = heads.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    order = Window.partitionBy("sid").orderBy("df", "token")
+    own = heads.join(shared, "token").withColumns({"rank": F.row_number().over(order), "shared": F.count("*").over(Window.partitionBy("sid"))})
+    # tokens of one set only come before all others and can't meet
+    meeting = own.filter(F.col("rank") <= F.col("shared") - F.col("need") + 1)
+    meeting = materialise(meeting.select("token", "sid", "n", (F.col("head") - F.col("shared")).alias("alone")), "meeting-tokens")
     release(sets.sparkSession)
-    sizes = meeting.groupBy("token").agg(F.count("*").alias("size"))
-    member = F.struct("cid", "n")
-    small = meeting.join(sizes.filter(F.col("size").between(2, BUCKET)), "token").groupBy("token").agg(F.array_sort(F.collect_list(member)).alias("all"))
-    small = small.select("all").distinct().withColumn("x", F.explode("all")).withColumn("y", F.explode(F.filter("all", lambda m: m["cid"] > F.col("x.cid"))))
-    pairs = small.filter(_close_sizes("x.n", "y.n")).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-    labels = components(_verified(pairs, sets))
-    # tokens with the same classes make the same pairs: one of them is enough
-    hashed = F.xxhash64("cid")
-    groups = meeting.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(hashed).alias("h1"), F.bit_xor(F.xxhash64(hashed, F.lit(1))).alias("h2")).filter(F.col("size") > BUCKET)
-    crowded = groups.groupBy("size", "h1", "h2").agg(F.min("token").alias("token")).select("token")
-    crowds = materialise(meeting.join(crowded, "token").join(sets.select("cid", "parity"), "cid").select("token", "cid", "n", "alone", "parity"), "crowded-tokens")
+    # tokens with the same sets make the same pairs: one of them is enough
+    hashed = F.xxhash64("sid")
+    groups = meeting.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(hashed).alias("h1"), F.bit_xor(F.xxhash64(hashed, F.lit(1))).alias("h2")).filter("size > 1")
+    groups = materialise(groups.groupBy("size", "h1", "h2").agg(F.min("token").alias("token")).select("token", "size"), "token-groups")
+    member = F.struct("sid", "n")
+    small = meeting.join(groups.filter(F.col("size") <= BUCKET), "token").groupBy("token").agg(F.array_sort(F.collect_list(member)).alias("all"))
+    small = small.select("all").withColumn("x", F.explode("all")).withColumn("y", F.explode(F.filter("all", lambda m: m["sid"] > F.col("x.sid"))))
+    pairs = small.filter(_close_sizes("x.n", "y.n")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    labels = components(_verified(pairs, sets).unionByName(links))
+    crowds = meeting.join(groups.filter(F.col("size") > BUCKET).select("token"), "token").join(sets.select("sid", "bits"), "sid")
+    crowds = materialise(crowds.select("token", "sid", "n", "alone", "bits"), "crowded-tokens")
     for pivots in (*PIVOTS, None):
-        own = crowds.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        own = crowds.join(labels.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
         parts = own.groupBy("token", "component").agg(F.count("*").alias("size"))
         main = parts.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
         open_ = materialise(own.join(main, "token"), "open-tokens")
+        discard(crowds)
         if not open_.limit(1).count():
             break
-        crowds = open_.select(*crowds.columns)
+        crowds = open_.select("token", "sid", "n", "alone", "bits")
         loose = open_ if pivots else open_.filter("component <> main")
-        loose = loose.select("token", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("parity").alias("px"))
-        others = open_.select("token", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("parity").alias("py"), "alone")
-        if pivots:  # the classes with the fewest tokens of their own are the likeliest originals
+        loose = loose.select("token", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("bits").alias("px"))
+        others = open_.select("token", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("bits").alias("py"), "alone")
+        if pivots:  # the sets with the fewest tokens of their own are the likeliest originals
             central = Window.partitionBy("token").orderBy("alone", "y")
             others = others.withColumn("rank", F.row_number().over(central)).filter(F.col("rank") <= pivots)
         close = loose.join(others, "token").filter((F.col("cx") != F.col("cy")) & _close_sizes("nx", "ny") & _close_bitmaps("px", "py", "nx", "ny"))
-        links = _verified(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sets)
-        if links.limit(1).count():
-            labels = _joined(labels, links)
+        found = _verified(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sets)
+        if found.limit(1).count():
+            labels = _joined(labels, found)
         release(sets.sparkSession)
     return labels
 
@@ -221,34 +256,55 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     Texts without words, null texts among them, have an empty set and no links.
     Texts with fewer than five words have one shingle, all of their words. Rows
     without an id have no links and a null component_id. Repeated rows and equal
-    sets are in one component. Other columns aren't read; an empty table gives
-    an empty result.
+    sets are in one component, and so are rows of one id with different texts.
+    Other columns aren't read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
-    named = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    tokens = _prefixes(named, True).groupBy("token").agg(F.min("class_key").alias("low"), F.max("class_key").alias("high")).filter("low < high").select("token")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("mark", F.xxhash64("text"))
+    described = materialise(_described(rows), "described")
+    named = described.filter("doc_id IS NOT NULL AND n > 0")
+    # a set's representative is a row of its smallest id; its number stands for the set from here on
+    classes = named.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "mark")).alias("low"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    classes = materialise(classes.select("h1", "h2", "n", "copies", F.col("low.doc_id").alias("doc_id"), F.col("low.mark").alias("mark"), F.monotonically_increasing_id().alias("sid")), "classes")
+    readable = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    tokens = _prefixes(readable).groupBy("token").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("token")
     tokens = materialise(tokens, "shared-tokens")
     release(spark)
-    counts = _prefixes(named, False).join(tokens, "token", "left_semi").groupBy("key").agg(F.count("*").alias("shared"), F.max("need").alias("need"))
-    survivors = materialise(counts.filter("shared >= need").select("key"), "survivors")
-    release(spark)
-    described = materialise(_described(rows, survivors), "described")
+    counts = _prefixes(readable).join(tokens, "token", "left_semi").groupBy("h1").agg(F.count("*").alias("shared"))
+    extra_of = lambda n: F.greatest(F.lit(1), F.floor(n / EXTRA))
+    need = F.least(extra_of(F.col("n")), extra_of(F.ceil(F.col("n") * SHARE / 100)))
+    # counts are those of all copies of a set
+    survivors = classes.join(counts, "h1").filter(F.col("shared") >= need * F.col("copies")).select("doc_id", "mark", "sid")
+    survivors = materialise(survivors, "survivors")
+    discard(tokens)
     release(spark)
-    named = described.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = materialise(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("cid")), "classes")
-    sets = named.filter("tokens IS NOT NULL").join(classes, ["h1", "h2"]).filter("doc_id = cid").select("cid", F.col("n_shingles").alias("n"), "tokens", "parity").dropDuplicates(["cid"])
+    few = survivors.count() <= BROADCAST_ROWS
+    chosen = readable.join(F.broadcast(survivors) if few else survivors, ["doc_id", "mark"])
+    sets = _sets(chosen)
+    if described.groupBy("doc_id", "mark").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1).count():  # repeated rows
+        sets = sets.dropDuplicates(["sid"])
     sets = materialise(sets, "sets")
     release(spark)
-    labels = _labels(sets)
-    named_classes = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("h1", "h2", F.coalesce("component", "cid").alias("component"))
-    return described.join(named_classes, ["h1", "h2"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))).alias("component_id")
+    own = named.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "sid"), ["h1", "h2"]).select("doc_id", "sid")
+    split = own.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).filter("a < b")
+    links = own.join(split, "doc_id").filter("sid > a").select("a", F.col("sid").alias("b"))
+    labels = _labels(sets, links)
+    discard(sets)
+    members = classes.join(labels.withColumnRenamed("id", "sid"), "sid", "left").select("h1", "h2", "doc_id", F.coalesce("component", "sid").alias("component"))
+    least = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    members = members.join(least, "component").select("h1", "h2", "component_id")
+    return described.join(members, ["h1", "h2"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id"))).alias("component_id")
     )
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """`docs` with the row of the smallest id of each component; repeated rows of that id stay one. Rows without an id all stay."""
+    """`docs` with the row of the smallest id of each component. Rows without an id all stay.
+
+    Of several rows of that id the one with the longest text stays, then the
+    first text; of equal texts, the row whose columns have the least hash.
+    """
     keep = similar_documents(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.filter("doc_id IS NOT NULL").join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.filter("doc_id IS NULL"))
+    first = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text", F.xxhash64(*[F.col(c) for c in docs.columns]))
+    rows = docs.filter("doc_id IS NOT NULL").join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    return rows.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

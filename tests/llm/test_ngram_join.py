@@ -59,6 +59,34 @@ def test_equals_brute_force(spark):
     assert rows_of(ngram_join.similar_documents(documents(spark, rows, clashing=True)), *COLUMNS) == brute(rows)
 
 
+def test_joined_by_a_shuffle(spark, monkeypatch):
+    """More possible partners than are broadcast, and repeated rows."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 3)
+    rows = near_copies(3)
+    rows += rows[:5] * 2
+    assert rows_of(ngram_join.similar_documents(documents(spark, rows)), *COLUMNS) == brute(rows)
+
+
+def test_one_id_with_different_texts(spark):
+    """Both texts' links count, and join their components."""
+    a, b = sentence(random.Random(8), 40), sentence(random.Random(9), 40)
+    rows = [(5, a), (5, b), (7, a + " more"), (6, b + " end"), (8, "other text of some words here")]
+    assert rows_of(ngram_join.similar_documents(documents(spark, rows)), *COLUMNS) == brute(rows)
+    kept = ngram_join.distinct_documents(documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, max(a, b, key=lambda t: (len(t), [-ord(c) for c in t]))), (8, rows[-1][1])])
+
+
+def test_long_texts(spark):
+    """Near copies of a text of many slices."""
+    rng = random.Random(10)
+    base = sentence(rng, 60_000).split()
+    other = list(base)
+    for k in range(0, 60_000, 60):
+        other[k] = "changed"
+    rows = [(1, " ".join(base)), (2, " ".join(other)), (3, sentence(rng, 60_000))]
+    assert rows_of(ngram_join.similar_documents(documents(spark, rows)), *COLUMNS) == brute(rows)
+
+
 def test_crowded_tokens(spark, monkeypatch):
     """Everything shares tokens, so that pivots and the last, full round are used."""
     monkeypatch.setattr(ngram_join, "BUCKET", 2)
