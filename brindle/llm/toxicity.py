@@ -7,8 +7,9 @@ positive form the lexicon, together with word beginnings, for inflected forms
 that training never saw. Every other word costs a fixed drift. Scoring finds all
 maximal scoring segments of a document in linear time and calibrates the best
 one by the extreme-value distribution of segments in clean text, given the
-document's length; a logistic curve, fitted on rows that the lexicon wasn't
-learned from, turns that into a probability.
+document's length: its decay follows from how often clean text has which score,
+its scale is fitted on clean rows that the lexicon wasn't learned from. A
+logistic curve, fitted on those rows, turns that into a probability.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from brindle.llm.common import held_out, lower_ascii, materialise, residue, word
 
 #: Most labelled rows of each class that the model is fitted on.
 FIT_ROWS = 10_000
-#: Total Dirichlet pseudo-count, and the z-score and log-odds from which a token counts.
-PRIOR, Z, LEAST = 10_000.0, 2.0, 3.0
-#: What a word outside the lexicon costs, and the most that one inside gains.
-DRIFT, CEILING = 0.05, 8.0
+#: Dirichlet pseudo-counts, as a share of the counts, and the z-score and log-odds from which a token counts.
+PRIOR, Z, LEAST = 0.05, 2.0, 3.0
+#: What a word outside the lexicon costs.
+DRIFT = 0.05
 #: The highest score of a text without any lexicon word, however many of the labelled rows are toxic.
 NO_EVIDENCE = 0.25
 #: Letters of a word's beginning.
@@ -133,19 +134,23 @@ def surprise(best: float, n: int, lam: float, k: float) -> float:
 
 
 def _scorer(model: Model):
+    """A function from a text to its number of words and its maximal segments (start, end, score)."""
     scores = _Scores(model)
 
-    def score(text: str | None) -> tuple[float, int, list[tuple[int, int, float]]]:
+    def segments(text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         words = words_of(text)
         if len(scores) > CACHED_WORDS:
             scores.clear()
         values = [scores[w] for w in words]
         if not values or max(values) <= 0:
-            return 0.0, len(words), []
-        found = [(s, e, bounded(words[s:e], values[s:e], v)) for s, e, v in maximal_segments(np.array(values))]
-        return surprise(max(s for _, _, s in found), len(words), model.lam, model.k), len(words), found
+            return len(words), []
+        return len(words), [(s, e, bounded(words[s:e], values[s:e], v)) for s, e, v in maximal_segments(np.array(values))]
 
-    return score
+    return segments
+
+
+def logit(model: Model, best: float, n: int) -> float:
+    return model.a + model.b * surprise(best, n, model.lam, model.k)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,18 +188,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, modulus: int, fit_rows: in
     return rows.select("text", F.col("toxic").cast("int").alias("toxic"), residue(F.col("doc_id"), modulus).alias("part"))
 
 
-def _log_odds(counts: DataFrame, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """token, score, clean_share of the tokens whose log-odds is significantly positive; pseudo-counts follow the weighted text."""
-    clean_all, toxic_all = counts.agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+def _log_odds(counts: DataFrame, weights: tuple[float, float], totals: tuple[float, float]) -> DataFrame:
+    """Adds score, z and clean_share to (token, clean, toxic); pseudo-counts follow the weighted text."""
+    clean_all, toxic_all = totals
     w0, w1 = weights
-    prior = PRIOR * (F.col("clean") * F.lit(w0) + F.col("toxic") * F.lit(w1)) / F.lit(float(max(clean_all * w0 + toxic_all * w1, 1)))
+    pseudo = PRIOR * (clean_all + toxic_all)
+    prior = pseudo * (F.col("clean") * F.lit(w0) + F.col("toxic") * F.lit(w1)) / F.lit(float(max(clean_all * w0 + toxic_all * w1, 1)))
     a, b = F.col("toxic") + prior, F.col("clean") + prior
-    score = F.log(a / (F.lit(toxic_all + PRIOR) - a)) - F.log(b / (F.lit(clean_all + PRIOR) - b))
-    return (
-        counts.filter((F.col("token") != "") & (F.col("toxic") > 0) & F.lit(clean_all > 0))
-        .select("token", score.alias("score"), (b / F.lit(clean_all + PRIOR)).alias("clean_share"), (score / F.sqrt(1 / a + 1 / b)).alias("z"))
-        .filter((F.col("z") > Z) & (F.col("score") > LEAST))
-    )
+    score = F.log(a / (F.lit(toxic_all + pseudo) - a)) - F.log(b / (F.lit(clean_all + pseudo) - b))
+    return counts.select("token", score.alias("score"), (b / F.lit(clean_all + pseudo)).alias("clean_share"), (score / F.sqrt(1 / a + 1 / b)).alias("z"), "toxic")
+
+
+def _significant(counts: DataFrame, weights: tuple[float, float], totals: tuple[float, float]) -> DataFrame:
+    """The tokens whose log-odds is significantly positive; none without clean text."""
+    known = counts.filter((F.col("token") != "") & F.lit(totals[0] > 0))
+    return _log_odds(known, weights, totals).filter((F.col("toxic") > 0) & (F.col("z") > Z) & (F.col("score") > LEAST))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weights: tuple[float, float] = (1.0, 1.0)) -> tuple[float, float]:
@@ -229,33 +237,51 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, fit_rows: int = FI
     rows = materialise(training_rows(docs, labels, modulus, fit_rows), "toxicity-rows")
     words = rows.filter(F.col("part") != modulus - 1).select("text", "toxic").mapInArrow(_count_words, "token string, clean long, toxic long")
     counts = materialise(words.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-counts")
-    stems = counts.filter(F.length("token") > STEM).groupBy(F.substring("token", 1, STEM).alias("token")).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    found = _log_odds(counts, weights).collect()
-    lexicon = {r["token"]: min(r["score"], CEILING) for r in found}
-    stem_scores = {r["token"]: min(r["score"], CEILING) for r in _log_odds(stems, weights).collect()}
-    gains = [(min(r["score"], CEILING), r["clean_share"]) for r in found]
+    totals = tuple(counts.agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first())
+    found = {r["token"]: r for r in _significant(counts, weights, totals).collect()}
+    stem_of = F.substring("token", 1, STEM).alias("token")
+    by_stem = lambda df: df.filter(F.length("token") > STEM).groupBy(stem_of).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    stems = {r["token"]: r["score"] for r in _significant(by_stem(counts), weights, totals).collect()}
+    # a stem scores where the whole word isn't in the lexicon; its share of clean text is that of such words
+    spark = docs.sparkSession
+    whole, beginnings = (spark.createDataFrame([(t,) for t in names], "token string") for names in (found, stems))  # as many as significant tokens
+    rest = by_stem(counts.join(F.broadcast(whole), "token", "left_anti")).join(F.broadcast(beginnings), "token")
+    gains = [(r["score"], r["clean_share"]) for r in found.values()] + [(stems[r["token"]], r["clean_share"]) for r in _log_odds(rest, weights, totals).collect()]
+    model = Model({t: r["score"] for t, r in found.items()}, stems, _decay(gains), 1.0, -4.0, 1.0)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments = _scorer(model)
+        for batch in batches:
+            all_found = [segments(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([max((v for _, _, v in f), default=0.0) for _, f in all_found], pa.float64()), pa.array([n for n, _ in all_found], pa.int64()), batch.column(1)], ["best", "n", "toxic"])
+
+    pairs = rows.filter(F.col("part") == modulus - 1).select("text", "toxic").mapInArrow(best, "best double, n long, toxic int").collect()
+    clean = [(r["best"], r["n"]) for r in pairs if not r["toxic"]]
+    k = scale(clean, model.lam)
+    x = np.array([surprise(r["best"], r["n"], model.lam, k) for r in pairs], float)
+    a, b = _logistic(x, np.array([r["toxic"] for r in pairs], float), weights)
+    return Model(model.lexicon, stems, model.lam, k, min(a, math.log(NO_EVIDENCE / (1 - NO_EVIDENCE))), b)
+
+
+def _decay(gains: list[tuple[float, float]]) -> float:
+    """lambda of the extreme-value law: where a word's score in clean text has the mean of exp(lambda * score) equal to 1, from (score, share) of all that gains."""
     hit = min(sum(p for _, p in gains), 0.5)
 
-    def drifted(lam: float) -> float:
-        return sum(p * math.exp(lam * s) for s, p in gains) + (1 - hit) * math.exp(-lam * DRIFT) - 1
+    def excess(lam: float) -> float:
+        return sum(p * math.exp(min(lam * s, 500.0)) for s, p in gains) + (1 - hit) * math.exp(-lam * DRIFT) - 1
 
     low, high = 1e-3, 1.0
-    while drifted(high) < 0 and high < 64:
+    while excess(high) < 0 and high < 64:
         high *= 2
     for _ in range(60):
-        low, high = (mid, high) if drifted(mid := (low + high) / 2) < 0 else (low, mid)
-    lam = (low + high) / 2
-    k = max(1 - (1 - hit) * math.exp(-lam * DRIFT), 1e-6)
-    model = Model(lexicon, stem_scores, lam, k, -4.0, 1.0)
+        low, high = (mid, high) if excess(mid := (low + high) / 2) < 0 else (low, mid)
+    return (low + high) / 2
 
-    def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(model)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([score(t)[0] for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], ["x", "toxic"])
 
-    pairs = rows.filter(F.col("part") == modulus - 1).select("text", "toxic").mapInArrow(calibrate, "x double, toxic int").collect()
-    a, b = _logistic(np.array([r["x"] for r in pairs], float), np.array([r["toxic"] for r in pairs], float), weights)
-    return Model(lexicon, stem_scores, lam, k, min(a, math.log(NO_EVIDENCE / (1 - NO_EVIDENCE))), b)
+def scale(clean: list[tuple[float, int]], lam: float) -> float:
+    """K of the law, by greatest likelihood from (best score, words) of clean rows: K n exp(-lambda best) is exponential with mean 1."""
+    total = sum(max(n, 1) * math.exp(-lam * best) for best, n in clean)
+    return max(len(clean) / total, 1e-9) if total > 0 else 1.0
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -275,9 +301,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             scores, passages = [], []
             for text in batch.column(1).to_pylist():
-                x, n, found = one(text)
-                scores.append(1 / (1 + math.exp(-max(-50.0, min(50.0, model.a + model.b * x)))))
-                passages.append([{"start": s, "end": e, "log_odds": v} for s, e, v in found if model.a + model.b * surprise(v, n, model.lam, model.k) >= 0])
+                n, found = one(text)
+                x = logit(model, max((v for _, _, v in found), default=0.0), n)
+                scores.append(1 / (1 + math.exp(-max(-50.0, min(50.0, x)))))
+                passages.append([{"start": s, "end": e, "log_odds": v} for s, e, v in found if logit(model, v, n) >= 0])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(passages, pa.list_(kind))], ["doc_id", "score", "predicted", "passages"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int, passages array<struct<start: long, end: long, log_odds: double>>")
@@ -290,7 +317,8 @@ def clean_documents(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> Dat
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _scorer(model)
         for batch in batches:
-            mask = [model.a + model.b * one(t)[0] < 0 for t in batch.column(at).to_pylist()]
+            every = [one(t) for t in batch.column(at).to_pylist()]
+            mask = [logit(model, max((v for _, _, v in found), default=0.0), n) < 0 for n, found in every]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     at = docs.columns.index("text")

@@ -31,7 +31,7 @@ def test_stages(spark):
     scores = {r.doc_id: r.predicted for r in toxicity.score(table(spark, sf_dir, "documents"), model).collect()}
     rows = [r for r in before if not scores[r[0]]]
     assert rows_of(frames[0], "doc_id", "text") == sorted(r[:2] for r in rows)
-    assert 0 < len(rows) <= len(before)  # 87 labels show no significant word; rejection has its own test
+    assert rows  # 87 labels show no significant word; the next test has more
 
     stay = {i for i, _, _, kept, _ in exact([r[:2] for r in rows]) if kept}
     rows = [r for r in rows if r[0] in stay]
@@ -50,6 +50,19 @@ def test_stages(spark):
     check_sequences(packed)
 
 
+@needs_tables
+def test_toxic_documents_go(spark):
+    """At the next size documents are rejected, most of them labelled toxic, and no labelled clean one but one at most."""
+    sf_dir = str(SMALL.parent / "sf0.01")
+    docs, labels = table(spark, sf_dir, "documents"), {r.doc_id: r.toxic for r in table(spark, sf_dir, "labels").collect()}
+    every = {r.doc_id for r in docs.select("doc_id").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, sf_dir).select("doc_id").collect()}
+    gone = every - kept
+    assert 0 < len(kept) < len(every)
+    assert sum(labels.get(i) == 1 for i in gone) > 0.8 * sum(labels.values())
+    assert sum(labels.get(i) == 0 for i in gone) <= 1
+
+
 @needs_tables
 def test_run_applies_all_stages(spark):
     got = corpus_pipeline.run(spark, str(SMALL))

@@ -1,5 +1,8 @@
 """Toxicity: segments against brute force, held-out accuracy, odd tables."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -67,7 +70,7 @@ GOOD = ["a quiet day by the sea", "the sea is calm today", "we read by the windo
 @pytest.fixture
 def light_prior(monkeypatch):
     """Evidence of dozens of rows, not thousands, is enough here."""
-    monkeypatch.setattr(toxicity, "PRIOR", 10.0)
+    monkeypatch.setattr(toxicity, "PRIOR", 0.02)
     monkeypatch.setattr(toxicity, "LEAST", 0.5)
 
 
@@ -109,13 +112,101 @@ def test_clean_documents(spark, light_prior):
 
 
 def test_without_evidence_nothing_is_toxic(spark):
-    """The prior outweighs a hundred rows: no lexicon, so no document goes."""
-    rows, labels = small_tables(spark)
+    """Labels that no word tells apart give no lexicon, so no document goes."""
+    rows = list(enumerate(GOOD * 2))
+    labels = spark.createDataFrame([(i, int(i % 12 < 4)) for i, _ in rows], "doc_id long, toxic int")
     docs = documents(spark, rows)
     assert toxicity.fit(docs, labels).lexicon == {}
     assert toxicity.clean_documents(docs, labels).count() == len(rows)
 
 
+def brute_fit(rows, labels):
+    """The model worked out row by row."""
+    known = {}
+    for i, t in labels:
+        if i is not None and t in (0, 1) and residue(i, 5) != 0:
+            known[i] = max(known.get(i, 0), t)
+    texts = [(t, known[i], residue(i, 5)) for i, t in rows if i in known]
+    words = lambda t: [w.lower().strip(toxicity.EDGES) for w in (t or "").split()]  # noqa: E731 ASCII texts here
+    counts = {}
+    for t, toxic, part in texts:
+        for w in set(words(t)) if part != 4 else ():
+            counts.setdefault(w, [0, 0])[toxic] += 1
+    clean_all, toxic_all = (sum(c[k] for c in counts.values()) for k in (0, 1))
+    pseudo = toxicity.PRIOR * (clean_all + toxic_all)
+
+    def odds(clean, toxic):
+        prior = pseudo * (clean + toxic) / (clean_all + toxic_all)
+        a, b = toxic + prior, clean + prior
+        score = math.log(a / (toxic_all + pseudo - a)) - math.log(b / (clean_all + pseudo - b))
+        return score, score / math.sqrt(1 / a + 1 / b), b / (clean_all + pseudo)
+
+    def significant(table):
+        return {w: odds(*c) for w, c in table.items() if w and c[1] and odds(*c)[1] > toxicity.Z and odds(*c)[0] > toxicity.LEAST}
+
+    def by_stem(table):
+        out = {}
+        for w, c in table.items():
+            if len(w) > 4:
+                own = out.setdefault(w[:4], [0, 0])
+                own[0], own[1] = own[0] + c[0], own[1] + c[1]
+        return out
+
+    lexicon, stems = significant(counts), significant(by_stem(counts))
+    rest = by_stem({w: c for w, c in counts.items() if w not in lexicon})
+    gains = [(s, p) for s, _, p in lexicon.values()] + [(stems[w][0], odds(*rest[w])[2]) for w in stems if w in rest]
+    hit = min(sum(p for _, p in gains), 0.5)
+    low, high = 1e-3, 64.0
+    for _ in range(200):
+        lam = (low + high) / 2
+        excess = sum(p * math.exp(lam * s) for s, p in gains) + (1 - hit) * math.exp(-lam * toxicity.DRIFT) - 1
+        low, high = (lam, high) if excess < 0 else (low, lam)
+
+    def best(text):
+        values = [lexicon[w][0] if w in lexicon else stems[w[:4]][0] if len(w) > 4 and w[:4] in stems else -toxicity.DRIFT for w in words(text)]
+        return max((sum(values[a:b]) for a in range(len(values)) for b in range(a + 1, len(values) + 1)), default=0.0), len(values)
+
+    clean = [best(t) for t, toxic, part in texts if part == 4 and not toxic]
+    k = len(clean) / sum(n * math.exp(-lam * max(s, 0)) for s, n in clean)
+    return {w: s for w, (s, _, _) in lexicon.items()}, {w: s for w, (s, _, _) in stems.items()}, lam, k
+
+
+def test_model_equals_brute_force(spark, light_prior):
+    """Lexicon, stems and both numbers of the extreme-value law, among words that toxic and clean texts share."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        toxic = i % 3 == 0
+        words = [rng.choice(["sea", "day", "window", "read", "calm", "quiet", "rather", "person"]) for _ in range(rng.randrange(3, 12))]
+        words += rng.sample(["vile", "scum", "hateful", "hated", "hater", "rather"], 2) if toxic or rng.random() < 0.03 else []
+        rng.shuffle(words)
+        rows.append((i, " ".join(words).capitalize() + "!"))
+    labels = [(i, int(i % 3 == 0)) for i, _ in rows]
+    model = toxicity.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    lexicon, stems, lam, k = brute_fit(rows, labels)
+    assert len(lexicon) > 2 and len(stems) > 0
+    assert model.lexicon == pytest.approx(lexicon) and model.stems == pytest.approx(stems)
+    assert (model.lam, model.k) == (pytest.approx(lam), pytest.approx(k))
+
+
+def test_every_planted_passage_is_found(spark):
+    """Passages of 2, 2 and 6 toxic words, three hundred words apart."""
+    model = toxicity.Model({"vile": 5.0, "scum": 5.0, "filth": 5.0}, {}, 1.0, 0.1, -4.0, 1.0)
+    calm = "sea " * 300
+    text = calm + "vile scum " + calm + "vile scum " + calm + "vile scum filth vile scum filth " + calm
+    (row,) = toxicity.score(documents(spark, [(1, text)]), model).collect()
+    assert [(p.start, p.end) for p in row.passages] == [(300, 302), (602, 604), (904, 910)]
+    assert row.passages[2].log_odds == pytest.approx(30.0)
+
+
+def test_repeated_rows_and_rows_without_an_id(spark):
+    model = toxicity.Model({"vile": 9.0}, {}, 1.0, 0.1, -4.0, 1.0)
+    rows = [(1, "vile"), (1, "vile"), (None, "vile"), (None, None)]
+    got = toxicity.score(documents(spark, rows), model).collect()
+    assert [(r.doc_id, r.predicted) for r in got if r.doc_id] == [(1, 1)] * 2
+    assert sorted(r.predicted for r in got if r.doc_id is None) == [0, 1]
+
+
 @pytest.mark.parametrize("kept", ["toxic = 1", "toxic = 0", "false"])
 def test_one_class_or_no_labels(spark, kept):
     rows, labels = small_tables(spark)
@@ -149,10 +240,11 @@ def test_earlier_mentions_erase_no_passage():
     model = toxicity.Model({"vile": 5.0, "scum": 5.0}, {}, 1.0, 0.1, -4.0, 1.0)
     one = toxicity._scorer(model)
     alone, before = "sea " * 1600 + "vile scum vile scum", ("sea " * 399 + "vile ") * 2 + ("sea " * 399 + "scum ") * 2
-    x, n, found = one(before + "sea " * 0 + "sea " * 400 + "vile scum vile scum")
+    n, found = one(before + "sea " * 400 + "vile scum vile scum")
     assert max(found, key=lambda f: f[2]) == (n - 4, n, pytest.approx(20.0))
-    assert x == pytest.approx(one("sea " * (n - 4) + "vile scum vile scum")[0]) and one(alone)[0] > 4
-    far = one("vile scum vile scum " + "sea " * 1000 + "vile scum vile scum")[2]
+    assert max(f[2] for f in one("sea " * (n - 4) + "vile scum vile scum")[1]) == pytest.approx(20.0)
+    assert toxicity.surprise(max(f[2] for f in one(alone)[1]), 1604, model.lam, model.k) > 4
+    far = one("vile scum vile scum " + "sea " * 1000 + "vile scum vile scum")[1]
     assert [f[:2] for f in far] == [(0, 4), (1004, 1008)] and far[0][2] == pytest.approx(far[1][2])
 
 
@@ -166,6 +258,7 @@ def test_the_bound_leaves_the_class_rate(spark, light_prior):
     whole, cut = (toxicity.fit(docs, labels, fit_rows=n) for n in (10_000, 110))
 
     def log_odds(model):
-        return np.array([model.a + model.b * toxicity._scorer(model)(t)[0] for t in ("hello there", "vile scum")])
+        every = [toxicity._scorer(model)(t) for t in ("hello there", "vile scum")]
+        return np.array([toxicity.logit(model, max((f[2] for f in found), default=0.0), n) for n, found in every])
 
     assert np.abs(log_odds(whole) - log_odds(cut)).max() < 0.8  # ln 16 = 2.8 without weights
