@@ -3,8 +3,10 @@
 A text's UTF-8 bytes, filled up with bytes 255 to a positive multiple of 576,
 are the RGBA samples of images 144 pixels wide. A long text takes several
 images of at most `TILE_ROWS` rows, so that no image outgrows a worker's memory.
-How an image is coded is chosen by its checksum, so that the column holds every
-transform and coding of the format; the costly ones have the smaller shares.
+An image of few colours has a palette. The transforms and codings of the
+others follow from the checksum of their pixels and not from size, as none of
+them makes text smaller, so that the column holds every one; their parameters
+are fitted to the pixels of each block.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ ROW_BYTES, FILL = 576, b"\xff"
 WIDTH, TILE_ROWS = ROW_BYTES // 4, 1024
 
 
-#: Images of 64 that each way of coding gets; the rest have literals of one length and runs.
-SHARES = {"green": 8, "cross": 4, "cache": 2, "palette": 2, "references": 2, "predictor": 1, "huffman": 1, "all": 1}
+#: Images of 16 that each way of coding gets; the rest have literals and runs of one colour.
+SHARES = {"green": 2, "cache": 2, "cross": 1, "references": 1, "predictor": 1, "all": 1}
 WAYS = [way for way, n in SHARES.items() for _ in range(n)]
-BLOCK, CACHE_BITS = 5, 6
+BLOCK, CACHE_BITS, COLOURS = 6, 6, 256
 
 
 def copies(argb: np.ndarray) -> list[tuple[int, int, int]]:
@@ -46,22 +48,43 @@ def copies(argb: np.ndarray) -> list[tuple[int, int, int]]:
     return found
 
 
+def factors(argb: np.ndarray, block: int) -> np.ndarray:
+    """The cross-colour factors of each block, by least squares: (A, red to blue, green to blue, green to red)."""
+    height, width, _ = argb.shape
+    rows, columns = (height - 1 >> block) + 1, (width - 1 >> block) + 1
+    place = ((np.arange(height) >> block)[:, None] * columns + (np.arange(width) >> block)).ravel()
+    red, green, blue = (((argb[..., k].ravel() & 0xFF) ^ 0x80) - 0x80 for k in (1, 2, 3))
+
+    def slope(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        own = np.bincount(place, x * y, rows * columns) / np.maximum(np.bincount(place, x * x, rows * columns), 1)
+        return np.clip(np.rint(32 * own), -128, 127).astype(np.int64)
+
+    to_blue = slope(green, blue)
+    red_to_blue = slope(red, blue - (to_blue[place] * green >> 5))
+    return np.stack([np.full(rows * columns, 255), red_to_blue, to_blue, slope(green, red)], 1).reshape(rows, columns, 4) & 0xFF
+
+
 def encode(pixels: np.ndarray) -> bytes:
-    """The image in the way that its checksum chooses; one of too many colours for a palette has none."""
-    seed = crc32(pixels.tobytes())
-    way = WAYS[seed % 64] if seed % 64 < len(WAYS) else ""
-    shape = ((len(pixels) - 1 >> BLOCK) + 1, (WIDTH - 1 >> BLOCK) + 1)
-    places = np.arange(shape[0] * shape[1])
-    predictor = (webp.PREDICTOR, BLOCK, ((places + seed) % 14).reshape(shape))
-    cross = (webp.CROSS_COLOUR, BLOCK, ((places[:, None] * 7 + np.arange(4) * 31 + seed) % 256).reshape(*shape, 4))
-    green = (webp.SUBTRACT_GREEN,)
+    """The image with a palette, or in the way that its checksum chooses."""
     argb = np.ascontiguousarray(pixels).view(np.uint32).ravel()
-    if way == "palette":
-        return webp.encode(pixels, ((webp.PALETTE,),) if len(np.unique(argb)) <= 256 else ())
+    if len(np.unique(argb)) <= min(COLOURS, len(argb) // 2):  # with more, the palette takes more room than it saves
+        return webp.encode(pixels, ((webp.PALETTE,),))
+    seed = crc32(pixels.tobytes()) % 16
+    way = WAYS[seed] if seed < len(WAYS) else ""
+    own = pixels[..., [3, 0, 1, 2]].astype(np.int64)
+    green = (webp.SUBTRACT_GREEN,)
     if way == "references":
         return webp.encode(pixels, (green,), references=copies(argb))
-    transforms = {"green": (green,), "cross": (cross,), "predictor": (predictor,), "all": (predictor, cross, green)}
-    return webp.encode(pixels, transforms.get(way, ()), even=way not in ("huffman", "all"), cache_bits=CACHE_BITS if way in ("cache", "all") else 0)
+    transforms: tuple = (green,) if way == "green" else ()
+    if way in ("predictor", "all"):
+        modes = webp.best_modes(own, BLOCK)
+        transforms = ((webp.PREDICTOR, BLOCK, modes),)
+        own = webp.differences(own, modes, BLOCK)
+    if way in ("cross", "all"):
+        transforms += ((webp.CROSS_COLOUR, BLOCK, factors(own, BLOCK)),)
+    if way == "all":
+        transforms += (green,)
+    return webp.encode(pixels, transforms, cache_bits=CACHE_BITS if way in ("cache", "all") else 0)
 
 
 def to_media(data: bytes) -> list[bytes]:

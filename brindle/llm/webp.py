@@ -2,9 +2,10 @@
 
 `decode` reads any lossless file: prefix codes, back-references, colour cache,
 meta prefix codes, and the predictor, cross-colour, subtract-green and palette
-transforms. Runs of literal pixels whose codes have one length a channel, which
-is what `encode` writes by default, are decoded with array operations; all else goes
-symbol by symbol. Pixels are arrays (height, width, 4) of RGBA bytes.
+transforms. Where one group of codes serves the whole image, the symbols that
+would begin at each bit are looked up at once with array operations, and the
+image is the chain from the first bit on; other files are read symbol by symbol.
+Pixels are arrays (height, width, 4) of RGBA bytes.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ CACHE_FACTOR = 0x1E35A7BD
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 #: Pixels from which a run is written as a back-reference, and its greatest length.
 LEAST_RUN, MOST_RUN = 8, 4096
-#: Pixels that are decoded at once where they are literals.
-WINDOW = 16_384
+#: Bits that are decoded at once, more than any symbol with its extra bits takes, and pixels that are written at once.
+WINDOW_BITS, SLACK, WINDOW = 1 << 17, 128, 16_384
 
 
 class Bits:
@@ -53,56 +54,48 @@ class Bits:
             self._all = np.unpackbits(np.frombuffer(self.data, np.uint8), bitorder="little")
         return self._all
 
+    def ahead(self, n: int, width: int) -> np.ndarray:
+        """At each of the next n bits and more the number that it and those after it make, `width` in all, the first one highest."""
+        first, shift = self.at >> 3, self.at & 7
+        raw = np.frombuffer(self.data[first : first + (n + shift >> 3) + 4].ljust((n + shift >> 3) + 4, b"\0"), np.uint8)
+        flipped = FLIPPED[raw]
+        three = flipped[:-2] << 16 | flipped[1:-1] << 8 | flipped[2:]
+        return (three[:, None] >> (24 - width - np.arange(8)) & ((1 << width) - 1)).ravel()[shift:]
+
+
+#: The bits of each byte in the other order.
+FLIPPED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8)[:, ::-1]).astype(np.int64)
+
 
 class Code:
-    """A canonical prefix code. `width` is set where all its words have that length."""
+    """A canonical prefix code. `table` has (symbol << 4 | length) by the next `longest` bits, the first one highest."""
 
     def __init__(self, lengths: np.ndarray):
         lengths = np.asarray(lengths)
         used = np.flatnonzero(lengths)
         if not len(used):
             used, lengths = np.array([0]), np.array([1])
-        order = used[np.argsort(lengths[used], kind="stable")]
-        self.symbols, own, self.table = order, lengths[order], None
-        if len(order) == 1:
-            self.width, self.first, self.index, self.count = 0, [], [], []
-            return
-        counts = np.bincount(own, minlength=16)
-        if sum(int(c) << (15 - n) for n, c in enumerate(counts) if n) != 1 << 15:
+        self.symbols = used[np.argsort(lengths[used], kind="stable")]
+        own = lengths[self.symbols]
+        self.longest = int(own[-1]) if len(own) > 1 else 0
+        if self.longest and (1 << self.longest >> own).sum() != 1 << self.longest:
             raise ValueError("an incomplete prefix code")
-        self.width = int(own[0]) if own[0] == own[-1] else None
-        self.count, self.first, self.index = counts.tolist(), [0] * 16, [0] * 16
-        code = at = 0
-        for n in range(1, 16):
-            code <<= 1
-            self.first[n], self.index[n] = code, at
-            code += self.count[n]
-            at += self.count[n]
-
-        if own[-1] <= 7:  # by the next bits, lowest first: symbol and length
-            self.longest, self.table = int(own[-1]), [(0, 0)] * (1 << int(own[-1]))
-            code = 0
-            for symbol, n in zip(order.tolist(), own.tolist(), strict=True):
-                word = code >> (15 - n)
-                flipped = int(f"{word:0{n}b}"[::-1], 2)
-                self.table[flipped :: 1 << n] = [(symbol, n)] * (1 << (self.longest - n))
-                code += 1 << (15 - n)
+        self.table = (np.repeat(self.symbols << 4 | own, 1 << self.longest >> own) if self.longest else self.symbols << 4).astype(np.int64)
+        self._flipped: list[int] | None = None
 
     def read(self, bits: Bits) -> int:
-        if self.width == 0:
+        if not self.longest:
             return int(self.symbols[0])
-        if self.table is not None:
-            symbol, n = self.table[bits.peek(self.longest)]
-            bits.at += n
-            if bits.at > bits.end:
-                raise ValueError("the image data ends early")
-            return symbol
-        code = 0
-        for n in range(1, 16):
-            code = (code << 1) | bits.read(1)
-            if code - self.first[n] < self.count[n]:
-                return int(self.symbols[self.index[n] + code - self.first[n]])
-        raise ValueError("no word of the prefix code")
+        if self._flipped is None:  # by the next bits, the first one lowest
+            places = np.zeros(1, np.int64)
+            for _ in range(self.longest):
+                places = np.concatenate([2 * places, 2 * places + 1])
+            self._flipped = self.table[places].tolist()
+        found = self._flipped[bits.peek(self.longest)]
+        bits.at += found & 15
+        if bits.at > bits.end:
+            raise ValueError("the image data ends early")
+        return found >> 4
 
 
 #: By alphabet size: codes read lately, as (bits, number that they make, code). Files of one kind of content share codes.
@@ -167,31 +160,122 @@ def _prefixed(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
-def _literals(bits: Bits, codes: list[Code], want: int) -> np.ndarray:
-    """Pixels (green, red, blue, alpha order of reading) from here on, up to the first that is no literal."""
-    widths = [c.width for c in codes[:4]]
-    total = sum(widths)
-    if not total:
-        return np.tile(np.array([c.symbols[0] for c in codes[:4]]), (want, 1)) if codes[0].symbols[0] < N_LITERAL else np.zeros((0, 4), np.int64)
-    n = min(want, WINDOW, (bits.end - bits.at) // total)
-    raw = bits.unpacked()[bits.at : bits.at + n * total].reshape(n, total)
-    out, at = np.empty((n, 4), np.int64), 0
-    for k, (code, width) in enumerate(zip(codes, widths, strict=False)):
-        value = np.zeros(n, np.int64)
-        for b in range(width):
-            value = (value << 1) | raw[:, at + b]
-        out[:, k] = code.symbols[value]
-        at += width
-    other = np.flatnonzero(out[:, 0] >= N_LITERAL)
-    out = out[: other[0]] if len(other) else out
-    bits.at += len(out) * total
-    return out
+def _extended(raw: np.ndarray, at: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances from prefix symbols and the extra bits at `at`, and where those end."""
+    extra = np.where(symbols < 4, 0, (symbols - 2) >> 1)
+    value = np.where(symbols < 4, symbols, (2 + (symbols & 1)) << extra)
+    for k in range(int(extra.max(initial=0))):
+        value += np.where(k < extra, raw[at + k].astype(np.int64) << k, 0)
+    return value + 1, at + extra
+
+
+def _operations(bits: Bits, codes: list[Code], total: int) -> np.ndarray:
+    """The symbols of an image as columns: green or other symbol, red, blue, alpha, pixels that it makes, distance code."""
+    most = max(c.longest for c in codes)
+    tables = [(c.table, most - c.longest) for c in codes]
+    lengths = [(t & 15, s) for t, s in tables[:4]]
+    special = codes[0].symbols.max() >= N_LITERAL
+    most_bits = sum(c.longest for c in codes) + SLACK * bool(special)  # of a pixel or other symbol
+    found, left = [], total
+    while left:
+        n = min(WINDOW_BITS, bits.end - bits.at, left * most_bits)
+        ahead = bits.ahead(n + SLACK, most)
+        word = tables[0][0].take(ahead[:n] >> tables[0][1])
+        at = np.arange(n) + (word & 15)
+        for length, shift in lengths[1:]:  # where the pixel that begins at each bit ends, if it is a literal
+            at += length.take(ahead.take(at) >> shift)
+        sizes, distances = np.ones(n, np.int64), np.zeros(n, np.int64)
+        if special:
+            other = np.flatnonzero(word >= N_LITERAL << 4)
+            after, symbol = other + (word[other] & 15), (word[other] >> 4) - N_LITERAL
+            at[other] = after
+            copies = symbol < N_LENGTH
+            own = other[copies]
+            if len(own):
+                raw = bits.unpacked()[bits.at : bits.at + n + SLACK]
+                raw = np.concatenate([raw, np.zeros(n + SLACK - len(raw), np.uint8)])
+                sizes[own], after = _extended(raw, after[copies], symbol[copies])
+                word = tables[4][0][ahead[after] >> tables[4][1]]
+                distances[own], at[own] = _extended(raw, after + (word & 15), word >> 4)
+        follow, starts, here = memoryview(at), [], 0
+        for _ in range(left):
+            if here >= n:
+                break
+            starts.append(here)
+            here = follow[here]
+        if not starts:
+            raise ValueError("the image data ends early")
+        starts = np.array(starts)
+        ends = np.cumsum(sizes[starts])
+        if ends[-1] > left:
+            last = int(np.searchsorted(ends, left))
+            if ends[last] != left:
+                raise ValueError("a back-reference outside the image")
+            starts, here = starts[: last + 1], follow[int(starts[last])]
+        mine, place = np.empty((6, len(starts)), np.int64), starts
+        for k, (table, shift) in enumerate(tables[:4]):
+            word = table[ahead[place] >> shift]
+            mine[k], place = word >> 4, place + (word & 15)
+        mine[4], mine[5] = sizes[starts], distances[starts]
+        found.append(mine)
+        left -= int(mine[4].sum())
+        bits.at += here
+        if bits.at > bits.end:
+            raise ValueError("the image data ends early")
+    return found[0] if len(found) == 1 else np.concatenate(found, 1)
+
+
+def _distance(code: int, width: int) -> int:
+    return code - len(NEAR) if code > len(NEAR) else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
+
+
+def _slots(argb: np.ndarray, cache_bits: int) -> np.ndarray:
+    return ((argb.astype(np.uint64) * np.uint64(CACHE_FACTOR)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)
+
+
+def _pixels(operations: np.ndarray, total: int, width: int, cache_bits: int) -> np.ndarray:
+    """What the operations make, as ARGB numbers."""
+    green, red, blue, alpha, size, code = operations
+    values = (alpha << 24 | red << 16 | green << 8 | blue).astype(np.uint32)
+    is_copy, is_cached = (green >= N_LITERAL) & (green < N_LITERAL + N_LENGTH), green >= N_LITERAL + N_LENGTH
+    starts = np.cumsum(size) - size
+    copies = [(a, n, _distance(d, width)) for a, n, d in zip(starts[is_copy].tolist(), size[is_copy].tolist(), code[is_copy].tolist(), strict=True)]
+    if any(d > a for a, _, d in copies):
+        raise ValueError("a back-reference outside the image")
+    if not copies and not is_cached.any():
+        return values
+    if not copies:  # a cached pixel is the last one before with its slot
+        slots = np.where(is_cached, green - N_LITERAL - N_LENGTH, _slots(values, cache_bits).astype(np.int64))
+        order = np.argsort(slots, kind="stable")
+        place = np.arange(total)
+        group = np.maximum.accumulate(np.where(np.diff(slots[order], prepend=-1) != 0, place, 0))
+        source = np.maximum.accumulate(np.where(is_cached[order], -1, place))
+        values[order] = np.where(source >= group, values[order][np.maximum(source, 0)], 0)
+        return values
+    out = np.zeros(total, np.uint32)
+    if not is_cached.any():
+        out[starts[~is_copy]] = values[~is_copy]
+        for a, n, d in copies:
+            out[a : a + n] = np.resize(out[a - d : a], n)
+        return out
+    pixels, cache = [], {}
+    following = iter(copies)
+    for value, symbol, cached, copied in zip(values.tolist(), (green - N_LITERAL - N_LENGTH).tolist(), is_cached.tolist(), is_copy.tolist(), strict=True):
+        if copied:
+            _, n, d = next(following)
+            for _ in range(n):
+                pixels.append(pixels[-d])
+                cache[((CACHE_FACTOR * pixels[-1]) & 0xFFFFFFFF) >> (32 - cache_bits)] = pixels[-1]
+        else:
+            value = cache.get(symbol, 0) if cached else value
+            pixels.append(value)
+            cache[((CACHE_FACTOR * value) & 0xFFFFFFFF) >> (32 - cache_bits)] = value
+    return np.array(pixels, np.uint32)
 
 
 def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image as a row of ARGB numbers."""
     cache_bits = bits.read(4) if bits.read(1) else 0
-    cache = np.zeros(1 << cache_bits, np.uint32) if cache_bits else None
     groups, meta, block = 1, None, 0
     if main and bits.read(1):
         block = bits.read(3) + 2
@@ -201,38 +285,26 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (N_LITERAL + N_LENGTH + (1 << cache_bits if cache_bits else 0), 256, 256, 256, N_DISTANCE)
     codes = [[_read_code(bits, s) for s in sizes] for _ in range(groups)]
     total = width * height
-    out, at = np.zeros(total, np.uint32), 0
-    fast = groups == 1 and cache is None and all(c.width is not None for c in codes[0][:4])
-    while at < total:
-        group = codes[0] if meta is None else codes[meta[(at // width >> block) * columns + (at % width >> block)]]
-        if fast:
-            px = _literals(bits, group, total - at)
-            out[at : at + len(px)] = (px[:, 3] << 24) | (px[:, 1] << 16) | (px[:, 0] << 8) | px[:, 2]
-            at += len(px)
-            if at == total or len(px) == WINDOW:
-                continue
+    if groups == 1 and (codes[0][0].longest or codes[0][0].symbols[0] < N_LITERAL):
+        own = codes[0]
+        if not any(c.longest for c in own[:4]):
+            green, red, blue, alpha = (int(c.symbols[0]) for c in own[:4])
+            return np.full(total, alpha << 24 | red << 16 | green << 8 | blue, np.uint32)
+        return _pixels(_operations(bits, own, total), total, width, cache_bits)
+    rows, made = [], 0
+    while made < total:
+        group = codes[0] if meta is None else codes[meta[(made // width >> block) * columns + (made % width >> block)]]
         symbol = group[0].read(bits)
-        start = at
         if symbol < N_LITERAL:
-            red, blue, alpha = (group[k].read(bits) for k in (1, 2, 3))
-            out[at] = (alpha << 24) | (red << 16) | (symbol << 8) | blue
-            at += 1
+            rows.append((symbol, *(group[k].read(bits) for k in (1, 2, 3)), 1, 0))
         elif symbol < N_LITERAL + N_LENGTH:
-            length = _prefixed(bits, symbol - N_LITERAL)
-            code = _prefixed(bits, group[4].read(bits))
-            distance = code - len(NEAR) if code > len(NEAR) else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
-            if distance > at or at + length > total:
-                raise ValueError("a back-reference outside the image")
-            source = out[at - distance : at]
-            out[at : at + length] = np.resize(source, length)
-            at += length
+            rows.append((symbol, 0, 0, 0, _prefixed(bits, symbol - N_LITERAL), _prefixed(bits, group[4].read(bits))))
         else:
-            out[at] = cache[symbol - N_LITERAL - N_LENGTH]
-            at += 1
-        if cache is not None:
-            for p in out[start:at].tolist():
-                cache[((CACHE_FACTOR * p) & 0xFFFFFFFF) >> (32 - cache_bits)] = p
-    return out
+            rows.append((symbol, 0, 0, 0, 1, 0))
+        made += rows[-1][4]
+    if made > total:
+        raise ValueError("a back-reference outside the image")
+    return _pixels(np.array(rows, np.int64).T, total, width, cache_bits)
 
 
 def _channels(argb: np.ndarray) -> np.ndarray:
@@ -245,41 +317,131 @@ def _joined(channels: np.ndarray) -> np.ndarray:
     return (c[..., 0] << 24) | (c[..., 1] << 16) | (c[..., 2] << 8) | c[..., 3]
 
 
-def _predict(mode: int, left, top, top_right, top_left):
-    """The prediction of one pixel, channel by channel."""
-    mean = lambda a, b: (a + b) >> 1
-    if mode == 5:
-        return mean(mean(left, top_right), top)
-    if mode == 10:
-        return mean(mean(left, top_left), mean(top, top_right))
+#: The pixel before the first, as A, R, G, B.
+BLACK = np.array([255, 0, 0, 0])
+
+
+def _mean(a, b):
+    return (a + b) >> 1
+
+
+def _guess(mode: int, left: np.ndarray, top: np.ndarray, top_right: np.ndarray, top_left: np.ndarray) -> np.ndarray:
+    """The predictions of a mode from arrays of neighbours, channels last."""
     if mode == 11:
         guess = left + top - top_left
-        return left if abs(guess - left).sum() < abs(guess - top).sum() else top
+        return np.where(abs(guess - left).sum(-1, keepdims=True) < abs(guess - top).sum(-1, keepdims=True), left, top)
     if mode == 12:
         return np.clip(left + top - top_left, 0, 255)
     if mode == 13:
-        middle = mean(left, top)
+        middle = _mean(left, top)
         apart = middle - top_left
         return np.clip(middle + np.where(apart < 0, -(-apart >> 1), apart >> 1), 0, 255)
-    return {0: np.array([255, 0, 0, 0]), 1: left, 2: top, 3: top_right, 4: top_left, 6: mean(left, top_left), 7: mean(left, top), 8: mean(top_left, top), 9: mean(top, top_right)}.get(mode, np.array([255, 0, 0, 0]))
+    simple = {
+        1: lambda: left, 2: lambda: top, 3: lambda: top_right, 4: lambda: top_left, 5: lambda: _mean(_mean(left, top_right), top), 6: lambda: _mean(left, top_left),
+        7: lambda: _mean(left, top), 8: lambda: _mean(top_left, top), 9: lambda: _mean(top, top_right), 10: lambda: _mean(_mean(left, top_left), _mean(top, top_right)),
+    }
+    return simple[mode]() if mode in simple else np.broadcast_to(BLACK, top.shape)
+
+
+def _neighbours(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Left, top, top right and top left of every pixel below the first row and right of the first column."""
+    return pixels[1:, :-1], pixels[:-1, 1:], np.concatenate([pixels[:-1, 2:], pixels[1:, :1]], 1), pixels[:-1, :-1]
+
 
+def _spread(table: np.ndarray, block: int, height: int, width: int) -> np.ndarray:
+    """A block's value for each of its pixels."""
+    return np.repeat(np.repeat(table, 1 << block, 0), 1 << block, 1)[:height, :width]
 
-def _predictor(pixels: np.ndarray, modes: np.ndarray, block: int, forward: bool) -> np.ndarray:
-    """Differences to pixels, or pixels to differences."""
+
+def differences(pixels: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
+    """What the predictor transform stores."""
     height, width, _ = pixels.shape
-    done = pixels.copy()
-    for y in range(height):
-        for x in range(width):
-            seen = pixels if forward else done
-            if not y:
-                guess = seen[0, x - 1] if x else np.array([255, 0, 0, 0])
-            elif not x:
-                guess = seen[y - 1, 0]
+    out = pixels.copy()
+    out[0] -= np.concatenate([BLACK[None], pixels[0, :-1]])
+    out[1:, 0] -= pixels[:-1, 0]
+    around, inner, own = _neighbours(pixels), out[1:, 1:], _spread(modes, block, height, width)[1:, 1:]
+    for mode in np.unique(own).tolist():
+        at = own == mode
+        inner[at] -= _guess(mode, *(a[at] for a in around))
+    return out & 0xFF
+
+
+def best_modes(argb: np.ndarray, block: int) -> np.ndarray:
+    """For each block the mode with the smallest differences."""
+    height, width, _ = argb.shape
+    rows, columns = (height - 1 >> block) + 1, (width - 1 >> block) + 1
+    around, inner = _neighbours(argb), argb[1:, 1:]
+    place = (_spread(np.arange(rows * columns).reshape(rows, columns), block, height, width)[1:, 1:]).ravel()
+    costs = [np.bincount(place, abs(_signed(inner - _guess(m, *around))).sum(-1).ravel(), rows * columns) for m in range(14)]
+    return np.argmin(costs, 0).reshape(rows, columns)
+
+
+def _restored(differences: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
+    """The pixels from what the predictor transform stores, row by row; within a row a block at once where its mode allows."""
+    height, width, _ = differences.shape
+    out = np.empty_like(differences)
+    out[0] = (np.cumsum(differences[0], 0) + BLACK) & 0xFF
+    edges = [1, *range(1 << block, width, 1 << block), width]
+    for y in range(1, height):
+        row, above, own = out[y], out[y - 1], modes[y >> block].tolist()
+        row[0] = (differences[y, 0] + above[0]) & 0xFF
+        right = np.concatenate([above[1:], row[:1]])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a >= b:
+                continue
+            mode, delta = own[a >> block], differences[y, a:b]
+            if mode == 1:
+                row[a:b] = (np.cumsum(delta, 0) + row[a - 1]) & 0xFF
+            elif mode in LEFT_MODES:
+                row[a:b] = _sequential(mode, row[a - 1], delta, above[a:b], right[a:b], above[a - 1 : b - 1])
             else:
-                corner = seen[y - 1, x + 1] if x + 1 < width else seen[y, 0]
-                guess = _predict(int(modes[y >> block, x >> block]), seen[y, x - 1], seen[y - 1, x], corner, seen[y - 1, x - 1])
-            done[y, x] = (pixels[y, x] - guess if forward else pixels[y, x] + guess) & 0xFF
-    return done
+                row[a:b] = (delta + _guess(mode, above[a:b], above[a:b], right[a:b], above[a - 1 : b - 1])) & 0xFF
+    return out
+
+
+#: Modes that mix the left pixel with others.
+LEFT_MODES = frozenset((5, 6, 7, 10, 11, 12, 13))
+
+
+def _clipped(v: int) -> int:
+    return 0 if v < 0 else 255 if v > 255 else v
+
+
+def _gradient(l: int, t: int, c: int) -> int:
+    middle = (l + t) >> 1
+    apart = middle - c
+    return _clipped(middle + (apart >> 1 if apart >= 0 else -(-apart >> 1)))
+
+
+def _sequential(mode: int, left: np.ndarray, delta: np.ndarray, top: np.ndarray, top_right: np.ndarray, top_left: np.ndarray) -> np.ndarray:
+    """Pixels of a stretch whose mode needs each one before the next."""
+    if mode in (5, 6, 7, 10):
+        return _means(mode, int(_joined(left)), *(_joined(x).tolist() for x in (delta, top, top_right, top_left)))
+    out, left = [], left.tolist()
+    for d, t, c in zip(delta.tolist(), top.tolist(), top_left.tolist(), strict=True):
+        if mode == 11:  # the guess left + top - top left is as far from left as top is from top left
+            use = left if sum(abs(u - k) for u, k in zip(t, c, strict=True)) < sum(abs(l - k) for l, k in zip(left, c, strict=True)) else t
+            left = [(x + g) & 255 for x, g in zip(d, use, strict=True)]
+        elif mode == 12:
+            left = [(x + _clipped(l + u - k)) & 255 for l, x, u, k in zip(left, d, t, c, strict=True)]
+        else:
+            left = [(x + _gradient(l, u, k)) & 255 for l, x, u, k in zip(left, d, t, c, strict=True)]
+        out.append(left)
+    return np.array(out)
+
+
+def _means(mode: int, left: int, delta: list[int], top: list[int], top_right: list[int], top_left: list[int]) -> np.ndarray:
+    """The modes of means, with all channels of a pixel in one number: bytes are halved and added side by side."""
+    mean = lambda a, b: ((a ^ b) >> 1 & 0x7F7F7F7F) + (a & b)
+    other = {5: zip(top_right, top, strict=True), 6: zip(top_left, top_left, strict=True), 7: zip(top, top, strict=True), 10: zip(top_left, map(mean, top, top_right), strict=True)}[mode]
+    twice, out = mode in (5, 10), []
+    for d, (a, b) in zip(delta, other, strict=True):
+        guess = ((left ^ a) >> 1 & 0x7F7F7F7F) + (left & a)
+        if twice:
+            guess = ((guess ^ b) >> 1 & 0x7F7F7F7F) + (guess & b)
+        left = ((d & 0xFF00FF) + (guess & 0xFF00FF) & 0xFF00FF) | ((d & 0xFF00FF00) + (guess & 0xFF00FF00) & 0xFF00FF00)
+        out.append(left)
+    return _channels(np.array(out, np.int64))
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -289,7 +451,7 @@ def _signed(a: np.ndarray) -> np.ndarray:
 def _cross_colour(pixels: np.ndarray, factors: np.ndarray, block: int, forward: bool) -> np.ndarray:
     """Red and blue by the factors (A, red to blue, green to blue, green to red) of each block."""
     height, width, _ = pixels.shape
-    own = np.repeat(np.repeat(factors, 1 << block, 0), 1 << block, 1)[:height, :width]
+    own = _spread(factors, block, height, width)
     out, sign = pixels.copy(), -1 if forward else 1
     delta = lambda f, c: (_signed(f) * _signed(c)) >> 5
     red = (pixels[..., 1] + sign * delta(own[..., 3], pixels[..., 2])) & 0xFF
@@ -330,7 +492,7 @@ def decode(data: bytes) -> np.ndarray:
     pixels = _channels(_read_image(bits, width, height, True).reshape(height, width))
     for kind, block, extra in reversed(transforms):
         if kind == PREDICTOR:
-            pixels = _predictor(pixels, extra[..., 2], block, False)
+            pixels = _restored(pixels, extra[..., 2], block)
         elif kind == CROSS_COLOUR:
             pixels = _cross_colour(pixels, extra, block, False)
         elif kind == SUBTRACT_GREEN:
@@ -358,10 +520,8 @@ class Writer:
         self.size += n
 
     def word(self, code: int, n: int) -> None:
-        """One prefix code word, the highest bit first."""
-        for k in range(n - 1, -1, -1):
-            self.field |= ((code >> k) & 1) << self.size
-            self.size += 1
+        """One prefix code word of up to 16 bits, the highest bit first."""
+        self.number((int(FLIPPED[code & 255]) << 8 | int(FLIPPED[code >> 8])) >> 16 - n, n)
 
     def _close(self) -> None:
         if self.size:
@@ -377,16 +537,6 @@ class Writer:
             shift = lengths[:, None] - 1 - np.arange(most)
             self.parts.append(((codes[:, None] >> np.maximum(shift, 0)) & 1).astype(np.uint8)[shift >= 0])
 
-    def columns(self, codes: list[np.ndarray], widths: list[int]) -> None:
-        """The same where each column of words has one length."""
-        self._close()
-        out, at = np.empty((len(codes[0]), sum(widths)), np.uint8), 0
-        for code, width in zip(codes, widths, strict=True):
-            for k in range(width - 1, -1, -1):
-                out[:, at] = (code >> k) & 1
-                at += 1
-        self.parts.append(out.ravel())
-
     def bytes(self) -> bytes:
         self._close()
         return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
@@ -395,43 +545,28 @@ class Writer:
 def huffman_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     """Lengths of an optimal code, made flatter until none exceeds `limit`; 1 for a lone symbol."""
     counts = np.asarray(counts, np.int64)
+    lengths, used = np.zeros(len(counts), np.int64), np.flatnonzero(counts)
+    if len(used) < 2:
+        lengths[used] = 1
+        return lengths
     while True:
-        heap = [(int(c), i, (i,)) for i, c in enumerate(counts) if c]
-        lengths = np.zeros(len(counts), np.int64)
+        n = len(used)
+        heap = [(c, i) for i, c in enumerate(counts[used].tolist())]
+        parents = [0] * (2 * n - 1)
         heapq.heapify(heap)
-        if len(heap) == 1:
-            lengths[heap[0][1]] = 1
-        while len(heap) > 1:
-            (a, i, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            lengths[list(x + y)] += 1
-            heapq.heappush(heap, (a + b, i, x + y))
-        if lengths.max(initial=0) <= limit:
+        for made in range(n, 2 * n - 1):
+            (a, i), (b, k) = heapq.heappop(heap), heap[0]
+            parents[i] = parents[k] = made
+            heapq.heapreplace(heap, (a + b, made))
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
+            depth[i] = depth[parents[i]] + 1
+        if max(depth) <= limit:
+            lengths[used] = depth[:n]
             return lengths
         counts = np.where(counts > 0, counts // 2 + 1, 0)
 
 
-def _filler() -> np.ndarray:
-    """Symbols in the order in which they complete even codes: what texts hold most comes first, so that many files share a code."""
-    first = [*range(97, 123), *range(65, 91), 32, 10, 46, 44, *range(48, 58), 255, *range(33, 127), *range(128, 192), *range(192, 256)]
-    return np.array(list(dict.fromkeys([*first, *range(N_LITERAL + N_LENGTH)])))
-
-
-FILLER = _filler()
-
-
-def even_lengths(counts: np.ndarray) -> np.ndarray:
-    """One length for all used symbols; unused ones make the code complete."""
-    used = counts > 0
-    n_used = int(used.sum())
-    lengths = np.zeros(len(counts), np.int64)
-    n = max(1, (n_used - 1).bit_length()) if n_used else 0
-    if n_used > 1:
-        order = FILLER[FILLER < len(counts)]
-        lengths[order[~used[order]][: (1 << n) - n_used]] = n
-    lengths[used] = n
-    return lengths
-
-
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """The code word of each symbol."""
     codes = np.zeros(len(lengths), np.int64)
@@ -527,8 +662,8 @@ def _runs(argb: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def _write_image(out: Writer, argb: np.ndarray, width: int, main: bool, even: bool, references: list[tuple[int, int, int]], cache_bits: int = 0) -> None:
-    """An entropy-coded image with one group of codes."""
+def _write_image(out: Writer, argb: np.ndarray, width: int, main: bool, references: list[tuple[int, int, int]], cache_bits: int = 0) -> None:
+    """An entropy-coded image with one group of codes, in which all channels have one alphabet: that makes a code, not four, to be written and read."""
     channels = _channels(argb)[:, [2, 1, 3, 0]]  # green, red, blue, alpha
     copied = np.zeros(len(argb), bool)
     for start, n, _ in references:
@@ -550,22 +685,15 @@ def _write_image(out: Writer, argb: np.ndarray, width: int, main: bool, even: bo
     for _, _, length, distance in coded:
         counts[0][N_LITERAL + length[0]] += 1
         counts[4][distance[0]] += 1
-    if even and main:  # one alphabet for all channels
-        shared = sum(c[:N_LITERAL] for c in counts[:4])
-        counts[:4] = [np.concatenate([shared, counts[0][N_LITERAL:]]), shared, shared, shared]
-    if even and (counts[0] > 0).sum() > N_LITERAL:
-        return _write_image(out, argb, width, main, False, references, cache_bits)
+    shared = sum(c[:N_LITERAL] for c in counts[:4])
+    counts[:4] = [np.concatenate([shared, counts[0][N_LITERAL:]]), shared, shared, shared]
     out.number(cache_bits << 1 | 1, 5) if cache_bits else out.number(0, 1)
     if main:
         out.number(0, 1)
-    made = [_write_code(out, even_lengths(c) if even else huffman_lengths(c, 15)) for c in counts]
-
-    widths = [int(n.max(initial=0)) if len(np.unique(n[n > 0])) < 2 else None for _, n in made[:4]]
+    lengths = [huffman_lengths(counts[k], 15) for k in (0, 1, 4)]
+    made = [_write_code(out, lengths[k]) for k in (0, 1, 1, 1, 2)]
 
     def pixels(a: int, b: int) -> None:
-        if a < b and not cache_bits and all(w is not None for w in widths):
-            out.columns([made[k][0][channels[a:b, k]] for k in range(4)], widths)
-            return
         for first in range(a, b, WINDOW):
             px, hit = channels[first : min(first + WINDOW, b)].copy(), cached[first : min(first + WINDOW, b)]
             px[hit >= 0, 0] = N_LITERAL + N_LENGTH + hit[hit >= 0]
@@ -584,14 +712,13 @@ def _write_image(out: Writer, argb: np.ndarray, width: int, main: bool, even: bo
     pixels(at, len(argb))
 
 
-def encode(pixels: np.ndarray, transforms: tuple = (), even: bool = True, cache_bits: int = 0, references: list[tuple[int, int, int]] | None = None) -> bytes:
+def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, references: list[tuple[int, int, int]] | None = None) -> bytes:
     """A lossless WebP file of RGBA pixels.
 
-    By default literals take one code length a channel and runs of one colour
-    are back-references. `transforms` may list (PREDICTOR, block, modes),
-    (CROSS_COLOUR, block, factors), (SUBTRACT_GREEN,) and (PALETTE,), applied in
-    that order; `even=False` uses optimal code lengths, `cache_bits` a colour
-    cache, and `references` other back-references (start, length, distance).
+    `transforms` may list (PREDICTOR, block, modes), (CROSS_COLOUR, block,
+    factors), (SUBTRACT_GREEN,) and (PALETTE,), applied in that order.
+    `cache_bits` is the size of a colour cache. `references` are back-references
+    (start, length, distance) in order; by default runs of one colour are.
     """
     height, width, _ = pixels.shape
     if not 0 < width <= MAX_SIDE or not 0 < height <= MAX_SIDE:
@@ -610,11 +737,11 @@ def encode(pixels: np.ndarray, transforms: tuple = (), even: bool = True, cache_
             full = np.zeros((*table.shape[:2], 4), np.int64)
             if kind == PREDICTOR:
                 full[..., 2] = table
-                own = _predictor(own, table, block, True)
+                own = differences(own, table, block)
             else:
                 full = table
                 own = _cross_colour(own, table, block, True)
-            _write_image(out, _joined(full).ravel(), full.shape[1], False, even, [])
+            _write_image(out, _joined(full).ravel(), full.shape[1], False, [])
         elif kind == SUBTRACT_GREEN:
             own[..., [1, 3]] = (own[..., [1, 3]] - own[..., [2]]) & 0xFF
         else:
@@ -623,7 +750,7 @@ def encode(pixels: np.ndarray, transforms: tuple = (), even: bool = True, cache_
                 raise ValueError("too many colours for a palette")
             table = _channels(colours)
             out.number(len(colours) - 1, 8)
-            _write_image(out, _joined(np.diff(table, axis=0, prepend=0)), len(colours), False, even, [])
+            _write_image(out, _joined(np.diff(table, axis=0, prepend=0)), len(colours), False, [])
             index, halvings = index.reshape(height, width), _packing(len(colours))
             index = np.pad(index, ((0, 0), (0, -width % (1 << halvings)))).reshape(height, -1, 1 << halvings)
             own = np.zeros((height, index.shape[1], 4), np.int64)
@@ -631,7 +758,7 @@ def encode(pixels: np.ndarray, transforms: tuple = (), even: bool = True, cache_
             width = own.shape[1]
     out.number(0, 1)
     argb = _joined(own).ravel()
-    _write_image(out, argb, width, True, even, _runs(argb) if references is None else references, cache_bits)
+    _write_image(out, argb, width, True, _runs(argb) if references is None else references, cache_bits)
     body = bytes([SIGNATURE]) + out.bytes()
     padded = body + b"\0" * (len(body) % 2)
     return b"RIFF" + struct.pack("<I", 12 + len(padded)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + padded

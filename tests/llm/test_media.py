@@ -2,6 +2,8 @@
 
 import hashlib
 import itertools
+import random
+import struct
 import zlib
 
 import numpy as np
@@ -28,16 +30,15 @@ def modes(height, width, block, kind):
 
 
 @pytest.mark.parametrize("kind", range(14))
-@pytest.mark.parametrize("even", [True, False])
-def test_predictors(kind, even):
+def test_predictors(kind):
     px = picture(kind, 9, 11)
-    assert (webp.decode(webp.encode(px, ((webp.PREDICTOR, 2, modes(9, 11, 2, kind)),), even=even)) == px).all()
+    assert (webp.decode(webp.encode(px, ((webp.PREDICTOR, 2, modes(9, 11, 2, kind)),))) == px).all()
 
 
 @pytest.mark.parametrize("colours", [1, 2, 3, 4, 5, 16, 17, 200])
 def test_palettes(colours):
     px = picture(colours, 13, 19, colours)
-    assert (webp.decode(webp.encode(px, ((webp.PALETTE,),), even=False)) == px).all()
+    assert (webp.decode(webp.encode(px, ((webp.PALETTE,),))) == px).all()
 
 
 @pytest.mark.parametrize("order", list(itertools.permutations(("predictor", "cross", "green"))))
@@ -45,15 +46,14 @@ def test_transforms_in_any_order(order):
     px = picture(5, 21, 18)
     factors = np.random.default_rng(6).integers(0, 256, (3, 3, 4))
     made = {"predictor": (webp.PREDICTOR, 3, modes(21, 18, 3, (1,))), "cross": (webp.CROSS_COLOUR, 3, factors), "green": (webp.SUBTRACT_GREEN,)}
-    assert (webp.decode(webp.encode(px, tuple(made[o] for o in order), even=False)) == px).all()
+    assert (webp.decode(webp.encode(px, tuple(made[o] for o in order))) == px).all()
 
 
 @pytest.mark.parametrize("bits", [0, 1, 4, 11])
-@pytest.mark.parametrize("even", [True, False])
-def test_colour_cache_and_runs(bits, even):
+def test_colour_cache_and_runs(bits):
     px = picture(bits, 20, 30, 6)
     px[3:9] = px[0, 0]
-    assert (webp.decode(webp.encode(px, cache_bits=bits, even=even)) == px).all()
+    assert (webp.decode(webp.encode(px, cache_bits=bits)) == px).all()
 
 
 def test_back_references():
@@ -62,7 +62,7 @@ def test_back_references():
     px = np.concatenate([base, base, base[:1].repeat(3, 0), np.tile(base[:1, :2], (1, 8, 1))])
     argb = 16
     references = [(4 * argb, 64, 64), (9 * argb, 32, 16), (11 * argb + 2, 14, 2)]
-    assert (webp.decode(webp.encode(px, even=False, references=references)) == px).all()
+    assert (webp.decode(webp.encode(px, references=references)) == px).all()
 
 
 def test_nearest_places_come_first():
@@ -86,7 +86,7 @@ def test_optional_reader_agrees():
     import io
 
     px = picture(1, 40, 30)
-    for made in (webp.encode(px), webp.encode(px, ((webp.PREDICTOR, 3, modes(40, 30, 3, (2,))),), even=False, cache_bits=5)):
+    for made in (webp.encode(px), webp.encode(px, ((webp.PREDICTOR, 3, modes(40, 30, 3, (2,))),), cache_bits=5)):
         assert (np.array(image.open(io.BytesIO(made)).convert("RGBA")) == px).all()
 
 
@@ -120,18 +120,85 @@ def test_empty_table(spark):
 
 
 def test_stored_images_use_every_coding(monkeypatch):
-    """Among stored texts are all transforms, a colour cache, optimal code lengths and references from further away."""
+    """Among stored texts are all transforms, a colour cache and references from further away."""
     used = set()
     plain = webp.encode
 
-    def watched(pixels, transforms=(), even=True, cache_bits=0, references=None):
+    def watched(pixels, transforms=(), cache_bits=0, references=None):
         used.update(t[0] for t in transforms)
         used.update(m for t in transforms if t[0] == webp.PREDICTOR for m in ("mode %d" % k for k in np.unique(t[2])))
-        used.update(n for n, on in (("cache", cache_bits), ("huffman", not even), ("far", any(d > 1 for _, _, d in references or ()))) if on)
-        return plain(pixels, transforms, even, cache_bits, references)
+        used.update(n for n, on in (("cache", cache_bits), ("far", any(d > 1 for _, _, d in references or ()))) if on)
+        return plain(pixels, transforms, cache_bits, references)
 
     monkeypatch.setattr(webp, "encode", watched)
-    for k in range(400):
-        data = (f"text {k} " + "again and again, " * 30).encode()
+    rng = random.Random(5)
+    for k in range(300):
+        line = "".join(rng.choice("abcdefghij klmnop\x00\xff") for _ in range(rng.choice((200, 1500, 4000))))
+        data = ((line + line[: rng.randrange(800)] + "=" * rng.randrange(300)) * rng.choice((1, 1, 3))).encode()
         assert media.from_media(media.to_media(data)).tobytes()[: len(data)] == data
-    assert used == {webp.PREDICTOR, webp.CROSS_COLOUR, webp.SUBTRACT_GREEN, webp.PALETTE, "cache", "huffman", "far", *(f"mode {k}" for k in range(14))}
+    assert used >= {webp.PREDICTOR, webp.CROSS_COLOUR, webp.SUBTRACT_GREEN, webp.PALETTE, "cache", "far"}
+    assert len([u for u in used if str(u).startswith("mode")]) >= 3
+
+
+def test_cache_with_back_references():
+    """Copied pixels enter the cache, too."""
+    base = picture(4, 6, 16, 5)
+    px = np.concatenate([base, base, picture(5, 6, 16, 40), base[::-1]])
+    assert (webp.decode(webp.encode(px, cache_bits=3, references=[(96, 90, 96)])) == px).all()
+
+
+def test_large_image():
+    """More bits than are decoded at once."""
+    px = picture(6, 300, 144)
+    px[40:90] = px[0:50]
+    for options in ({}, {"cache_bits": 6}, {"references": [(40 * 144, 4096, 40 * 144)]}):
+        assert (webp.decode(webp.encode(px, **options)) == px).all()
+
+
+def bits_of(*fields):
+    """A bit stream from (value, bits), the lowest bit first; a string is written as it stands."""
+    out = "".join(v if isinstance(v, str) else "".join(str(v >> k & 1) for k in range(n)) for v, n in ((f, 0) if isinstance(f, str) else f for f in fields))
+    data = bytes(int(out[k : k + 8].ljust(8, "0")[::-1], 2) for k in range(0, len(out), 8))
+    body = bytes([0x2F]) + data
+    return b"RIFF" + struct.pack("<I", 12 + len(body) + len(body) % 2) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+
+
+ONE = lambda v: ((1, 1), (0, 1), (1, 1), (v, 8))  # noqa: E731 a code of one symbol
+TWO = lambda v, w: ((1, 1), (1, 1), (1, 1), (v, 8), (w, 8))  # noqa: E731 a code of two symbols, 0 and 1
+
+
+def test_file_written_by_hand():
+    """2 x 2 pixels, green 7 or 9, no transform: written from the format's description, not by the encoder."""
+    made = bits_of((1, 14), (1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1), *TWO(7, 9), *ONE(1), *ONE(2), *ONE(255), *ONE(0), "0110")
+    assert webp.decode(made).tolist() == [[[1, 7, 2, 255], [1, 9, 2, 255]], [[1, 9, 2, 255], [1, 7, 2, 255]]]
+
+
+def test_transforms_written_by_hand():
+    """Subtract green adds the green to red and blue; predictor mode 2 in one block adds the pixel above."""
+    green = bits_of((0, 14), (0, 14), (0, 1), (0, 3), (1, 1), (2, 2), (0, 1), (0, 1), (0, 1), *ONE(10), *ONE(250), *ONE(3), *ONE(255), *ONE(0))
+    assert webp.decode(green).tolist() == [[[4, 10, 13, 255]]]
+    modes = ((0, 1), *ONE(2), *ONE(0), *ONE(0), *ONE(255), *ONE(0))
+    predicted = bits_of((1, 14), (1, 14), (0, 1), (0, 3), (1, 1), (0, 2), (0, 3), *modes, (0, 1), (0, 1), (0, 1), *TWO(5, 8), *ONE(1), *ONE(2), *ONE(0), *ONE(0), "0111")
+    # the first pixel follows black, its right neighbour the left one, the second row what is above
+    assert webp.decode(predicted).tolist() == [[[1, 5, 2, 255], [2, 13, 4, 255]], [[2, 13, 4, 255], [3, 21, 6, 255]]]
+
+
+def test_palette_written_by_hand():
+    """Two colours, eight pixels a byte; the second colour is the difference to the first."""
+    table = ((0, 1), *TWO(4, 20), *ONE(1), *ONE(1), *ONE(127), *ONE(0), "01")
+    made = bits_of((3, 14), (0, 14), (0, 1), (0, 3), (1, 1), (3, 2), (1, 8), *table, (0, 1), (0, 1), (0, 1), *ONE(0b0110), *ONE(0), *ONE(0), *ONE(255), *ONE(0))
+    one, two = [1, 4, 1, 127], [2, 24, 2, 254]
+    assert webp.decode(made).tolist() == [[one, two, two, one]]
+
+
+def test_copy_and_cache_written_by_hand():
+    """A code of three green symbols: a literal, a copy of one pixel from the left, and a cached pixel."""
+    argb = 255 << 24 | 1 << 16 | 7 << 8 | 2
+    slot = (0x1E35A7BD * argb & 0xFFFFFFFF) >> 31
+    lengths = [0] * 282
+    lengths[7], lengths[256], lengths[280 + slot] = 1, 2, 2
+    out = webp.Writer()
+    webp._write_code(out, np.array(lengths))
+    field = (out.field, out.size)
+    made = bits_of((3, 14), (0, 14), (0, 1), (0, 3), (0, 1), (1, 1), (1, 4), (0, 1), field, *ONE(1), *ONE(2), *ONE(255), *ONE(1), "0", "10", "11", "0")
+    assert webp.decode(made).tolist() == [[[1, 7, 2, 255]] * 4]
