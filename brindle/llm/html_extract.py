@@ -18,7 +18,8 @@ import hashlib
 import html as html_module
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -63,7 +64,11 @@ BLOCKS = CONTAINERS | frozenset("html p ul ol li dl dt dd table thead tbody tfoo
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}} | {t: {"p"} for t in (CONTAINERS | frozenset("ul ol dl table h1 h2 h3 h4 h5 h6 pre blockquote header figure address hr".split())) - {"td", "body"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.S)
+#: A tag with its quotes in order, and one whose quotes don't close.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>""")
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+#: Characters of a path from which its beginning is a digest, so that deep nesting costs no more than its depth.
+LONG_PATH = 300
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|$))""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -150,20 +155,19 @@ def _is_boilerplate(name: str, in_article: bool) -> bool:
     return bool(marks) and all(w in marks or w in PLAIN_WORDS for w in words)
 
 
-def _why_dropped(tag: str, attributes: dict[str, str], around: list[tuple[str, int, bool]]) -> int:
+def _why_dropped(tag: str, attributes: dict[str, str], open_tags: Counter) -> int:
     """Why an element isn't main text, judged by itself and the elements it is in; 0 if it may be."""
     if tag in ("html", "body") or not (attributes or tag in DROPPED_TAGS or tag == "header"):
         return 0
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
         return HIDDEN
-    open_tags = {t for t, _, _ in around}
-    in_article = "article" in open_tags or "main" in open_tags
+    in_article = open_tags["article"] or open_tags["main"]
     role = attributes.get("role", "").lower()
     if tag in FIRM_TAGS or role in FIRM_ROLES:
         return FIRM
     if tag == "form" or (tag == "header" and not in_article) or role in DROPPED_ROLES:
         return FORM
-    if not attributes or tag in HEADINGS or tag in ("article", "main", "pre", "code") or "pre" in open_tags or "code" in open_tags:
+    if not attributes or tag in HEADINGS or tag in ("article", "main", "pre", "code") or open_tags["pre"] or open_tags["code"]:
         return 0
     classes = attributes.get("class", "").split()
     names = [n for n in classes if _is_boilerplate(n, in_article)]
@@ -183,7 +187,7 @@ def _drop(nodes: list[Node]) -> None:
         if node.tag in shown and not hidden[i]:
             shown[node.tag].append(i)
     articles = set(shown["article"])
-    outer = [i for i in shown["article"] if not _within(nodes, nodes[i].parent, articles)]
+    outer = _outermost(nodes, articles)
     only = shown["main"] if len(shown["main"]) == 1 else outer if not shown["main"] and len(outer) == 1 else []
     holders = set()
     at = only[0] if only else -1
@@ -196,12 +200,38 @@ def _drop(nodes: list[Node]) -> None:
         node.dropped = nodes[node.parent].dropped or (node.why != 0 and (node.why == HIDDEN or not stays))
 
 
-def _within(nodes: list[Node], at: int, of: set[int]) -> bool:
-    while at >= 0:
-        if at in of:
-            return True
-        at = nodes[at].parent
-    return False
+def _outermost(nodes: list[Node], of: set[int]) -> list[int]:
+    """Those of the given nodes that are in none of the others."""
+    inside, out = [False] * len(nodes), []
+    for i, node in enumerate(nodes):
+        above = node.parent >= 0 and inside[node.parent]
+        inside[i] = above or i in of
+        if i in of and not above:
+            out.append(i)
+    return out
+
+
+def _tags(html: str) -> Generator[tuple[int, int, str, str, str], int | None, None]:
+    """Tags (start, end, slash, name, attributes) in order; comments and declarations without a name. Time is linear in the text."""
+    at, last = 0, html.rfind(">")
+    while (start := html.find("<", at)) >= 0:
+        follows = html[start + 1 : start + 4]
+        if follows == "!--":
+            end = html.find("-->", start + 4)
+            at = len(html) if end < 0 else end + 3
+        elif follows[:1] in ("!", "?"):
+            end = html.find(">", start)
+            at = len(html) if end < 0 else end + 1
+        elif start < last and (m := TAG.match(html, start) or LOOSE_TAG.match(html, start)):
+            at = yield start, m.end(), m[1], m[2].lower(), m[3]
+            at = m.end() if at is None else at
+            continue
+        elif start >= last:
+            return
+        else:
+            at = start + 1
+            continue
+        yield start, at, "", "", ""
 
 
 def read_page(html: str | None, decode: bool = True) -> Page:
@@ -213,6 +243,7 @@ def read_page(html: str | None, decode: bool = True) -> Page:
     nodes = [Node(-1, "", "", 0, True)]
     pieces: list[tuple[int, str]] = []
     stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, node, in a link or hidden
+    open_tags: Counter = Counter()  # how often each tag is in the stack
     at, lower = 0, None
 
     def add(text: str) -> None:
@@ -221,49 +252,62 @@ def read_page(html: str | None, decode: bool = True) -> Page:
             if not stack[-1][2]:
                 nodes[stack[-1][1]].prose += len("".join(text.split()))
 
-    while (m := TOKEN.search(html, at)) is not None:
-        add(html[at : m.start()])
-        at, tag = m.end(), (m[2] or "").lower()
+    def close(k: int) -> None:
+        for t, _, _ in stack[k:]:
+            open_tags[t] -= 1
+        del stack[k:]
+
+    tags = _tags(html)
+    found = next(tags, None)
+    while found is not None:
+        start, end, slash, tag, inside = found
+        add(html[at:start])
+        at = end
         if not tag:
+            found = next(tags, None)
             continue
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+        if slash:
+            for k in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    close(k)
                     break
             if tag in BLOCKS:
                 pieces.append((stack[-1][1], " "))
+            found = next(tags, None)
             continue
         if tag in RAW:
-            lower = html.lower() if lower is None else lower
-            end = lower.find(f"</{tag}", at) if not m[3].endswith("/") else at - 1
-            close = html.find(">", end) if end >= 0 else -1
-            at = (len(html) if close < 0 else close + 1) if end != at - 1 else at
+            if not inside.endswith("/"):
+                lower = html.lower() if lower is None else lower
+                stop = lower.find(f"</{tag}", at)
+                stop = html.find(">", stop) if stop >= 0 else -1
+                at = len(html) if stop < 0 else stop + 1
+            found = _sent(tags, at)
             continue
         if tag in BLOCKS:
             ends = ENDS.get(tag, ())
             scope = SCOPES.get(tag, CONTAINERS | {"ul", "ol", "dl", "table", "blockquote"})
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(open_tags[t] for t in ends) else ():
                 if stack[k][0] in ends:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in scope:
                     break
             pieces.append((stack[-1][1], " "))
-        if tag in VOID or m[3].endswith("/"):
-            continue
-        _, container, aside = stack[-1]
-        attributes = _attributes(m[3])
-        why = _why_dropped(tag, attributes, stack)
-        if why or tag in CONTAINERS:
-            path, candidate = nodes[container].path, tag in CONTAINERS
-            if candidate:
-                names = ".".join(sorted(set(re.sub(r"\d+", "#", attributes.get("class", "")).split())))
-                path = f"{path}/{tag}{'.' + names if names else ''}"
-            nodes.append(Node(container, tag, path, why, candidate))
-            nodes[container].children.append(len(nodes) - 1)
-            container = len(nodes) - 1
-        stack.append((tag, container, aside or why == HIDDEN or (tag == "a" and "href" in m[3].lower())))
+        if not (tag in VOID or inside.endswith("/")):
+            _, container, aside = stack[-1]
+            attributes = _attributes(inside)
+            why = _why_dropped(tag, attributes, open_tags)
+            if why or tag in CONTAINERS:
+                path, candidate = nodes[container].path, tag in CONTAINERS
+                if candidate:
+                    names = ".".join(sorted(set(re.sub(r"\d+", "#", attributes.get("class", "")).split())))
+                    path = f"{path if len(path) < LONG_PATH else f'~{_digest(path):x}'}/{tag}{'.' + names if names else ''}"
+                nodes.append(Node(container, tag, path, why, candidate))
+                nodes[container].children.append(len(nodes) - 1)
+                container = len(nodes) - 1
+            stack.append((tag, container, aside or why == HIDDEN or (tag == "a" and "href" in inside.lower())))
+            open_tags[tag] += 1
+        found = next(tags, None)
     add(html[at:])
     for i in range(len(nodes) - 1, 0, -1):
         nodes[nodes[i].parent].prose += nodes[i].prose
@@ -280,6 +324,14 @@ def read_page(html: str | None, decode: bool = True) -> Page:
     return page
 
 
+def _sent(tags: Generator, at: int) -> tuple[int, int, str, str, str] | None:
+    """The next tag from `at` on."""
+    try:
+        return tags.send(at)
+    except StopIteration:
+        return None
+
+
 def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
@@ -311,7 +363,7 @@ def extract(html: str | None, path: str | None, boilerplate: frozenset[str] = fr
     if own < 0:
         return "", ""
     wanted = {i for i, n in enumerate(page.nodes) if path and n.path == path and n.candidate and not n.dropped}
-    top = {i for i in wanted if not _within(page.nodes, page.nodes[i].parent, wanted)}
+    top = _outermost(page.nodes, wanted)
     if sum(page.nodes[i].core for i in top) == page.nodes[0].core:
         return page.text(wanted), path
     return page.text({own}), page.nodes[own].path

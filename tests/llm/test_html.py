@@ -1,5 +1,7 @@
 """HTML extraction: planted pages whose main text is known."""
 
+import time
+
 import pytest
 
 from brindle.llm import html_extract as h
@@ -101,3 +103,23 @@ def test_host_path_that_leaves_out_main_text_is_not_used(spark):
 def test_copies_of_a_page_make_no_boilerplate(spark):
     rows = [page(i, '<main><h1>Same title</h1><p>Same lead</p><div class="b"><p>Same text</p></div></main>') for i in range(6)]
     assert {r.text for r in h.extract_pages(spark.createDataFrame(rows, PAGES)).collect()} == {"Same title Same lead Same text"}
+
+
+@pytest.mark.parametrize("page", ["<a " * 333_000, '<a "' * 250_001 + ">", "<div class='x'>" * 60_000 + "end", "<b>" * 50_000 + "</p>" * 50_000, "<article>" * 30_000 + "end", "<p><b>" * 60_000 + "end", "<" * 1_000_000 + ">"], ids=["unclosed", "quotes", "nested", "unopened", "articles", "inline", "brackets"])
+def test_broken_markup_takes_linear_time(page):
+    began = time.perf_counter()
+    text, _ = h.extract(page, None)
+    assert time.perf_counter() - began < 10  # seconds, not the hours of a quadratic scan
+    assert text == "end" or "end" not in page
+
+
+def test_tags_with_stray_quotes_are_markup():
+    assert h.extract('<main><p class="a>one</p><p>two</p></main>', None)[0] in ("two", "one two")
+    assert h.extract("<main><p title='>'>one</p> 1 < 2 &amp; 3 > 2</main>", None)[0] == "one 1 < 2 & 3 > 2"
+
+
+def test_repeated_rows_are_extracted_each(spark):
+    page = "<html><body><article><p>The text</p></article></body></html>"
+    rows = [(1, "http://h/1", page)] * 3 + [(None, None, page)]
+    got = h.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == ["The text"] * 4
