@@ -9,8 +9,9 @@ orders before its sets are compared:
   that any other set has in its own prefix can't have a partner and is out,
   without a pair being made.
 * Rarest first, by exact counts, among the prefix tokens of the sets that are
-  left. Sets that share l of them meet in all but the l - 1 commonest, so
-  frequent passages seldom make a pair.
+  left. Sets that share l of them meet in all but the l - 1 commonest. The sets
+  in tokens that are still crowded are ordered again by all of their tokens,
+  where frequent passages come last and seldom make a pair.
 * Two more hash orders, whose prefixes each set carries as bitmaps: a pair's
   bitmaps must meet in both.
 
@@ -48,14 +49,14 @@ EXTRA = 20
 #: Classes that meet in a token and are all compared with each other.
 BUCKET = 24
 #: Pivots of the rounds in which larger groups are connected.
-PIVOTS = (1, 8, 32)
+PIVOTS = (4, 32)
 SLICE_BYTES = 4_000_000
 #: Words of 64 bits in a parity bitmap, and in the bitmap of a further order's prefix.
 PARITY_WORDS, ORDER_WORDS = 16, 8
 #: Odd factors that make further orders of the token hashes.
 ORDERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-#: Sets with a possible partner up to which their keys are broadcast: 64 MB at most. More are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Sets with a possible partner up to which their keys are broadcast, about 40 MB. More are joined by a shuffle.
+BROADCAST_ROWS = 300_000
 
 
 def least_shared(n: int) -> int:
@@ -205,26 +206,50 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(moved.unionByName(up.join(labels, "id", "left_anti")), "labels")
 
 
-def _labels(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """id, component of the sets that any similar set, or one of `links`, is linked with."""
-    heads = sets.select("sid", "n", "head", "need", F.explode(F.slice("tokens", 1, F.col("head"))).alias("token"))
-    shared = heads.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+def _meeting(sets: DataFrame, name: str) -> DataFrame:
+    """token, sid, n, alone of the rarest-first prefixes of `tokens`, from sets (sid, n, tokens, need) that share `need` of them with a similar one at least.
+
+    alone: how many of the tokens no other set has. They come first and can't meet.
+    """
+    rows = sets.select("sid", "n", "need", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    shared = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     order = Window.partitionBy("sid").orderBy("df", "token")
-    own = heads.join(shared, "token").withColumns({"rank": F.row_number().over(order), "shared": F.count("*").over(Window.partitionBy("sid"))})
-    # tokens of one set only come before all others and can't meet
-    meeting = own.filter(F.col("rank") <= F.col("shared") - F.col("need") + 1)
-    meeting = materialise(meeting.select("token", "sid", "n", (F.col("head") - F.col("shared")).alias("alone")), "meeting-tokens")
-    release(sets.sparkSession)
-    # tokens with the same sets make the same pairs: one of them is enough
+    own = rows.join(shared, "token").withColumns({"rank": F.row_number().over(order), "shared": F.count("*").over(Window.partitionBy("sid"))})
+    first = own.filter(F.col("rank") <= F.col("shared") - F.col("need") + 1)
+    return materialise(first.select("token", "sid", "n", (F.col("size") - F.col("shared")).alias("alone")), name)
+
+
+def _groups(meeting: DataFrame, name: str) -> DataFrame:
+    """token, size: of tokens with the same sets, which make the same pairs, one."""
     hashed = F.xxhash64("sid")
     groups = meeting.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(hashed).alias("h1"), F.bit_xor(F.xxhash64(hashed, F.lit(1))).alias("h2")).filter("size > 1")
-    groups = materialise(groups.groupBy("size", "h1", "h2").agg(F.min("token").alias("token")).select("token", "size"), "token-groups")
+    return materialise(groups.groupBy("size", "h1", "h2").agg(F.min("token").alias("token")).select("token", "size"), name)
+
+
+def _small_pairs(meeting: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) of close sizes in tokens with up to BUCKET sets."""
     member = F.struct("sid", "n")
     small = meeting.join(groups.filter(F.col("size") <= BUCKET), "token").groupBy("token").agg(F.array_sort(F.collect_list(member)).alias("all"))
     small = small.select("all").withColumn("x", F.explode("all")).withColumn("y", F.explode(F.filter("all", lambda m: m["sid"] > F.col("x.sid"))))
-    pairs = small.filter(_close_sizes("x.n", "y.n")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    return small.filter(_close_sizes("x.n", "y.n")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+
+
+def _crowded(groups: DataFrame) -> DataFrame:
+    return groups.filter(F.col("size") > BUCKET).select("token")
+
+
+def _labels(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """id, component of the sets that any similar set, or one of `links`, is linked with."""
+    meeting = _meeting(sets.withColumn("tokens", F.slice("tokens", 1, F.col("head"))), "meeting-tokens")
+    groups = _groups(meeting, "token-groups")
+    again = sets.join(meeting.join(_crowded(groups), "token").select("sid").distinct(), "sid", "left_semi")
+    crowd = _meeting(again.withColumn("need", F.ceil(F.col("n") * SHARE / 100)), "meeting-crowds")
+    crowd_groups = _groups(crowd, "crowd-groups")
+    pairs = _small_pairs(meeting, groups).unionByName(_small_pairs(crowd, crowd_groups)).distinct()
     labels = components(_verified(pairs, sets).unionByName(links))
-    crowds = meeting.join(groups.filter(F.col("size") > BUCKET).select("token"), "token").join(sets.select("sid", "bits"), "sid")
+    discard(meeting)
+    release(sets.sparkSession)
+    crowds = crowd.join(_crowded(crowd_groups), "token").join(sets.select("sid", "bits"), "sid")
     crowds = materialise(crowds.select("token", "sid", "n", "alone", "bits"), "crowded-tokens")
     for pivots in (*PIVOTS, None):
         own = crowds.join(labels.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
