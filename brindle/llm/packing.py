@@ -26,9 +26,9 @@ from brindle.llm.common import crc32, materialise, per_process, slices, split_wo
 #: Rows that one salt of a length holds on average.
 SALT_ROWS = 50_000
 #: Words a worker remembers; the cache is emptied when full.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 #: Bytes of text that are tokenized together.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 class WordEncoder:

@@ -38,7 +38,7 @@ NO_EVIDENCE = 0.25
 STEM = 4
 EDGES = ".,;:!?()[]{}\"'|*_-"
 #: Words a worker remembers; the cache is emptied when full.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 100_000
 
 
 @dataclass(frozen=True)
