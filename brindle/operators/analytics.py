@@ -70,6 +70,32 @@ def failure_rates(reviews: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def lowest_rated(reviews: DataFrame, by: list[str], n: int = 3, chars: int = 600) -> DataFrame:
+    """The n reviews of each group with the lowest scores: rank, run_id, hgrs, decision, and the note without space around, cut to `chars`."""
+    order = Window.partitionBy(*by).orderBy("hgrs", "review_id")
+    note = F.substring(F.trim(F.coalesce("reviewer_notes", F.lit(""))), 1, chars)
+    ranked = reviews.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    return ranked.select(*by, "rank", "run_id", "hgrs", "decision", note.alias("reviewer_notes"))
+
+
+def note_samples(reviews: DataFrame, by: list[str], n: int = 10, chars: int = 400) -> DataFrame:
+    """The first n notes of each group by review id, cut to `chars`."""
+    noted = reviews.filter(F.coalesce("reviewer_notes", F.lit("")) != "")
+    ranked = noted.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("review_id"))).filter(F.col("rank") <= n)
+    return ranked.select(*by, "rank", F.substring("reviewer_notes", 1, chars).alias("note"))
+
+
+def ok_share(runs: DataFrame, by: str = "agent_mode") -> DataFrame:
+    """How many of each kind's runs went well, of how many."""
+    return runs.groupBy(by).agg(F.count_if(F.col("status") == "ok").alias("ok"), F.count("*").alias("total"))
+
+
+def first_cases(cases: DataFrame, n: int, split: str = "validation") -> DataFrame:
+    """The first n cases of each project's split by smell_id: a subset that repeated validations share."""
+    order = Window.partitionBy("project").orderBy("smell_id", "case_id")
+    return cases.filter(F.col("split") == split).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
+
+
 def weak_criteria(digests: DataFrame, by: list[str], below: float = 3.5) -> DataFrame:
     """Criteria with a mean below the bar, the weakest first, equal ones in the rubric's order."""
     long = digests.unpivot(by, [f"mean_{c}" for c in CRITERIA], "name", "mean")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.vocab import CRITERIA
+from brindle.functions.vocab import CRITERIA, INSTRUCTION
 
-INSTRUCTION = "Propose one evidence-grounded architectural refactoring for the following smell case. Answer with the required JSON object only."
 _ALL = {"ignoreNullFields": "false"}
 
 

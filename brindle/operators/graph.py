@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,31 +17,139 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Edges that one task takes at once.
+TASK_EDGES = 200_000
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """graph, v, component (the smallest member) of all vertices of edges (graph, a, b).
 
-    Rounds of colouring: every vertex takes the largest name that reaches it,
-    and a vertex whose name returns to it along edges within its colour is in that
-    colour's component. Finished components leave the graph. Everything is joins
-    and aggregations, so a graph may be far larger than one task.
+    Graphs of up to TASK_EDGES edges are searched whole, one a task. Larger ones
+    are cut into weakly connected parts, which are searched the same way where
+    they fit. Parts beyond that stay spread out over tasks and are coloured, so
+    a graph may be far larger than one task. Edges without a start or end are
+    left out; repeated ones count once; an empty table gives no rows.
+    """
+    edges = _written(edges.select("graph", "a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct(), "scc-edges")
+    found, large = _searched(edges.withColumn("part", F.lit("")))
+    if large is None:
+        return found
+    parts = _weak_parts(large)
+    own = large.drop("part").join(parts.select("graph", F.col("v").alias("a"), "part"), ["graph", "a"])
+    more, rest = _searched(own)
+    found = found.unionByName(more)
+    return found if rest is None else found.unionByName(_coloured(rest.drop("part")))
+
+
+def _searched(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The components of the parts (graph, part) that fit a task, and the edges of all others, if any."""
+    sizes = edges.groupBy("graph", "part").agg(F.count("*").alias("n"))
+    many = sizes.filter(F.col("n") > TASK_EDGES).select("graph", "part")
+    if not many.limit(1).count():
+        return edges.groupBy("graph", "part").applyInPandas(_search, f"{_columns(edges)}, component {_kind(edges)}"), None
+    fits = edges.join(many, ["graph", "part"], "left_anti").groupBy("graph", "part").applyInPandas(_search, f"{_columns(edges)}, component {_kind(edges)}")
+    return fits, _written(edges.join(many, ["graph", "part"], "left_semi"), "scc-large")
+
+
+def _kind(edges: DataFrame) -> str:
+    return edges.schema["a"].dataType.simpleString()
+
+
+def _columns(edges: DataFrame) -> str:
+    return f"graph {edges.schema['graph'].dataType.simpleString()}, v {_kind(edges)}"
+
+
+def _search(edges: pd.DataFrame) -> pd.DataFrame:
+    """The strong components of one graph in two depth-first passes: vertices by when their search ends, then back along edges."""
+    codes, names = pd.factorize(pd.concat([edges["a"], edges["b"]], ignore_index=True), sort=True)
+    n, m = len(names), len(edges)
+    forward, backward = [[] for _ in range(n)], [[] for _ in range(n)]
+    for a, b in zip(codes[:m].tolist(), codes[m:].tolist(), strict=True):
+        forward[a].append(b)
+        backward[b].append(a)
+    ended, seen = [], [False] * n
+    for root in range(n):
+        if seen[root]:
+            continue
+        seen[root], stack = True, [(root, iter(forward[root]))]
+        while stack:
+            v, following = stack[-1]
+            w = next((w for w in following if not seen[w]), None)
+            if w is None:
+                ended.append(v)
+                stack.pop()
+            else:
+                seen[w] = True
+                stack.append((w, iter(forward[w])))
+    least = [-1] * n
+    for root in reversed(ended):
+        if least[root] >= 0:
+            continue
+        least[root], members = n, [root]
+        for v in members:
+            for w in backward[v]:
+                if least[w] < 0:
+                    least[w] = n
+                    members.append(w)
+        first = min(members)
+        for v in members:
+            least[v] = first
+    return pd.DataFrame({"graph": edges["graph"].iloc[0], "v": names, "component": names.take(least)})
+
+
+def _weak_parts(edges: DataFrame) -> DataFrame:
+    """graph, v, part: a name of each vertex's weakly connected part, by labels that jump over labels."""
+    both = edges.select("graph", "a", "b").unionByName(edges.select("graph", F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = _written(both.select("graph", F.col("a").alias("v")).distinct().withColumn("part", F.col("v")), "scc-parts")
+    while True:
+        near = both.join(labels.select("graph", F.col("v").alias("b"), "part"), ["graph", "b"]).select("graph", F.col("a").alias("v"), "part")
+        low = labels.unionByName(near).groupBy("graph", "v").agg(F.min("part").alias("part"))
+        # what a label's own vertex is called now holds for all that have the label
+        hooked = labels.select("graph", F.col("part").alias("old"), "v").join(low, ["graph", "v"]).groupBy("graph", "old").agg(F.min("part").alias("root"))
+        moved = low.join(hooked.withColumnRenamed("old", "part"), ["graph", "part"], "left").select("graph", "v", F.coalesce("root", "part").alias("part"))
+        moved = _written(moved, "scc-parts")
+        if not moved.join(labels, ["graph", "v", "part"], "left_anti").limit(1).count():
+            return moved.withColumn("part", F.col("part").cast("string"))
+        labels = moved
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """The same by rounds of colouring: every vertex takes the largest name that
+    reaches it, and a vertex whose name returns to it along edges within its
+    colour is in that colour's component. Finished components leave the graph.
     """
     spark: SparkSession = edges.sparkSession
     left = _written(edges.select("graph", "a", "b").distinct(), "scc-edges")
     done = left.select("graph", F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("component", F.col("v"))
     found = spark.createDataFrame([], done.schema)
     while left.limit(1).count():
+        left = _trimmed(left)
         colours = left.select("graph", F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("colour", F.col("v"))
         colours = _spread(colours, left, "a", "b")
         tagged = left.join(colours.select("graph", F.col("v").alias("a"), F.col("colour").alias("ca")), ["graph", "a"]).join(colours.select("graph", F.col("v").alias("b"), F.col("colour").alias("cb")), ["graph", "b"])
         inside = _written(tagged.filter("ca = cb").select("graph", "a", "b", F.col("ca").alias("colour")), "scc-inside")
         reached = _backwards(colours, inside)
-        found = _written(found.unionByName(reached.select("graph", "v", F.min("v").over(Window.partitionBy("graph", "colour")).alias("component"))), "scc-found")
+        found = found.unionByName(_written(reached.select("graph", "v", F.min("v").over(Window.partitionBy("graph", "colour")).alias("component")), "scc-found"))
         gone = reached.select("graph", "v")
         left = _written(left.join(gone.withColumnRenamed("v", "a"), ["graph", "a"], "left_anti").join(gone.withColumnRenamed("v", "b"), ["graph", "b"], "left_anti").select("graph", "a", "b"), "scc-edges")
     singles = done.join(found.select("graph", "v"), ["graph", "v"], "left_anti")
     return found.unionByName(singles)
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those that begin where none ends or end where none begins, as long as that takes a tenth of them off."""
+    before = edges.count()
+    while before:
+        starts, ends = edges.select("graph", F.col("a").alias("v")).distinct(), edges.select("graph", F.col("b").alias("v")).distinct()
+        inner = edges.join(ends.withColumnRenamed("v", "a"), ["graph", "a"], "left_semi").join(starts.withColumnRenamed("v", "b"), ["graph", "b"], "left_semi")
+        edges = _written(inner.select("graph", "a", "b"), "scc-trimmed")
+        after = edges.count()
+        if 10 * (before - after) < before:
+            break
+        before = after
+    return edges
+
+
 def _spread(colours: DataFrame, edges: DataFrame, start: str, end: str) -> DataFrame:
     """Colours carried along edges until each vertex has the largest that reaches it."""
     while True:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import canonical_smell, content_id, numbered
-from brindle.functions.vocab import PROVENANCE
+from brindle.functions.vocab import NO_EDGES, OPEN_PAIRS, OPEN_PAIRS_END, PROVENANCE
 
 #: Pairs that a limitation names.
 NAMED_PAIRS = 5
@@ -78,8 +78,8 @@ def limitations(cases: DataFrame, inside: DataFrame) -> DataFrame:
     cyclic = cases.filter((F.col("smell_key") == "cyclic_dependency") & (F.size("components") > 1))
     named = uncovered_pairs(cyclic, inside).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= NAMED_PAIRS)
     pairs = named.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("n", F.concat("a", F.lit(" <-> "), "b").alias("pair")))).alias("all"))
-    open_pairs = pairs.select("case_id", F.lit(0).alias("k"), F.concat(F.lit("Exact source-level dependency direction is unavailable for: "), F.array_join("all.pair", ", "), F.lit(". Requires source inspection.")).alias("text"))
-    bare = cases.join(inside.select("case_id").distinct(), "case_id", "left_anti").select("case_id", F.lit(1).alias("k"), F.lit("No dependency edge evidence was imported for this case; all edge directions require source inspection.").alias("text"))
+    open_pairs = pairs.select("case_id", F.lit(0).alias("k"), F.concat(F.lit(OPEN_PAIRS), F.array_join("all.pair", ", "), F.lit(OPEN_PAIRS_END)).alias("text"))
+    bare = cases.join(inside.select("case_id").distinct(), "case_id", "left_anti").select("case_id", F.lit(1).alias("k"), F.lit(NO_EDGES).alias("text"))
     return open_pairs.unionByName(bare).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("all")).select("case_id", F.col("all.text").alias("limitations"))
 
 

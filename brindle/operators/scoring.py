@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,18 +15,19 @@ _NONE = "array<string>"
 
 
 def hgrs(scores: Mapping[str, Column] | None = None, weights: Mapping[str, str] = WEIGHTS) -> Column:
-    """The weighted score of seven criteria, exact in decimals, to three places.
+    """The weighted score of seven criteria to three places, half up.
 
-    Null if a criterion is missing or not from 1 to 5.
+    Null if a criterion is missing or not from 1 to 5. Scores with up to two
+    places and weights with up to four are summed as whole numbers, so the result is exact.
     """
     if abs(sum(float(w) for w in weights.values()) - 1) > 1e-6 or set(weights) != set(CRITERIA):
         raise ValueError("weights must cover all criteria and sum to 1")
     scores = scores or {c: F.col(c) for c in CRITERIA}
-    valid, total = F.lit(True), F.lit(0).cast("decimal(12,4)")
+    valid, total = F.lit(True), F.lit(0)
     for c in CRITERIA:
         valid = valid & scores[c].between(1, 5)
-        total = total + scores[c].cast("decimal(6,2)") * F.lit(weights[c]).cast("decimal(5,4)")
-    return F.when(valid, F.round(total, 3).cast("double"))
+        total = total + F.round(scores[c] * 100).cast("long") * int(Decimal(weights[c]) * 10_000)
+    return F.when(valid, F.floor((total + 500) / 1000) / 1000)
 
 
 def cost_rank(runs: DataFrame, least: int = 3) -> DataFrame:
@@ -35,10 +37,13 @@ def cost_rank(runs: DataFrame, least: int = 3) -> DataFrame:
     have tokens, get 2. The run itself counts.
     """
     counted = runs.withColumn("_tokens", F.nullif(F.col("total_tokens"), F.lit(0)))
-    have = Window.partitionBy("project", F.col("_tokens").isNull())
-    ranked = counted.withColumns({"_n": F.count("*").over(have), "_rank": F.cume_dist().over(have.orderBy("_tokens"))})
-    cost = F.when(F.col("_tokens").isNull() | (F.col("_n") < least), F.lit(2.0)).otherwise(1 + 3 * (1 - F.col("_rank")))
-    return ranked.withColumn("cost_efficiency", clamp_score(cost)).drop("_tokens", "_n", "_rank")
+    # only distinct numbers of tokens are sorted, whatever the number of runs
+    values = counted.filter("_tokens IS NOT NULL").groupBy("project", "_tokens").agg(F.count("*").alias("_runs"))
+    up_to = Window.partitionBy("project").orderBy("_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = values.select(F.col("project").alias("_project"), F.col("_tokens").alias("_of"), F.sum("_runs").over(up_to).alias("_below"), F.sum("_runs").over(Window.partitionBy("project")).alias("_n"))
+    ranked = counted.join(ranks, F.col("project").eqNullSafe(F.col("_project")) & (F.col("_tokens") == F.col("_of")), "left")
+    cost = F.when(F.col("_n").isNull() | (F.col("_n") < least), F.lit(2.0)).otherwise(1 + 3 * (1 - F.col("_below") / F.col("_n")))
+    return ranked.withColumn("cost_efficiency", clamp_score(cost)).drop("_tokens", "_project", "_of", "_below", "_n")
 
 
 def structural_checks(df: DataFrame) -> DataFrame:

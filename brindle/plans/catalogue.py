@@ -83,12 +83,6 @@ def project_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_projects(read(spark, sf_dir, "documents").select(F.col("source").alias("project")), seed=42)
 
 
-@query("""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 10 < 3 THEN 'validation' ELSE 'train' END AS split FROM documents) SELECT split, count(*) AS n FROM c GROUP BY split""")
-def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = F.when(F.col("doc_id") % 10 < 3, "validation").otherwise("train")
-    return read(spark, sf_dir, "documents").groupBy(split.alias("split")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT event_id, substr(sha1(user_id || '|' || event_type || '|' || props), 1, 16) AS content_id FROM events")
 def content_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", text.content_id(F.col("user_id").cast("string"), F.col("event_type"), F.col("props")).alias("content_id"))
@@ -157,21 +151,6 @@ def _strong_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.crossJoin(F.broadcast(bar)).filter("weight >= bar").select("a", "b")  # one row
 
 
-@query("""WITH r AS (SELECT l_orderkey AS case_id, l_partkey, p_brand, p_retailprice FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey)
-SELECT case_id, 'C' || case_id || '_CM_' || format('{:02d}', row_number() OVER (PARTITION BY case_id ORDER BY l_partkey)) AS evidence_id, l_partkey AS component, p_brand AS name, p_retailprice AS value FROM r""")
-def metric_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("component")).distinct()
-    metrics = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("component"), F.col("p_brand").alias("name"), F.col("p_retailprice").alias("value"))
-    n = F.row_number().over(Window.partitionBy("case_id").orderBy("component"))
-    return parts.join(metrics, "component").select("case_id", text.numbered(F.concat(F.lit("C"), F.col("case_id").cast("string"), F.lit("_CM_")), n, 2).alias("evidence_id"), "component", "name", "value")
-
-
-@query("""SELECT p_partkey AS component, 'size' AS name, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'retailprice', p_retailprice FROM part""")
-def unpivot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("component"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("retailprice"))
-    return wide.unpivot(["component"], ["size", "retailprice"], "name", "value")
-
-
 @query(f"""WITH RECURSIVE {EDGES}, big AS MATERIALIZED (SELECT a, b FROM edges WHERE weight >= (SELECT quantile_cont(weight, 0.8) FROM edges)),
 reach(a, b) AS (SELECT a, b FROM big UNION SELECT r.a, e.b FROM reach r JOIN big e ON r.b = e.a),
 pairs AS (SELECT x.a AS v, x.b AS w FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a),
@@ -216,12 +195,6 @@ def weak_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.weak_criteria(analytics.digest(_skill_reviews(spark, sf_dir), ["skill_version"]), ["skill_version"])
 
 
-@query(f"WITH {REVIEWS} SELECT run_id, hgrs, l_linenumber, l_partkey, l_suppkey FROM reviews ORDER BY hgrs, run_id, l_linenumber, l_partkey, l_suppkey LIMIT 3")
-def lowest_rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ("run_id", "l_linenumber", "l_partkey", "l_suppkey")
-    return reviews(spark, sf_dir).select("run_id", "hgrs", *keys[1:]).orderBy("hgrs", *keys).limit(3)
-
-
 @query(f"""WITH {RUNS}, r AS (SELECT skill_version, critical_hallucination, total_tokens, runtime_seconds, run_id % 5 = 0 AS no_steps, run_id % 7 = 0 AS no_risks FROM runs WHERE skill_version IS NOT NULL)
 SELECT skill_version, round(count(*) FILTER (WHERE critical_hallucination) / count(*), 3) AS unsupported_evidence_claim_rate, round(count(*) FILTER (WHERE no_steps) / count(*), 3) AS missing_steps_rate,
        round(count(*) FILTER (WHERE no_risks) / count(*), 3) AS risk_omission_rate, round(avg(nullif(total_tokens, 0)), 1) AS mean_total_tokens, round(avg(nullif(runtime_seconds, 0)), 2) AS mean_runtime_seconds FROM r GROUP BY skill_version""")
@@ -408,8 +381,11 @@ def version_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from brindle.plans import files  # noqa: F401 registers its queries here
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -31,9 +31,11 @@ def get_session(app: str = "brindle", cpus: int | None = None, memory: str = "8g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a new temporary one where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; in a local session without it a new temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="brindle-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -1,17 +1,20 @@
 """The evidence store: append-only Parquet tables with latest-wins views.
 
-Parquet tables know no MERGE, so a change is an appended row. `current` folds a
-table's rows by its key: the last row wins, but for columns that keep their first
-value. Both are aggregations with partial results, so a key that is
-changed often costs no more than its rows.
+Parquet tables know no MERGE, so a change is an appended row, which may hold
+just the key and what changes. `current` folds a table's rows by its key: of each
+column the last value that isn't null wins, but for columns that keep their first
+one. Both are aggregations with partial results, so a key that is
+changed often costs no more than its rows. Nothing is overwritten: a key is
+removed by a row that says so, and later rows begin it anew.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +36,8 @@ TABLES = {
     "tool_runs": Table("run_id string, project string, tool string, mode string, source_path string, source_hash string, status string, error string", ("run_id",)),
     "raw_findings": Table("run_id string, project string, tool string, kind string, row_no long, record_json string", ("run_id", "kind", "row_no"), by=("kind",)),
     "graph_edges": Table("run_id string, project string, evidence_id string, from_component string, to_component string, relation_type string, confidence double, source string, weight double", ("project", "evidence_id")),
-    "evidence_cases": Table("case_id string, project string, smell_id string, smell_key string, case_json string, split string", ("case_id",), ("split",)),
-    "skills": Table("name string, version string, file_path string, status string, parent_version string, notes string", ("name", "version"), ("parent_version",)),
+    "evidence_cases": Table("case_id string, project string, smell_id string, smell_key string, case_json string, split string", ("case_id",)),
+    "skills": Table("name string, version string, file_path string, text string, status string, parent_version string, notes string", ("name", "version"), ("parent_version",)),
     "agent_runs": Table(
         "run_id string, project string, case_id string, smell_id string, agent_mode string, provider string, model_id string, skill_name string, skill_version string, experiment_id string, status string, error string,"
         " raw_response string, suggestion_json string, checks_json string, repair_attempted boolean, prompt_tokens long, completion_tokens long, total_tokens long, runtime_seconds double",
@@ -48,8 +51,8 @@ TABLES = {
     "experiments": Table("experiment_id string, name string, config_json string", ("experiment_id",)),
     "audit_log": Table("entity_type string, entity_id string, action string, actor string, details_json string", ("entry_id",)),
 }
-#: When a row was written, and an id that orders rows of one instant.
-STAMPS = "written_at timestamp, entry_id string"
+#: When a row was written, an id that orders rows of one instant, and whether the row takes its key away.
+STAMPS = "written_at timestamp, entry_id string, removed boolean"
 
 
 def schema_of(name: str) -> T.StructType:
@@ -65,9 +68,9 @@ def append(df: DataFrame, root: str, name: str) -> None:
     writer.parquet(f"{root}/{name}")
 
 
-def append_row(spark: SparkSession, root: str, name: str, **values) -> None:
-    kind = T.StructType([f for f in schema_of(name) if f.name in values])
-    append(spark.createDataFrame([tuple(values[f.name] for f in kind)], kind), root, name)
+def append_row(spark: SparkSession, root: str, table: str, /, **values) -> None:
+    kind = T.StructType([f for f in schema_of(table) if f.name in values])
+    append(spark.createDataFrame([tuple(values[f.name] for f in kind)], kind), root, table)
 
 
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -81,13 +84,19 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One row per key: the last one written, with the first non-null value of the columns that keep it."""
+    """One row per key: of each column the last value that isn't null, or the first one where the table keeps that.
+
+    `created_at` is when the key's first row was written, `written_at` when its
+    last was. Rows up to the last removal of a key don't count.
+    """
     table, rows = TABLES[name], read(spark, root, name)
     order = F.struct("written_at", "entry_id")
-    last = F.max_by(F.struct(*[c for c in rows.columns if c not in table.key]), order).alias("_last")
-    kept = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(f"_first_{c}") for c in table.first]
-    folded = rows.groupBy(*table.key).agg(last, *kept)
-    return folded.select(*[F.col(f"_first_{c}").alias(c) if c in table.first else F.col(c) if c in table.key else F.col(f"_last.{c}").alias(c) for c in rows.columns])
+    cut = rows.filter("removed").groupBy(*[F.col(k).alias(f"_{k}") for k in table.key]).agg(F.max(order).alias("_cut"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in table.key]
+    left = rows.join(cut, reduce(Column.__and__, same), "left").filter(F.col("_cut").isNull() | (order > F.col("_cut"))).select(*rows.columns)
+    value = lambda c: (F.min_by if c in table.first else F.max_by)(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c)
+    folded = left.groupBy(*table.key).agg(*[value(c) for c in rows.columns if c not in (*table.key, "removed")], F.min("written_at").alias("created_at"))
+    return folded.select(*[c for c in rows.columns if c != "removed"], "created_at")
 
 
 def audit(spark: SparkSession, root: str, entity_type: str, entity_id: str, action: str, actor: str = "system", details_json: str = "{}") -> None:
@@ -101,21 +110,12 @@ def add_projects(df: DataFrame, root: str) -> None:
 
 
 def assign(cases: DataFrame, root: str) -> None:
-    """Set the split of cases (case_id, split), the new values winning over those kept from before."""
-    spark = cases.sparkSession
-    changed = current(spark, root, "evidence_cases").drop("split").join(cases.select("case_id", "split"), "case_id")
-    others = current(spark, root, "evidence_cases").join(cases.select("case_id"), "case_id", "left_anti")
-    rewrite(others.unionByName(changed, allowMissingColumns=True), root, "evidence_cases")
+    """Set the split of cases (case_id, split) that are in the store."""
+    known = current(cases.sparkSession, root, "evidence_cases").select("case_id")
+    append(cases.select("case_id", "split").join(known, "case_id", "left_semi"), root, "evidence_cases")
 
 
 def clear_cases(spark: SparkSession, root: str, project: str) -> None:
-    rewrite(current(spark, root, "evidence_cases").filter(~F.col("project").eqNullSafe(project)), root, "evidence_cases")
-
-
-def rewrite(df: DataFrame, root: str, name: str) -> None:
-    """Replace a table by a new snapshot of itself, written beside it first."""
-    spark, path = df.sparkSession, f"{root}/{name}"
-    df.select(*schema_of(name).names).write.mode("overwrite").parquet(f"{path}-next")
-    writer = spark.read.schema(schema_of(name)).parquet(f"{path}-next").write.mode("overwrite")
-    writer = writer.partitionBy(*TABLES[name].by) if TABLES[name].by else writer
-    writer.parquet(path)
+    """Take a project's cases away."""
+    own = current(spark, root, "evidence_cases").filter(F.col("project").eqNullSafe(project))
+    append(own.select("case_id", F.lit(True).alias("removed")), root, "evidence_cases")

@@ -1,6 +1,7 @@
 """Readers over small files of each kind."""
 
 import json
+import time
 
 import pytest
 
@@ -50,22 +51,52 @@ def test_empty_file_and_header_only(spark, tmp_path):
 
 
 def test_prose_participants(spark, tmp_path):
-    text = 'Project,Package,Smell,Description\np,org.a,Cyclic Dependency,"The participating components in the cycle are: org.a, org.b."\np,org.c,God Component,"Classes are: 54"\n'
+    text = 'Project,Package,Smell,Description\np,shop.cart,Cyclic Dependency,"A loop between: shop.cart, shop.price, 12."\np,shop.ship,God Component,"Too much with: 12, shop.price"\n'
     got = exports.read_prose_smells(spark, write(tmp_path, "d.csv", text))["smells"].orderBy("row_no").collect()
-    assert [r["affected_components"] for r in got] == [["org.a", "org.b"], ["org.c"]]
+    assert [r["affected_components"] for r in got] == [["shop.cart", "shop.price"], ["shop.ship"]]
 
 
 def test_class_level_component(spark, tmp_path):
-    got = exports.read_prose_smells(spark, write(tmp_path, "c.csv", "Project,Package,Class,Smell,Description,File\np,org.a,Foo,God Class,x,f\n"))["smells"].first()
-    assert got["affected_components"] == ["org.a.Foo"]
+    got = exports.read_prose_smells(spark, write(tmp_path, "c.csv", "Project,Package,Class,Method,Smell,Description\np,shop.cart,Basket,,God Class,x\np,shop.cart,Basket,add,Long Method,y\n"))["smells"].orderBy("row_no").collect()
+    assert [r["affected_components"] for r in got] == [["shop.cart.Basket"], ["shop.cart.Basket::add"]]
 
 
-@pytest.mark.parametrize("name, text", [("g.csv", "from,to\na,b\nb,c\nc,a\nc,d\n"), ("g.json", json.dumps({"a": ["b"], "b": "c", "c": ["a", "d"]})), ("g.dot", 'digraph { "a" -> b; b -> c\n c -> a; c -> d }'), ("h.json", json.dumps({"edges": [{"from": x, "to": y, "weight": 2} for x, y in ("ab", "bc", "ca", "cd")]}))])
+@pytest.mark.parametrize("name, text", [("g.csv", "from,to\nui,api\napi,db\ndb,api\napi,log\n"), ("g.json", json.dumps({"ui": "api", "api": ["db", "log"], "db": ["api"]})), ("g.dot", 'digraph { ui -> "api"; api -> db\n db -> api; "api" -> "log" }'), ("h.json", json.dumps({"edges": [{"from": x, "to": y, "weight": 2} for x, y in (("ui", "api"), ("api", "db"), ("db", "api"), ("api", "log"))]}))])
 def test_graph_files_and_cycles(spark, tmp_path, name, text):
     edges = exports.read_graph_file(spark, write(tmp_path, name, text))
-    assert rows(edges, "from_component", "to_component") == [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")]
+    assert rows(edges, "from_component", "to_component") == [("api", "db"), ("api", "log"), ("db", "api"), ("ui", "api")]
     found = graph.cycle_smells(edges.select(edges.source_file.alias("graph"), edges.from_component.alias("a"), edges.to_component.alias("b"))).collect()
-    assert [r["affected_components"] for r in found] == [["a", "b", "c"]] and found[0]["attributes"]["cycle_size"] == "3"
+    assert [r["affected_components"] for r in found] == [["api", "db"]] and found[0]["attributes"]["cycle_size"] == "2"
+
+
+def brute_components(edges):
+    """Vertices that reach each other, by closing the relation."""
+    names = {v for e in edges for v in e}
+    reach = {v: {b for a, b in edges if a == v} for v in names}
+    while any((more := set().union(*[reach[w] for w in reach[v]], reach[v])) != reach[v] and not reach.__setitem__(v, more) for v in names):
+        pass
+    return sorted((v, min([w for w in names if v in reach[w] and w in reach[v]] + [v])) for v in names)
+
+
+@pytest.mark.parametrize("at_once", [200_000, 12, 0])
+def test_components_whole_in_parts_and_coloured(spark, monkeypatch, at_once):
+    """The same components whether a graph fits a task, only its parts do, or nothing does."""
+    monkeypatch.setattr(graph, "TASK_EDGES", at_once)
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("x", "y"), ("y", "z"), ("z", "y"), ("s", "s"), ("k", "l")]
+    frame = spark.createDataFrame([("g", a, b) for a, b in edges] + [("g", "a", "b"), ("g", None, "a"), ("h", "p", "q"), ("h", "q", "p")], "graph string, a string, b string")
+    got = graph.strong_components(frame).collect()
+    assert sorted((r.v, r.component) for r in got if r.graph == "g") == brute_components(edges)
+    assert sorted((r.v, r.component) for r in got if r.graph == "h") == [("p", "p"), ("q", "p")]
+
+
+def test_long_falling_chain(spark):
+    """2,000 vertices in a row, and a ring at its end."""
+    edges = [(i, i + 1) for i in range(2000)] + [(2000, 1990)]
+    frame = spark.createDataFrame([("g", a, b) for a, b in edges], "graph string, a int, b int")
+    began = time.perf_counter()
+    sizes = graph.strong_components(frame).groupBy("component").count().filter("count > 1").collect()
+    assert [(r.component, r["count"]) for r in sizes] == [(1990, 11)]
+    assert time.perf_counter() - began < 60
 
 
 def test_self_loop_is_a_cycle_and_chains_are_none(spark):

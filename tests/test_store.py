@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle import config
-from brindle.sources import imports, skills, store
+from brindle.functions.vocab import CRITERIA
+from brindle.sources import imports, reviewing, skills, store
 from brindle.streaming import imports as stream
 
 SMELLS = "id,smellType,affectedElements,severity\ns1,Cyclic Dependency,a.pkg;b.pkg,high\n,God Component,c.pkg,\nx,,d.pkg,1\n"
@@ -21,14 +22,57 @@ def root(tmp_path):
 def test_last_row_wins_and_some_columns_stay(spark, root):
     assert store.current(spark, root, "evidence_cases").count() == 0
     store.append_row(spark, root, "evidence_cases", case_id="c", project="p", case_json="1", split="train")
-    store.append_row(spark, root, "evidence_cases", case_id="c", project="p", case_json="2", split="validation")
+    store.append_row(spark, root, "evidence_cases", case_id="c", case_json="2")
     store.append_row(spark, root, "evidence_cases", case_id="d", project="q", case_json="3")
     rows = {r.case_id: (r.case_json, r.split) for r in store.current(spark, root, "evidence_cases").collect()}
     assert rows == {"c": ("2", "train"), "d": ("3", None)}
     store.assign(spark.createDataFrame([("c", "validation")], "case_id string, split string"), root)
     assert {r.case_id: r.split for r in store.current(spark, root, "evidence_cases").collect()} == {"c": "validation", "d": None}
     store.clear_cases(spark, root, "p")
-    assert [r.case_id for r in store.read(spark, root, "evidence_cases").collect()] == ["d"]
+    store.clear_cases(spark, root, "p")
+    assert [r.case_id for r in store.current(spark, root, "evidence_cases").collect()] == ["d"]
+
+
+def test_a_removed_key_begins_anew(spark, root):
+    store.append_row(spark, root, "evidence_cases", case_id="c", project="p", case_json="1", split="train")
+    first = store.current(spark, root, "evidence_cases").first()
+    store.append_row(spark, root, "evidence_cases", case_id="c", project="p", case_json="2")
+    again = store.current(spark, root, "evidence_cases").first()
+    assert again.created_at == first.created_at < again.written_at and (again.case_json, again.split) == ("2", "train")
+    store.clear_cases(spark, root, "p")
+    store.append_row(spark, root, "evidence_cases", case_id="c", project="p", case_json="3")
+    last = store.current(spark, root, "evidence_cases").first()
+    assert (last.case_json, last.split) == ("3", None) and last.created_at > first.created_at
+
+
+def test_reports_are_changed_in_part_and_candidates_promoted(spark, root):
+    store.append_row(spark, root, "skills", name="S", version="v0", status="production", text="old")
+    store.append_row(spark, root, "skills", name="S", version="v1_candidate", status="candidate", text="new", parent_version="v0")
+    report = {"skill_name": "S", "baseline_version": "v0", "candidate_version": "v1_candidate", "report_json": "{}"}
+    store.append_row(spark, root, "validation_reports", report_id="bad", passed=False, **report)
+    store.append_row(spark, root, "validation_reports", report_id="good", passed=True, **report)
+    for unknown in ("bad", "none"):
+        with pytest.raises(ValueError, match="no passed report"):
+            reviewing.promote(spark, root, unknown, "me")
+    assert reviewing.promote(spark, root, "good", "me") == "v1"
+    r = store.current(spark, root, "validation_reports").filter("report_id = 'good'").first()
+    assert (r.report_json, r.passed, r.human_approved, r.promoted) == ("{}", True, True, True)
+    states = {r.version: (r.status, r.text) for r in store.current(spark, root, "skills").collect()}
+    assert states == {"v0": ("archived", "old"), "v1_candidate": ("archived", "new"), "v1": ("production", "new")}
+    assert [r.actor for r in store.read(spark, root, "audit_log").filter("action = 'promoted'").collect()] == ["me"]
+
+
+def test_reviews_are_checked_saved_and_changed(spark, root):
+    store.append_row(spark, root, "agent_runs", run_id="r1", status="ok")
+    good = {c: 4 for c in CRITERIA}
+    rows = [("a", "r1", "yes", "accept", good), ("b", "r9", "yes", "accept", good), ("c", "r1", "yes", "accept", good | {CRITERIA[2]: 6}), ("d", "r1", "yes", "burn", good), ("e", "r1", None, "revise", good), ("f", "r1", "no", "revise", good | {CRITERIA[0]: None})]
+    schema = "review_id string, run_id string, would_try_it string, decision string, reviewer string, " + ", ".join(f"{c} int" for c in CRITERIA)
+    frame = lambda rs: spark.createDataFrame([(*r[:4], "me", *[r[4][c] for c in CRITERIA]) for r in rs], schema)
+    refused = {r.review_id: r.problem for r in reviewing.save_reviews(frame(rows), root).collect()}
+    assert sorted(refused) == ["b", "c", "d", "e", "f"] and "unknown" in refused["b"] and "score" in refused["c"] and "score" in refused["f"]
+    reviewing.save_reviews(frame([("a", "r1", "no", "revise", {c: 5 for c in CRITERIA})]), root)
+    assert [(r.review_id, r.hgrs, r.decision) for r in store.current(spark, root, "reviews").collect()] == [("a", 5.0, "revise")]
+    assert store.read(spark, root, "audit_log").filter("action = 'saved'").count() == 2
 
 
 def test_projects_are_added_once(spark, root):
@@ -40,7 +84,7 @@ def test_projects_are_added_once(spark, root):
 
 @pytest.mark.parametrize("name", sorted(store.TABLES))
 def test_every_table_is_read_where_nothing_was_written(spark, root, name):
-    assert store.current(spark, root, name).columns == store.schema_of(name).names
+    assert store.current(spark, root, name).columns == [c for c in store.schema_of(name).names if c != "removed"] + ["created_at"]
 
 
 def test_import_builds_cases(spark, root, tmp_path):
@@ -111,3 +155,17 @@ def test_stream_imports_each_content_once(spark, root, tmp_path):
     run()
     assert store.read(spark, root, "raw_findings").count() == 3
     assert store.current(spark, root, "tool_runs").filter("status = 'ok'").count() == 2
+
+
+def test_streamed_smells_become_cases_also_when_a_batch_comes_twice(spark, root, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    doc = {"smells": [{"smellType": "Cyclic Dependency", "affectedElements": "ui;db", "severity": "high"}], "edges": [{"from": "ui", "to": "db", "weight": 2}, {"from": "db", "to": "ui", "weight": "many"}]}
+    (folder / "a.json").write_text(json.dumps(doc))
+    for k in range(2):  # the second checkpoint knows nothing of the first, as after a failure before its commit
+        stream.import_stream(spark, str(folder), root, "p", "arcan", str(tmp_path / f"checkpoint{k}")).awaitTermination(120)
+    (case,) = imports.stored_cases(spark, root, "p").collect()
+    assert (case.smell_key, case.components) == ("cyclic_dependency", ["db", "ui"])
+    assert [f.tool for f in case.tool_findings] == ["arcan"]
+    assert sorted((e.from_component, e.to_component) for e in case.dependency_evidence) == [("db", "ui"), ("ui", "db")]
+    assert store.current(spark, root, "graph_edges").count() == 2
