@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from brindle.llm.common import SPACE, materialise
 
 REMAINDER_BITS = 40
+#: Rows that a range of leading bits has on average, at most.
+RANGE_ROWS = 500_000
 
 
 class QuotientFilter:
@@ -42,7 +44,10 @@ class QuotientFilter:
         fingerprints = np.asarray(fingerprints, np.uint64)
         counts = np.ones(len(fingerprints), np.int64) if counts is None else np.asarray(counts, np.int64)
         order = np.argsort(fingerprints, kind="stable")
-        fingerprints, counts = fingerprints[order], counts[order]
+        return cls._of_sorted(fingerprints[order], counts[order], r)
+
+    @classmethod
+    def _of_sorted(cls, fingerprints: np.ndarray, counts: np.ndarray, r: int) -> QuotientFilter:
         if not len(fingerprints):
             return cls(np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, r)
         first = np.flatnonzero(np.r_[True, fingerprints[1:] != fingerprints[:-1]])
@@ -61,8 +66,13 @@ class QuotientFilter:
         return (quotients[run] << np.uint64(self.r)) | self.remainders if len(run) else np.zeros(0, np.uint64)
 
     def merge(self, other: QuotientFilter) -> QuotientFilter:
-        """The filter of both inputs' rows together: counts of equal slots add up."""
-        return QuotientFilter.build(np.concatenate([self.fingerprints(), other.fingerprints()]), np.concatenate([self.counts, other.counts]), self.r)
+        """The filter of both inputs' rows together, in one pass over the sorted slots: counts of equal slots add up."""
+        a, b = self.fingerprints(), other.fingerprints()
+        both, counts = np.empty(len(a) + len(b), np.uint64), np.empty(len(a) + len(b), np.int64)
+        for own, rest, n, side in ((a, b, self.counts, "left"), (b, a, other.counts, "right")):
+            place = np.arange(len(own)) + np.searchsorted(rest, own, side)
+            both[place], counts[place] = own, n
+        return QuotientFilter._of_sorted(both, counts, self.r)
 
     def to_bytes(self) -> bytes:
         head = np.array([self.r, self.low, len(self.occupied), len(self.remainders)], np.int64).tobytes()
@@ -122,8 +132,9 @@ def merged_filters(fingerprints: DataFrame, range_bits: int) -> DataFrame:
 
     def merge(key, pdf):
         filters = [QuotientFilter.from_bytes(b) for b in pdf["block"]]
-        whole = QuotientFilter.build(np.concatenate([f.fingerprints() for f in filters]), np.concatenate([f.counts for f in filters]))
-        return pdf.iloc[:1].assign(block=[whole.to_bytes()])
+        while len(filters) > 1:  # in pairs, so that no slot is moved more often than the logarithm of their number
+            filters = [f[0].merge(f[1]) if len(f) == 2 else f[0] for f in (filters[k : k + 2] for k in range(0, len(filters), 2))]
+        return pdf.iloc[:1].assign(block=[filters[0].to_bytes()])
 
     pieces = fingerprints.mapInArrow(_partition_filter(range_bits), "range long, block binary")
     return pieces.groupBy("range").applyInPandas(merge, "range long, block binary")
@@ -151,13 +162,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows (same id, same normalised text) exactly one is kept. An empty table
     gives an empty result. Other columns of `docs` are not read.
 
-    `range_bits`: the merge works on 2^range_bits ranges; by default at least
-    four for each shuffle partition, so a range shrinks as the cluster's
-    setting grows with the data.
+    `range_bits`: the merge works on 2^range_bits ranges; by default as many as
+    leave about RANGE_ROWS rows to each.
     """
-    spark = docs.sparkSession
     if range_bits is None:
-        range_bits = max(6, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+        range_bits = max(6, (docs.count() // RANGE_ROWS).bit_length())
     text = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("chars"))
     keyed = text.withColumn("fp", F.xxhash64("norm"))
     heavy = materialise(repeated_fingerprints(merged_filters(keyed.select("fp"), range_bits)), "repeated-fingerprints")

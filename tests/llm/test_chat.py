@@ -93,3 +93,23 @@ def test_mask_covers_whole_tokens(spark):
 @pytest.mark.parametrize("rows", [[], [(1, 0, None, None)]])
 def test_small_tables(spark, rows):
     assert _read(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("size", [1, 30, 200])
+def test_chunks_have_the_ids_and_mask_of_one_encoding(spark, monkeypatch, size):
+    """A long conversation in chunks of whole turns, against rendering and encoding it once; one turn is longer than a chunk."""
+    monkeypatch.setattr(chat, "CHUNK_CHARS", size)
+    texts = ["Hello  there", "<s> is [INST] text", "", "é 😀" * 9, "a long turn " * 100, "\\ end", "1\n2\n\n3", " lead", "trail "] * 3
+    rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(texts)]
+    chunks = sorted(chat.format_conversations(spark.createDataFrame(rows, TURNS), PATH).collect(), key=lambda r: r.chunk)
+    assert [r.last for r in chunks] == [False] * (len(chunks) - 1) + [True] and len(chunks) > 1
+    rendered, spans = chat.BOS, []
+    for _, _, role, t in rows:
+        own, a, b = chat.render_turn(role, t)
+        if role == "assistant":
+            spans.append((len(rendered) + a, len(rendered) + b))
+        rendered += own
+    whole = chat._tokenizer(PATH).encode(rendered, add_special_tokens=False)
+    assert "".join(r.formatted for r in chunks) == rendered
+    assert [i for r in chunks for i in r.ids] == whole.ids
+    assert [m for r in chunks for m in r.loss_mask] == chat.loss_mask(spans, whole.offsets)
