@@ -24,7 +24,7 @@ from brindle.llm.common import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "lang", "source")
 #: Rows that one bucket of a leaf's order holds on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 #: Bits of the order key.
 KEY_BITS = 60
 

@@ -130,8 +130,12 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents drawn for a mixture by damped source weights, as many tokens as there are."""
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    """The documents drawn for a mixture by the domains' target weights and damped sources, as many tokens as there are."""
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=DOMAIN_WEIGHTS)
+
+
+#: What part of the mixture each domain is to have.
+DOMAIN_WEIGHTS = {("d0",): 0.4, ("d1",): 0.3, ("d2",): 0.2, ("d3",): 0.1}
 
 
 def _shares_sql(name: str, children: str, columns: str, parent: str, child: str) -> str:
@@ -146,6 +150,7 @@ def _shares_sql(name: str, children: str, columns: str, parent: str, child: str)
 {name} AS (SELECT {columns}, tokens, CASE WHEN water IS NULL OR ratio <= water THEN CAST(capacity AS DOUBLE) ELSE weight * water END AS share FROM {name}_water)"""
 
 
+_TARGETS = " ".join(f"WHEN '{d}' THEN {w}" for (d,), w in DOMAIN_WEIGHTS.items())
 _NODE = "pow(CAST(tokens AS DOUBLE), 0.7) AS weight, tokens * 4 AS capacity"
 OP9_SQL = f"""
 WITH d AS (
@@ -154,7 +159,7 @@ WITH d AS (
 ), leaves AS (SELECT domain, lang, source, CAST(sum(doc_tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL HAVING sum(doc_tokens) > 0),
 langs AS (SELECT domain, lang, CAST(sum(tokens) AS BIGINT) AS tokens FROM leaves GROUP BY ALL),
 domains AS (SELECT domain, CAST(sum(tokens) AS BIGINT) AS tokens FROM leaves GROUP BY ALL),
-{_shares_sql("top", f"SELECT *, {_NODE}, CAST((SELECT sum(tokens) FROM leaves) AS DOUBLE) AS budget FROM domains", "domain", "", "domain")},
+{_shares_sql("top", f"SELECT *, CAST(CASE domain {_TARGETS} END AS DOUBLE) AS weight, tokens * 4 AS capacity, CAST((SELECT sum(tokens) FROM leaves) AS DOUBLE) AS budget FROM domains", "domain", "", "domain")},
 {_shares_sql("middle", f"SELECT langs.*, {_NODE.replace('tokens', 'langs.tokens')}, share AS budget FROM langs JOIN top USING (domain)", "domain, lang", "domain", "lang")},
 {_shares_sql("leaf", f"SELECT leaves.*, {_NODE.replace('tokens', 'leaves.tokens')}, share AS budget FROM leaves JOIN middle USING (domain, lang)", "domain, lang, source", "domain, lang", "source")},
 b AS (SELECT domain, lang, source, tokens, CAST(floor(share + 1e-6) AS BIGINT) AS budget FROM leaf),
