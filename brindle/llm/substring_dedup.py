@@ -190,7 +190,7 @@ def _split(docs: DataFrame, places: DataFrame) -> DataFrame:
             kept = pa.array([None if a else t for t, a in zip(text.to_pylist(), at.is_null().to_pylist(), strict=True)], text.type)
             yield pa.RecordBatch.from_arrays([doc_id, key, pa.array(n, pa.int64()), pa.array(digest, pa.string()), kept, at], ["doc_id", "key", "n_words", "kept_sha256", "text", "at"])
 
-    return docs.join(places, "key", "left").select("doc_id", "key", "text", "at").mapInArrow(run, "doc_id long, key long, n_words long, kept_sha256 string, text string, at array<int>")
+    return docs.join(places, ["doc_id", "key"], "left").select("doc_id", "key", "text", "at").mapInArrow(run, "doc_id long, key long, n_words long, kept_sha256 string, text string, at array<int>")
 
 
 def _candidate_regions(candidates: DataFrame, with_text: bool) -> DataFrame:
@@ -281,12 +281,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     nor cause anything. Other columns aren't read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", F.xxhash64("text"))  # with the id it stands for a row
     named = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     shared = materialise(_shared_anchors(named), "shared-anchors")
     release(spark)
-    places = _scan(named, ["key"], lambda part, text, first, n, anchor, content: [pa.array(anchor), part.column(0).take(pa.array(text)), pa.array(first.astype(np.int32))], "anchor long, key long, at int")
-    places = materialise(places.join(shared, "anchor", "left_semi").groupBy("key").agg(F.collect_set("at").alias("at")), "candidate-places")
+    places = _scan(named, ["doc_id", "key"], lambda part, text, first, n, anchor, content: [pa.array(anchor), part.column(0).take(pa.array(text)), part.column(1).take(pa.array(text)), pa.array(first.astype(np.int32))], "anchor long, doc_id long, key long, at int")
+    places = materialise(places.join(shared, "anchor", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("at").alias("at")), "candidate-places")
     release(spark)
     split = materialise(_split(rows, places), "candidates")
     release(spark)
@@ -302,7 +302,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     release(spark)
     marked = _candidate_regions(candidates, False).join(owners, ["anchor", "region_hash"])
     starts = F.transform(F.filter(F.transform("owners", lambda o, i: F.when(o < F.col("doc_id"), F.col("first") + i)), lambda x: x.isNotNull()), lambda x: x.cast("int"))
-    removed = marked.withColumn("starts", starts).filter(F.size("starts") > 0).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    removed = marked.withColumn("starts", starts).filter(F.size("starts") > 0).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,5 +321,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    done = split.join(removed, "key", "left").select("doc_id", "n_words", "kept_sha256", "text", "starts")
+    done = split.join(removed, ["doc_id", "key"], "left").select("doc_id", "n_words", "kept_sha256", "text", "starts")
     return done.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
