@@ -61,10 +61,12 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset (local sessions, tests) a temporary folder is made and set.
+    Where it is unset in a local session, as in tests, a temporary folder is made and set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="brindle-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -74,8 +76,8 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     """Write `df` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no recomputation of what is
-    written. Like checkpoint files, they stay until the folder's owner clears it,
-    as the returned frame is lazy and may be read at any later time.
+    written. Files that `discard` isn't called for stay until the folder's owner
+    clears it, as the returned frame is lazy and may be read at any later time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
