@@ -53,7 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table of documents, each written and read again for the next."""
+    """All stages over the whole table of documents, each written and read again for the next.
+
+    Null texts are empty: they are clean, one copy of them stays (with other
+    texts of white space alone), they have no similar document, come with whole
+    epochs of their source, and are packed as one end token. Rows without an id
+    are kept apart from each other but for equal texts. Of equal texts the one
+    with the most characters, then the smallest id stays; of similar ones the
+    smallest id. Repeated rows are copies, so one of them stays. An empty table
+    gives an empty result; other columns are carried up to the packing.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
