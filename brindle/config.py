@@ -1,7 +1,8 @@
-"""Settings of the review process, from a mapping and the environment."""
+"""Settings of the review process, from a JSON file or a mapping, and the environment."""
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields, replace
@@ -44,3 +45,9 @@ def load(values: Mapping | None = None, environ: Mapping[str, str] | None = None
             kind = type(getattr(settings, f.name))
             settings = replace(settings, **{f.name: text.lower() in ("1", "true", "yes") if kind is bool else kind(text)})
     return settings
+
+
+def load_file(path: str, environ: Mapping[str, str] | None = None) -> Settings:
+    """Settings from a JSON object in a file on the driver."""
+    with open(path, encoding="utf-8") as file:
+        return load(json.load(file), environ)

@@ -38,8 +38,11 @@ def search(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 
 def matching(df: DataFrame, **equal) -> DataFrame:
-    """Rows where each given column equals its value, or is in it if that is a list; None leaves a column open."""
+    """Rows where each given column equals its value, or is in it if that is a list, in which None stands for null; None alone leaves a column open."""
     for column, value in equal.items():
-        if value is not None:
-            df = df.filter(F.col(column).isin(*value) if isinstance(value, (list, tuple, set)) else F.col(column) == value)
+        if isinstance(value, (list, tuple, set)):
+            known = F.col(column).isin(*[v for v in value if v is not None])
+            df = df.filter(known | F.col(column).isNull() if None in value else known)
+        elif value is not None:
+            df = df.filter(F.col(column) == value)
     return df

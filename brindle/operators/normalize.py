@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import canonical_smell, content_id, numbered
-from brindle.functions.vocab import NO_EDGES, OPEN_PAIRS, OPEN_PAIRS_END, PROVENANCE
+from brindle.functions.vocab import NO_EDGES, OPEN_PAIRS, OPEN_PAIRS_END, PROVENANCE, TAXONOMY
 
 #: Pairs that a limitation names.
 NAMED_PAIRS = 5
@@ -24,14 +24,14 @@ def clean_attributes(attributes: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def group_findings(smells: DataFrame) -> DataFrame:
+def group_findings(smells: DataFrame, taxonomy: tuple = TAXONOMY) -> DataFrame:
     """One row per project, smell key and set of components, with its findings in order of import.
 
     `smells` has project, seq (order of import), tool, tool_record_id,
     source_file, smell_type_raw, affected_components, attributes. Findings
     without components are left out.
     """
-    named = smells.withColumns({"components": F.array_sort(F.array_distinct("affected_components")), "label": canonical_smell(F.col("smell_type_raw"))}).filter(F.size("components") > 0)
+    named = smells.withColumns({"components": F.array_sort(F.array_distinct("affected_components")), "label": canonical_smell(F.col("smell_type_raw"), taxonomy)}).filter(F.size("components") > 0)
     finding = F.struct("seq", "tool", "tool_record_id", "source_file", clean_attributes(F.col("attributes")).alias("attributes"), F.col("label.smell_type").alias("smell_type"), F.col("label.code").alias("code"))
     groups = named.withColumn("smell_key", F.col("label.smell_key")).groupBy("project", "smell_key", "components").agg(F.array_agg(finding).alias("findings"))
     ordered = groups.withColumn("findings", F.array_sort("findings", lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)))
@@ -94,13 +94,13 @@ def case_metrics(cases: DataFrame, metrics: DataFrame) -> DataFrame:
     return carried.unionByName(of_components)
 
 
-def build_cases(smells: DataFrame, edges: DataFrame, metrics: DataFrame) -> DataFrame:
+def build_cases(smells: DataFrame, edges: DataFrame, metrics: DataFrame, taxonomy: tuple = TAXONOMY) -> DataFrame:
     """Whole evidence cases as nested rows.
 
     Edges have project, from_component, to_component, evidence_id, relation_type, confidence, source,
     metrics project, component, name, value, tool.
     """
-    cases = group_findings(smells)
+    cases = group_findings(smells, taxonomy)
     inside = edges_within(cases, edges)
     collect = lambda df, name, *cols: df.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
     findings = collect(finding_rows(cases).withColumn("attributes", F.to_json("attributes")), "tool_findings", "n", "tool", "tool_record_id", "evidence_id", "source_file", "attributes")

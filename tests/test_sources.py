@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from brindle.operators import graph, normalize
+from brindle.operators import graph, latest, normalize
 from brindle.sources import exports
 
 
@@ -135,3 +135,20 @@ def test_limitations_without_edges(spark):
     metrics = spark.createDataFrame([], "project string, component string, name string, value string, tool string")
     found = normalize.build_cases(smells, edges, metrics).first()["limitations"]
     assert len(found) == 2 and "a <-> b, b <-> a" in found[0]
+
+
+def test_readers_and_categories_can_be_added(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(exports.READERS, "mine", (("log",), lambda spark, path, tool: {"smells": spark.range(2)}))
+    assert exports.read_export(spark, "x.LOG", "mine")["smells"].count() == 2
+    for path, tool in (("x.csv", "mine"), ("x.csv", "other")):
+        with pytest.raises(ValueError, match="no reader"):
+            exports.read_export(spark, path, tool)
+    taxonomy = (("big_ball", "Big Ball", "BB", ("mud",)),)
+    smells = spark.createDataFrame([("p", "1", "t", "r", "f", "A ball of mud", ["a"], {"k": "v"})], "project string, seq string, tool string, tool_record_id string, source_file string, smell_type_raw string, affected_components array<string>, attributes map<string,string>")
+    assert [(r.smell_key, r.smell_id) for r in normalize.group_findings(smells, taxonomy).collect()] == [("big_ball", "T_BB_001")]
+
+
+def test_null_is_a_value_of_a_facet(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "n int, actor string")
+    assert [r.n for r in latest.matching(rows, actor=["a", None]).orderBy("n").collect()] == [1, 2]
+    assert latest.matching(rows, actor=None).count() == 3

@@ -143,6 +143,12 @@ def test_settings():
         config.load({"no_such": 1}, {})
 
 
+def test_settings_from_a_file(tmp_path):
+    (tmp_path / "s.json").write_text('{"seed": 3, "critic": true}')
+    got = config.load_file(str(tmp_path / "s.json"), {"BRINDLE_SEED": "4"})
+    assert (got.seed, got.critic) == (4, True)
+
+
 def test_stream_imports_each_content_once(spark, root, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
