@@ -83,15 +83,19 @@ class Code:
         self.table = (np.repeat(self.symbols << 4 | own, 1 << self.longest >> own) if self.longest else self.symbols << 4).astype(np.int64)
         self._flipped: list[int] | None = None
 
-    def read(self, bits: Bits) -> int:
-        if not self.longest:
-            return int(self.symbols[0])
-        if self._flipped is None:  # by the next bits, the first one lowest
+    def flipped(self) -> list[int]:
+        """The table by the next bits, the first one lowest."""
+        if self._flipped is None:
             places = np.zeros(1, np.int64)
             for _ in range(self.longest):
                 places = np.concatenate([2 * places, 2 * places + 1])
             self._flipped = self.table[places].tolist()
-        found = self._flipped[bits.peek(self.longest)]
+        return self._flipped
+
+    def read(self, bits: Bits) -> int:
+        if not self.longest:
+            return int(self.symbols[0])
+        found = self.flipped()[bits.peek(self.longest)]
         bits.at += found & 15
         if bits.at > bits.end:
             raise ValueError("the image data ends early")
@@ -133,18 +137,25 @@ def _parse_code(bits: Bits, size: int) -> Code:
         own[LENGTH_ORDER[k]] = bits.read(3)
     code = Code(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, before = 0, 8
-    while at < size and left:
+    # all that is left of the code as one number: no symbol takes more than 14 bits
+    start, most = bits.at >> 3, size * 14 // 8 + 2
+    ahead = int.from_bytes(bits.data[start : start + most], "little") >> (bits.at & 7)
+    table, mask, found, before = code.flipped(), (1 << code.longest) - 1, [], 8
+    while len(found) < size and left:
         left -= 1
-        n = code.read(bits)
+        n = table[ahead & mask]
+        ahead, n, taken = ahead >> (n & 15), n >> 4, n & 15
         if n < 16:
-            lengths[at] = n
+            found.append(n)
             before = n or before
-            at += 1
         else:
-            times = 3 + bits.read(2) if n == 16 else 3 + bits.read(3) if n == 17 else 11 + bits.read(7)
-            lengths[at : at + times] = before if n == 16 else 0
-            at += times
+            extra, least = ((2, 3), (3, 3), (7, 11))[n - 16]
+            found += [before if n == 16 else 0] * (least + (ahead & ((1 << extra) - 1)))
+            ahead, taken = ahead >> extra, taken + extra
+        bits.at += taken
+    if bits.at > bits.end or len(found) > size:
+        raise ValueError("the image data ends early")
+    lengths[: len(found)] = found
     return _code(lengths.tobytes())
 
 
@@ -534,7 +545,8 @@ class Writer:
         self._close()
         most = int(lengths.max(initial=0))
         if most:
-            shift = lengths[:, None] - 1 - np.arange(most)
+            codes, lengths = codes.astype(np.int32), lengths.astype(np.int32)
+            shift = lengths[:, None] - np.arange(1, most + 1, dtype=np.int32)
             self.parts.append(((codes[:, None] >> np.maximum(shift, 0)) & 1).astype(np.uint8)[shift >= 0])
 
     def bytes(self) -> bytes:
@@ -697,8 +709,8 @@ def _write_image(out: Writer, argb: np.ndarray, width: int, main: bool, referenc
         for first in range(a, b, WINDOW):
             px, hit = channels[first : min(first + WINDOW, b)].copy(), cached[first : min(first + WINDOW, b)]
             px[hit >= 0, 0] = N_LITERAL + N_LENGTH + hit[hit >= 0]
-            words = np.stack([made[k][0][px[:, k]] for k in range(4)], 1)
-            lengths = np.stack([made[k][1][px[:, k]] for k in range(4)], 1)
+            words, lengths = made[1][0].take(px, mode="clip"), made[1][1].take(px, mode="clip")  # red, blue and alpha have one code
+            words[:, 0], lengths[:, 0] = made[0][0].take(px[:, 0]), made[0][1].take(px[:, 0])
             lengths[hit >= 0, 1:] = 0
             out.words(words.ravel(), lengths.ravel())
 
