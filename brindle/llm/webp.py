@@ -28,6 +28,8 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 LEAST_RUN, MOST_RUN = 8, 4096
 #: Bits that are decoded at once, more than any symbol with its extra bits takes, and pixels that are written at once.
 WINDOW_BITS, SLACK, WINDOW = 1 << 17, 128, 16_384
+#: What marks a bit at which the symbol of a cached pixel or of a copy would begin, among lengths of literals.
+CACHED, COPY = 254, 255
 
 
 class Bits:
@@ -184,45 +186,59 @@ def _operations(bits: Bits, codes: list[Code], total: int) -> np.ndarray:
     """The symbols of an image as columns: green or other symbol, red, blue, alpha, pixels that it makes, distance code."""
     most = max(c.longest for c in codes)
     tables = [(c.table, most - c.longest) for c in codes]
-    lengths = [(t & 15, s) for t, s in tables[:4]]
     special = codes[0].symbols.max() >= N_LITERAL
     most_bits = sum(c.longest for c in codes) + SLACK * bool(special)  # of a pixel or other symbol
     found, left = [], total
     while left:
         n = min(WINDOW_BITS, bits.end - bits.at, left * most_bits)
         ahead = bits.ahead(n + SLACK, most)
+        lengths: dict[int, bytes] = {}  # by code: how long its word is that begins at each bit
+        for code, (table, shift) in zip(codes[1:4], tables[1:4], strict=True):
+            if id(code) not in lengths:
+                lengths[id(code)] = (table & 15).astype(np.uint8).take(ahead >> shift).tobytes()
+        red, blue, alpha = (lengths[id(c)] for c in codes[1:4])
         word = tables[0][0].take(ahead[:n] >> tables[0][1])
-        at = np.arange(n) + (word & 15)
-        for length, shift in lengths[1:]:  # where the pixel that begins at each bit ends, if it is a literal
-            at += length.take(ahead.take(at) >> shift)
-        sizes, distances = np.ones(n, np.int64), np.zeros(n, np.int64)
+        green, sizes, distances, jumps = (word & 15).astype(np.uint8), np.ones(n, np.int64), np.zeros(n, np.int64), {}
+        marks = lone = green.tobytes()
         if special:
             other = np.flatnonzero(word >= N_LITERAL << 4)
             after, symbol = other + (word[other] & 15), (word[other] >> 4) - N_LITERAL
-            at[other] = after
             copies = symbol < N_LENGTH
             own = other[copies]
+            green[other] = CACHED
             if len(own):
+                green[own] = COPY
                 raw = bits.unpacked()[bits.at : bits.at + n + SLACK]
                 raw = np.concatenate([raw, np.zeros(n + SLACK - len(raw), np.uint8)])
                 sizes[own], after = _extended(raw, after[copies], symbol[copies])
-                word = tables[4][0][ahead[after] >> tables[4][1]]
-                distances[own], at[own] = _extended(raw, after + (word & 15), word >> 4)
-        follow, starts, here = memoryview(at), [], 0
+                word = tables[4][0].take(ahead[after] >> tables[4][1])
+                distances[own], after = _extended(raw, after + (word & 15), word >> 4)
+                jumps = dict(zip(own.tolist(), after.tolist(), strict=True))
+            marks = green.tobytes()
+        chain, here = [], 0
         for _ in range(left):
             if here >= n:
                 break
-            starts.append(here)
-            here = follow[here]
-        if not starts:
+            chain.append(here)
+            taken = marks[here]
+            if taken < CACHED:
+                here += taken
+                here += red[here]
+                here += blue[here]
+                here += alpha[here]
+            elif taken == COPY:
+                here = jumps[here]
+            else:
+                here += lone[here]
+        if not chain:
             raise ValueError("the image data ends early")
-        starts = np.array(starts)
+        starts = np.array(chain)
         ends = np.cumsum(sizes[starts])
         if ends[-1] > left:
             last = int(np.searchsorted(ends, left))
             if ends[last] != left:
                 raise ValueError("a back-reference outside the image")
-            starts, here = starts[: last + 1], follow[int(starts[last])]
+            starts, here = starts[: last + 1], chain[last + 1] if last + 1 < len(chain) else here
         mine, place = np.empty((6, len(starts)), np.int64), starts
         for k, (table, shift) in enumerate(tables[:4]):
             word = table[ahead[place] >> shift]
