@@ -146,3 +146,15 @@ def per_process(key: tuple, make):
     if key not in store:
         store[key] = make()
     return store[key]
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of an Arrow array of texts, one text after the other, and where each begins (one entry more than texts). A null is empty.
+
+    The bytes are a view of the array's buffer.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return whole[bounds[0] : bounds[-1]], bounds - bounds[0]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import chat, context_tree, exact_dedup, html_extract, media, mixing, ngram_join, packing, substring_dedup, toxicity
+from brindle.llm import chat, collocations, context_tree, exact_dedup, filter_audit, html_extract, media, mixing, ngram_join, packing, substring_dedup, token_counts, toxicity
 from brindle.llm.common import table
 
 
@@ -176,6 +176,76 @@ def op10_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_features(media.store(table(spark, sf_dir, "documents")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+g AS MATERIALIZED (
+  SELECT lang, words[i : i + k - 1] AS phrase, count(*) AS f
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(words) >= k)
+  GROUP BY ALL HAVING count(*) >= 30
+), n AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, phrase, f AS a FROM g WHERE len(phrase) > 1),
+cuts AS (
+  SELECT c.*, k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (x.f + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, len(phrase))) AS k FROM c) c
+  JOIN g x ON x.lang = c.lang AND x.phrase = c.phrase[1 : k] JOIN g y ON y.lang = c.lang AND y.phrase = c.phrase[k + 1 :]
+), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts) WHERE place = 1),
+inside AS (
+  SELECT lang, phrase[i : i + k - 1] AS phrase, max(a) AS within
+  FROM (SELECT c.*, k, unnest(range(1, len(phrase) - k + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS k) WHERE len(phrase) > k) GROUP BY ALL
+), ranked AS (
+  SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(phrase, ' '))) AS rank
+  FROM best LEFT JOIN inside USING (lang, phrase) WHERE within IS NULL OR 100 * within < 80 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document, and whether it is over 2048."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language, in every order of applying them."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(words) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN l USING (doc_id)
+), c AS MATERIALIZED (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS step FROM o),
+x AS (
+  SELECT part, filter_order, step, n, good, toxic, fails, contains(fails, filter_order[step]) AS here,
+         len(list_filter(range(1, step), lambda k: contains(fails, filter_order[k]))) > 0 AS gone
+  FROM s, c
+)
+SELECT part, filter_order, step, CAST(coalesce(sum(n) FILTER (WHERE NOT here AND NOT gone), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (WHERE here AND NOT gone), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (WHERE here AND gone), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (WHERE here AND length(fails) = 1), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (WHERE here AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (WHERE here AND NOT gone), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * 120 // greatest(length(fails), 1)) FILTER (WHERE here), 0) AS BIGINT) AS shapley
+FROM x GROUP BY part, filter_order, step
+"""
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -194,8 +264,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": op8_html_extraction,
         "op9_source_mixing": op9_source_mixing,
         "op10_media_webp": op10_media_webp,
+        "op11_collocations": op11_collocations,
+        "op12_token_counts": op12_token_counts,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op7_ngram_join": OP7_SQL, "op9_source_mixing": OP9_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op7_ngram_join": OP7_SQL, "op9_source_mixing": OP9_SQL, "op11_collocations": OP11_SQL, "op13_filter_audit": OP13_SQL}

@@ -14,4 +14,4 @@ def test_query_equals_sql(spark, compare, name):
 
 def test_every_operator_has_one_query():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
-    assert [n.split("_")[0] for n in names] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{n}" for n in range(1, 14)]
