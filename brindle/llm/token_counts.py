@@ -18,10 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import per_process
+from brindle.llm.common import per_process, slices, split_words
 
 #: Bytes that are encoded together.
 BATCH_BYTES = 1_000_000
+#: Bytes of texts whose distinct parts are collected at once.
+SLICE_BYTES = 4_000_000
 #: Characters after which a text is split at the next safe boundary.
 PART_CHARS = 200_000
 
@@ -82,8 +84,8 @@ class Counter:
         else:
             raise ValueError(f"not a tokenizer file: {path}")
 
-    def counts(self, texts: pa.Array, batch_bytes: int = BATCH_BYTES, chars: int = PART_CHARS) -> np.ndarray:
-        """The number of tokens of each text; a null is empty."""
+    def lengths(self, texts: pa.Array, batch_bytes: int = BATCH_BYTES, chars: int = PART_CHARS) -> np.ndarray:
+        """The number of tokens of each text, encoded in batches of about `batch_bytes`."""
         out, waiting, rows, size = np.zeros(len(texts), np.int64), [], [], 0
 
         def flush() -> None:
@@ -107,6 +109,18 @@ class Counter:
         flush()
         return out
 
+    def counts(self, texts: pa.Array, batch_bytes: int = BATCH_BYTES, chars: int = PART_CHARS) -> np.ndarray:
+        """The number of tokens of each text; a null is empty.
+
+        Where white space is a safe boundary, texts are split at all of it,
+        each distinct part is encoded once, and its length is added up wherever it occurs.
+        """
+        if self.boundary is None:
+            return self.lengths(texts, batch_bytes, chars)
+        numbers, distinct, bounds = split_words(texts)
+        sums = np.concatenate([[0], np.cumsum(self.lengths(distinct, batch_bytes, chars)[numbers])])
+        return np.diff(sums[bounds])
+
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, batch_bytes: int = BATCH_BYTES, part_chars: int = PART_CHARS) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than `limit` tokens) of every row.
@@ -120,7 +134,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, batch_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = per_process(("Counter", tokenizer), lambda: Counter(tokenizer))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
             texts = batch.column(1)
             n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             n = counter.counts(texts, batch_bytes, part_chars)
