@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.vocab import CRITERIA, STOP_WORDS
-from brindle.operators.latest import latest
-
-
-def mean3(c: Column, places: int = 3) -> Column:
-    return F.round(F.avg(c), places)
+from brindle.functions.exact import UNIT, exact_mean, exact_sum, ratio, share, thousandths
+from brindle.functions.vocab import CRITERIA, STEPS_CHECK, RISKS_CHECK, STOP_WORDS
 
 
 def latest_reviews(reviews: DataFrame, order: list[Column]) -> DataFrame:
-    return latest(reviews, ["run_id"], order)
+    """The last review of each run by `order`, which should end in a tie-breaker: an aggregation, combined before its shuffle."""
+    rest = [c for c in reviews.columns if c != "run_id"]
+    last = reviews.groupBy("run_id").agg(F.max_by(F.struct(*rest), F.struct(*[F.struct(c.isNotNull(), c) for c in order])).alias("_last"))
+    return last.select(*[F.col("run_id") if c == "run_id" else F.col(f"_last.{c}") for c in reviews.columns])
 
 
 def comparison_table(runs: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -31,16 +30,17 @@ def comparison_table(runs: DataFrame, reviews: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "ok").alias("ok"),
         F.count_if(F.col("status") == "invalid_json").alias("invalid_json"),
         F.count_if(~F.col("status").isin("ok", "invalid_json")).alias("errors"),
-        F.round(F.avg((F.col("status") == "ok").cast("double")), 3).alias("json_validity_rate"),
-        F.round(F.avg(F.coalesce("critical_hallucination", F.lit(False)).cast("double")), 3).alias("grounding_failure_rate"),
-        mean3(F.col("hgrs")).alias("mean_hgrs"),
+        share(F.col("status") == "ok").alias("json_validity_rate"),
+        share(F.coalesce("critical_hallucination", F.lit(False))).alias("grounding_failure_rate"),
+        exact_mean(F.col("hgrs")).alias("mean_hgrs"),
         F.count_if(reviewed).alias("reviews"),
-        F.round(F.try_divide(F.count_if(F.col("would_try_it") == "yes") * 100, F.nullif(F.count_if(reviewed), F.lit(0))), 1).alias("would_try_yes_pct"),
-        mean3(tokens).alias("mean_tokens"),
-        mean3(runtime).alias("mean_runtime_s"),
-        *[mean3(F.col(c)).alias(f"mean_{c}") for c in CRITERIA],
+        share(F.col("would_try_it") == "yes", 1, reviewed, 100).alias("would_try_yes_pct"),
+        exact_mean(tokens).alias("mean_tokens"),
+        exact_mean(runtime).alias("mean_runtime_s"),
+        *[exact_mean(F.col(c)).alias(f"mean_{c}") for c in CRITERIA],
     )
-    proxy = F.nullif(F.round(F.coalesce("mean_tokens", F.lit(0.0)) * F.coalesce("mean_runtime_s", F.lit(0.0)), 1), F.lit(0.0))
+    both = thousandths(F.coalesce("mean_tokens", F.lit(0.0))) * thousandths(F.coalesce("mean_runtime_s", F.lit(0.0)))
+    proxy = F.nullif(ratio(both, F.lit(UNIT * UNIT), 1), F.lit(0.0))
     return table.withColumn("cost_proxy", proxy).orderBy("agent_mode", F.coalesce("model_id", F.lit("None")), "skill_version")
 
 
@@ -48,25 +48,24 @@ def digest(reviews: DataFrame, by: list[str]) -> DataFrame:
     """Review digests per skill: counts, means, and shares of failed checks."""
     return reviews.groupBy(*by).agg(
         F.count("*").alias("reviews_aggregated"),
-        mean3(F.col("hgrs")).alias("mean_hgrs"),
-        *[mean3(F.col(c), 2).alias(f"mean_{c}") for c in CRITERIA],
-        F.round(100 * F.avg((F.col("would_try_it") == "yes").cast("double")), 1).alias("would_try_yes_pct"),
+        exact_mean(F.col("hgrs")).alias("mean_hgrs"),
+        *[exact_mean(F.col(c), 2).alias(f"mean_{c}") for c in CRITERIA],
+        share(F.col("would_try_it") == "yes", 1, scale=100).alias("would_try_yes_pct"),
     )
 
 
 def failure_rates(reviews: DataFrame, by: list[str]) -> DataFrame:
     """Shares of reviews with a hallucination, too few steps and no risks, and mean tokens and runtimes.
 
-    `checks` is an array of (name, passed).
+    `checks` is an array of (name, passed), as stored with a run.
     """
     failed = lambda name: F.exists("checks", lambda c: (c["name"] == name) & ~c["passed"])
-    rate = lambda c: F.round(F.count_if(c) / F.count("*"), 3)
     return reviews.groupBy(*by).agg(
-        rate(F.col("critical_hallucination")).alias("unsupported_evidence_claim_rate"),
-        rate(failed("at_least_three_concrete_steps")).alias("missing_steps_rate"),
-        rate(failed("risks_and_tradeoffs_present")).alias("risk_omission_rate"),
-        F.round(F.avg(F.nullif(F.col("total_tokens"), F.lit(0))), 1).alias("mean_total_tokens"),
-        F.round(F.avg(F.nullif(F.col("runtime_seconds"), F.lit(0.0))), 2).alias("mean_runtime_seconds"),
+        share(F.col("critical_hallucination")).alias("unsupported_evidence_claim_rate"),
+        share(failed(STEPS_CHECK)).alias("missing_steps_rate"),
+        share(failed(RISKS_CHECK)).alias("risk_omission_rate"),
+        exact_mean(F.nullif(F.col("total_tokens"), F.lit(0)), 1).alias("mean_total_tokens"),
+        exact_mean(F.nullif(F.col("runtime_seconds"), F.lit(0.0)), 2).alias("mean_runtime_seconds"),
     )
 
 
@@ -130,8 +129,8 @@ def version_summary(scored: DataFrame) -> DataFrame:
     return scored.groupBy("version").agg(
         F.count("*").alias("n_scored"),
         F.count_if(F.col("source") == "failed_run_floor").alias("n_failed"),
-        mean3(F.col("score")).alias("mean_hgrs"),
-        mean3(F.col("grounding")).alias("mean_grounding"),
+        exact_mean(F.col("score")).alias("mean_hgrs"),
+        exact_mean(F.col("grounding")).alias("mean_grounding"),
         F.count_if("hallucinated").alias("critical_hallucinations"),
         F.array_sort(F.collect_set("source")).alias("score_sources"),
     )
@@ -144,19 +143,21 @@ def gate(summaries: DataFrame, baseline: str, candidate: str, least_gain: float
     `most_drop`, or with any hallucination. Always one row.
     """
     of = lambda c, v: F.max(F.when(F.col("version") == v, F.col(c)))
+    gain = lambda c: (thousandths(of(c, candidate)) - thousandths(of(c, baseline)))
     row = summaries.agg(
-        F.round(of("mean_hgrs", candidate) - of("mean_hgrs", baseline), 3).alias("improvement"),
-        F.round(of("mean_grounding", candidate) - of("mean_grounding", baseline), 3).alias("grounding_delta"),
+        gain("mean_hgrs").alias("_gain"),
+        gain("mean_grounding").alias("_delta"),
         F.coalesce(of("critical_hallucinations", candidate), F.lit(0)).alias("candidate_hallucinations"),
     )
-    good = (F.col("improvement") >= least_gain) & ~F.coalesce(F.col("grounding_delta") < -most_drop, F.lit(False)) & (F.col("candidate_hallucinations") == 0)
-    return row.withColumn("passed", F.coalesce(good, F.lit(False)))
+    # compared as whole thousandths, as the means are
+    good = (F.col("_gain") >= round(least_gain * UNIT)) & ~F.coalesce(F.col("_delta") < -round(most_drop * UNIT), F.lit(False)) & (F.col("candidate_hallucinations") == 0)
+    return row.select((F.col("_gain") / UNIT).alias("improvement"), (F.col("_delta") / UNIT).alias("grounding_delta"), "candidate_hallucinations", F.coalesce(good, F.lit(False)).alias("passed"))
 
 
 def usage_totals(calls: DataFrame) -> DataFrame:
     """Tokens and runtime of each run over its first call and its repair."""
     s = lambda c: F.sum(F.coalesce(c, F.lit(0)))
-    return calls.groupBy("run_id").agg(s("prompt_tokens").alias("prompt_tokens"), s("completion_tokens").alias("completion_tokens"), F.round(s("runtime_seconds"), 3).alias("runtime_seconds"))
+    return calls.groupBy("run_id").agg(s("prompt_tokens").alias("prompt_tokens"), s("completion_tokens").alias("completion_tokens"), exact_sum(F.col("runtime_seconds")).alias("runtime_seconds"))
 
 
 def experiment_grid(models: DataFrame, modes: DataFrame, versions: DataFrame) -> DataFrame:

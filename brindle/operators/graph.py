@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.session import shared_folder
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from brindle.functions.vocab import DETECTION
+from brindle.session import written
 
 
 #: Edges that one task takes at once.
@@ -30,7 +23,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     a graph may be far larger than one task. Edges without a start or end are
     left out; repeated ones count once; an empty table gives no rows.
     """
-    edges = _written(edges.select("graph", "a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct(), "scc-edges")
+    edges = written(edges.select("graph", "a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct(), "scc-edges")
     found, large = _searched(edges.withColumn("part", F.lit("")))
     if large is None:
         return found
@@ -48,7 +41,7 @@ def _searched(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     if not many.limit(1).count():
         return edges.groupBy("graph", "part").applyInPandas(_search, f"{_columns(edges)}, component {_kind(edges)}"), None
     fits = edges.join(many, ["graph", "part"], "left_anti").groupBy("graph", "part").applyInPandas(_search, f"{_columns(edges)}, component {_kind(edges)}")
-    return fits, _written(edges.join(many, ["graph", "part"], "left_semi"), "scc-large")
+    return fits, written(edges.join(many, ["graph", "part"], "left_semi"), "scc-large")
 
 
 def _kind(edges: DataFrame) -> str:
@@ -100,14 +93,14 @@ def _search(edges: pd.DataFrame) -> pd.DataFrame:
 def _weak_parts(edges: DataFrame) -> DataFrame:
     """graph, v, part: a name of each vertex's weakly connected part, by labels that jump over labels."""
     both = edges.select("graph", "a", "b").unionByName(edges.select("graph", F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = _written(both.select("graph", F.col("a").alias("v")).distinct().withColumn("part", F.col("v")), "scc-parts")
+    labels = written(both.select("graph", F.col("a").alias("v")).distinct().withColumn("part", F.col("v")), "scc-parts")
     while True:
         near = both.join(labels.select("graph", F.col("v").alias("b"), "part"), ["graph", "b"]).select("graph", F.col("a").alias("v"), "part")
         low = labels.unionByName(near).groupBy("graph", "v").agg(F.min("part").alias("part"))
         # what a label's own vertex is called now holds for all that have the label
         hooked = labels.select("graph", F.col("part").alias("old"), "v").join(low, ["graph", "v"]).groupBy("graph", "old").agg(F.min("part").alias("root"))
         moved = low.join(hooked.withColumnRenamed("old", "part"), ["graph", "part"], "left").select("graph", "v", F.coalesce("root", "part").alias("part"))
-        moved = _written(moved, "scc-parts")
+        moved = written(moved, "scc-parts")
         if not moved.join(labels, ["graph", "v", "part"], "left_anti").limit(1).count():
             return moved.withColumn("part", F.col("part").cast("string"))
         labels = moved
@@ -119,7 +112,7 @@ def _coloured(edges: DataFrame) -> DataFrame:
     colour is in that colour's component. Finished components leave the graph.
     """
     spark: SparkSession = edges.sparkSession
-    left = _written(edges.select("graph", "a", "b").distinct(), "scc-edges")
+    left = written(edges.select("graph", "a", "b").distinct(), "scc-edges")
     done = left.select("graph", F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("component", F.col("v"))
     found = spark.createDataFrame([], done.schema)
     while left.limit(1).count():
@@ -127,11 +120,11 @@ def _coloured(edges: DataFrame) -> DataFrame:
         colours = left.select("graph", F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("colour", F.col("v"))
         colours = _spread(colours, left, "a", "b")
         tagged = left.join(colours.select("graph", F.col("v").alias("a"), F.col("colour").alias("ca")), ["graph", "a"]).join(colours.select("graph", F.col("v").alias("b"), F.col("colour").alias("cb")), ["graph", "b"])
-        inside = _written(tagged.filter("ca = cb").select("graph", "a", "b", F.col("ca").alias("colour")), "scc-inside")
+        inside = written(tagged.filter("ca = cb").select("graph", "a", "b", F.col("ca").alias("colour")), "scc-inside")
         reached = _backwards(colours, inside)
-        found = found.unionByName(_written(reached.select("graph", "v", F.min("v").over(Window.partitionBy("graph", "colour")).alias("component")), "scc-found"))
+        found = found.unionByName(written(reached.select("graph", "v", F.min("v").over(Window.partitionBy("graph", "colour")).alias("component")), "scc-found"))
         gone = reached.select("graph", "v")
-        left = _written(left.join(gone.withColumnRenamed("v", "a"), ["graph", "a"], "left_anti").join(gone.withColumnRenamed("v", "b"), ["graph", "b"], "left_anti").select("graph", "a", "b"), "scc-edges")
+        left = written(left.join(gone.withColumnRenamed("v", "a"), ["graph", "a"], "left_anti").join(gone.withColumnRenamed("v", "b"), ["graph", "b"], "left_anti").select("graph", "a", "b"), "scc-edges")
     singles = done.join(found.select("graph", "v"), ["graph", "v"], "left_anti")
     return found.unionByName(singles)
 
@@ -142,7 +135,7 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     while before:
         starts, ends = edges.select("graph", F.col("a").alias("v")).distinct(), edges.select("graph", F.col("b").alias("v")).distinct()
         inner = edges.join(ends.withColumnRenamed("v", "a"), ["graph", "a"], "left_semi").join(starts.withColumnRenamed("v", "b"), ["graph", "b"], "left_semi")
-        edges = _written(inner.select("graph", "a", "b"), "scc-trimmed")
+        edges = written(inner.select("graph", "a", "b"), "scc-trimmed")
         after = edges.count()
         if 10 * (before - after) < before:
             break
@@ -154,7 +147,7 @@ def _spread(colours: DataFrame, edges: DataFrame, start: str, end: str) -> DataF
     """Colours carried along edges until each vertex has the largest that reaches it."""
     while True:
         carried = edges.join(colours.withColumnRenamed("v", start), ["graph", start]).select("graph", F.col(end).alias("v"), "colour")
-        after = _written(colours.unionByName(carried).groupBy("graph", "v").agg(F.max("colour").alias("colour")), "scc-colours")
+        after = written(colours.unionByName(carried).groupBy("graph", "v").agg(F.max("colour").alias("colour")), "scc-colours")
         if not after.join(colours, ["graph", "v", "colour"], "left_anti").limit(1).count():
             return after
         colours = after
@@ -162,11 +155,11 @@ def _spread(colours: DataFrame, edges: DataFrame, start: str, end: str) -> DataF
 
 def _backwards(colours: DataFrame, inside: DataFrame) -> DataFrame:
     """The vertices that reach the one their colour is named after, within the colour."""
-    reached = _written(colours.filter("v = colour"), "scc-reached")
+    reached = written(colours.filter("v = colour"), "scc-reached")
     while True:
         more = inside.join(reached.withColumnRenamed("v", "b"), ["graph", "b", "colour"]).select("graph", F.col("a").alias("v"), "colour").distinct()
         new = more.join(reached, ["graph", "v"], "left_anti")
-        after = _written(reached.unionByName(new.select(*reached.columns)), "scc-reached")
+        after = written(reached.unionByName(new.select(*reached.columns)), "scc-reached")
         if after.count() == reached.count():
             return after
         reached = after
@@ -183,4 +176,4 @@ def cycles(edges: DataFrame) -> DataFrame:
 def cycle_smells(edges: DataFrame, tool: str = "static_graph") -> DataFrame:
     """Cycles as smell records, `graph` being the source file."""
     found = cycles(edges)
-    return found.select(F.lit(tool).alias("tool"), F.concat(F.lit("scc"), F.col("n").cast("string")).alias("tool_record_id"), F.col("graph").alias("source_file"), F.col("n").cast("long").alias("row_no"), F.lit("Cyclic Dependency").alias("smell_type_raw"), F.col("members").alias("affected_components"), F.create_map(F.lit("cycle_size"), F.col("size").cast("string"), F.lit("detection"), F.lit("tarjan_scc")).alias("attributes"))
+    return found.select(F.lit(tool).alias("tool"), F.concat(F.lit("scc"), F.col("n").cast("string")).alias("tool_record_id"), F.col("graph").alias("source_file"), F.col("n").cast("long").alias("row_no"), F.lit("Cyclic Dependency").alias("smell_type_raw"), F.col("members").alias("affected_components"), F.create_map(F.lit("cycle_size"), F.col("size").cast("string"), F.lit("detection"), F.lit(DETECTION)).alias("attributes"))

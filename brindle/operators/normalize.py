@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import canonical_smell, content_id, numbered
 from brindle.functions.vocab import NO_EDGES, OPEN_PAIRS, OPEN_PAIRS_END, PROVENANCE, TAXONOMY
+from brindle.operators.numbering import number_rows
 
 #: Pairs that a limitation names.
 NAMED_PAIRS = 5
@@ -111,6 +112,6 @@ def build_cases(smells: DataFrame, edges: DataFrame, metrics: DataFrame, taxonom
 
 
 def number_edges(edges: DataFrame, already: int, order: list[Column]) -> DataFrame:
-    """Edges of one import with evidence ids that go on from the project's count."""
-    n = F.row_number().over(Window.partitionBy("project", "tool").orderBy(*order)) + already
-    return edges.withColumn("evidence_id", numbered(F.concat(F.upper("tool"), F.lit("_EDGE_")), n))
+    """Edges of one import, of one project and tool, with evidence ids that go on from the project's last number."""
+    n = F.col("_n") + already
+    return number_rows(edges, order, "_n").withColumn("evidence_id", numbered(F.concat(F.upper("tool"), F.lit("_EDGE_")), n)).drop("_n")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import clamp_score, concrete_steps, rationale_hits, steps_naming
-from brindle.functions.vocab import CRITERIA, RELEVANT, WEIGHTS
+from brindle.functions.vocab import CHECKS, CRITERIA, RELEVANT, WEIGHTS
 
 _NONE = "array<string>"
 
@@ -31,7 +31,7 @@ def hgrs(scores: Mapping[str, Column] | None = None, weights: Mapping[str, str]
 
 
 def cost_rank(runs: DataFrame, least: int = 3) -> DataFrame:
-    """`runs` with cost_efficiency from 1 to 4 by the share of the project's runs that took as many tokens or fewer.
+    """`runs` with cost_efficiency from 1 to 4 by the share of the project's runs that took as many tokens or fewer, and cost_compared, the number of those that have tokens.
 
     Runs without tokens, and all of a project with fewer than `least` runs that
     have tokens, get 2. The run itself counts.
@@ -43,7 +43,7 @@ def cost_rank(runs: DataFrame, least: int = 3) -> DataFrame:
     ranks = values.select(F.col("project").alias("_project"), F.col("_tokens").alias("_of"), F.sum("_runs").over(up_to).alias("_below"), F.sum("_runs").over(Window.partitionBy("project")).alias("_n"))
     ranked = counted.join(ranks, F.col("project").eqNullSafe(F.col("_project")) & (F.col("_tokens") == F.col("_of")), "left")
     cost = F.when(F.col("_n").isNull() | (F.col("_n") < least), F.lit(2.0)).otherwise(1 + 3 * (1 - F.col("_below") / F.col("_n")))
-    return ranked.withColumn("cost_efficiency", clamp_score(cost)).drop("_tokens", "_project", "_of", "_below", "_n")
+    return ranked.withColumns({"cost_efficiency": clamp_score(cost), "cost_compared": F.coalesce("_n", F.lit(0))}).drop("_tokens", "_project", "_of", "_below", "_n")
 
 
 def structural_checks(df: DataFrame) -> DataFrame:
@@ -53,7 +53,9 @@ def structural_checks(df: DataFrame) -> DataFrame:
     edges as 'a->b'), evidence_used, suggested_components, boundary, direction,
     recommended, rationale, risks, questions, steps, and cost_efficiency. Null
     arrays are empty. Adds the arrays of unsupported ids and unknown components, the
-    pass flags, critical_hallucination, and the seven scores with suggested_hgrs.
+    pass flags, critical_hallucination, the seven scores with suggested_hgrs, and `checks`: an
+    array of (name, passed, detail), one for each name in CHECKS. total_tokens and cost_compared
+    of `cost_rank` are told in the last one's detail where they are there.
     """
     arr = lambda c: F.coalesce(F.col(c), F.array().cast(_NONE))
     used, named, steps = arr("evidence_used"), arr("suggested_components"), concrete_steps(F.col("steps"))
@@ -92,10 +94,26 @@ def structural_checks(df: DataFrame) -> DataFrame:
         "risks_present": F.col("_risks") >= 1,
         "concrete_steps_present": F.col("_concrete") >= 3,
     })
-    out = out.withColumns({c: clamp_score(F.col(c)) for c in CRITERIA})
+    out = out.withColumns({c: clamp_score(F.col(c)) for c in CRITERIA}).withColumn("checks", _checks(out, used, df.columns))
     return out.withColumn("suggested_hgrs", hgrs()).drop("_hits", "_risks", "_questions", "_steps", "_concrete", "_naming")
 
 
+def _checks(out: DataFrame, used: Column, given: list[str]) -> Column:
+    listed = lambda c: F.array_join(c, ", ")
+    number = lambda c: F.coalesce(F.col(c) if c in given else F.lit(None), F.lit(0)).cast("string")
+    told = (
+        (F.col("evidence_ids_exist"), F.when(F.size("unsupported_evidence_ids") > 0, F.concat(F.lit("not in the case: "), listed("unsupported_evidence_ids"))).when(F.size(used) == 0, "cites nothing").otherwise("all cited ids are in the case")),
+        (F.col("components_grounded"), F.when(F.size("ungrounded_components") > 0, F.concat(F.lit("not in the case: "), listed("ungrounded_components"))).otherwise("all components are in the case")),
+        (F.col("direction_ok"), F.when(F.col("direction_ok"), "no claim beyond the edges").otherwise("no imported edge joins the boundary's components")),
+        (F.col("refactoring_relevant"), F.concat(F.coalesce("recommended", F.lit("")), F.lit(" for "), F.coalesce("smell_key", F.lit("")))),
+        (F.col("_hits") >= 2, F.concat(F.col("_hits").cast("string"), F.lit(" terms of architecture"))),
+        (F.col("risks_present"), F.concat(F.col("_risks").cast("string"), F.lit(" risks"))),
+        (F.col("concrete_steps_present"), F.concat(F.col("_concrete").cast("string"), F.lit(" concrete steps, "), F.col("_naming").cast("string"), F.lit(" naming components"))),
+        (F.lit(True), F.concat(number("total_tokens"), F.lit(" tokens, among "), number("cost_compared"), F.lit(" runs"))),
+    )
+    return F.array(*[F.struct(F.lit(name).alias("name"), F.coalesce(passed, F.lit(False)).alias("passed"), detail.alias("detail")) for name, (passed, detail) in zip(CHECKS, told, strict=True)])
+
+
 def banner(critical: Column, unsupported: Column, ungrounded: Column) -> Column:
     """'none' without checks, 'backed', or 'not backed: ' with the reasons."""
     reasons = F.filter(F.array(F.when(F.size(unsupported) > 0, F.concat(F.lit("unknown evidence ids: "), F.array_join(unsupported, ", "))), F.when(F.size(ungrounded) > 0, F.concat(F.lit("unknown components: "), F.array_join(ungrounded, ", ")))), lambda r: r.isNotNull())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brindle.functions import noisy_json, text
 from brindle.functions.vocab import CRITERIA, PROVENANCE, RATIONALE_TERMS, STOP_WORDS
 from brindle.operators import analytics, exporting, graph, latest, normalize, scoring, splits
-from brindle.plans.views import EDGES, LATEST, REVIEWS, RUNS, nation_edges, read, review_order, reviews, runs, user_days
+from brindle.plans.views import EDGES, LATEST, REVIEWS, RUNS, mean_sql, nation_edges, ratio_sql, read, review_order, reviews, runs, user_days
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,19 +31,20 @@ def _list(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-_MEANS = ", ".join(f"round(avg({c}), 3) AS mean_{c}" for c in CRITERIA)
+_MEANS = ", ".join(f"{mean_sql(c)} AS mean_{c}" for c in CRITERIA)
+_COUNT = "count(*) FILTER (WHERE {})"
 
 
 @query(f"""WITH {RUNS}, {REVIEWS}, {LATEST}, t AS (
   SELECT agent_mode, model_id, coalesce(skill_version, 'none') AS skill_version, count(*) AS runs, count(*) FILTER (WHERE status = 'ok') AS ok,
          count(*) FILTER (WHERE status = 'invalid_json') AS invalid_json, count(*) FILTER (WHERE status = 'error') AS errors,
-         round(avg(CASE WHEN status = 'ok' THEN 1.0::DOUBLE ELSE 0 END), 3) AS json_validity_rate,
-         round(avg(CASE WHEN critical_hallucination THEN 1.0::DOUBLE ELSE 0 END), 3) AS grounding_failure_rate,
-         round(avg(hgrs), 3) AS mean_hgrs, count(hgrs) AS reviews,
-         round(100 * count(*) FILTER (WHERE would_try_it = 'yes') / nullif(count(hgrs), 0), 1) AS would_try_yes_pct,
-         round(avg(nullif(total_tokens, 0)), 3) AS mean_tokens, round(avg(nullif(runtime_seconds, 0)), 3) AS mean_runtime_s, {_MEANS}
+         {ratio_sql(_COUNT.format("status = 'ok'"), "count(*)", 3)} AS json_validity_rate,
+         {ratio_sql(_COUNT.format("critical_hallucination"), "count(*)", 3)} AS grounding_failure_rate,
+         {mean_sql("hgrs")} AS mean_hgrs, count(hgrs) AS reviews,
+         {ratio_sql("100 * " + _COUNT.format("would_try_it = 'yes'"), "count(hgrs)", 1)} AS would_try_yes_pct,
+         {mean_sql("nullif(total_tokens, 0)")} AS mean_tokens, {mean_sql("nullif(runtime_seconds, 0)")} AS mean_runtime_s, {_MEANS}
   FROM runs LEFT JOIN latest USING (run_id) GROUP BY ALL)
-SELECT *, nullif(round(coalesce(mean_tokens, 0) * coalesce(mean_runtime_s, 0), 1), 0) AS cost_proxy FROM t""")
+SELECT *, nullif({ratio_sql("CAST(round(coalesce(mean_tokens, 0) * 1000) AS HUGEINT) * CAST(round(coalesce(mean_runtime_s, 0) * 1000) AS HUGEINT)", "1000000", 1)}, 0) AS cost_proxy FROM t""")
 def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.comparison_table(runs(spark, sf_dir), analytics.latest_reviews(reviews(spark, sf_dir), review_order()))
 
@@ -63,7 +64,7 @@ def latest_review(spark: SparkSession, sf_dir: str) -> DataFrame:
          cume_dist() OVER (PARTITION BY project, total_tokens = 0 ORDER BY total_tokens) AS r FROM runs)
 SELECT run_id, project, total_tokens, CAST(CASE WHEN t IS NULL OR n < 3 THEN 2 ELSE greatest(1, least(5, round_even(1 + 3 * (1 - r), 0))) END AS INTEGER) AS cost_efficiency FROM c""")
 def cost_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.cost_rank(runs(spark, sf_dir).select("run_id", "project", "total_tokens"))
+    return scoring.cost_rank(runs(spark, sf_dir).select("run_id", "project", "total_tokens")).drop("cost_compared")
 
 
 _BUCKET = "CAST('0x' || substr(sha256('42:' || {}), 1, 8) AS BIGINT) / 4294967295.0::DOUBLE"
@@ -179,8 +180,8 @@ def _skill_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews(spark, sf_dir).join(runs(spark, sf_dir).filter("skill_version IS NOT NULL"), "run_id")
 
 
-_DIGEST = f"""digests AS (SELECT skill_version, count(*) AS reviews_aggregated, round(avg(hgrs), 3) AS mean_hgrs,
-  {', '.join(f'round(avg({c}), 2) AS mean_{c}' for c in CRITERIA)}, round(100 * avg(CASE WHEN would_try_it = 'yes' THEN 1.0::DOUBLE ELSE 0 END), 1) AS would_try_yes_pct
+_DIGEST = f"""digests AS (SELECT skill_version, count(*) AS reviews_aggregated, {mean_sql("hgrs")} AS mean_hgrs,
+  {', '.join(f'{mean_sql(c, 2)} AS mean_{c}' for c in CRITERIA)}, {ratio_sql("100 * " + _COUNT.format("would_try_it = 'yes'"), "count(*)", 1)} AS would_try_yes_pct
   FROM reviews JOIN runs USING (run_id) WHERE skill_version IS NOT NULL GROUP BY skill_version)"""
 
 
@@ -195,19 +196,10 @@ def weak_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.weak_criteria(analytics.digest(_skill_reviews(spark, sf_dir), ["skill_version"]), ["skill_version"])
 
 
-@query(f"""WITH {RUNS}, r AS (SELECT skill_version, critical_hallucination, total_tokens, runtime_seconds, run_id % 5 = 0 AS no_steps, run_id % 7 = 0 AS no_risks FROM runs WHERE skill_version IS NOT NULL)
-SELECT skill_version, round(count(*) FILTER (WHERE critical_hallucination) / count(*), 3) AS unsupported_evidence_claim_rate, round(count(*) FILTER (WHERE no_steps) / count(*), 3) AS missing_steps_rate,
-       round(count(*) FILTER (WHERE no_risks) / count(*), 3) AS risk_omission_rate, round(avg(nullif(total_tokens, 0)), 1) AS mean_total_tokens, round(avg(nullif(runtime_seconds, 0)), 2) AS mean_runtime_seconds FROM r GROUP BY skill_version""")
-def failure_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    check = lambda name, passed: F.struct(F.lit(name).alias("name"), passed.alias("passed"))
-    checks = F.array(check("at_least_three_concrete_steps", F.col("run_id") % 5 != 0), check("risks_and_tradeoffs_present", F.col("run_id") % 7 != 0))
-    return analytics.failure_rates(runs(spark, sf_dir).filter("skill_version IS NOT NULL").withColumn("checks", checks), ["skill_version"])
-
-
-_SCORED = """scored AS (SELECT skill_version AS version, CASE WHEN status <> 'ok' THEN 'failed_run_floor' WHEN hgrs IS NOT NULL THEN 'human_review' ELSE 'deterministic_proxy' END AS source,
+_SCORED = f"""scored AS (SELECT skill_version AS version, CASE WHEN status <> 'ok' THEN 'failed_run_floor' WHEN hgrs IS NOT NULL THEN 'human_review' ELSE 'deterministic_proxy' END AS source,
   CASE WHEN status <> 'ok' THEN 1.0 WHEN hgrs IS NOT NULL THEN hgrs ELSE 2.5 END AS score, CASE WHEN status <> 'ok' THEN 1 WHEN hgrs IS NOT NULL THEN evidence_grounding ELSE 2 END AS grounding,
   status = 'ok' AND critical_hallucination AS hallucinated FROM runs LEFT JOIN latest USING (run_id) WHERE skill_version IS NOT NULL),
-summary AS (SELECT version, count(*) AS n_scored, count(*) FILTER (WHERE source = 'failed_run_floor') AS n_failed, round(avg(score), 3) AS mean_hgrs, round(avg(grounding), 3) AS mean_grounding,
+summary AS (SELECT version, count(*) AS n_scored, count(*) FILTER (WHERE source = 'failed_run_floor') AS n_failed, {mean_sql('score')} AS mean_hgrs, {mean_sql('grounding')} AS mean_grounding,
   count(*) FILTER (WHERE hallucinated) AS critical_hallucinations, array_to_string(list_sort(list(DISTINCT source)), '|') AS score_sources FROM scored GROUP BY version)"""
 
 
@@ -222,8 +214,8 @@ def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summaries(spark, sf_dir).withColumn("score_sources", F.array_join("score_sources", "|"))
 
 
-@query(f"""WITH {RUNS}, {REVIEWS}, {LATEST}, {_SCORED}, g AS (SELECT round(max(mean_hgrs) FILTER (WHERE version = 'v1') - max(mean_hgrs) FILTER (WHERE version = 'v0'), 3) AS improvement,
-  round(max(mean_grounding) FILTER (WHERE version = 'v1') - max(mean_grounding) FILTER (WHERE version = 'v0'), 3) AS grounding_delta, max(critical_hallucinations) FILTER (WHERE version = 'v1') AS candidate_hallucinations FROM summary)
+@query(f"""WITH {RUNS}, {REVIEWS}, {LATEST}, {_SCORED}, g AS (SELECT (CAST(round(max(mean_hgrs) FILTER (WHERE version = 'v1') * 1000) AS BIGINT) - CAST(round(max(mean_hgrs) FILTER (WHERE version = 'v0') * 1000) AS BIGINT)) / 1000 AS improvement,
+  (CAST(round(max(mean_grounding) FILTER (WHERE version = 'v1') * 1000) AS BIGINT) - CAST(round(max(mean_grounding) FILTER (WHERE version = 'v0') * 1000) AS BIGINT)) / 1000 AS grounding_delta, max(critical_hallucinations) FILTER (WHERE version = 'v1') AS candidate_hallucinations FROM summary)
 SELECT *, improvement >= 0.10 AND NOT grounding_delta < 0 AND candidate_hallucinations = 0 AS passed FROM g""")
 def validation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.gate(_summaries(spark, sf_dir), "v0", "v1")
@@ -356,7 +348,7 @@ def orphan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.missing_parents(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", read(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("SELECT o_orderkey AS run_id, sum(l_quantity) AS prompt_tokens, CAST(sum(l_linenumber) AS BIGINT) AS completion_tokens, round(sum(l_tax), 3) AS runtime_seconds FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+@query("SELECT o_orderkey AS run_id, sum(l_quantity) AS prompt_tokens, CAST(sum(l_linenumber) AS BIGINT) AS completion_tokens, CAST(sum(CAST(round(l_tax * 1000) AS BIGINT)) AS DOUBLE) / 1000 AS runtime_seconds FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_quantity").alias("prompt_tokens"), F.col("l_linenumber").alias("completion_tokens"), F.col("l_tax").alias("runtime_seconds"))
     return analytics.usage_totals(calls)

@@ -14,6 +14,16 @@ FACTORS = ((1, 0, 0), (2, 1, 0), (1, 2, 1), (3, 1, 1), (1, 1, 2), (2, 3, 1), (1,
 REVIEW_ORDER = ("reviewed_at", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
 
 
+def ratio_sql(numerator: str, denominator: str, places: int) -> str:
+    """Whole numbers' ratio, rounded once with halves away from zero."""
+    return f"CAST((CAST({numerator} AS HUGEINT) * {2 * 10**places} + {denominator}) // nullif(2 * CAST({denominator} AS HUGEINT), 0) AS DOUBLE) / {10**places}"
+
+
+def mean_sql(value: str, places: int = 3) -> str:
+    """The mean of values that aren't negative, from their whole thousandths."""
+    return ratio_sql(f"sum(CAST(round(({value}) * 1000) AS BIGINT))", f"(count({value}) * 1000)", places)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

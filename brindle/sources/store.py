@@ -4,8 +4,11 @@ Parquet tables know no MERGE, so a change is an appended row, which may hold
 just the key and what changes. `current` folds a table's rows by its key: of each
 column the last value that isn't null wins, but for columns that keep their first
 one. Both are aggregations with partial results, so a key that is
-changed often costs no more than its rows. Nothing is overwritten: a key is
-removed by a row that says so, and later rows begin it anew.
+changed often costs no more than its rows. A key is removed by a row that says so, and
+later rows begin it anew.
+
+What belongs to projects lies in partitions by project, so that one project is
+read, folded, rewritten or cleared without touching the files of others.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.functions.vocab import CRITERIA
+from brindle.session import written
 
 
 @dataclass(frozen=True)
@@ -33,16 +37,18 @@ class Table:
 
 TABLES = {
     "projects": Table("project string, path string, architecture_type string, component_type string, source_revision string", ("project",), ("path", "architecture_type", "component_type", "source_revision")),
-    "tool_runs": Table("run_id string, project string, tool string, mode string, source_path string, source_hash string, status string, error string", ("run_id",)),
-    "raw_findings": Table("run_id string, project string, tool string, kind string, row_no long, record_json string", ("run_id", "kind", "row_no"), by=("kind",)),
-    "graph_edges": Table("run_id string, project string, evidence_id string, from_component string, to_component string, relation_type string, confidence double, source string, weight double", ("project", "evidence_id")),
-    "evidence_cases": Table("case_id string, project string, smell_id string, smell_key string, case_json string, split string", ("case_id",)),
+    "tool_runs": Table("run_id string, project string, tool string, mode string, source_path string, source_hash string, status string, error string, edges_end long", ("run_id",), by=("project",)),
+    "raw_findings": Table("run_id string, project string, tool string, kind string, source_file string, row_no long, record_json string", ("run_id", "kind", "row_no", "source_file"), by=("project", "kind")),
+    "graph_edges": Table("run_id string, project string, evidence_id string, from_component string, to_component string, relation_type string, confidence double, source string, weight double, weight_json string", ("project", "evidence_id"), by=("project",)),
+    "evidence_cases": Table("case_id string, project string, smell_id string, smell_key string, case_json string, split string", ("case_id",), by=("project",)),
     "skills": Table("name string, version string, file_path string, text string, status string, parent_version string, notes string", ("name", "version"), ("parent_version",)),
     "agent_runs": Table(
         "run_id string, project string, case_id string, smell_id string, agent_mode string, provider string, model_id string, skill_name string, skill_version string, experiment_id string, status string, error string,"
         " raw_response string, suggestion_json string, checks_json string, repair_attempted boolean, prompt_tokens long, completion_tokens long, total_tokens long, runtime_seconds double",
         ("run_id",),
+        by=("project",),
     ),
+    "model_calls": Table("call_key string, model_id string, answer string, failure string, prompt_tokens long, completion_tokens long, runtime_seconds double", ("call_key",)),
     "malformed_outputs": Table("run_id string, raw_text string, error string", ("run_id",)),
     "suggested_scores": Table("run_id string, source string, scores_json string", ("run_id", "source")),
     "reviews": Table("review_id string, run_id string, reviewer string, " + ", ".join(f"{c} int" for c in CRITERIA) + ", hgrs double, decision string, would_try_it string, reviewer_notes string, edited_output_json string", ("review_id",)),
@@ -53,21 +59,45 @@ TABLES = {
 }
 #: When a row was written, an id that orders rows of one instant, and whether the row takes its key away.
 STAMPS = "written_at timestamp, entry_id string, removed boolean"
+#: When a folded row's key began.
+BEGAN = T.StructField("first_at", T.TimestampType())
 
 
 def schema_of(name: str) -> T.StructType:
     return T.StructType.fromDDL(f"{TABLES[name].schema}, {STAMPS}")
 
 
+def _shaped(df: DataFrame, name: str) -> DataFrame:
+    columns = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in [*schema_of(name), BEGAN]]
+    return df.select(*columns)
+
+
 def append(df: DataFrame, root: str, name: str) -> None:
     """Add rows to a table; columns that `df` lacks are null, others are left out."""
     stamped = df.withColumns({"written_at": F.current_timestamp(), "entry_id": F.expr("uuid()")})
-    columns = [(F.col(f.name) if f.name in stamped.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema_of(name)]
-    writer = stamped.select(*columns).write.mode("append")
+    writer = _shaped(stamped, name).write.mode("append")
     writer = writer.partitionBy(*TABLES[name].by) if TABLES[name].by else writer
     writer.parquet(f"{root}/{name}")
 
 
+def _partitioned(name: str) -> None:
+    if "project" not in TABLES[name].by:
+        raise ValueError(f"{name} has no partitions by project")
+
+
+def replace(df: DataFrame, root: str, name: str, project: str) -> None:
+    """Put `df` in the place of all that a project's partitions of a table hold; other projects' files stay. Without rows nothing is replaced."""
+    _partitioned(name)
+    rows = written(_shaped(df.withColumn("project", F.lit(project)), name), f"replace-{name}")  # it may be read from the files that go
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*TABLES[name].by).parquet(f"{root}/{name}")
+
+
+def compact(spark: SparkSession, root: str, name: str, project: str) -> None:
+    """Fold a project's rows of a table into one row a key. What is current stays the same."""
+    folded = current(spark, root, name, project).withColumn("first_at", F.col("created_at"))
+    replace(folded, root, name, project)
+
+
 def append_row(spark: SparkSession, root: str, table: str, /, **values) -> None:
     kind = T.StructType([f for f in schema_of(table) if f.name in values])
     append(spark.createDataFrame([tuple(values[f.name] for f in kind)], kind), root, table)
@@ -75,28 +105,34 @@ def append_row(spark: SparkSession, root: str, table: str, /, **values) -> None:
 
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     """All rows of a table; none where nothing was written yet."""
+    schema = T.StructType([*schema_of(name), BEGAN])
     try:
-        return spark.read.schema(schema_of(name)).parquet(f"{root}/{name}")
+        return spark.read.schema(schema).parquet(f"{root}/{name}")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema_of(name))
+        return spark.createDataFrame([], schema)
 
 
-def current(spark: SparkSession, root: str, name: str) -> DataFrame:
+def current(spark: SparkSession, root: str, name: str, project: str | None = None) -> DataFrame:
     """One row per key: of each column the last value that isn't null, or the first one where the table keeps that.
 
     `created_at` is when the key's first row was written, `written_at` when its
-    last was. Rows up to the last removal of a key don't count.
+    last was. Rows up to the last removal of a key don't count. With a project,
+    only its partitions are read, and that of changes that name no project.
     """
-    table, rows = TABLES[name], read(spark, root, name)
+    table, rows, columns = TABLES[name], read(spark, root, name), [c for c in schema_of(name).names if c != "removed"]
+    if project is not None:
+        _partitioned(name)
+        rows = rows.filter((F.col("project") == project) | F.col("project").isNull())
     order = F.struct("written_at", "entry_id")
     cut = rows.filter("removed").groupBy(*[F.col(k).alias(f"_{k}") for k in table.key]).agg(F.max(order).alias("_cut"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in table.key]
     left = rows.join(cut, reduce(Column.__and__, same), "left").filter(F.col("_cut").isNull() | (order > F.col("_cut"))).select(*rows.columns)
     value = lambda c: (F.min_by if c in table.first else F.max_by)(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c)
-    folded = left.groupBy(*table.key).agg(*[value(c) for c in rows.columns if c not in (*table.key, "removed")], F.min("written_at").alias("created_at"))
-    return folded.select(*[c for c in rows.columns if c != "removed"], "created_at")
+    folded = left.groupBy(*table.key).agg(*[value(c) for c in columns if c not in table.key], F.min(F.coalesce("first_at", "written_at")).alias("created_at"))
+    found = folded.select(*columns, "created_at")
+    return found if project is None else found.filter(F.col("project") == project)
 
 
 def audit(spark: SparkSession, root: str, entity_type: str, entity_id: str, action: str, actor: str = "system", details_json: str = "{}") -> None:
@@ -111,11 +147,11 @@ def add_projects(df: DataFrame, root: str) -> None:
 
 def assign(cases: DataFrame, root: str) -> None:
     """Set the split of cases (case_id, split) that are in the store."""
-    known = current(cases.sparkSession, root, "evidence_cases").select("case_id")
-    append(cases.select("case_id", "split").join(known, "case_id", "left_semi"), root, "evidence_cases")
+    known = current(cases.sparkSession, root, "evidence_cases").select("case_id", "project")
+    append(cases.select("case_id", "split").join(known, "case_id"), root, "evidence_cases")
 
 
 def clear_cases(spark: SparkSession, root: str, project: str) -> None:
-    """Take a project's cases away."""
-    own = current(spark, root, "evidence_cases").filter(F.col("project").eqNullSafe(project))
-    append(own.select("case_id", F.lit(True).alias("removed")), root, "evidence_cases")
+    """Take a project's cases away: its partition keeps one row a case, which says so."""
+    own = current(spark, root, "evidence_cases", project).select("case_id", F.lit(True).alias("removed"), F.current_timestamp().alias("written_at"), F.expr("uuid()").alias("entry_id"))
+    replace(own, root, "evidence_cases", project)

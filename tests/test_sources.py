@@ -6,7 +6,7 @@ import time
 import pytest
 
 from brindle.operators import graph, latest, normalize
-from brindle.sources import exports
+from brindle.sources import datasource, exports
 
 
 def write(tmp_path, name, text):
@@ -152,3 +152,60 @@ def test_null_is_a_value_of_a_facet(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "n int, actor string")
     assert [r.n for r in latest.matching(rows, actor=["a", None]).orderBy("n").collect()] == [1, 2]
     assert latest.matching(rows, actor=None).count() == 3
+
+
+def test_each_file_is_a_partition_with_its_own_delimiter_and_kind(spark, tmp_path):
+    for n in range(200):
+        text = ["id,smellType,affectedElements\n1,Cycle,a;b\n\n2,God Class,c\n", "from;to;weight\na;b;1\n", "name\tFanIn\norg.a\t7\n"][n % 3]
+        (tmp_path / f"{n:03d}.csv").write_text(text)
+    rows = exports.read_rows(spark, f"{tmp_path}/*.csv")
+    assert rows.rdd.getNumPartitions() == 200
+    out = exports.read_export(spark, f"{tmp_path}/*.csv", "arcan")
+    assert {k: df.count() for k, df in out.items()} == {"smells": 134, "edges": 67, "metrics": 66}
+    assert sorted({(r.row_no, r.smell_type_raw) for r in out["smells"].collect()}) == [(1, "Cycle"), (2, "God Class")]
+    few = spark.read.format("brindle_export").option("filesPerPartition", "64").load(str(tmp_path))
+    assert few.rdd.getNumPartitions() == 4 and few.count() == rows.count()
+    with pytest.raises(Exception, match="FileNotFound|nothing_here"):
+        exports.read_rows(spark, f"{tmp_path}/nothing_here/*.csv").count()
+
+
+def test_files_that_arrive_are_streamed_once(spark, tmp_path):
+    datasource.register(spark)
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def run():
+        stream = spark.readStream.format("brindle_export").load(str(folder))
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return sorted((r.source_file, r.row_no) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    (folder / "a.csv").write_text("from,to\na,b\nb,a\n")
+    assert run() == [("a.csv", 1), ("a.csv", 2)]
+    time.sleep(0.05)
+    (folder / "b.json").write_text(json.dumps({"edges": [{"from": "x", "to": "y"}]}))
+    assert run() == run() == [("a.csv", 1), ("a.csv", 2), ("b.json", 1)]
+
+
+def test_loose_json(spark, tmp_path):
+    edges = [{"from": "a", "to": "b", "weight": w} for w in (2, 1.5, "3", "many", None, True, [1], {"n": 1})] + ["a", 3, None, {"from": "", "to": "b"}, {"from": 7, "to": 8.5}]
+    smells = [{"type": "Hub", "affectedElements": ["a", 1, None, {"x": 2}], "size": 3, "note": None, "deep": {"k": [1]}}, {"smellType": "", "smell_type": "God", "affected_components": "x;y"}, ["no object"], {"smellType": None}, {"smellType": 5, "id": 9}]
+    out = exports.read_smell_json(spark, write(tmp_path, "s.json", json.dumps({"smells": smells, "edges": edges})))
+    got = out["edges"].orderBy("row_no").collect()
+    assert [r.weight for r in got] == [2.0, 1.5, 3.0, None, None, None, None, None, None]
+    assert [r.weight_json for r in got] == ["2", "1.5", '"3"', '"many"', None, "true", "[1]", '{"n":1}', None]
+    assert [(r.from_component, r.to_component) for r in got][-1] == ("7", "8.5")
+    found = out["smells"].orderBy("row_no").collect()
+    assert [(r.smell_type_raw, r.affected_components, r.tool_record_id) for r in found] == [("Hub", ["a", "1", None, '{"x":2}'], "json1"), ("God", ["x", "y"], "json2"), ("5", [], "9")]
+    assert found[0].attributes["size"] == "3" and found[0].attributes["note"] is None and found[0].attributes["deep"] == '{"k":[1]}'
+    graph_edges = exports.read_graph_file(spark, write(tmp_path, "g.json", json.dumps({"a": ["b", 3, None], "c": "d", "e": [], "f": None})))
+    assert rows(graph_edges, "from_component", "to_component") == [("a", "3"), ("a", "b"), ("c", "d")]
+
+
+def test_streamed_documents_read_as_files_do(spark, tmp_path):
+    doc = {"smells": [{"type": "Hub", "affectedElements": ["a", 1]}, 7], "edges": [{"from": "a", "to": "b", "weight": "x"}]}
+    text = spark.createDataFrame([(json.dumps(doc), "s.json"), ("broken", "t.json"), (json.dumps(doc["smells"]), "u.json")], "text string, source_file string")
+    whole = exports.read_smell_json(spark, write(tmp_path, "s.json", json.dumps(doc)))
+    assert exports.smells_of(text.limit(1), "arcan").collect() == whole["smells"].collect()
+    assert exports.edges_of(text, "arcan").collect() == whole["edges"].collect()
+    assert exports.smells_of(text, "arcan").count() == 2

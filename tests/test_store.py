@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle import config
 from brindle.functions.vocab import CRITERIA
+from brindle.operators.numbering import number_rows
 from brindle.sources import imports, reviewing, skills, store
 from brindle.streaming import imports as stream
 
@@ -175,3 +176,55 @@ def test_streamed_smells_become_cases_also_when_a_batch_comes_twice(spark, root,
     assert [f.tool for f in case.tool_findings] == ["arcan"]
     assert sorted((e.from_component, e.to_component) for e in case.dependency_evidence) == [("db", "ui"), ("ui", "db")]
     assert store.current(spark, root, "graph_edges").count() == 2
+
+
+def test_projects_do_not_disturb_each_other(spark, root):
+    for project in ("p", "q"):
+        for n in range(3):
+            store.append_row(spark, root, "evidence_cases", case_id=f"{project}{n}", project=project, case_json="1", split="train")
+            store.append_row(spark, root, "evidence_cases", case_id=f"{project}{n}", project=project, case_json="2")
+    files = lambda project: sorted(f for f in store.read(spark, root, "evidence_cases").filter(F.col("project") == project).inputFiles() if f"project={project}" in f)
+    before, others = store.current(spark, root, "evidence_cases").orderBy("case_id").collect(), files("q")
+    store.compact(spark, root, "evidence_cases", "p")
+    assert store.current(spark, root, "evidence_cases").orderBy("case_id").collect() == before
+    assert len(store.read(spark, root, "evidence_cases").filter("project = 'p'").collect()) == 3 and files("q") == others
+    store.append_row(spark, root, "evidence_cases", case_id="p1", project="p", split="validation")
+    store.clear_cases(spark, root, "p")
+    store.append_row(spark, root, "evidence_cases", case_id="p2", project="p", case_json="3")
+    assert [(r.case_id, r.case_json, r.split) for r in store.current(spark, root, "evidence_cases", "p").collect()] == [("p2", "3", None)]
+    assert store.current(spark, root, "evidence_cases", "q").count() == 3 and files("q") == others
+    with pytest.raises(ValueError, match="no partitions"):
+        store.compact(spark, root, "reviews", "p")
+
+
+def test_only_a_projects_partitions_are_read(spark, root, capsys):
+    for project in ("p", "q"):
+        store.append_row(spark, root, "graph_edges", run_id="r", project=project, evidence_id="E", from_component="a", to_component="b")
+    store.current(spark, root, "graph_edges", "p").explain("formatted")
+    plan = capsys.readouterr().out
+    filters = [line for line in plan.splitlines() if "PartitionFilters" in line]
+    assert filters and all("project" in line and "= p" in line for line in filters)
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_numbers_go_on_over_ranges(spark, partitions):
+    rows = [((i * 7919) % 1000, f"x{i}") for i in range(1000)]
+    frame = spark.createDataFrame(rows, "k int, v string").repartition(partitions)
+    got = number_rows(frame, [F.col("k")]).collect()
+    assert sorted((r.n, r.k) for r in got) == [(i + 1, i) for i in range(1000)]
+    assert number_rows(frame.limit(0), [F.col("k")]).count() == 0
+
+
+def test_edges_are_numbered_on_from_the_last_import(spark, root, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for n in range(3):
+        (folder / f"{n}.csv").write_text(f"from{';,'[n % 2]}to\na{n}{';,'[n % 2]}b\nb{';,'[n % 2]}a{n}\n")
+    imports.import_file(spark, root, "demo", "static_graph", f"{folder}/*.csv")
+    imports.import_file(spark, root, "other", "static_graph", f"{folder}/*.csv")
+    (folder / "2.csv").write_text("from,to\nx,y\n")
+    imports.import_file(spark, root, "demo", "static_graph", f"{folder}/*.csv")
+    got = sorted((r.evidence_id, r.from_component) for r in store.current(spark, root, "graph_edges", "demo").collect())
+    assert [e for e, _ in got] == [f"STATIC_GRAPH_EDGE_{n:03d}" for n in range(1, 12)]
+    assert [f for _, f in got][:6] == ["a0", "b", "a1", "b", "a2", "b"] and got[-1][1] == "x"
+    assert imports.last_edge(spark, root, "demo") == 11 and imports.last_edge(spark, root, "other") == 6
