@@ -103,14 +103,39 @@ def weak_criteria(digests: DataFrame, by: list[str], below: float = 3.5) -> Data
     return long.filter(F.col("mean") < below).select(*by, F.row_number().over(rank).alias("rank"), F.substring("name", 6, 100).alias("criterion"), "mean")
 
 
-def term_counts(notes: DataFrame, text: str, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """term, n: words of four letters or more (hyphens inside) in lower-cased text, without stop words."""
-    terms = notes.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z][a-z-]{3,}"), 0)).alias("term"))
-    return terms.filter(~F.col("term").isin(*stop_words)).groupBy("term").agg(F.count("*").alias("n"))
-
-
-def top_terms(notes: DataFrame, text: str, n: int = 12) -> DataFrame:
-    return term_counts(notes, text).orderBy(F.col("n").desc(), "term").limit(n)
+def term_counts(notes: DataFrame, text: str, stop_words: tuple[str, ...] = STOP_WORDS, order: str | None = None) -> DataFrame:
+    """term, n: words of four letters or more (hyphens inside) in lower-cased text, without stop words; with `order`, a column that orders the notes, also `first`, where each appears first."""
+    place = F.col(order) if order else F.lit(0)
+    terms = notes.select(place.alias("note"), F.posexplode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z][a-z-]{3,}"), 0)).alias("at", "term"))
+    first = [F.min(F.struct("note", "at")).alias("first")] if order else []
+    return terms.filter(~F.col("term").isin(*stop_words)).groupBy("term").agg(F.count("*").alias("n"), *first)
+
+
+def top_terms(notes: DataFrame, text: str, n: int = 12, order: str | None = None) -> DataFrame:
+    """The n commonest terms; of equally common ones those that appear first in the order of the notes, or by name without one."""
+    ranked = term_counts(notes, text, order=order).orderBy(F.col("n").desc(), *(["first"] if order else []), "term").limit(n)
+    return ranked.select("term", "n")
+
+
+def top_terms_of(notes: DataFrame, by: list[str], text: str, order: str, n: int = 12, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """rank, term, n of each group's commonest terms, as `top_terms` has them for one."""
+    terms = notes.select(*by, F.col(order).alias("note"), F.posexplode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z][a-z-]{3,}"), 0)).alias("at", "term"))
+    counts = terms.filter(~F.col("term").isin(*stop_words)).groupBy(*by, "term").agg(F.count("*").alias("n"), F.min(F.struct("note", "at")).alias("first"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("n").desc(), "first", "term"))
+    return counts.withColumn("rank", rank).filter(F.col("rank") <= n).select(*by, "rank", "term", "n")
+
+
+def facets(df: DataFrame, columns: list[str]) -> DataFrame:
+    """facet, value, n: the values of several columns and how many rows have each, in one pass; null is a value."""
+    sets = [[F.col(c)] for c in columns]
+    counted = df.groupingSets(sets, *[F.col(c) for c in columns]).agg(F.grouping_id().alias("_id"), F.count("*").alias("n"))
+    # a column's bit is 0 in the sets that group by it
+    every = (1 << len(columns)) - 1
+    own = [(every ^ (1 << (len(columns) - 1 - k)), c) for k, c in enumerate(columns)]
+    facet, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for code, c in own:
+        facet, value = F.when(F.col("_id") == code, c).otherwise(facet), F.when(F.col("_id") == code, F.col(c).cast("string")).otherwise(value)
+    return counted.select(facet.alias("facet"), value.alias("value"), "n")
 
 
 def run_scores(runs: DataFrame) -> DataFrame:

@@ -73,11 +73,30 @@ def uncovered_pairs(cases: DataFrame, inside: DataFrame) -> DataFrame:
     return pairs.join(both, ["case_id", "a", "b"], "left_anti")
 
 
+def first_open_pairs(cases: DataFrame, inside: DataFrame, most: int = NAMED_PAIRS) -> DataFrame:
+    """case_id, n, a, b: the first `most` of a case's `uncovered_pairs` in order, without making the others.
+
+    A component has as many open pairs as others without an edge to it. Sums of
+    these numbers tell in which few components the first pairs are, and each of
+    those needs no more of the case's list than its neighbours and `most` others.
+    """
+    parts = cases.select("case_id", F.posexplode("components").alias("i", "a"), F.size("components").alias("_size"))
+    ends = inside.filter("from_component <> to_component").select("case_id", F.explode(F.array(F.struct(F.col("from_component").alias("a"), F.col("to_component").alias("b")), F.struct(F.col("to_component").alias("a"), F.col("from_component").alias("b")))).alias("e"))
+    joined = ends.select("case_id", "e.a", "e.b").distinct()
+    degrees = joined.groupBy("case_id", "a").agg(F.count("*").alias("_degree"))
+    counted = parts.join(degrees, ["case_id", "a"], "left").withColumn("_degree", F.coalesce("_degree", F.lit(0))).withColumn("_open", F.col("_size") - 1 - F.col("_degree"))
+    before = Window.partitionBy("case_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.withColumn("_before", F.coalesce(F.sum("_open").over(before), F.lit(0))).filter((F.col("_open") > 0) & (F.col("_before") < most))
+    near = starts.join(cases.select("case_id", "components"), "case_id").select("case_id", "i", "a", F.posexplode(F.slice("components", F.lit(1), (F.col("_degree") + most + 1).cast("int"))).alias("j", "b"))
+    found = near.filter("i <> j").join(joined, ["case_id", "a", "b"], "left_anti")
+    n = F.row_number().over(Window.partitionBy("case_id").orderBy("i", "j"))
+    return found.withColumn("n", n).filter(F.col("n") <= most).select("case_id", "n", "a", "b")
+
+
 def limitations(cases: DataFrame, inside: DataFrame) -> DataFrame:
     """case_id, limitations (array) of the cases that have any."""
-    first = Window.partitionBy("case_id").orderBy("i", "j")
     cyclic = cases.filter((F.col("smell_key") == "cyclic_dependency") & (F.size("components") > 1))
-    named = uncovered_pairs(cyclic, inside).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= NAMED_PAIRS)
+    named = first_open_pairs(cyclic, inside)
     pairs = named.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("n", F.concat("a", F.lit(" <-> "), "b").alias("pair")))).alias("all"))
     open_pairs = pairs.select("case_id", F.lit(0).alias("k"), F.concat(F.lit(OPEN_PAIRS), F.array_join("all.pair", ", "), F.lit(OPEN_PAIRS_END)).alias("text"))
     bare = cases.join(inside.select("case_id").distinct(), "case_id", "left_anti").select("case_id", F.lit(1).alias("k"), F.lit(NO_EDGES).alias("text"))
