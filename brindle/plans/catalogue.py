@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions import noisy_json, text
 from brindle.functions.vocab import CRITERIA, PROVENANCE, RATIONALE_TERMS, STOP_WORDS
-from brindle.operators import analytics, exporting, graph, latest, normalize, scoring, splits
-from brindle.plans.views import EDGES, LATEST, REVIEWS, RUNS, mean_sql, nation_edges, ratio_sql, read, review_order, reviews, runs, user_days
+from brindle.operators import analytics, exporting, graph, latest, naming, normalize, numbering, scoring, splits
+from brindle.plans.views import LATEST, ORDER_CASES, PART_EDGES, REVIEWS, RUNS, SUPPLIER_EDGES, mean_sql, order_cases, part_edges, ratio_sql, read, review_order, reviews, runs, supplier_edges, user_days
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,34 +125,47 @@ def findings_ok_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.matching(runs(spark, sf_dir), status="ok").select("run_id", "project").join(findings, "run_id")
 
 
-def _region_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = read(spark, sf_dir, "nation")
-    return nations.groupBy(F.col("n_regionkey").alias("case_id")).agg(F.array_sort(F.collect_list("n_nationkey")).alias("components")).withColumn("project", F.lit("trade"))
+def _order_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_cases(spark, sf_dir).select(F.col("order_key").alias("case_id"), F.lit("trade").alias("project"), "components")
 
 
-@query(f"""WITH {EDGES} SELECT x.n_regionkey AS case_id, a AS from_component, b AS to_component, weight FROM edges JOIN nation x ON a = x.n_nationkey JOIN nation y ON b = y.n_nationkey WHERE x.n_regionkey = y.n_regionkey""")
+def _strong_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses between parts that occur more than once."""
+    return part_edges(spark, sf_dir).filter("weight > 1").withColumn("project", F.lit("trade"))
+
+
+@query(f"WITH {ORDER_CASES}, {PART_EDGES} SELECT order_key AS case_id, from_component, to_component, weight FROM (SELECT order_key, components, unnest(components) AS from_component FROM order_cases) JOIN named USING (from_component) WHERE list_contains(components, to_component)")
 def edges_within_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = nation_edges(spark, sf_dir).select(F.lit("trade").alias("project"), F.col("a").alias("from_component"), F.col("b").alias("to_component"), "weight")
-    return normalize.edges_within(_region_cases(spark, sf_dir), edges).select("case_id", "from_component", "to_component", "weight")
+    edges = part_edges(spark, sf_dir).withColumn("project", F.lit("trade"))
+    return normalize.edges_within(_order_cases(spark, sf_dir), edges).select("case_id", "from_component", "to_component", "weight")
+
 
+_OPEN_PAIRS = f"""{ORDER_CASES}, {PART_EDGES}, big AS (SELECT from_component AS x, to_component AS y FROM named WHERE weight > 1 UNION SELECT to_component, from_component FROM named WHERE weight > 1),
+i AS (SELECT order_key AS case_id, components, unnest(range(1, len(components) + 1)) AS i FROM order_cases), j AS (SELECT *, unnest(range(1, len(components) + 1)) AS j FROM i),
+open AS (SELECT case_id, i, j, components[i] AS a, components[j] AS b FROM j WHERE i <> j AND NOT EXISTS (SELECT 1 FROM big WHERE x = components[i] AND y = components[j]))"""
 
-@query(f"""WITH {EDGES}, big AS (SELECT a, b FROM edges WHERE weight >= (SELECT quantile_cont(weight, 0.8) FROM edges)),
-p AS (SELECT x.n_regionkey AS case_id, x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey <> y.n_nationkey)
-SELECT case_id, a, b FROM p WHERE NOT EXISTS (SELECT 1 FROM big WHERE (big.a = p.a AND big.b = p.b) OR (big.a = p.b AND big.b = p.a))""")
+
+@query(f"WITH {_OPEN_PAIRS} SELECT case_id, a, b FROM open")
 def uncovered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _strong_edges(spark, sf_dir).select(F.lit("trade").alias("project"), F.col("a").alias("from_component"), F.col("b").alias("to_component"))
-    cases = _region_cases(spark, sf_dir)
-    return normalize.uncovered_pairs(cases, normalize.edges_within(cases, edges)).select("case_id", "a", "b")
+    cases = _order_cases(spark, sf_dir)
+    return normalize.uncovered_pairs(cases, normalize.edges_within(cases, _strong_uses(spark, sf_dir))).select("case_id", "a", "b")
+
+
+@query(f"WITH {_OPEN_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY i, j) AS n FROM open) SELECT case_id, CAST(n AS INTEGER) AS n, a, b FROM o WHERE n <= 5")
+def first_open_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five open pairs of every order's parts, without making the others."""
+    cases = _order_cases(spark, sf_dir)
+    return normalize.first_open_pairs(cases, normalize.edges_within(cases, _strong_uses(spark, sf_dir)))
 
 
 def _strong_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trade edges from the 80th percentile of weight on."""
-    edges = nation_edges(spark, sf_dir)
-    bar = edges.agg(F.expr("percentile(weight, 0.8)").alias("bar"))
+    """The suppliers' edges from the 98th percentile of weight on."""
+    edges = supplier_edges(spark, sf_dir)
+    bar = edges.agg(F.expr("percentile(weight, 0.98)").alias("bar"))
     return edges.crossJoin(F.broadcast(bar)).filter("weight >= bar").select("a", "b")  # one row
 
 
-@query(f"""WITH RECURSIVE {EDGES}, big AS MATERIALIZED (SELECT a, b FROM edges WHERE weight >= (SELECT quantile_cont(weight, 0.8) FROM edges)),
+@query(f"""WITH RECURSIVE {SUPPLIER_EDGES}, big AS MATERIALIZED (SELECT a, b FROM edges WHERE weight >= (SELECT quantile_cont(weight, 0.98) FROM edges)),
 reach(a, b) AS (SELECT a, b FROM big UNION SELECT r.a, e.b FROM reach r JOIN big e ON r.b = e.a),
 pairs AS (SELECT x.a AS v, x.b AS w FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a),
 comp AS (SELECT v, list_sort(list(DISTINCT w)) AS members FROM pairs GROUP BY v),
@@ -171,9 +184,30 @@ def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.term_counts(read(spark, sf_dir, "conversations"), "text")
 
 
-@query(f"WITH {_TERMS.format('text', 'documents')} SELECT term, n FROM c ORDER BY n DESC, term LIMIT 12")
+@query(f"""WITH l AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z-]{{3,}}') AS words FROM documents), t AS (SELECT doc_id, unnest(words) AS term, unnest(range(len(words))) AS pos FROM l),
+c AS (SELECT term, count(*) AS n, min((doc_id, pos)) AS first FROM t WHERE term NOT IN ({_list(STOP_WORDS)}) GROUP BY term) SELECT term, n FROM c ORDER BY n DESC, first LIMIT 12""")
 def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.top_terms(read(spark, sf_dir, "documents"), "text")
+    """The commonest terms; equally common ones in the order in which they appear."""
+    return analytics.top_terms(read(spark, sf_dir, "documents"), "text", order="doc_id")
+
+
+@query(f"""WITH l AS (SELECT p_brand, p_partkey, regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z][a-z-]{{3,}}') AS words FROM part), t AS (SELECT p_brand, p_partkey, unnest(words) AS term, unnest(range(len(words))) AS pos FROM l),
+c AS (SELECT p_brand, term, count(*) AS n, min((p_partkey, pos)) AS first FROM t WHERE term NOT IN ({_list(STOP_WORDS)}) GROUP BY ALL)
+SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, first) AS INTEGER) AS rank, term, n FROM c QUALIFY rank <= 4""")
+def top_terms_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commonest terms of each brand, equally common ones by first appearance."""
+    notes = read(spark, sf_dir, "part").select("p_brand", "p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    return analytics.top_terms_of(notes, ["p_brand"], "text", "p_partkey", 4)
+
+
+_FACETS = {"event_type": "nullif(event_type, 'view')", "day": "strftime(ts, '%Y-%m-%d')", "user": "CAST(user_id % 5 AS VARCHAR)"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS facet, {value} AS value, count(*) AS n FROM events GROUP BY 2" for name, value in _FACETS.items()))
+def facet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of several columns with their counts, null among them, in one pass."""
+    rows = read(spark, sf_dir, "events").select(F.nullif("event_type", F.lit("view")).alias("event_type"), F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.col("user_id") % 5).alias("user"))
+    return analytics.facets(rows, list(_FACETS))
 
 
 def _skill_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,6 +288,30 @@ def canonical_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.withColumn("s", text.canonical_smell(F.col("p_type"), PART_TAXONOMY)).select("p_type", "s.smell_key", "s.code")
 
 
+#: Names of categories: the keys and texts of documents' sources and the parts' own names with their size, each a category of its own.
+_MANY_NAMES = "names AS (SELECT CAST(p_partkey AS INTEGER) AS priority, 'cat_' || p_partkey AS smell_key, 'C' || p_partkey % 97 AS code, unnest(['size ' || p_size || ' of ' || p_partkey % 40, lower(p_name) || ' ' || p_size, lower(p_type) || ' ' || p_partkey % 300, 'x' || p_partkey, 'y' || p_partkey * 7]) AS synonym FROM part)"
+
+
+@query(f"""WITH {_MANY_NAMES}, labels AS (SELECT p_partkey, trim(lower(p_name || ' ' || p_size || ' ' || p_type || ' ' || p_partkey % 500)) AS norm FROM part),
+hits AS (SELECT p_partkey, min(priority) AS priority FROM labels JOIN names ON contains(norm, synonym) GROUP BY 1)
+SELECT p_partkey, coalesce('cat_' || priority, 'custom_tool_smell') AS smell_key, coalesce('C' || priority % 97, 'XX') AS code FROM labels LEFT JOIN hits USING (p_partkey)""")
+def many_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by a taxonomy of five times as many names as there are parts: the first category that has a name in the label."""
+    part, text_of = read(spark, sf_dir, "part"), lambda *c: F.concat(*[x.cast("string") if not isinstance(x, str) else F.col(x).cast("string") for x in c])
+    key, size, gap = F.col("p_partkey"), F.col("p_size"), F.lit(" ")
+    names = F.array(text_of(F.lit("size "), size, F.lit(" of "), key % 40), text_of(F.lower("p_name"), gap, size), text_of(F.lower("p_type"), gap, key % 300), text_of(F.lit("x"), key), text_of(F.lit("y"), key * 7))
+    rows = part.select(key.cast("int").alias("priority"), text_of(F.lit("cat_"), key).alias("smell_key"), F.lit("Category").alias("smell_type"), text_of(F.lit("C"), key % 97).alias("code"), F.explode(names).alias("synonym"))
+    labels = part.select("p_partkey", text_of("p_name", gap, size, gap, "p_type", gap, key % 500).alias("label"))
+    return naming.canonical_labels(labels, rows).select("p_partkey", "smell_key", "code")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem""")
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers for all lines in order, by ranges and the counts before them."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    return numbering.number_rows(read(spark, sf_dir, "lineitem").select(*keys), [F.col(k) for k in keys]).select(*keys[:3], "n")
+
+
 @query("""SELECT p_partkey, array_to_string(list_filter([trim(p_brand), trim(p_name), trim(p_type)], lambda x: x <> ''), '/') AS components,
 CAST(len(list_distinct(list_filter([trim(p_brand), trim(p_name), trim(p_type)], lambda x: x <> ''))) AS INTEGER) AS n FROM part""")
 def split_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,17 +85,35 @@ LATEST = f"""latest AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {', '.join(c + ' DESC' for c in REVIEW_ORDER)}) AS rn FROM reviews) WHERE rn = 1)"""
 
 
-def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trade between nations: customer's nation to supplier's nation, with the number of lines."""
-    n = lambda t, k, c: read(spark, sf_dir, t).select(k, c)
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    joined = lines.join(n("orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(n("customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(n("supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return joined.groupBy(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).agg(F.count("*").alias("weight"))
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses between parts: from each line's part to that of lines one number on in the same order, with how many there are."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("org."), F.col("l_partkey").cast("string")).alias("part"))
+    ends = lines.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("part").alias("from_component")).join(lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("part").alias("to_component")), ["l_orderkey", "n"])
+    return ends.filter("from_component <> to_component").groupBy("from_component", "to_component").agg(F.count("*").alias("weight"))
 
 
-EDGES = """edges AS (
-  SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
+PART_EDGES = """named AS (
+  SELECT 'org.' || a.l_partkey AS from_component, 'org.' || b.l_partkey AS to_component, count(*) AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+  WHERE a.l_partkey <> b.l_partkey GROUP BY 1, 2)"""
+
+
+def order_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case for each order, its parts being the components, in order of name."""
+    part = F.concat(F.lit("org."), F.col("l_partkey").cast("string"))
+    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_key")).agg(F.array_sort(F.collect_set(part)).alias("components"))
+
+
+ORDER_CASES = "order_cases AS (SELECT l_orderkey AS order_key, list_sort(list(DISTINCT 'org.' || l_partkey)) AS components FROM lineitem GROUP BY 1)"
+
+
+def supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each line's supplier to that of lines one number on in the same order, with how many there are."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    ends = lines.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("a")).join(lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("l_suppkey").alias("b")), ["l_orderkey", "n"])
+    return ends.groupBy("a", "b").agg(F.count("*").alias("weight"))
+
+
+SUPPLIER_EDGES = """edges AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 GROUP BY 1, 2)"""
 
 
 def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
