@@ -192,12 +192,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of equal texts, its columns unchanged."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    marked = docs.withColumns({"_sha": F.sha2(normalised(F.col(text_col)), 256), "_chars": F.length(F.coalesce(F.col(text_col), F.lit("")))})
-    once = Window.partitionBy("_sha", id_col).orderBy(F.col("_chars").desc())
-    return (
-        marked.join(kept, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")))
-        .withColumn("_n", F.row_number().over(once))
-        .filter("_n = 1")
-        .select(*[docs[c] for c in docs.columns])
-    )
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
+    # the row itself is one column, so that no name of its columns can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = docs.select(row, F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("sha"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"))
+    once = Window.partitionBy("sha", "id").orderBy(F.col("chars").desc())
+    first = marked.join(kept, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("sha") == F.col("keep_sha"))).withColumn("n", F.row_number().over(once)).filter("n = 1")
+    return first.select("row.*")

@@ -3,13 +3,17 @@
 Each page is read into a light tree in which menus, headers, footers, sidebars,
 notices, adverts, forms, scripts and comments are marked by tag, role or class.
 What names or forms mark is kept where it holds most of the page's text or its
-only article. The first pass finds the containers whose own text repeats from
-page to page of a host: boilerplate without a mark. A page's best container is
+only article. The first pass finds the texts that repeat in one container from
+page to page of a host: boilerplate without a mark. Another text in such a
+container is no boilerplate. A page's best container is
 the deepest one outside of which only boilerplate is left. Its generalised
 tag-class path is the page's vote in the second pass, weighted
 by how much text it stands for; Spark adds up the votes of each host. In the third pass every
-page is extracted again with the winning path of its host, and with its own
-best container where that path is missing or leaves out other text than boilerplate.
+page is extracted again with the winning path of its host: where the votes
+found the main text, what is left outside and stands in links alone (lists of other
+pages, without a mark and other on each page) goes, too. Where the path is
+missing, or leaves out text that is neither boilerplate nor a link, the
+page's own best container is taken.
 """
 
 from __future__ import annotations
@@ -19,21 +23,23 @@ import html as html_module
 import math
 import re
 from collections import Counter
-from collections.abc import Generator, Iterator
+from collections.abc import Generator, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialise
+from brindle.llm.common import discard, materialise
 
 #: Pages of a host on which a container's own text must be the same to be boilerplate; they must be most pages with that container.
 REPEATS = 3
+#: A repeated text is boilerplate of a path if it is on one of so many pages with that path, and a path is judged if it is on one of so many pages of the host: what is known of a host has a bound.
+TEXT_SHARE, PATH_SHARE = 50, 1000
 
 #: Elements without an end tag, elements whose content is no text, and boilerplate elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object select title".split())
+RAW = frozenset("script style noscript template textarea iframe svg select title".split())
 DROPPED_TAGS = frozenset("nav footer aside form button dialog menu head".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 DROPPED_NAMES = frozenset(
@@ -73,9 +79,13 @@ ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|style|aria-hidden|hidden)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+#: By path the digests of the texts that are boilerplate there.
+Known = Mapping[str, frozenset[int]]
+
+
 @dataclass
 class Node:
-    """size: the kept text below; core: the part of it that isn't boilerplate; prose: the shown text outside links."""
+    """size: the kept text below; core: the part of it that isn't boilerplate; plain: that outside links; prose: the shown text outside links."""
 
     parent: int
     tag: str
@@ -85,16 +95,18 @@ class Node:
     dropped: bool = False
     size: int = 0
     core: int = 0
+    plain: int = 0
     prose: int = 0
     children: list[int] = field(default_factory=list)
 
 
 @dataclass
 class Page:
-    """nodes: containers and dropped elements in page order; pieces: (node, text) in page order, block borders as spaces."""
+    """nodes: containers and dropped elements in page order; pieces: (node, text) in page order, block borders as spaces; linked: whether each piece is in a link."""
 
     nodes: list[Node]
     pieces: list[tuple[int, str]]
+    linked: list[bool]
 
     def below(self, roots: set[int]) -> set[int]:
         found = set()
@@ -115,16 +127,19 @@ class Page:
                 own.setdefault(self.nodes[i].path, []).append(t)
         return {p: t for p, ts in own.items() if (t := " ".join("".join(ts).split()))}
 
-    def judge(self, boilerplate: frozenset[str]) -> None:
-        """Work out `core` for a host's boilerplate paths; all text counts on pages with nothing else."""
+    def judge(self, known: Known) -> None:
+        """Work out `core` and `plain` for a host's boilerplate: paths and the texts that repeat there. All text counts on pages with nothing else."""
+        boilerplate = {p for p, t in self.regions().items() if p in known and _digest(t) in known[p]} if known else ()
         for node in self.nodes:
-            node.core = 0
-        for i, t in self.pieces:
+            node.core = node.plain = 0
+        for (i, t), link in zip(self.pieces, self.linked, strict=True):
             node = self.nodes[i]
             if not node.dropped and node.path not in boilerplate and not t.isspace():
                 node.core += len(t)
+                node.plain += 0 if link else len(t)
         for i in range(len(self.nodes) - 1, 0, -1):
             self.nodes[self.nodes[i].parent].core += self.nodes[i].core
+            self.nodes[self.nodes[i].parent].plain += self.nodes[i].plain
         if not self.nodes[0].core:
             for node in self.nodes:
                 node.core = node.size
@@ -234,21 +249,23 @@ def _tags(html: str) -> Generator[tuple[int, int, str, str, str], int | None, No
         yield start, at, "", "", ""
 
 
-def read_page(html: str | None, decode: bool = True) -> Page:
-    """The containers and text of a page, its character references decoded if asked for.
+def read_page(html: str | None) -> Page:
+    """The containers and text of a page, its character references decoded.
 
     Malformed markup is read as far as it makes sense.
     """
     html = html or ""
     nodes = [Node(-1, "", "", 0, True)]
     pieces: list[tuple[int, str]] = []
+    linked: list[bool] = []
     stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, node, in a link or hidden
     open_tags: Counter = Counter()  # how often each tag is in the stack
     at, lower = 0, None
 
     def add(text: str) -> None:
         if text:
-            pieces.append((stack[-1][1], html_module.unescape(text) if decode and "&" in text else text))
+            pieces.append((stack[-1][1], html_module.unescape(text) if "&" in text else text))
+            linked.append(stack[-1][2])
             if not stack[-1][2]:
                 nodes[stack[-1][1]].prose += len("".join(text.split()))
 
@@ -273,6 +290,7 @@ def read_page(html: str | None, decode: bool = True) -> Page:
                     break
             if tag in BLOCKS:
                 pieces.append((stack[-1][1], " "))
+                linked.append(False)
             found = next(tags, None)
             continue
         if tag in RAW:
@@ -293,6 +311,7 @@ def read_page(html: str | None, decode: bool = True) -> Page:
                 if stack[k][0] in scope:
                     break
             pieces.append((stack[-1][1], " "))
+            linked.append(False)
         if not (tag in VOID or inside.endswith("/")):
             _, container, aside = stack[-1]
             attributes = _attributes(inside)
@@ -312,7 +331,7 @@ def read_page(html: str | None, decode: bool = True) -> Page:
     for i in range(len(nodes) - 1, 0, -1):
         nodes[nodes[i].parent].prose += nodes[i].prose
     _drop(nodes)
-    page = Page(nodes, pieces)
+    page = Page(nodes, pieces, linked)
     if all(nodes[i].dropped or t.isspace() for i, t in pieces):  # nothing is left: names may mislead
         for i, node in enumerate(nodes[1:], 1):
             node.dropped = nodes[node.parent].dropped or node.why in (HIDDEN, FIRM)
@@ -320,7 +339,7 @@ def read_page(html: str | None, decode: bool = True) -> Page:
         nodes[i].size += 0 if nodes[i].dropped or t.isspace() else len(t)
     for i in range(len(nodes) - 1, 0, -1):
         nodes[nodes[i].parent].size += nodes[i].size
-    page.judge(frozenset())
+    page.judge({})
     return page
 
 
@@ -337,34 +356,33 @@ def _digest(text: str) -> int:
 
 
 def own_texts(html: str | None) -> list[tuple[str, int, int]]:
-    """(path, digest of its own text, digest of the page's text) of each path with text of its own."""
-    page = read_page(html, decode=False)
-    regions = page.regions()
+    """(path, digest of its own text, digest of the page's text) of each path with text of its own, and one for the page, without a path."""
+    regions = read_page(html).regions()
     whole = _digest("\n".join(regions.values()))
-    return [(p, _digest(t), whole) for p, t in regions.items()]
+    return [("", 0, whole), *[(p, _digest(t), whole) for p, t in regions.items() if p]]
 
 
-def vote(html: str | None, boilerplate: frozenset[str] = frozenset()) -> tuple[str, float]:
+def vote(html: str | None, known: Known | None = None) -> tuple[str, float]:
     """The path of a page's best container and the weight of that vote."""
-    page = read_page(html, decode=False)
-    page.judge(boilerplate)
+    page = read_page(html)
+    page.judge(known or {})
     best = page.best()
     return (page.nodes[best].path, math.log1p(page.nodes[best].size)) if best >= 0 else ("", 0.0)
 
 
-def extract(html: str | None, path: str | None, boilerplate: frozenset[str] = frozenset()) -> tuple[str, str]:
+def extract(html: str | None, path: str | None, known: Known | None = None) -> tuple[str, str]:
     """The text below all containers with the given path, or below the page's own best one, and the path used.
 
-    The given path is used where it leaves out nothing but boilerplate.
+    The given path is used where it leaves out nothing but boilerplate and links.
     """
     page = read_page(html)
-    page.judge(boilerplate)
+    page.judge(known or {})
     own = page.best()
     if own < 0:
         return "", ""
     wanted = {i for i, n in enumerate(page.nodes) if path and n.path == path and n.candidate and not n.dropped}
-    top = _outermost(page.nodes, wanted)
-    if sum(page.nodes[i].core for i in top) == page.nodes[0].core:
+    top, whole = _outermost(page.nodes, wanted), page.nodes[0]
+    if sum(page.nodes[i].core for i in top) == whole.core or (whole.plain and sum(page.nodes[i].plain for i in top) == whole.plain):
         return page.text(wanted), path
     return page.text({own}), page.nodes[own].path
 
@@ -374,11 +392,8 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", ""), F.lit(""))
 
 
-def host_boilerplate(pages: DataFrame) -> DataFrame:
-    """host, boilerplate: the paths of each host whose own text is the same on most pages that have them.
-
-    A text repeats if REPEATS pages have it that aren't all copies of one page.
-    """
+def text_counts(pages: DataFrame) -> DataFrame:
+    """host, path, own, n, differ: on how many pages of a host a path has which text of its own, and whether those pages differ; written out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -387,10 +402,27 @@ def host_boilerplate(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "path", "own", "whole"])
 
     texts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, own long, whole long")
-    counts = texts.groupBy("host", "path", "own").agg(F.count(F.lit(1)).alias("n"), (F.min("whole") != F.max("whole")).alias("differ"))
-    repeated = F.sum(F.when(F.col("differ") & (F.col("n") >= REPEATS), F.col("n")).otherwise(0))
-    paths = counts.groupBy("host", "path").agg(repeated.alias("repeated"), F.sum("n").alias("n"))
-    return paths.filter("2 * repeated > n").groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("boilerplate"))
+    return materialise(texts.groupBy("host", "path", "own").agg(F.count(F.lit(1)).alias("n"), (F.min("whole") != F.max("whole")).alias("differ")), "host-texts")
+
+
+def host_boilerplate(counts: DataFrame) -> DataFrame:
+    """host, boilerplate: by path the digests of the texts that are boilerplate there, from `text_counts`.
+
+    A text repeats if REPEATS pages have it in a path that aren't all copies of
+    one page. A path is judged if most pages with it have a text that repeats;
+    there the texts on one of TEXT_SHARE pages with the path or more are boilerplate.
+    """
+    repeats = F.col("differ") & (F.col("n") >= REPEATS)
+    paths = counts.groupBy("host", "path").agg(F.sum(F.when(repeats, F.col("n")).otherwise(0)).alias("repeated"), F.sum("n").alias("total"))
+    sizes = paths.filter("path = ''").select("host", F.col("total").alias("pages"))
+    judged = paths.filter("path <> '' AND 2 * repeated > total").join(sizes, "host").filter(F.col("total") * PATH_SHARE >= F.col("pages")).select("host", "path", "total")
+    frequent = counts.filter(repeats & (F.col("path") != "")).join(judged, ["host", "path"]).filter(F.col("n") * TEXT_SHARE >= F.col("total"))
+    by_path = frequent.groupBy("host", "path").agg(F.sort_array(F.collect_list("own")).alias("texts"))  # TEXT_SHARE at most
+    return by_path.groupBy("host").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "texts")))).alias("boilerplate"))
+
+
+def _known(entries: list[tuple[str, list[int]]] | None) -> Known:
+    return {p: frozenset(texts) for p, texts in entries or ()}
 
 
 def host_paths(pages: DataFrame, boilerplate: DataFrame) -> DataFrame:
@@ -398,7 +430,7 @@ def host_paths(pages: DataFrame, boilerplate: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = [vote(h, frozenset(b or ())) for h, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            votes = [vote(h, _known(b)) for h, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v[0] for v in votes], pa.string()), pa.array([v[1] for v in votes], pa.float64())], ["host", "path", "weight"])
 
     rows = pages.select(host_of(F.col("url")).alias("host"), "html").join(boilerplate, "host", "left").select("host", "html", "boilerplate")
@@ -416,14 +448,17 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     ''. A null url has the host ''. Repeated rows are extracted each. An empty
     table gives no rows. Other columns aren't read.
     """
-    known = materialise(host_boilerplate(pages), "host-boilerplate")
+    counts = text_counts(pages)
+    known = materialise(host_boilerplate(counts), "host-boilerplate")
+    discard(counts)
     winners = materialise(host_paths(pages, known).join(known, "host", "left"), "host-paths")
+    discard(known)
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     joined = rows.join(winners, "host", "left").select("page_id", "url", "host", "path", "html", "boilerplate")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [extract(h, p, frozenset(b or ())) for h, p, b in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            found = [extract(h, p, _known(b)) for h, p, b in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2), pa.array([f[1] for f in found], pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array([len(f[0]) for f in found], pa.int64())], ["page_id", "url", "host", "path", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, host string, path string, text string, n_chars long")

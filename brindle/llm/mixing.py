@@ -142,11 +142,11 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """`docs` mixed: selected rows with their columns, once for each epoch, texts cut to the used tokens."""
-    packed = docs.withColumn("_row", F.struct(*[F.col(c) for c in docs.columns]))
-    mixed = mix(packed, keep=("_row",), **options)
-    rows = mixed.select("_row.*", F.col("used_tokens").alias("_used"), F.col("doc_tokens").alias("_all"))
-    cut = F.col("_used") < F.col("_all")
-    rows = rows.withColumn("text", F.when(cut, first_words(F.col("text"), F.col("_used").cast("int"))).otherwise(F.col("text")))
+    packed = docs.select("doc_id", "text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    mixed = mix(packed, keep=("row",), **options)
+    cut, row = F.col("used_tokens") < F.col("doc_tokens"), F.col("row")
+    short = first_words(row["text"], F.col("used_tokens").cast("int"))
+    shorter = row.withField("text", short)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        shorter = shorter.withField("n_chars", F.length(short).cast(docs.schema["n_chars"].dataType))
+    return mixed.select(F.when(cut, shorter).otherwise(row).alias("row")).select("row.*")

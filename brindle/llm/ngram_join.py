@@ -329,7 +329,10 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     Of several rows of that id the one with the longest text stays, then the
     first text; of equal texts, the row whose columns have the least hash.
     """
-    keep = similar_documents(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    rows = docs.filter("doc_id IS NOT NULL").join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return rows.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    keep = similar_documents(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("keep")).distinct()
+    # the row itself is one column, so that no name of its columns can clash; as JSON any column has a hash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(row.alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("words"))
+    first = Window.partitionBy("id").orderBy(F.length("words").desc_nulls_last(), "words", F.xxhash64(F.to_json("row")))
+    rows = packed.filter("id IS NOT NULL").join(keep, F.col("id").cast("long") == F.col("keep"), "left_semi").withColumn("n", F.row_number().over(first)).filter("n = 1")
+    return rows.select("row.*").unionByName(docs.filter("doc_id IS NULL"))

@@ -185,14 +185,15 @@ def _places(bins: list[tuple[int, list[int]]]) -> dict[int, list[np.ndarray]]:
 def pack(docs: DataFrame, tokenizer: str, max_length: int = 2048, end_id: int = 0) -> DataFrame:
     """Every piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Ties (pieces of one length) are ranked by doc_id, piece and checksum within
-    salts; repeated rows are packed as often as they occur. Null texts are
+    Pieces of one length are dealt to salts by their places in the written table,
+    which also parts repeated rows and rows without an id, and ranked by doc_id, piece and checksum within
+    them; repeated rows are packed as often as they occur. Null texts are
     empty texts. A null doc_id stays null. An empty table gives an empty result.
     """
-    cut = materialise(pieces(docs, tokenizer, max_length, end_id), "pieces")
+    cut = materialise(pieces(docs, tokenizer, max_length, end_id).withColumn("at", F.monotonically_increasing_id()), "pieces")
     total = cut.count()
     salts = 1 + total // SALT_ROWS
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(salts)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = np.zeros(max_length + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most max_length rows
@@ -200,7 +201,7 @@ def pack(docs: DataFrame, tokenizer: str, max_length: int = 2048, end_id: int =
     places = _places(plan(histogram, max_length))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "at")
     ranked = salted.withColumn("own", F.row_number().over(own)).join(first, ["length", "salt"]).withColumn("rank", F.col("first") + F.col("own") - 1)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

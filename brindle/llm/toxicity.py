@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import held_out, lower_ascii, materialise, residue, words_of
+from brindle.llm.common import discard, held_out, lower_ascii, materialise, residue, words_of
 
 #: Most labelled rows of each class that the model is fitted on.
 FIT_ROWS = 10_000
@@ -99,30 +99,6 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, r - l) for s, e, l, r, _ in kept]
 
 
-def bounded(words: list[str], values: list[float], total: float) -> float:
-    """The best score of a part of a segment in which a token gains twice at most: more repetition is no further evidence.
-
-    `gains` holds the score up to the present word by the word it starts from,
-    without what all starts have lost since. A word adds to the starts after
-    its last occurrence but one, so only these can reach a new best.
-    """
-    hits = [i for i, v in enumerate(values) if v > 0]
-    tokens = [token(words[i]) for i in hits]
-    if max(Counter(tokens).values()) <= 2:
-        return total
-    gains, lost, best = np.zeros(len(hits)), 0.0, 0.0
-    places: dict[str, tuple[int, int]] = {}  # the starts after a token's last occurrence but one, and after its last
-    before = -1
-    for n, (i, w) in enumerate(zip(hits, tokens, strict=True)):
-        gains[n] = lost = lost + DRIFT * (i - before - 1)
-        first, second = places.get(w, (0, 0))
-        gains[first : n + 1] += values[i] + DRIFT
-        lost += DRIFT
-        best = max(best, float(gains[first : n + 1].max()) - lost)
-        places[w], before = (second, n + 1), i
-    return best
-
-
 def surprise(best: float, n: int, lam: float, k: float) -> float:
     """-ln P(clean text of n words has a segment of this score or more); 0 without a segment."""
     if best <= 0:
@@ -144,7 +120,7 @@ def _scorer(model: Model):
         values = [scores[w] for w in words]
         if not values or max(values) <= 0:
             return len(words), []
-        return len(words), [(s, e, bounded(words[s:e], values[s:e], v)) for s, e, v in maximal_segments(np.array(values))]
+        return len(words), maximal_segments(np.array(values))
 
     return segments
 
@@ -260,6 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, fit_rows: int = FI
     k = scale(clean, model.lam)
     x = np.array([surprise(r["best"], r["n"], model.lam, k) for r in pairs], float)
     a, b = _logistic(x, np.array([r["toxic"] for r in pairs], float), weights)
+    discard(rows)
+    discard(counts)
     return Model(model.lexicon, stems, model.lam, k, min(a, math.log(NO_EVIDENCE / (1 - NO_EVIDENCE))), b)
 
 
@@ -289,8 +267,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     `passages` lists the maximal segments whose own surprise reaches the point
     where the score is one half: first word, word after the last, log-odds sum.
-    The sum of a segment with a token more than twice is that of its best part
-    in which no token gains more often, wherever in the document it is.
+    Every occurrence of a token counts; that texts repeat their words is in the
+    training counts, which are of documents, and in the law fitted on clean rows.
     Null and empty texts have no passages and the score of a text without any
     lexicon word. Repeated rows get equal scores; other columns are not read.
     """

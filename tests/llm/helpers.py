@@ -6,7 +6,7 @@ import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Columns of other tables, under names that operators use inside.
-CLASHING = ("key", "anchor", "words", "fp", "norm", "token", "score", "rank", "bucket", "part", "text_sha256", "component", "domain", "length", "host", "_row", "may")
+CLASHING = ("key", "anchor", "words", "fp", "norm", "token", "score", "rank", "bucket", "part", "text_sha256", "component", "domain", "length", "host", "_row", "may", "row", "id", "n", "_n", "_sha", "_chars", "_used", "_all", "_keep", "sha", "chars", "keep", "at", "salt", "sid", "mark", "mask", "digest")
 
 
 def documents(spark, rows, clashing=False):

@@ -1,5 +1,6 @@
 """HTML extraction: planted pages whose main text is known."""
 
+import random
 import time
 
 import pytest
@@ -35,12 +36,72 @@ def test_planted_pages(spark, name):
 
 
 def test_hosts_vote(spark):
-    """A short page takes its host's path, where its own best container is another."""
-    good = '<div class="story"><p>{}</p></div><div class="extra"><p>{}</p></div>'
-    rows = [page(i, good.format(f"story {i} " * 40, "see this")) for i in range(5)] + [page(9, good.format("short story", "much longer other text " * 1))]
+    """A page takes its host's path where its own best container is a wider one: lists of links beside the story, other ones on each page, go."""
+    usual = '<div class="story"><p>{}</p></div>'
+    links = '<div class="extra"><a href="/a">Other story {0}</a> <a href="/b">And {0} more</a></div>'
+    rows = [page(i, usual.format(f"story {i} " * 40)) for i in range(5)] + [page(9, usual.format("short <a href='/c'>linked</a> story") + links.format(9)), page(10, usual.format("another") + links.format(10))]
     got = {r.page_id: r for r in h.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
-    assert got[9].text == "short story"
+    assert (got[9].text, got[10].text) == ("short linked story", "another")
     assert len({(r.host, r.path) for r in got.values()}) == 1
+    assert h.extract(rows[5][2], None)[0] == "short linked story Other story 9 And 9 more"
+
+
+def test_other_text_in_a_repeated_container_stays(spark):
+    """Five pages with one lead, two with leads of their own."""
+    body = '<div class="lead">{}</div><div class="story"><p>{}</p></div>'
+    rows = [page(i, body.format("Subscribe &amp; save", f"story {i} " * 9)) for i in range(5)] + [page(7, body.format("Only here: a lead.", "story seven")), page(8, body.format("Only there, too.", "story eight"))]
+    got = {r.page_id: r.text for r in h.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[7] == "Only here: a lead. story seven" and got[8] == "Only there, too. story eight"
+    assert all(got[i] == (f"story {i} " * 9).strip() for i in range(5))
+
+
+def test_texts_of_formulas_and_objects_stay():
+    assert h.extract("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p><object data='a.png'>A picture of it.</object></article>", None)[0] == "So x=1. A picture of it."
+
+
+def brute_pages(rows):
+    """Boilerplate, votes and extraction of all pages, by lists in one process."""
+    hosts = {}
+    for i, url, text in rows:
+        hosts.setdefault(url.split("/")[2].lower(), []).append((i, text))
+    out = {}
+    for pages in hosts.values():
+        seen = {}
+        for _, text in pages:
+            regions = h.read_page(text).regions()
+            for path, own in regions.items():
+                seen.setdefault(path, {}).setdefault(own, []).append("|".join(regions.values()))
+        known = {}
+        for path, texts in seen.items():
+            total = sum(map(len, texts.values()))
+            again = {own: wholes for own, wholes in texts.items() if len(wholes) >= 3 and len(set(wholes)) > 1}
+            if path and 2 * sum(map(len, again.values())) > total:
+                known[path] = frozenset(h._digest(own) for own, wholes in again.items() if 50 * len(wholes) >= total)
+        votes = {}
+        for _, text in pages:
+            path, weight = h.vote(text, known)
+            if path:
+                votes[path] = votes.get(path, 0) + weight
+        winner = min(votes, key=lambda p: (-votes[p], p)) if votes else None
+        out |= {i: h.extract(text, winner, known) for i, text in pages}
+    return out
+
+
+def test_whole_pages_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        host = f"h{i % 4}.net"
+        parts = [f'<div class="story c{i % 2}"><h1>Title {i}</h1><p>{" ".join(rng.choice("abcdef") * 3 for _ in range(rng.randrange(60)))}</p></div>']
+        parts += [f'<div class="teaser">{rng.choice(["Buy now", "Read on", f"Only on {i}"])}</div>'] * rng.randrange(2)
+        parts += [f'<div class="more"><a href="/{k}">Story {k}</a></div>' for k in rng.sample(range(99), rng.randrange(3))]
+        parts += [f"<p>Loose text {rng.randrange(5)}</p>"] * rng.randrange(2)
+        rng.shuffle(parts)
+        rows.append(page(i, "<div class='page'>" + "".join(parts) + "</div>", host))
+    got = {r.page_id: (r.text, r.path) for r in h.extract_pages(spark.createDataFrame(rows, PAGES).repartition(5)).collect()}
+    want = brute_pages(rows)
+    assert got == want
+    assert sum("Only on" in t for t, _ in got.values()) > 5 and not any("Story" in t for t, p in got.values() if p.endswith("story c#"))
 
 
 def test_other_host_keeps_its_own_path(spark):

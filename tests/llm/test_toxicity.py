@@ -218,21 +218,11 @@ def test_empty_table(spark):
     assert toxicity.scored_query(documents(spark, []), small_tables(spark)[1]).collect() == []
 
 
-@given(st.lists(st.sampled_from(["the", "the", "vile", "scum", "base"]), min_size=1, max_size=25))
-@settings(max_examples=200, deadline=None)
-def test_repetition_is_bounded_in_the_best_part(words):
-    gain = {"vile": 0.11, "scum": 0.17, "base": 0.06}
-    values = [gain.get(w, -toxicity.DRIFT) for w in words]
-    if max(values) <= 0:
-        return
-    want = 0.0
-    for a in range(len(words)):
-        for b in range(a + 1, len(words) + 1):
-            part = words[a:b]
-            counted = {w: min(part.count(w), 2) for w in gain}
-            want = max(want, sum(gain[w] * n for w, n in counted.items()) - toxicity.DRIFT * (len(part) - sum(counted.values())))
-    most = max(words.count(w) for w in gain)
-    assert toxicity.bounded(words, values, -1.0) == (pytest.approx(want) if most > 2 else -1.0)
+@pytest.mark.parametrize("times", [1, 2, 9])
+def test_every_mention_counts(spark, times):
+    model = toxicity.Model({"vile": 5.0, "scum": 4.0}, {}, 1.0, 0.1, -4.0, 1.0)
+    (row,) = toxicity.score(documents(spark, [(1, "sea " * 40 + "vile scum " * times + "sea " * 40)]), model).collect()
+    assert [(p.start, p.end, p.log_odds) for p in row.passages] == [(40, 40 + 2 * times, pytest.approx(9.0 * times))]
 
 
 def test_earlier_mentions_erase_no_passage():
