@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from brindle.llm.common import materialise, table
+from brindle.llm.common import discard, materialise, table
 from brindle.llm.queries import tokenizer_path
 
 
@@ -64,8 +64,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     gives an empty result; other columns are carried up to the packing.
     """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        kept = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
