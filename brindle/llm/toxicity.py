@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import discard, held_out, lower_ascii, materialise, residue, words_of
+from brindle.llm.common import discard, held_out, lower_ascii, materialise, residue, slices, words_of
 
 #: Most labelled rows of each class that the model is fitted on.
 FIT_ROWS = 10_000
@@ -39,6 +39,8 @@ STEM = 4
 EDGES = ".,;:!?()[]{}\"'|*_-"
 #: Words a worker remembers; the cache is emptied when full.
 CACHED_WORDS = 100_000
+#: Bytes of text that are Python strings at once.
+SLICE_BYTES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -131,7 +133,7 @@ def logit(model: Model, best: float, n: int) -> float:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, clean, toxic): in how many texts of a batch each token is, so that no text's repetitions sway it."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 0, SLICE_BYTES)):
         counts = (Counter(), Counter())
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts[toxic].update(set(map(token, words_of(text))))
@@ -227,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, fit_rows: int = FI
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = _scorer(model)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0, SLICE_BYTES)):
             all_found = [segments(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([max((v for _, _, v in f), default=0.0) for _, f in all_found], pa.float64()), pa.array([n for n, _ in all_found], pa.int64()), batch.column(1)], ["best", "n", "toxic"])
 
@@ -276,7 +278,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _scorer(model)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
             scores, passages = [], []
             for text in batch.column(1).to_pylist():
                 n, found = one(text)
@@ -294,7 +296,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> Dat
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _scorer(model)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at, SLICE_BYTES)):
             every = [one(t) for t in batch.column(at).to_pylist()]
             mask = [logit(model, max((v for _, _, v in found), default=0.0), n) < 0 for n, found in every]
             yield batch.filter(pa.array(mask, pa.bool_()))
