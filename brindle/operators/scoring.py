@@ -25,7 +25,7 @@ def hgrs(scores: Mapping[str, Column] | None = None, weights: Mapping[str, str]
     scores = scores or {c: F.col(c) for c in CRITERIA}
     valid, total = F.lit(True), F.lit(0)
     for c in CRITERIA:
-        valid = valid & scores[c].between(1, 5)
+        valid = valid & (F.abs(scores[c] - 3) <= 2)  # from 1 to 5, with the score standing there once: a filter on the result stays small enough to be compiled
         total = total + F.round(scores[c] * 100).cast("long") * int(Decimal(weights[c]) * 10_000)
     return F.when(valid, F.floor((total + 500) / 1000) / 1000)
 

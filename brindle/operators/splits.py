@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import hash_bucket
+from brindle.operators.numbering import number_rows
 
 
 def split_instances(cases: DataFrame, seed: int = 13, fraction: float = 0.3, key: str = "case_id", order: str = "smell_id") -> DataFrame:
@@ -24,6 +25,6 @@ def split_instances(cases: DataFrame, seed: int = 13, fraction: float = 0.3, key
 def split_projects(projects: DataFrame, seed: int = 13, fraction: float = 0.3) -> DataFrame:
     """project, bucket, split: the first share of the projects by hash, one at least, is for validation."""
     names = projects.select("project").distinct().withColumn("bucket", hash_bucket(seed, F.col("project")))
-    ranked = names.withColumn("rank", F.row_number().over(Window.orderBy("bucket", "project")))
+    ranked = number_rows(names, [F.col("bucket"), F.col("project")], "rank")
     n = names.agg(F.greatest(F.lit(1), F.bround(F.count("*") * fraction).cast("int")).alias("n_validation"))
     return ranked.crossJoin(F.broadcast(n)).select("project", "bucket", F.when(F.col("rank") <= F.col("n_validation"), "validation").otherwise("train").alias("split"))

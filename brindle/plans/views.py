@@ -55,7 +55,9 @@ RUNS = """runs AS (
 
 
 def _score(a: int, b: int, c: int) -> Column:
-    return (1 + (F.col("l_quantity").cast("long") * a + F.col("l_linenumber") * b + F.col("l_partkey") * c) % 5).cast("int")
+    columns = ((F.col("l_quantity").cast("long"), a), (F.col("l_linenumber"), b), (F.col("l_partkey"), c))
+    terms = [x if n == 1 else x * n for x, n in columns if n]
+    return (1 + sum(terms[1:], terms[0]) % 5).cast("int")
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
