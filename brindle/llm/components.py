@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialise
+from brindle.llm.common import lean, materialise
 
 #: Links that one task contracts at once, about.
 TASK_LINKS = 100_000
@@ -40,7 +40,7 @@ def _in_tasks(links: DataFrame, tasks: int) -> DataFrame:
             u, v = contracted(*(np.concatenate(c) for c in zip(*parts, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return links.coalesce(tasks).mapInArrow(run, "u long, v long")
+    return links.coalesce(tasks).mapInArrow(lean(run), "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import SPACE, materialise
+from brindle.llm.common import SPACE, lean, materialise
 
 REMAINDER_BITS = 40
 #: Rows that a range of leading bits has on average, at most.
@@ -136,7 +136,7 @@ def merged_filters(fingerprints: DataFrame, range_bits: int) -> DataFrame:
             filters = [f[0].merge(f[1]) if len(f) == 2 else f[0] for f in (filters[k : k + 2] for k in range(0, len(filters), 2))]
         return pdf.iloc[:1].assign(block=[filters[0].to_bytes()])
 
-    pieces = fingerprints.mapInArrow(_partition_filter(range_bits), "range long, block binary")
+    pieces = fingerprints.mapInArrow(lean(_partition_filter(range_bits)), "range long, block binary")
     return pieces.groupBy("range").applyInPandas(merge, "range long, block binary")
 
 
@@ -149,7 +149,7 @@ def repeated_fingerprints(filters: DataFrame) -> DataFrame:
                 f = QuotientFilter.from_bytes(block)
                 yield pa.RecordBatch.from_arrays([pa.array(f.fingerprints()[f.counts > 1].view(np.int64), pa.int64())], ["fp"])
 
-    return filters.select("block").mapInArrow(read, "fp long")
+    return filters.select("block").mapInArrow(lean(read), "fp long")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bits: int | None = None) -> DataFrame:

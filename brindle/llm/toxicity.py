@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import discard, held_out, lower_ascii, materialise, residue, slices, words_of
+from brindle.llm.common import discard, held_out, lean, lower_ascii, materialise, residue, slices, words_of
 
 #: Most labelled rows of each class that the model is fitted on.
 FIT_ROWS = 10_000
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, fit_rows: int = FI
     """
     weights = class_weights(labels, modulus, fit_rows)
     rows = materialise(training_rows(docs, labels, modulus, fit_rows), "toxicity-rows")
-    words = rows.filter(F.col("part") != modulus - 1).select("text", "toxic").mapInArrow(_count_words, "token string, clean long, toxic long")
+    words = rows.filter(F.col("part") != modulus - 1).select("text", "toxic").mapInArrow(lean(_count_words), "token string, clean long, toxic long")
     counts = materialise(words.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-counts")
     totals = tuple(counts.agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first())
     found = {r["token"]: r for r in _significant(counts, weights, totals).collect()}
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, fit_rows: int = FI
             all_found = [segments(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([max((v for _, _, v in f), default=0.0) for _, f in all_found], pa.float64()), pa.array([n for n, _ in all_found], pa.int64()), batch.column(1)], ["best", "n", "toxic"])
 
-    pairs = rows.filter(F.col("part") == modulus - 1).select("text", "toxic").mapInArrow(best, "best double, n long, toxic int").collect()
+    pairs = rows.filter(F.col("part") == modulus - 1).select("text", "toxic").mapInArrow(lean(best), "best double, n long, toxic int").collect()
     clean = [(r["best"], r["n"]) for r in pairs if not r["toxic"]]
     k = scale(clean, model.lam)
     x = np.array([surprise(r["best"], r["n"], model.lam, k) for r in pairs], float)
@@ -287,7 +287,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 passages.append([{"start": s, "end": e, "log_odds": v} for s, e, v in found if logit(model, v, n) >= 0])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(passages, pa.list_(kind))], ["doc_id", "score", "predicted", "passages"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int, passages array<struct<start: long, end: long, log_odds: double>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, score double, predicted int, passages array<struct<start: long, end: long, log_odds: double>>")
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> DataFrame:
@@ -302,7 +302,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> Dat
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     at = docs.columns.index("text")
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def scored_query(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> DataFrame:
