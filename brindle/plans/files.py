@@ -95,6 +95,16 @@ def read_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tool_record_id", F.array_join("affected_components", "|").alias("affected_components"), F.coalesce(F.try_element_at("attributes", F.lit("severity")), F.try_element_at("attributes", F.lit("Severity"))).cast("int").alias("severity"))
 
 
+@query("""SELECT 'o' || o_orderkey AS tool_record_id, 'God' || chr(10) || repeat('x', CAST(o_orderkey % 5 AS INTEGER)) || chr(10) || 'Class' AS smell_type_raw, 'c' || o_custkey || '|org.x' AS affected_components FROM orders""")
+def read_large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smells of orders with line ends inside their quotes, in eight files that are read in slices of thirty kilobytes."""
+    key = F.col("o_orderkey")
+    kind = F.concat(F.lit("God\n"), F.repeat(F.lit("x"), (key % 5).cast("int")), F.lit("\nClass"))
+    rows = read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), key.cast("string")).alias("id"), kind.alias("smellType"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit(";org.x")).alias("affectedElements"))
+    found = exports.read_smell_file(spark, _csv(rows, "large.csv"), slice_bytes=30_000)["smells"]
+    return found.select("tool_record_id", "smell_type_raw", F.array_join("affected_components", "|").alias("affected_components"))
+
+
 @query("""WITH w AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN '"' || p_size || '"' WHEN 2 THEN '"many"' WHEN 4 THEN '{"n":' || p_size || '}' END AS weight_json, p_size FROM part)
 SELECT 'p' || p_partkey AS from_component, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS VARCHAR) ELSE 's' || p_size END AS to_component, CASE WHEN p_partkey % 5 < 2 THEN CAST(p_size AS DOUBLE) END AS weight, weight_json FROM w WHERE p_partkey % 7 <> 0""")
 def read_loose_json(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Analyzer exports as a Spark data source: spark.read.format("brindle_export"), and readStream.
 
-One input partition is one file (or `filesPerPartition` of them), so many files
-are read by many tasks; rows are numbered within their file. What a file holds
-is found per file: its delimiter, its header, and the kind of its rows. JSON files
+One input partition is one file (or `filesPerPartition` of them, or a slice of a
+large one), so many files are read by many tasks; rows are numbered within their
+file. What a file holds is found per file: its delimiter, its header, and the kind
+of its rows. Delimited files are read line by line. JSON files are read whole and
 give a row for each element, which is text still; what it means is worked out by
 column expressions in `exports`.
 """
@@ -16,12 +17,14 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from brindle.functions.vocab import DOT_EDGE, GRAPH_COLUMNS, METRIC_COLUMNS, SMELL_COLUMNS
+from brindle.sources.slicing import Rows, Slice, of_option
 
 FORMAT = "brindle_export"
 SCHEMA = "kind string, source_file string, row_no long, fields map<string,string>, by_key map<string,string>, record string"
@@ -54,8 +57,8 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def listed_files(path: str) -> list[tuple[int, str]]:
-    """(modified, path) of the file, of the files in the folder, or of those that the pattern fits; hidden ones left out. In order of path."""
+def listed_files(path: str) -> list[tuple[int, str, int]]:
+    """(modified, path, bytes) of the file, of the files in the folder, or of those that the pattern fits; hidden ones left out. In order of path."""
     from pyarrow import fs
 
     wild = re.search(r"[*?\[]", path)
@@ -76,7 +79,7 @@ def listed_files(path: str) -> list[tuple[int, str]]:
         # as in a shell, a star doesn't reach over a slash
         fits = pattern is None or (x.path.count("/") == pattern.count("/") and all(fnmatch.fnmatchcase(a, b) for a, b in zip(x.path.split("/"), pattern.split("/"), strict=True)))
         if x.type == fs.FileType.File and fits and x.base_name[0] not in "._":
-            out.append((x.mtime_ns or 0, (scheme[0] + "/" + x.path.split("/", 1)[-1] if scheme and not x.path.startswith("/") else (scheme[0] if scheme else "") + x.path)))
+            out.append((x.mtime_ns or 0, (scheme[0] + "/" + x.path.split("/", 1)[-1] if scheme and not x.path.startswith("/") else (scheme[0] if scheme else "") + x.path), x.size or 0))
     return sorted(out, key=lambda x: x[1])
 
 
@@ -86,6 +89,13 @@ def read_text(path: str) -> str:
         return stream.read().decode("utf-8-sig", errors="replace")
 
 
+def read_head(path: str) -> str:
+    """A file's first `SNIFFED` characters."""
+    store, inner = file_system(path)
+    with store.open_input_stream(inner) as stream, io.TextIOWrapper(stream, "utf-8-sig", errors="replace", newline="") as text:
+        return text.read(SNIFFED)
+
+
 def kind_of(first: dict[str, str], tool_kind: str) -> str:
     """What the rows of a delimited file are, from its first row: metrics, edges, else smells."""
     if tool_kind != "any":
@@ -96,24 +106,33 @@ def kind_of(first: dict[str, str], tool_kind: str) -> str:
     return "edge" if given(SMELL_COLUMNS["edge_from"]) and given(SMELL_COLUMNS["edge_to"]) else "smell"
 
 
-def delimited_rows(text: str, tool_kind: str, wanted: str | None) -> Iterator[tuple]:
-    """(kind, row_no, fields, by_key, None) of a delimited file; nothing if its rows aren't of the wanted kind. Short rows have empty fields, empty lines are passed over."""
-    lines = csv.reader(io.StringIO(text, newline=""), delimiter=sniff_delimiter(text))
-    names = [n.strip() for n in next(lines, [])]
-    kind, n = None, 0
-    for line in lines:
-        if not line:
-            continue
-        n += 1
+def delimited_rows(part: Slice, tool_kind: str, wanted: str | None) -> Iterator[tuple]:
+    """(kind, row_no, fields, by_key, None) of a slice of a delimited file; nothing if the file's rows aren't of the wanted kind. Short rows have empty fields, empty lines are passed over."""
+    delimiter = sniff_delimiter(read_head(part.path))
+    head = iter(Rows(part.path, delimiter))
+    names = [n.strip() for n in next(head, [])]
+
+    def read(line: list[str]) -> tuple[dict[str, str], dict[str, str]]:
         values = [v.strip() for v in line[: len(names)]] + [""] * (len(names) - len(line))
         fields = {k: v for k, v in zip(names, values, strict=True) if v}
         by_key: dict[str, str] = {}
         for k, v in fields.items():
             by_key.setdefault(header_key(k), v)
-        kind = kind or kind_of(by_key, tool_kind)
-        if wanted not in (None, kind):
-            return
-        yield kind, n, fields, by_key, None
+        return fields, by_key
+
+    first = next((line for line in head if line), None)
+    kind = kind_of(read(first)[1], tool_kind) if first else None
+    head.close()
+    if first is None or wanted not in (None, kind):
+        return
+    lines = iter(Rows(part.path, delimiter, part.start, part.stop, part.within))
+    if part.start == 0 or part.within:  # the header, or a row that began before
+        next(lines, None)
+    n = part.rows
+    for line in lines:
+        if line:
+            n += 1
+            yield kind, n, *read(line), None
 
 
 def json_rows(text: str, graph: bool) -> Iterator[tuple]:
@@ -138,11 +157,17 @@ def dot_rows(text: str) -> Iterator[tuple]:
         yield "edge", n, None, None, json.dumps({"from": a, "to": b}, ensure_ascii=False)
 
 
-def file_rows(path: str, form: str | None, tool_kind: str, graph: bool, wanted: str | None) -> Iterator[tuple]:
-    form = form or suffix_of(path)
-    text = read_text(path)
-    found = json_rows(text, graph) if form == "json" else dot_rows(text) if form in ("dot", "gv") else delimited_rows(text, tool_kind, wanted)
-    name = path.rsplit("/", 1)[-1]
+def is_delimited(path: str, form: str | None) -> bool:
+    return (form or suffix_of(path)) not in ("json", "dot", "gv")
+
+
+def file_rows(part: Slice, form: str | None, tool_kind: str, graph: bool, wanted: str | None) -> Iterator[tuple]:
+    if is_delimited(part.path, form):
+        found = delimited_rows(part, tool_kind, wanted)
+    else:
+        text = read_text(part.path)
+        found = json_rows(text, graph) if (form or suffix_of(part.path)) == "json" else dot_rows(text)
+    name = part.path.rsplit("/", 1)[-1]
     return ((kind, name, n, fields, by_key, record) for kind, n, fields, by_key, record in found if wanted in (None, kind))
 
 
@@ -163,29 +188,32 @@ def batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 @dataclass
-class Files(InputPartition):
-    paths: tuple[str, ...]
+class Parts(InputPartition):
+    slices: tuple[Slice, ...]
 
 
 class _Reading:
-    """Options: path; form (csv, json or dot; else by each file's suffix), tool_kind (any, or what all delimited rows are), graph (whether JSON may be an adjacency map), kind (the rows wanted), filesPerPartition."""
+    """Options: path; form (csv, json or dot; else by each file's suffix), tool_kind (any, or what all delimited rows are), graph (whether JSON may be an adjacency map), kind (the rows wanted), filesPerPartition, slices (of large files, as `slicing` cuts them)."""
 
     def __init__(self, options):
         self.path = options["path"]
         self.form, self.tool_kind, self.wanted = options.get("form") or None, options.get("tool_kind", "any"), options.get("kind") or None
         self.graph, self.per = options.get("graph", "false").lower() == "true", max(1, int(options.get("filesPerPartition", "1")))
+        self.slices = of_option(options.get("slices"))
 
-    def dealt(self, paths: list[str]) -> list[Files]:
-        return [Files(tuple(paths[k : k + self.per])) for k in range(0, len(paths), self.per)]
+    def dealt(self, paths: list[str]) -> list[Parts]:
+        cut = {path: list(own) for path, own in groupby(self.slices, key=lambda x: x.path)}
+        whole = [p for p in paths if p not in cut]
+        return [Parts(tuple(Slice(p, 0, None) for p in whole[k : k + self.per])) for k in range(0, len(whole), self.per)] + [Parts((x,)) for p in paths for x in cut.get(p, ())]
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        for path in partition.paths:
-            yield from batches(file_rows(path, self.form, self.tool_kind, self.graph, self.wanted))
+    def read(self, partition: Parts) -> Iterator[pa.RecordBatch]:
+        for part in partition.slices:
+            yield from batches(file_rows(part, self.form, self.tool_kind, self.graph, self.wanted))
 
 
 class ExportReader(_Reading, DataSourceReader):
     def partitions(self):
-        found = [p for _, p in listed_files(self.path)]
+        found = [p for _, p, _ in listed_files(self.path)]
         if not found:
             raise FileNotFoundError(self.path)
         return self.dealt(found)
@@ -198,12 +226,12 @@ class ExportStream(_Reading, DataSourceStreamReader):
         return {"modified": -1, "path": ""}
 
     def latestOffset(self) -> dict:
-        last = max(listed_files(self.path), default=(-1, ""))
+        last = max(listed_files(self.path), default=(-1, "", 0))
         return {"modified": last[0], "path": last[1]}
 
     def partitions(self, start: dict, end: dict):
         first, last = (start["modified"], start["path"]), (end["modified"], end["path"])
-        return self.dealt([p for m, p in sorted(listed_files(self.path)) if first < (m, p) <= last])
+        return self.dealt([p for m, p, _ in sorted(listed_files(self.path)) if first < (m, p) <= last])
 
 
 class ExportSource(DataSource):

@@ -1,12 +1,18 @@
 """Readers over small files of each kind."""
 
+import csv
+import hashlib
+import io
 import json
+import tempfile
 import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from brindle.operators import graph, latest, normalize
-from brindle.sources import datasource, exports
+from brindle.sources import datasource, exports, slicing
 
 
 def write(tmp_path, name, text):
@@ -169,6 +175,71 @@ def test_each_file_is_a_partition_with_its_own_delimiter_and_kind(spark, tmp_pat
         exports.read_rows(spark, f"{tmp_path}/nothing_here/*.csv").count()
 
 
+def _rows_of(path, size, spark):
+    files = [(p, n) for _, p, n in datasource.listed_files(path)]
+    slices = slicing.cut_files(spark, files, size)
+    return slices, [tuple(r) for r in exports.read_rows(spark, path, slices=slices).select("row_no", "kind", "fields").orderBy("row_no").collect()]
+
+
+#: Line ends inside quotes, quotes inside fields and doubled ones, empty lines, every kind of line end, a row without an end.
+TRICKY = [
+    'id,smellType,affectedElements\n' + "".join(f'{k},"God\n{"x" * (k % 9)}\n\nClass",a;b{k}\n' + "\n" * (k % 3) for k in range(60)),
+    '\ufeffid,smellType,affectedElements\r\n' + "".join(f'{k},Hub "{k}" of,"he said ""{k}"", twice\r\n{k}"\r\n\r\n' for k in range(60)),
+    'id,smellType\n' + "".join(f"{k},é{'ü' * (k % 5)}\r{k}b,mid\n" for k in range(60)),
+    'id,smellType\n1,"' + "all quoted,\n" * 80 + '"\n2,last',
+    'id,smellType\n1,x\n2,"never closed\n' + "a,b\n" * 50,
+    '"id\nover lines",smellType\n' + "".join(f'{k},"a""\n"\n' for k in range(40)),
+    "\n\n" + "1,2\n" * 30,
+    "id,smellType\r" + "1,x\r2,y\r" * 20,
+]
+
+
+@pytest.mark.parametrize("text", TRICKY)
+def test_slices_give_the_rows_of_the_whole_file(spark, tmp_path, text):
+    (tmp_path / "a.csv").write_bytes(text.encode())
+    none, whole = _rows_of(str(tmp_path / "a.csv"), 1 << 20, spark)
+    plain = csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""))
+    next(plain)
+    assert none == [] and len(whole) == sum(1 for line in plain if line)
+    size = len(text.encode())
+    for n in (3, 17):
+        slices, got = _rows_of(str(tmp_path / "a.csv"), -(-size // n), spark)
+        assert got == whole
+        assert (slices[0].start, slices[-1].stop) == (0, size) and all(a.stop == b.start for a, b in zip(slices, slices[1:], strict=False))
+
+
+@given(st.lists(st.sampled_from(['"', ",", "\n", "\r\n", "\r", "a", "é", '""', '"\n', 'x,"']), max_size=60), st.integers(1, 40))
+@settings(max_examples=150, deadline=None)
+def test_any_text_is_cut_without_a_change(parts, size):
+    """What readers of slices see, against one reader of the whole text; no Spark."""
+    text = "".join(parts).encode()
+    with tempfile.NamedTemporaryFile(suffix=".csv") as file:
+        file.write(text)
+        file.flush()
+        want, got, within, before = list(slicing.Rows(file.name, ",")), [], False, 0
+        for path, start, stop in slicing.ranges([(file.name, len(text))], size):
+            low, high, n, ends = slicing.told(path, ",", start, stop)
+            if low < high:
+                rows = list(slicing.Rows(path, ",", low, high, within))
+                got += rows[1:] if within else rows
+                assert n[within] == sum(1 for row in (rows[1:] if within or low == 0 else rows) if row)
+            within, before = ends[within], before + n[within]
+    assert got == want
+
+
+def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("id,smellType,affectedElements\n" + "".join(f's{k},"Cyclic\nDependency",a{k};b\n' for k in range(5000)))
+    (tmp_path / "small.csv").write_text("id,smellType,affectedElements\ns,God Class,c\n")
+    whole = exports.read_export(spark, f"{tmp_path}/*.csv", "arcan")["smells"]
+    cut = exports.read_smell_file(spark, f"{tmp_path}/*.csv", slice_bytes=20_000)["smells"]
+    assert cut.rdd.getNumPartitions() >= 9
+    columns = ("source_file", "row_no", "tool_record_id", "smell_type_raw")
+    assert rows(cut, *columns) == rows(whole, *columns) and cut.count() == 5001
+    files = [(p, n) for _, p, n in datasource.listed_files(f"{tmp_path}/*.csv")]
+    assert slicing.file_hashes(spark, files, 1 << 30)[files[1][0]] == hashlib.sha256((tmp_path / "small.csv").read_bytes()).hexdigest()
+    assert slicing.file_hashes(spark, files, 20_000)[files[0][0]] != slicing.file_hashes(spark, files)[files[0][0]]
+
+
 def test_files_that_arrive_are_streamed_once(spark, tmp_path):
     datasource.register(spark)
     folder = tmp_path / "in"
