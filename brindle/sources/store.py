@@ -57,6 +57,8 @@ TABLES = {
     "experiments": Table("experiment_id string, name string, config_json string", ("experiment_id",)),
     "audit_log": Table("entity_type string, entity_id string, action string, actor string, details_json string", ("entry_id",)),
 }
+#: Projects that a plan names one by one, at most.
+NAMED_PROJECTS = 200
 #: When a row was written, an id that orders rows of one instant, and whether the row takes its key away.
 STAMPS = "written_at timestamp, entry_id string, removed boolean"
 #: When a folded row's key began.
@@ -114,17 +116,18 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def current(spark: SparkSession, root: str, name: str, project: str | None = None) -> DataFrame:
+def current(spark: SparkSession, root: str, name: str, project: str | list[str] | None = None) -> DataFrame:
     """One row per key: of each column the last value that isn't null, or the first one where the table keeps that.
 
     `created_at` is when the key's first row was written, `written_at` when its
     last was. Rows up to the last removal of a key don't count. With a project,
-    only its partitions are read, and that of changes that name no project.
+    or several, only their partitions are read, and that of changes that name no project.
     """
     table, rows, columns = TABLES[name], read(spark, root, name), [c for c in schema_of(name).names if c != "removed"]
     if project is not None:
         _partitioned(name)
-        rows = rows.filter((F.col("project") == project) | F.col("project").isNull())
+        own = F.col("project").isin([project] if isinstance(project, str) else project)
+        rows = rows.filter(own | F.col("project").isNull())
     order = F.struct("written_at", "entry_id")
     cut = rows.filter("removed").groupBy(*[F.col(k).alias(f"_{k}") for k in table.key]).agg(F.max(order).alias("_cut"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in table.key]
@@ -132,7 +135,13 @@ def current(spark: SparkSession, root: str, name: str, project: str | None = Non
     value = lambda c: (F.min_by if c in table.first else F.max_by)(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c)
     folded = left.groupBy(*table.key).agg(*[value(c) for c in columns if c not in table.key], F.min(F.coalesce("first_at", "written_at")).alias("created_at"))
     found = folded.select(*columns, "created_at")
-    return found if project is None else found.filter(F.col("project") == project)
+    return found if project is None else found.filter(own)
+
+
+def projects_of(df: DataFrame) -> list[str] | None:
+    """The projects that rows name, as `current` takes them; null, for all of them, where they are more than `NAMED_PROJECTS`."""
+    names = [r[0] for r in df.select("project").filter("project IS NOT NULL").distinct().limit(NAMED_PROJECTS + 1).collect()]
+    return names if len(names) <= NAMED_PROJECTS else None
 
 
 def audit(spark: SparkSession, root: str, entity_type: str, entity_id: str, action: str, actor: str = "system", details_json: str = "{}") -> None:
@@ -146,8 +155,9 @@ def add_projects(df: DataFrame, root: str) -> None:
 
 
 def assign(cases: DataFrame, root: str) -> None:
-    """Set the split of cases (case_id, split) that are in the store."""
-    known = current(cases.sparkSession, root, "evidence_cases").select("case_id", "project")
+    """Set the split of cases (case_id, split) that are in the store; where they have a project, only those are read."""
+    own = projects_of(cases) if "project" in cases.columns else None
+    known = current(cases.sparkSession, root, "evidence_cases", own).select("case_id", "project")
     append(cases.select("case_id", "split").join(known, "case_id"), root, "evidence_cases")
 
 

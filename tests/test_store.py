@@ -204,6 +204,20 @@ def test_only_a_projects_partitions_are_read(spark, root, capsys):
     plan = capsys.readouterr().out
     filters = [line for line in plan.splitlines() if "PartitionFilters" in line]
     assert filters and all("project" in line and "= p" in line for line in filters)
+    store.append_row(spark, root, "graph_edges", run_id="r", project="s", evidence_id="E", from_component="a", to_component="b")
+    several = store.current(spark, root, "graph_edges", ["p", "s"])
+    assert sorted(r.project for r in several.collect()) == ["p", "s"]
+    several.explain("formatted")
+    filters = [line for line in capsys.readouterr().out.splitlines() if "PartitionFilters" in line]
+    assert filters and all("project" in line and "IN (p,s)" in line for line in filters)
+
+
+def test_projects_are_named_while_they_are_few(spark, monkeypatch):
+    frame = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "project string")
+    assert sorted(store.projects_of(frame)) == ["a", "b"]
+    assert store.projects_of(frame.limit(0)) == []
+    monkeypatch.setattr(store, "NAMED_PROJECTS", 1)
+    assert store.projects_of(frame) is None
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
