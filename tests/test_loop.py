@@ -72,6 +72,23 @@ def test_a_repeated_task_sends_only_what_is_left(spark, root, tmp_path):
     assert asked.count() == 2
 
 
+
+def test_a_journal_keeps_many_quick_answers_in_few_files(spark, root, tmp_path):
+    journal = Journal(f"{root}/under-way")
+    asked = agents.ask(prompts(spark, [str(n) for n in range(400)]).withColumn("call_key", F.sha2("user", 256)), agents.MockModel, journal)
+    assert asked.count() == 400
+    files = [p for p in (tmp_path / "store").rglob("*") if p.is_file()]
+    assert 0 < len(files) < 100
+    assert journal.rows(spark).select("call_key").distinct().count() == 400
+    # what a run that ended early left isn't asked again, however rows are dealt
+    calls, folder = Calls(root, "m"), str(tmp_path / "calls")
+    (tmp_path / "store" / "under-way").rename(tmp_path / "store" / "moved")
+    key = F.sha2(F.to_json(F.array(F.lit("m"), "system", "user")), 256)
+    agents.ask(prompts(spark, ["a", "b"]).withColumn("call_key", key), agents.MockModel, Journal(f"{root}/calls-under-way/m")).collect()
+    assert calls.ask(prompts(spark, ["a", "b", "c"]).repartition(3), lambda: Counting(folder)).count() == 3
+    assert calls_made(folder) == 1
+
+
 def stored_cases(spark, root, n=6, project="p"):
     rows = []
     for i in range(n):
