@@ -242,3 +242,14 @@ def test_edges_are_numbered_on_from_the_last_import(spark, root, tmp_path):
     assert [e for e, _ in got] == [f"STATIC_GRAPH_EDGE_{n:03d}" for n in range(1, 12)]
     assert [f for _, f in got][:6] == ["a0", "b", "a1", "b", "a2", "b"] and got[-1][1] == "x"
     assert imports.last_edge(spark, root, "demo") == 11 and imports.last_edge(spark, root, "other") == 6
+
+
+def test_a_fold_shuffles_rows_once_as_they_are(spark, tmp_path):
+    root = str(tmp_path)
+    store.append(spark.range(5).selectExpr("CAST(id AS string) AS run_id", "'p' AS project", "'ok' AS status"), root, "agent_runs")
+    store.append(spark.range(5).filter("id > 2").selectExpr("CAST(id AS string) AS run_id", "'p' AS project", "true AS removed"), root, "agent_runs")
+    store.append(spark.range(5).filter("id % 2 = 0").selectExpr("CAST(id AS string) AS run_id", "'p' AS project", "'{}' AS checks_json"), root, "agent_runs")
+    found = store.current(spark, root, "agent_runs", "p")
+    plan = found._jdf.queryExecution().executedPlan().toString()  # before it is run, which adds the final one
+    assert sorted((r.run_id, r.status, r.checks_json) for r in found.collect()) == [("0", "ok", "{}"), ("1", "ok", None), ("2", "ok", "{}"), ("4", None, "{}")]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan and "Join" not in plan
