@@ -253,3 +253,29 @@ def test_a_fold_shuffles_rows_once_as_they_are(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()  # before it is run, which adds the final one
     assert sorted((r.run_id, r.status, r.checks_json) for r in found.collect()) == [("0", "ok", "{}"), ("1", "ok", None), ("2", "ok", "{}"), ("4", None, "{}")]
     assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan and "Join" not in plan
+
+
+def test_rows_are_numbered_within_groups_of_any_size(spark):
+    rows = spark.range(1000).selectExpr("CASE WHEN id % 10 = 0 THEN NULL WHEN id % 10 = 1 THEN 'b' ELSE 'a' END AS g", "(id * 7) % 1000 AS k")
+    found = number_rows(rows, [F.col("k")], by=("g",))
+    got = {}
+    for r in found.orderBy("k").collect():
+        got.setdefault(r.g, []).append(r.n)
+    assert {g: len(n) for g, n in got.items()} == {None: 100, "a": 800, "b": 100} and all(n == list(range(1, len(n) + 1)) for n in got.values())
+    plan = number_rows(rows, [F.col("k")], by=("g",)).select("n")._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan
+
+
+def test_cases_are_numbered_by_ranges_and_pairs_are_made_after_the_shuffle(spark):
+    from brindle.operators import normalize
+
+    smells = spark.range(9).selectExpr("'p' AS project", "CAST(id AS string) AS seq", "'arcan' AS tool", "'x' AS tool_record_id", "'f' AS source_file", "'Cyclic Dependency' AS smell_type_raw", "array('a', 'b' || id) AS affected_components", "map('k', 'v') AS attributes")
+    cases = normalize.group_findings(smells)
+    assert [r.seq for r in cases.orderBy("components").collect()] == list(range(1, 10))
+    assert "row_number" not in cases._jdf.queryExecution().executedPlan().toString()
+    inside = spark.createDataFrame([("c", "a", "b")], "case_id string, from_component string, to_component string")
+    one = spark.createDataFrame([("c", ["a", "b", "d"])], "case_id string, components array<string>")
+    pairs = normalize.uncovered_pairs(one, inside)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [("a", "d"), ("b", "d"), ("d", "a"), ("d", "b")]
+    top = pairs._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "Generate" in top  # the pairs are made above all joins
