@@ -280,3 +280,15 @@ def test_streamed_documents_read_as_files_do(spark, tmp_path):
     assert exports.smells_of(text.limit(1), "arcan").collect() == whole["smells"].collect()
     assert exports.edges_of(text, "arcan").collect() == whole["edges"].collect()
     assert exports.smells_of(text, "arcan").count() == 2
+
+
+def test_many_small_files_share_tasks():
+    from brindle.sources.datasource import ALONE, OPENING, TASK_BYTES, packed
+
+    few, many = [(str(n), 10) for n in range(ALONE)], [(str(n), 4000) for n in range(100_000)]
+    assert packed(few) == [[x] for x, _ in few]
+    lists = packed(many)
+    assert [x for part in lists for x in part] == [x for x, _ in many]
+    assert len(lists) < 1000 and max(map(len, lists)) * (4000 + OPENING) <= TASK_BYTES
+    large = packed([(str(n), 2 * TASK_BYTES) for n in range(ALONE + 1)])
+    assert len(large) == ALONE + 1
