@@ -260,3 +260,13 @@ def test_common_terms_fall_to_the_first_seen(spark):
     notes = spark.createDataFrame([(2, "zebra apple"), (1, "mango zebra apple mango")], "id int, note string")
     assert [tuple(r) for r in analytics.top_terms(notes, "note", order="id").collect()] == [("mango", 2), ("zebra", 2), ("apple", 2)]
     assert [r.term for r in analytics.top_terms(notes, "note").collect()] == ["apple", "mango", "zebra"]
+
+
+def test_more_names_than_an_automaton_holds_are_joined_once(spark):
+    rows = [(n, f"k_{n}", "T", "C", s) for n, s in enumerate(["abcdefgh", "cd", "x y z", "", None, "zz top", "bcdefghij"])]
+    taxonomy = spark.createDataFrame(rows, "priority int, smell_key string, smell_type string, code string, synonym string")
+    labels = spark.createDataFrame([(x,) for x in ("1 abcdefghij 2", "acd", "xyz", "k 5", "", None, "bcdefgh", "the zz top", "é")], "label string")
+    want = naming.canonical_labels(labels, taxonomy).orderBy("label").collect()
+    joined = naming.canonical_labels(labels, taxonomy, most_names=3)
+    assert joined.orderBy("label").collect() == want
+    assert "MapInPandas" not in joined._jdf.queryExecution().executedPlan().toString()
