@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.vocab import DETECTION
+from brindle.operators.numbering import number_rows
 from brindle.session import written
 
 
@@ -18,7 +19,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """graph, v, component (the smallest member) of all vertices of edges (graph, a, b).
 
     Graphs of up to TASK_EDGES edges are searched whole, one a task. Larger ones
-    are cut into weakly connected parts, which are searched the same way where
+    lose edges that are in no cycle and are cut into weakly connected parts, which are searched the same way where
     they fit. Parts beyond that stay spread out over tasks and are coloured, so
     a graph may be far larger than one task. Edges without a start or end are
     left out; repeated ones count once; an empty table gives no rows.
@@ -27,11 +28,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
     found, large = _searched(edges.withColumn("part", F.lit("")))
     if large is None:
         return found
-    parts = _weak_parts(large)
-    own = large.drop("part").join(parts.select("graph", F.col("v").alias("a"), "part"), ["graph", "a"])
+    large = large.drop("part")
+    # what no cycle can go through may be all that holds the rest together
+    left = _trimmed(large)
+    own = left.join(_weak_parts(left).select("graph", F.col("v").alias("a"), "part"), ["graph", "a"])
     more, rest = _searched(own)
-    found = found.unionByName(more)
-    return found if rest is None else found.unionByName(_coloured(rest.drop("part")))
+    more = written(more if rest is None else more.unionByName(_coloured(rest.drop("part"))), "scc-found")
+    ends = large.select("graph", F.explode(F.array("a", "b")).alias("v")).distinct()
+    singles = ends.join(more.select("graph", "v"), ["graph", "v"], "left_anti").withColumn("component", F.col("v"))
+    return found.unionByName(more).unionByName(singles)
 
 
 def _searched(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -167,10 +172,12 @@ def _backwards(colours: DataFrame, inside: DataFrame) -> DataFrame:
 
 def cycles(edges: DataFrame) -> DataFrame:
     """graph, n, members, size of every component with two members or a self-loop, numbered by members."""
+    edges = written(edges.select("graph", "a", "b"), "cycle-edges")
     loops = edges.filter("a = b").select("graph", F.col("a").alias("component"), F.lit(True).alias("loop")).distinct()
     groups = strong_components(edges).groupBy("graph", "component").agg(F.array_sort(F.collect_set("v")).alias("members"))
     real = groups.join(loops, ["graph", "component"], "left").filter((F.size("members") > 1) | F.col("loop"))
-    return real.select("graph", F.row_number().over(Window.partitionBy("graph").orderBy("members")).alias("n"), "members", F.size("members").alias("size"))
+    # components share no member, so their first ones, which name them, have the order of the lists
+    return number_rows(real, [F.col("component")], by=("graph",)).select("graph", F.col("n").cast("int").alias("n"), "members", F.size("members").alias("size"))
 
 
 def cycle_smells(edges: DataFrame, tool: str = "static_graph") -> DataFrame:

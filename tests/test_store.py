@@ -279,3 +279,17 @@ def test_cases_are_numbered_by_ranges_and_pairs_are_made_after_the_shuffle(spark
     assert sorted((r.a, r.b) for r in pairs.collect()) == [("a", "d"), ("b", "d"), ("d", "a"), ("d", "b")]
     top = pairs._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
     assert "Generate" in top  # the pairs are made above all joins
+
+
+def test_rings_that_share_a_sink_are_searched_apart(spark, monkeypatch):
+    from brindle.operators import graph
+
+    def never(edges):
+        raise AssertionError("rings were coloured step by step")
+
+    monkeypatch.setattr(graph, "TASK_EDGES", 40)
+    monkeypatch.setattr(graph, "_coloured", never)
+    rings = [("g", f"{r}.{k}", f"{r}.{(k + 1) % 10}") for r in range(5) for k in range(10)]
+    edges = spark.createDataFrame([*rings, *[("g", f"{r}.0", "sink") for r in range(5)], ("h", "x", "x")], "graph string, a string, b string")
+    found = sorted((r.graph, r.n, r.size, r.members[0]) for r in graph.cycles(edges).collect())
+    assert found == [*[("g", r + 1, 10, f"{r}.0") for r in range(5)], ("h", 1, 1, "x")]
