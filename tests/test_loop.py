@@ -270,3 +270,28 @@ def test_more_names_than_an_automaton_holds_are_joined_once(spark):
     joined = naming.canonical_labels(labels, taxonomy, most_names=3)
     assert joined.orderBy("label").collect() == want
     assert "MapInPandas" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_answers_are_parsed_once(spark, root):
+    said = spark.createDataFrame([("{}",)], "answer string")
+    assert plan_of(agents.parse(said)).count("from_json(MapType") == 1
+    stored_cases(spark, root, 3)
+    cases = store.current(spark, root, "evidence_cases", "p").withColumns({"skill_text": F.lit("t"), "skill_version": F.lit("v0")})
+    runs = agents.run_agents(cases, "skill", calls=Calls(root, "m"))
+    assert "extract_json" not in plan_of(runs) and "string_list" not in plan_of(runs)
+    assert {r.status for r in runs.collect()} == {"ok"}
+
+
+def test_costs_of_new_runs_are_ranked_among_those_stored_before(spark, root):
+    stored_cases(spark, root, 4)
+    cases = store.current(spark, root, "evidence_cases", "p").withColumns({"skill_text": F.lit("t"), "skill_version": F.lit("v0")})
+    for model in ("m1", "m2"):
+        reviewing.save_runs(agents.run_agents(cases, "skill", calls=Calls(root, model)).withColumn("model_id", F.lit(model)), root)
+    stored = store.current(spark, root, "agent_runs", "p").collect()
+    told = {r.model_id: json.loads(r.checks_json)["checks"][-1]["detail"] for r in stored}
+    assert len(stored) == 8 and told["m1"].endswith("among 4 runs") and told["m2"].endswith("among 8 runs")
+    assert store.current(spark, root, "suggested_scores").count() == 8
