@@ -293,3 +293,26 @@ def test_rings_that_share_a_sink_are_searched_apart(spark, monkeypatch):
     edges = spark.createDataFrame([*rings, *[("g", f"{r}.0", "sink") for r in range(5)], ("h", "x", "x")], "graph string, a string, b string")
     found = sorted((r.graph, r.n, r.size, r.members[0]) for r in graph.cycles(edges).collect())
     assert found == [*[("g", r + 1, 10, f"{r}.0") for r in range(5)], ("h", 1, 1, "x")]
+
+
+def test_an_import_reads_its_edges_once(spark, tmp_path, monkeypatch):
+    root, seen = str(tmp_path / "store"), tmp_path / "seen"
+    seen.mkdir()
+    (tmp_path / "edges.csv").write_text("from,to\n" + "".join(f"a{n},b{n}\n" for n in range(50)))
+
+    def counted(frames, folder=str(seen)):
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        yield from frames
+
+    real = imports.read_export
+
+    def read(*args):
+        parts = real(*args)
+        return parts | {"edges": parts["edges"].mapInPandas(counted, parts["edges"].schema)}
+
+    monkeypatch.setattr(imports, "read_export", read)
+    imports.import_file(spark, root, "demo", "static_graph", str(tmp_path / "edges.csv"))
+    assert len(list(seen.iterdir())) == 1
+    assert store.current(spark, root, "graph_edges", "demo").count() == store.current(spark, root, "raw_findings", "demo").count() == 50
