@@ -36,6 +36,8 @@ from brindle.llm.substring_dedup import word_hashes
 DEPTH = 5
 #: Bytes of text in a slice, about, and in a piece, which is worked on at once.
 SLICE_BYTES, PIECE_BYTES = 24_000_000, 1_000_000
+#: Texts in a piece, at most: their number stands beside a key of six bytes in one of eight.
+PIECE_TEXTS = 1 << 16
 #: Keys of pieces that are held before they are merged.
 HELD_KEYS = 1_000_000
 #: Rows of sorted contexts that are worked on at once, besides those of one parent.
@@ -171,12 +173,20 @@ class _Piece:
         self.hashes = word_hashes(pa.concat_arrays([distinct.cast(pa.large_string()), pa.array([END], pa.large_string())])).view(np.int64)
         self.numbers, self.words = numbers, np.diff(bounds)
         self.last = np.array([e for _, _, e in parts])
-        words = [w.encode() for w in distinct.to_pylist()]
+        words = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), distinct.cast(pa.large_string()).take(pa.array(numbers)))
         tails = [END.encode() if e else b" " for _, _, e in parts]
-        texts = [b" ".join([words[k] for k in numbers[a:b].tolist()]) + tail if b > a or tail != b" " else b"" for a, b, tail in zip(bounds[:-1].tolist(), bounds[1:].tolist(), tails, strict=True)]
+        joined = pc.binary_join(words, pa.scalar(" ", pa.large_string())).cast(pa.large_binary()).to_pylist()
+        texts = [text + tail if text or tail != b" " else b"" for text, tail in zip(joined, tails, strict=True)]
         self.keys, self.starts = context_keys(texts, [before, *[b"\0" * DEPTH] * (len(texts) - 1)])
         self.end = (before + texts[-1])[-DEPTH:]
 
+    def sorted_keys(self, beside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The keys in order, each once, where each one's bytes begin among all, and for every byte, in this order, the small number that `beside` has for its text."""
+        both = np.sort((self.keys << np.uint64(16)) | np.repeat(beside.astype(np.uint64), np.diff(self.starts)))
+        keys = both >> np.uint64(16)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        return keys[first], first, (both & np.uint64(0xFFFF)).astype(np.int64)
+
 
 def _pieces(texts: list[str | None]) -> Iterator[_Piece]:
     """All texts in pieces of about PIECE_BYTES; a very long text takes several, each after the last bytes of the one before."""
@@ -188,7 +198,7 @@ def _pieces(texts: list[str | None]) -> Iterator[_Piece]:
             last = k + 1 == len(parts)
             waiting.append((row, part, last))
             size += len(part)
-            if size >= PIECE_BYTES or not last:
+            if size >= PIECE_BYTES or not last or len(waiting) == PIECE_TEXTS:
                 piece = _Piece(waiting, before)
                 yield piece
                 waiting, size, before = [], 0, b"\0" * DEPTH if last else piece.end
@@ -242,8 +252,8 @@ def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             learn = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for piece in _pieces(part.column(2).to_pylist()):
                 own = learn[piece.rows]
-                index, keys = pd.factorize(piece.keys)
-                contexts.add(keys, np.bincount(index, np.repeat(own, np.diff(piece.starts)), len(keys)))
+                keys, first, learned = piece.sorted_keys(own)
+                contexts.add(keys, np.add.reduceat(learned, first) if len(keys) else learned)
                 counts = np.bincount(piece.numbers, np.repeat(own, piece.words), len(piece.hashes))
                 counts[-1] += own[piece.last].sum()
                 words.add(piece.hashes, counts)
@@ -390,11 +400,11 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = part.num_rows
             tokens, n_known, n_bytes, base, score = np.zeros((5, n))
             for piece in _pieces(part.column(7).to_pylist()):
-                index, own = pd.factorize(piece.keys)
-                sizes = np.diff(piece.starts)
+                own, first, texts = piece.sorted_keys(np.arange(len(piece.rows)))
                 add = lambda rows, values: np.bincount(rows, values, n)
-                score += add(np.repeat(piece.rows, sizes), of_key[np.searchsorted(keys, own.view(np.int64))][index])
-                n_bytes += add(piece.rows, sizes)
+                of_own = of_key[np.searchsorted(keys, own.view(np.int64))]
+                score += add(piece.rows[texts], np.repeat(of_own, np.diff(first, append=len(texts))))
+                n_bytes += add(piece.rows, np.diff(piece.starts))
                 at = np.searchsorted(hashes, piece.hashes)
                 rows = np.repeat(piece.rows, piece.words)
                 tokens += add(piece.rows, piece.words + piece.last)
