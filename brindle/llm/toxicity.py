@@ -224,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, fit_rows: int = FI
     spark = docs.sparkSession
     whole, beginnings = (spark.createDataFrame([(t,) for t in names], "token string") for names in (found, stems))  # as many as significant tokens
     rest = by_stem(counts.join(F.broadcast(whole), "token", "left_anti")).join(F.broadcast(beginnings), "token")
-    gains = [(r["score"], r["clean_share"]) for r in found.values()] + [(stems[r["token"]], r["clean_share"]) for r in _log_odds(rest, weights, totals).collect()]
+    gains = sorted([(r["score"], r["clean_share"]) for r in found.values()] + [(stems[r["token"]], r["clean_share"]) for r in _log_odds(rest, weights, totals).collect()])
     model = Model({t: r["score"] for t, r in found.items()}, stems, _decay(gains), 1.0, -4.0, 1.0)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +233,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, fit_rows: int = FI
             all_found = [segments(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([max((v for _, _, v in f), default=0.0) for _, f in all_found], pa.float64()), pa.array([n for n, _ in all_found], pa.int64()), batch.column(1)], ["best", "n", "toxic"])
 
-    pairs = rows.filter(F.col("part") == modulus - 1).select("text", "toxic").mapInArrow(lean(best), "best double, n long, toxic int").collect()
+    # sorted, as sums of doubles depend on the order in which rows arrive
+    pairs = sorted(rows.filter(F.col("part") == modulus - 1).select("text", "toxic").mapInArrow(lean(best), "best double, n long, toxic int").collect())
     clean = [(r["best"], r["n"]) for r in pairs if not r["toxic"]]
     k = scale(clean, model.lam)
     x = np.array([surprise(r["best"], r["n"], model.lam, k) for r in pairs], float)
