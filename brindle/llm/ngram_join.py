@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import discard, lean, materialise, release, slices, split_words
+from brindle.llm.common import discard, in_small_batches, lean, materialise, release, slices, split_words
 from brindle.llm.components import components
 from brindle.llm.substring_dedup import gram_hashes, word_hashes
 
@@ -50,7 +50,7 @@ EXTRA = 20
 BUCKET = 24
 #: Pivots of the rounds in which larger groups are connected.
 PIVOTS = (4, 32)
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 #: Words of 64 bits in a parity bitmap, and in the bitmap of a further order's prefix.
 PARITY_WORDS, ORDER_WORDS = 16, 8
 #: Odd factors that make further orders of the token hashes.
@@ -123,7 +123,7 @@ def _mapped(docs: DataFrame, columns: list[str], make, schema: str) -> DataFrame
             for part in slices(batch, 0, SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays(make(part, token_sets(part.column(0))), names)
 
-    return docs.select("text", *columns).mapInArrow(lean(run), schema)
+    return in_small_batches(docs).select("text", *columns).mapInArrow(lean(run), schema)
 
 
 def _described(rows: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
     whole = near.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return materialise(whole.mapInArrow(lean(run), "a long, b long"), "verified-links")
+    return materialise(in_small_batches(whole).mapInArrow(lean(run), "a long, b long"), "verified-links")
 
 
 def _close_sizes(a: str, b: str) -> Column:

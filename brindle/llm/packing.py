@@ -21,14 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import crc32, lean, materialise, per_process, slices, split_words
+from brindle.llm.common import crc32, in_small_batches, lean, materialise, per_process, slices, split_words
 
 #: Rows that one salt of a length holds on average.
 SALT_ROWS = 50_000
 #: Words a worker remembers; the cache is emptied when full.
 CACHED_WORDS = 200_000
-#: Bytes of text that are tokenized together.
-SLICE_BYTES = 4_000_000
+#: Bytes of text that are tokenized together; arrays of their words and ids lie beside them in memory.
+SLICE_BYTES = 1_000_000
 
 
 class WordEncoder:
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_length: int = 2048, end_id: int
                         rows.append((doc_id, k, b // 4, len(own) // 4, crc32(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: np.ndarray, max_length: int) -> list[tuple[int, list[int]]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import discard, held_out, lean, lower_ascii, materialise, residue, slices, words_of
+from brindle.llm.common import discard, held_out, in_small_batches, lean, lower_ascii, materialise, residue, slices, words_of
 
 #: Most labelled rows of each class that the model is fitted on.
 FIT_ROWS = 10_000
@@ -288,7 +288,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 passages.append([{"start": s, "end": e, "log_odds": v} for s, e, v in found if logit(model, v, n) >= 0])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(passages, pa.list_(kind))], ["doc_id", "score", "predicted", "passages"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, score double, predicted int, passages array<struct<start: long, end: long, log_odds: double>>")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, score double, predicted int, passages array<struct<start: long, end: long, log_odds: double>>")
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> DataFrame:
@@ -303,7 +303,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> Dat
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     at = docs.columns.index("text")
-    return docs.mapInArrow(lean(keep), docs.schema)
+    return in_small_batches(docs).mapInArrow(lean(keep), docs.schema)
 
 
 def scored_query(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> DataFrame:
