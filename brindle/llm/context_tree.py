@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import SPACE, discard, held_out, materialise, release, residue, split_words
+from brindle.llm.common import SPACE, discard, held_out, in_small_batches, materialise, release, residue, split_words, tidy, trim
 from brindle.llm.substring_dedup import word_hashes
 
 DEPTH = 5
@@ -249,6 +249,7 @@ def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if present is not None:
                     yield asked()
                 present, contexts, words = number, _Counts(), _Counts()
+                trim()
             learn = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for piece in _pieces(part.column(2).to_pylist()):
                 own = learn[piece.rows]
@@ -308,7 +309,7 @@ def _level(sums: DataFrame, name: str) -> DataFrame:
             found = _mixed(*(batch.column(k).to_numpy() for k in (1, 2, 3)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, found)], ["node", "zeros", "ones", "own", "weight", "weighted"])
 
-    return materialise(_summed(sums).mapInArrow(run, NODES), name)
+    return materialise(_summed(sums).mapInArrow(tidy(run), NODES), name)
 
 
 def _summed(sums: DataFrame) -> DataFrame:
@@ -343,7 +344,7 @@ def _context_values(keys: DataFrame) -> DataFrame:
     context = F.shiftright("key", 8)
     parent = context.bitwiseAND(F.lit((1 << 8 * (DEPTH - 1)) - 1))
     ordered = keys.select(parent.alias("parent"), "key", "c").repartition("parent").sortWithinPartitions("parent")
-    third = _level(ordered.mapInArrow(_leaves, "node long, zeros long, ones long, below double"), "level-3")
+    third = _level(ordered.mapInArrow(tidy(_leaves), "node long, zeros long, ones long, below double"), "level-3")
     second = _level(_upwards(third, 2), "level-2")
     top_a, top_b = _top(_summed(_upwards(second, 1)).toPandas())  # at most 65,280 rows: the nodes after one byte
 
@@ -353,7 +354,7 @@ def _context_values(keys: DataFrame) -> DataFrame:
             above = node & 0xFFFF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(top_a[above] + top_b[above] * weight * own), pa.array(top_b[above] * (1 - weight))], ["up", "a", "b"])
 
-    mixed = second.select("node", "own", "weight").mapInArrow(under_top, "up long, a double, b double")
+    mixed = second.select("node", "own", "weight").mapInArrow(tidy(under_top), "up long, a double, b double")
     mixed = third.withColumn("up", _parent(F.col("node"), 2)).join(mixed, "up")
     mixed = mixed.select("node", (F.col("a") + F.col("b") * F.col("weight") * F.col("own")).alias("a"), (F.col("b") * (1 - F.col("weight"))).alias("b"))
 
@@ -379,7 +380,7 @@ def _context_values(keys: DataFrame) -> DataFrame:
     short = F.lit((1 << 8 * (DEPTH - 2)) - 1)
     rows = mixed.select(F.shiftright("node", 8).alias("short"), F.lit(0).alias("is_key"), F.shiftright("node", 8).alias("parent"), F.col("node").alias("id"), "a", "b")
     rows = rows.unionByName(keys.select(context.bitwiseAND(short).alias("short"), F.lit(1).alias("is_key"), parent.alias("parent"), F.col("key").alias("id"), F.col("c").cast("double").alias("a"), F.lit(0.0).alias("b")))
-    return rows.repartition("short").sortWithinPartitions("short", "is_key", "parent").mapInArrow(values, "key long, value double")
+    return rows.repartition("short").sortWithinPartitions("short", "is_key", "parent").mapInArrow(tidy(values), "key long, value double")
 
 
 def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,12 +392,14 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number, kind = part.column(0)[0].as_py(), part.column(1)[0].as_py()
             if number != present:
                 present, waiting, tables = number, ([], []), None
+                trim()
             if kind != TEXT:
-                waiting[kind].append([part.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4)])
+                # copies, as a view keeps all columns of its batch; whether a context is known isn't asked
+                waiting[kind].append([np.array(part.column(k)) for k in ((2, 3) if kind == CONTEXT else (2, 3, 4))])
                 continue
             if tables is None:
                 tables, waiting = [[np.concatenate(c) for c in zip(*rows, strict=True)] for rows in waiting], None
-            (keys, of_key, _), (hashes, of_word, seen) = tables
+            (keys, of_key), (hashes, of_word, seen) = tables
             n = part.num_rows
             tokens, n_known, n_bytes, base, score = np.zeros((5, n))
             for piece in _pieces(part.column(7).to_pylist()):
@@ -425,13 +428,13 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
     training rows, every estimate is that of no counts. Other columns aren't
     read; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    spark = in_small_batches(docs).sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     own = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // SLICE_BYTES)).cast("int")
     learn = F.coalesce(residue(F.col("doc_id"), modulus) != 0, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id"), modulus).alias("held_out"), learn.alias("learn"), own.alias("slice"))
     dealt = rows.select("slice", "learn", "text").repartition("slice").sortWithinPartitions("slice")
-    requests = materialise(dealt.mapInArrow(_requests, "slice int, kind int, key long, n long"), "requests")
+    requests = materialise(dealt.mapInArrow(tidy(_requests), "slice int, kind int, key long, n long"), "requests")
     release(spark)
     counts = materialise(requests.groupBy("kind", "key").agg(F.sum("n").alias("c")), "corpus-counts")
     release(spark)
@@ -450,5 +453,5 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
     texts = rows.select("slice", F.lit(TEXT).alias("kind"), "doc_id", "held_out", "text")
     both = replies.unionByName(texts, allowMissingColumns=True).select("slice", "kind", "key", "value", "known", "doc_id", "held_out", "text")
     both = both.repartition("slice").sortWithinPartitions("slice", "kind", "key")
-    scored = both.mapInArrow(_scores, "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double")
+    scored = both.mapInArrow(tidy(_scores), "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))

@@ -1,14 +1,17 @@
 """Context-tree weighting against a recursion over single nodes."""
 
+import gc
 import math
 import random
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brindle.llm import context_tree
+from brindle.llm.common import BATCH_SETTING
 from brindle.llm.context_tree import DEPTH
 from tests.llm.helpers import AWKWARD, documents, residue, sentence, words
 
@@ -139,3 +142,42 @@ def test_probabilities_sum_to_one():
 def test_log_gamma():
     x = np.array([0.5, 1.0, 1.5, 2.5, 7.9, 8.0, 100.5, 1e6 + 0.5])
     assert context_tree.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-10, abs=1e-10)
+
+
+def test_values_of_a_slice_keep_no_batches():
+    """Before a slice's texts come, its values are held alone, not the batches that they came in with their other columns."""
+    n, held = 20_000, []
+
+    def batch(kind, keys, text):
+        m = len(keys)
+        nulls = [None] * m
+        columns = [
+            pa.array([0] * m, pa.int32()), pa.array([kind] * m, pa.int32()), pa.array(keys, pa.int64()), pa.array([-1.0] * m), pa.array([1] * m, pa.int32()),
+            pa.array([7] * m if text else nulls, pa.int64()), pa.array([False] * m if text else nulls, pa.bool_()), pa.array(text or nulls, pa.string()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["slice", "kind", "key", "value", "known", "doc_id", "held_out", "text"])
+
+    def batches():
+        before = pa.total_allocated_bytes()
+        keys = np.unique(np.concatenate([context_tree.context_keys([b"a b\n"])[0].view(np.int64), np.arange(1 << 40, (1 << 40) + 5 * n)]))
+        for at in range(0, len(keys), n):
+            yield batch(context_tree.CONTEXT, keys[at : at + n], None)
+        yield batch(context_tree.WORD, np.sort(context_tree.word_hashes(pa.array(["a", "b", "\n"], pa.large_string())).view(np.int64)), None)
+        gc.collect()
+        held.append(pa.total_allocated_bytes() - before)
+        yield batch(context_tree.TEXT, [0], ["a b"])
+
+    (got,) = list(context_tree._scores(batches()))
+    assert got.to_pylist() == [{"doc_id": 7, "held_out": False, "n_tokens": 3, "n_known": 3, "n_bytes": 4, "base_score": -3.0, "score": -4.0}]
+    assert held[0] < 100_000
+
+
+def test_texts_come_in_small_batches(spark):
+    """A batch of texts lies in the executor's JVM and in the worker at once, so score_documents sets a limit."""
+    before = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.unset(BATCH_SETTING)
+    try:
+        context_tree.score_documents(documents(spark, [(1, "a b")])).collect()
+        assert int(spark.conf.get(BATCH_SETTING)) <= 4_000_000
+    finally:
+        spark.conf.set(BATCH_SETTING, before) if before else spark.conf.unset(BATCH_SETTING)
