@@ -30,6 +30,8 @@ WIDTH, TILE_ROWS = ROW_BYTES // 4, 1024
 SHARES = {"green": 2, "cache": 2, "cross": 1, "references": 1, "predictor": 1, "all": 1}
 WAYS = [way for way, n in SHARES.items() for _ in range(n)]
 BLOCK, CACHE_BITS, COLOURS = 6, 6, 256
+#: Bytes of images that are read side by side.
+ABREAST_BYTES = 2_000_000
 
 
 def copies(argb: np.ndarray) -> list[tuple[int, int, int]]:
@@ -67,19 +69,20 @@ def factors(argb: np.ndarray, block: int) -> np.ndarray:
 def encode(pixels: np.ndarray) -> bytes:
     """The image with a palette, or in the way that its checksum chooses."""
     argb = np.ascontiguousarray(pixels).view(np.uint32).ravel()
-    if len(np.unique(argb)) <= min(COLOURS, len(argb) // 2):  # with more, the palette takes more room than it saves
+    ordered = np.sort(argb)
+    if 1 + np.count_nonzero(ordered[1:] != ordered[:-1]) <= min(COLOURS, len(argb) // 2):  # with more, the palette takes more room than it saves
         return webp.encode(pixels, ((webp.PALETTE,),))
     seed = crc32(pixels.tobytes()) % 16
     way = WAYS[seed] if seed < len(WAYS) else ""
-    own = pixels[..., [3, 0, 1, 2]].astype(np.int64)
     green = (webp.SUBTRACT_GREEN,)
     if way == "references":
         return webp.encode(pixels, (green,), references=copies(argb))
     transforms: tuple = (green,) if way == "green" else ()
+    own = pixels[..., [3, 0, 1, 2]].astype(np.int64) if way in ("predictor", "cross", "all") else None
     if way in ("predictor", "all"):
         modes = webp.best_modes(own, BLOCK)
         transforms = ((webp.PREDICTOR, BLOCK, modes),)
-        own = webp.differences(own, modes, BLOCK)
+        own = webp.differences(own, modes, BLOCK) if way == "all" else own
     if way in ("cross", "all"):
         transforms += ((webp.CROSS_COLOUR, BLOCK, factors(own, BLOCK)),)
     if way == "all":
@@ -99,6 +102,26 @@ def from_media(images: list[bytes]) -> np.ndarray:
     return np.concatenate([webp.decode(image) for image in images])
 
 
+def many_from_media(rows: list[list[bytes]]) -> Iterator[np.ndarray]:
+    """The pixels of each of many media values, whose images are read side by side."""
+    for part in _parts(rows):
+        pixels = iter(webp.decode_many([image for media in part for image in media]))
+        yield from (np.concatenate([next(pixels) for _ in media]) for media in part)
+
+
+def _parts(rows: list[list[bytes]]) -> Iterator[list[list[bytes]]]:
+    """Media values in lists of about `ABREAST_BYTES`."""
+    part, size = [], 0
+    for media in rows:
+        part.append(media)
+        size += sum(map(len, media))
+        if size >= ABREAST_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def feature(pixels: np.ndarray) -> str:
     """Size, mean and deviation of the samples, and the 64-bit average hash of an 8 x 8 thumbnail."""
     flat = pixels.reshape(-1).astype(np.float64)
@@ -133,8 +156,8 @@ def read_features(stored: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for media in batch.column(2).to_pylist():
-                pixels = from_media(media)
+            stored = batch.column(2).to_pylist()
+            for media, pixels in zip(stored, many_from_media(stored), strict=True):
                 payload, whole = pixels.tobytes(), b"".join(media)
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-32:]), len(whole), hashlib.sha256(whole).hexdigest(), feature(pixels)))
             columns = zip(*rows, strict=True) if rows else [[]] * len(schema)

@@ -4,13 +4,15 @@
 meta prefix codes, and the predictor, cross-colour, subtract-green and palette
 transforms. Where one group of codes serves the whole image, the symbols that
 would begin at each bit are looked up at once with array operations, and the
-image is the chain from the first bit on; other files are read symbol by symbol.
+image is the chain from the first bit on, which is walked in strides; other files
+are read symbol by symbol. Of many such files `decode_many` takes a pixel of each
+at a time, until few are left. Pixels are written at once, too, each as one number
+of all its code words.
 Pixels are arrays (height, width, 4) of RGBA bytes.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
 from functools import lru_cache
 
@@ -26,10 +28,10 @@ CACHE_FACTOR = 0x1E35A7BD
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 #: Pixels from which a run is written as a back-reference, and its greatest length.
 LEAST_RUN, MOST_RUN = 8, 4096
-#: Bits that are decoded at once, more than any symbol with its extra bits takes, and pixels that are written at once.
-WINDOW_BITS, SLACK, WINDOW = 1 << 17, 128, 16_384
-#: What marks a bit at which the symbol of a cached pixel or of a copy would begin, among lengths of literals.
-CACHED, COPY = 254, 255
+#: Bits that are decoded at once, more than any symbol with its extra bits takes, and doublings of the stride in which their chain is walked.
+WINDOW_BITS, SLACK, DOUBLINGS = 1 << 17, 128, 2
+#: Images that are read side by side, at least, and pixels of each until their ends are looked at.
+ABREAST, STRETCH = 64, 64
 
 
 class Bits:
@@ -134,33 +136,45 @@ def _parse_code(bits: Bits, size: int) -> Code:
         if two:
             lengths[bits.read(8)] = 1
         return Code(lengths)
-    own = np.zeros(19, np.int64)
-    for k in range(4 + bits.read(4)):
-        own[LENGTH_ORDER[k]] = bits.read(3)
-    code = Code(own)
+    own, n = np.zeros(19, np.int64), 4 + bits.read(4)
+    three = bits.read(24) | bits.read(max(3 * n - 24, 0)) << 24 if n >= 8 else bits.read(3 * n)
+    for k in range(n):
+        own[LENGTH_ORDER[k]] = three >> 3 * k & 7
+    code = _code(own.tobytes())
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     # all that is left of the code as one number: no symbol takes more than 14 bits
     start, most = bits.at >> 3, size * 14 // 8 + 2
     ahead = int.from_bytes(bits.data[start : start + most], "little") >> (bits.at & 7)
-    table, mask, found, before = code.flipped(), (1 << code.longest) - 1, [], 8
+    table, mask, found, before, taken = code.flipped(), (1 << code.longest) - 1, [], 8, 0
+    low = ahead & _LOW  # a part of it at a time, as short numbers are quicker
+    used = 0
     while len(found) < size and left:
         left -= 1
-        n = table[ahead & mask]
-        ahead, n, taken = ahead >> (n & 15), n >> 4, n & 15
+        if used > _LOW_BITS - 14:
+            ahead >>= used
+            low, used, taken = ahead & _LOW, 0, taken + used
+        n = table[low >> used & mask]
+        used += n & 15
+        n >>= 4
         if n < 16:
             found.append(n)
             before = n or before
         else:
             extra, least = ((2, 3), (3, 3), (7, 11))[n - 16]
-            found += [before if n == 16 else 0] * (least + (ahead & ((1 << extra) - 1)))
-            ahead, taken = ahead >> extra, taken + extra
-        bits.at += taken
+            found += [before if n == 16 else 0] * (least + (low >> used & ((1 << extra) - 1)))
+            used += extra
+    bits.at += taken + used
     if bits.at > bits.end or len(found) > size:
         raise ValueError("the image data ends early")
     lengths[: len(found)] = found
     return _code(lengths.tobytes())
 
 
+#: Bits of a code that are read from one short number.
+_LOW_BITS = 60
+_LOW = (1 << _LOW_BITS) - 1
+
+
 @lru_cache(4096)
 def _code(packed: bytes) -> Code:
     return Code(np.frombuffer(packed, np.int64))
@@ -182,6 +196,25 @@ def _extended(raw: np.ndarray, at: np.ndarray, symbols: np.ndarray) -> tuple[np.
     return value + 1, at + extra
 
 
+def _chain(after: np.ndarray, most: int) -> np.ndarray:
+    """The first `most` places of the chain from place 0, each followed by the one that `after` has for it, as far as they lie in the array."""
+    n = len(after)
+    hops = [np.append(np.minimum(after, n), n)]
+    for _ in range(DOUBLINGS):
+        hops.append(hops[-1].take(hops[-1]))
+    far, walked, here = hops.pop().item, [], 0
+    for _ in range(-(-most >> DOUBLINGS)):
+        if here >= n:
+            break
+        walked.append(here)
+        here = far(here)
+    places = np.array(walked, np.int64)
+    for hop in reversed(hops):
+        places = np.stack([places, hop.take(places)], 1).ravel()
+    places = places[:most]
+    return places[places < n]
+
+
 def _operations(bits: Bits, codes: list[Code], total: int) -> np.ndarray:
     """The symbols of an image as columns: green or other symbol, red, blue, alpha, pixels that it makes, distance code."""
     most = max(c.longest for c in codes)
@@ -192,66 +225,122 @@ def _operations(bits: Bits, codes: list[Code], total: int) -> np.ndarray:
     while left:
         n = min(WINDOW_BITS, bits.end - bits.at, left * most_bits)
         ahead = bits.ahead(n + SLACK, most)
-        lengths: dict[int, bytes] = {}  # by code: how long its word is that begins at each bit
+        word = tables[0][0].take(ahead >> tables[0][1])
+        lengths = {id(codes[0]): word & 15}  # by code: how long its word is that begins at each bit
+        after = np.arange(n) + lengths[id(codes[0])][:n]  # where the next symbol begins
         for code, (table, shift) in zip(codes[1:4], tables[1:4], strict=True):
             if id(code) not in lengths:
-                lengths[id(code)] = (table & 15).astype(np.uint8).take(ahead >> shift).tobytes()
-        red, blue, alpha = (lengths[id(c)] for c in codes[1:4])
-        word = tables[0][0].take(ahead[:n] >> tables[0][1])
-        green, sizes, distances, jumps = (word & 15).astype(np.uint8), np.ones(n, np.int64), np.zeros(n, np.int64), {}
-        marks = lone = green.tobytes()
+                lengths[id(code)] = (table & 15).take(ahead >> shift)
+            after += lengths[id(code)].take(after)
         if special:
-            other = np.flatnonzero(word >= N_LITERAL << 4)
-            after, symbol = other + (word[other] & 15), (word[other] >> 4) - N_LITERAL
+            sizes, distances = np.ones(n, np.int64), np.zeros(n, np.int64)
+            other = np.flatnonzero(word[:n] >= N_LITERAL << 4)
+            after[other], symbol = other + (word[other] & 15), (word[other] >> 4) - N_LITERAL
             copies = symbol < N_LENGTH
             own = other[copies]
-            green[other] = CACHED
             if len(own):
-                green[own] = COPY
                 raw = bits.unpacked()[bits.at : bits.at + n + SLACK]
                 raw = np.concatenate([raw, np.zeros(n + SLACK - len(raw), np.uint8)])
-                sizes[own], after = _extended(raw, after[copies], symbol[copies])
-                word = tables[4][0].take(ahead[after] >> tables[4][1])
-                distances[own], after = _extended(raw, after + (word & 15), word >> 4)
-                jumps = dict(zip(own.tolist(), after.tolist(), strict=True))
-            marks = green.tobytes()
-        chain, here = [], 0
-        for _ in range(left):
-            if here >= n:
-                break
-            chain.append(here)
-            taken = marks[here]
-            if taken < CACHED:
-                here += taken
-                here += red[here]
-                here += blue[here]
-                here += alpha[here]
-            elif taken == COPY:
-                here = jumps[here]
-            else:
-                here += lone[here]
-        if not chain:
+                sizes[own], at = _extended(raw, after[own], symbol[copies])
+                word = tables[4][0].take(ahead[at] >> tables[4][1])
+                distances[own], after[own] = _extended(raw, at + (word & 15), word >> 4)
+        starts = _chain(after, left)
+        if not len(starts):
             raise ValueError("the image data ends early")
-        starts = np.array(chain)
-        ends = np.cumsum(sizes[starts])
-        if ends[-1] > left:
-            last = int(np.searchsorted(ends, left))
-            if ends[last] != left:
-                raise ValueError("a back-reference outside the image")
-            starts, here = starts[: last + 1], chain[last + 1] if last + 1 < len(chain) else here
+        if special:
+            ends = np.cumsum(sizes[starts])
+            if ends[-1] > left:
+                last = int(np.searchsorted(ends, left))
+                if ends[last] != left:
+                    raise ValueError("a back-reference outside the image")
+                starts = starts[: last + 1]
         mine, place = np.empty((6, len(starts)), np.int64), starts
         for k, (table, shift) in enumerate(tables[:4]):
             word = table[ahead[place] >> shift]
             mine[k], place = word >> 4, place + (word & 15)
-        mine[4], mine[5] = sizes[starts], distances[starts]
+        mine[4], mine[5] = (sizes[starts], distances[starts]) if special else (1, 0)
         found.append(mine)
         left -= int(mine[4].sum())
-        bits.at += here
+        bits.at += int(after[starts[-1]])
         if bits.at > bits.end:
             raise ValueError("the image data ends early")
     return found[0] if len(found) == 1 else np.concatenate(found, 1)
 
 
+def _abreast(jobs: list[tuple[Bits, list[Code], int]]) -> list[np.ndarray]:
+    """As `_operations` of each (bits, codes, total): a symbol of every image at a time, and the last few images one by one."""
+    totals = np.array([total for _, _, total in jobs])
+    firsts = np.cumsum(totals) - totals
+    sizes = np.array([len(bits.data) + 4 for bits, _, _ in jobs])
+    bounds = 8 * (np.cumsum(sizes) - sizes)
+    joined = b"".join(part for bits, _, _ in jobs for part in (bits.data, b"\0" * 4)) + b"\0" * (STRETCH * (SLACK + 60) // 8)
+    flipped = FLIPPED.astype(np.int32)[np.frombuffer(joined, np.uint8)]
+    three = flipped[:-2] << 16 | flipped[1:-1] << 8 | flipped[2:]
+    at, tables, places = 1, [np.zeros(1, np.int64)], {}  # place 0 is an empty symbol
+    for _, codes, _ in jobs:
+        for code in codes[:4]:
+            if id(code) not in places:
+                places[id(code)] = at
+                tables.append(code.table)
+                at += len(code.table)
+    table = np.concatenate(tables)
+    base = np.array([[places[id(c)] for c in codes[:4]] for _, codes, _ in jobs]).T
+    longest = np.array([[c.longest for c in codes[:4]] for _, codes, _ in jobs]).T
+    drop, mask = 24 - longest, (1 << longest) - 1
+    live, left, place, ends = np.arange(len(jobs)), totals.copy(), firsts.copy(), bounds + np.array([bits.end for bits, _, _ in jobs])
+    pos = bounds + np.array([bits.at for bits, _, _ in jobs])
+    found, copies = np.zeros(int(totals.sum()), np.int64), [[] for _ in jobs]
+    until = [0] * len(jobs)  # where the operations of each end
+    step = 0
+    while len(live) >= ABREAST:
+        word = table.take(base[0] + (three.take(pos >> 3) >> drop[0] - (pos & 7) & mask[0]))
+        pos += word & 15
+        made, own_base, own_mask = word >> 4, base, mask
+        if word.max() >= N_LITERAL << 4:
+            other = made >= N_LITERAL
+            own_base, own_mask = np.where(other, 0, base), np.where(other, 0, mask)
+            for k in np.flatnonzero(other & (made < N_LITERAL + N_LENGTH)).tolist():
+                job = int(live[k])
+                bits, codes, _ = jobs[job]
+                bits.at = int(pos[k] - bounds[job])
+                size = _prefixed(bits, int(made[k]) - N_LITERAL)
+                copies[job].append((int(place[k] - firsts[job]), size, _prefixed(bits, codes[4].read(bits))))
+                pos[k] = bits.at + bounds[job]
+                left[k] -= size - 1
+        for k in (1, 2, 3):
+            word = table.take(own_base[k] + (three.take(pos >> 3) >> drop[k] - (pos & 7) & own_mask[k]))
+            pos += word & 15
+            made = made << 8 | word >> 4
+        found[place] = made
+        place += 1
+        left -= 1
+        step += 1
+        least = left.min()
+        if least <= 0 or step % STRETCH == 0:
+            if least < 0:
+                raise ValueError("a back-reference outside the image")
+            if (pos > ends[live]).any():
+                raise ValueError("the image data ends early")
+            if least == 0:
+                for k in np.flatnonzero(left == 0).tolist():
+                    until[live[k]] = int(place[k])
+                go = np.flatnonzero(left)
+                live, left, place, pos, base, drop, mask = live[go], left[go], place[go], pos[go], base[:, go], drop[:, go], mask[:, go]
+    rest = {}
+    for job, n, end, here in zip(live.tolist(), left.tolist(), place.tolist(), pos.tolist(), strict=True):
+        bits, codes, _ = jobs[job]
+        bits.at, until[job] = here - int(bounds[job]), end
+        rest[job] = _operations(bits, codes, n)
+    out = []
+    for job, (first, end) in enumerate(zip(firsts.tolist(), until, strict=True)):
+        own = found[first:end]
+        mine = np.stack([own >> 24, own >> 16 & 0xFF, own >> 8 & 0xFF, own & 0xFF, np.ones_like(own), np.zeros_like(own)])
+        for k, size, distance in copies[job]:
+            mine[4, k], mine[5, k] = size, distance
+        out.append(np.concatenate([mine, rest[job]], 1) if job in rest else mine)
+    return out
+
+
 def _distance(code: int, width: int) -> int:
     return code - len(NEAR) if code > len(NEAR) else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
 
@@ -264,6 +353,8 @@ def _pixels(operations: np.ndarray, total: int, width: int, cache_bits: int) ->
     """What the operations make, as ARGB numbers."""
     green, red, blue, alpha, size, code = operations
     values = (alpha << 24 | red << 16 | green << 8 | blue).astype(np.uint32)
+    if green.max(initial=0) < N_LITERAL:
+        return values
     is_copy, is_cached = (green >= N_LITERAL) & (green < N_LITERAL + N_LENGTH), green >= N_LITERAL + N_LENGTH
     starts = np.cumsum(size) - size
     copies = [(a, n, _distance(d, width)) for a, n, d in zip(starts[is_copy].tolist(), size[is_copy].tolist(), code[is_copy].tolist(), strict=True)]
@@ -302,6 +393,15 @@ def _pixels(operations: np.ndarray, total: int, width: int, cache_bits: int) ->
 
 def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image as a row of ARGB numbers."""
+    found = _begun(bits, width, height, main)
+    if isinstance(found, np.ndarray):
+        return found
+    codes, cache_bits = found
+    return _pixels(_operations(bits, codes, width * height), width * height, width, cache_bits)
+
+
+def _begun(bits: Bits, width: int, height: int, main: bool) -> np.ndarray | tuple[list[Code], int]:
+    """As `_read_image`, but if one group of codes serves the image and there is more than one colour, just the codes and the bits of the cache."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     groups, meta, block = 1, None, 0
     if main and bits.read(1):
@@ -317,7 +417,7 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         if not any(c.longest for c in own[:4]):
             green, red, blue, alpha = (int(c.symbols[0]) for c in own[:4])
             return np.full(total, alpha << 24 | red << 16 | green << 8 | blue, np.uint32)
-        return _pixels(_operations(bits, own, total), total, width, cache_bits)
+        return own, cache_bits
     rows, made = [], 0
     while made < total:
         group = codes[0] if meta is None else codes[meta[(made // width >> block) * columns + (made % width >> block)]]
@@ -494,6 +594,24 @@ def _packing(colours: int) -> int:
 
 def decode(data: bytes) -> np.ndarray:
     """The pixels of a lossless WebP file."""
+    bits, full_width, width, height, transforms = _opened(data)
+    return _restored_pixels(_read_image(bits, width, height, True), full_width, width, height, transforms)
+
+
+def decode_many(files: list[bytes]) -> list[np.ndarray]:
+    """The pixels of lossless WebP files."""
+    opened = [_opened(data) for data in files]
+    found = [_begun(bits, width, height, True) for bits, _, width, height, _ in opened]
+    jobs = [k for k, f in enumerate(found) if isinstance(f, tuple)]
+    made = _abreast([(opened[k][0], found[k][0], opened[k][2] * opened[k][3]) for k in jobs])
+    for k, operations in zip(jobs, made, strict=True):
+        _, _, width, height, _ = opened[k]
+        found[k] = _pixels(operations, width * height, width, found[k][1])
+    return [_restored_pixels(argb, *rest) for argb, (_, *rest) in zip(found, opened, strict=True)]
+
+
+def _opened(data: bytes) -> tuple[Bits, int, int, int, list[tuple]]:
+    """The bits of a file, at the main image, its width, the width and height of the main image, and the transforms."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != SIGNATURE:
         raise ValueError("not a lossless WebP file")
     size = struct.unpack("<I", data[16:20])[0]
@@ -516,154 +634,182 @@ def decode(data: bytes) -> np.ndarray:
             width = (width + (1 << _packing(colours)) - 1) >> _packing(colours)
         else:
             transforms.append((kind, 0, None))
-    pixels = _channels(_read_image(bits, width, height, True).reshape(height, width))
+    return bits, full_width, width, height, transforms
+
+
+def _restored_pixels(argb: np.ndarray, full_width: int, width: int, height: int, transforms: list[tuple]) -> np.ndarray:
+    """The RGBA pixels from those of the main image, by the transforms backwards."""
+    argb = argb.reshape(height, width)
     for kind, block, extra in reversed(transforms):
         if kind == PREDICTOR:
-            pixels = _restored(pixels, extra[..., 2], block)
+            argb = _joined(_restored(_channels(argb), extra[..., 2], block))
         elif kind == CROSS_COLOUR:
-            pixels = _cross_colour(pixels, extra, block, False)
+            argb = _joined(_cross_colour(_channels(argb), extra, block, False))
         elif kind == SUBTRACT_GREEN:
-            pixels[..., 1] = (pixels[..., 1] + pixels[..., 2]) & 0xFF
-            pixels[..., 3] = (pixels[..., 3] + pixels[..., 2]) & 0xFF
+            argb = (argb & _GREEN_ALPHA) | ((argb & _RED_BLUE) + (argb >> 8 & 0xFF) * _TWICE & _RED_BLUE)
         else:
             halvings = _packing(len(extra))
             each = 8 >> halvings
-            places = pixels[..., 2][..., None] >> (np.arange(1 << halvings) * each) & ((1 << each) - 1)
+            places = (argb >> 8 & 0xFF).astype(np.int64)[..., None] >> (np.arange(1 << halvings) * each) & ((1 << each) - 1)
             index = places.reshape(height, -1)[:, :block]
-            table = np.concatenate([extra, np.zeros((256 - len(extra), 4), np.int64)])
-            pixels = table[index]
-    return pixels[..., [1, 2, 3, 0]].astype(np.uint8)
+            argb = np.concatenate([_joined(extra), np.zeros(256 - len(extra), np.uint32)])[index]
+    return _swapped(argb).astype("<u4").view(np.uint8).reshape(height, full_width, 4)
+
+
+#: Bytes of an ARGB number: green and alpha, red and blue, and a byte in both places of the latter.
+_GREEN_ALPHA, _RED_BLUE, _TWICE = np.uint32(0xFF00FF00), np.uint32(0xFF00FF), np.uint32(0x10001)
+
+
+def _swapped(numbers: np.ndarray) -> np.ndarray:
+    """ARGB numbers from those of RGBA bytes, the first one lowest, and the other way round."""
+    return (numbers & _GREEN_ALPHA) | (numbers & 0xFF) << 16 | numbers >> 16 & 0xFF
 
 
 class Writer:
-    """Collects a bit stream: short fields in a number, long ones as arrays of single bits."""
+    """Collects a bit stream in a number."""
 
     def __init__(self):
-        self.parts: list[np.ndarray] = []
         self.field = self.size = 0
 
     def number(self, value: int, n: int) -> None:
         self.field |= value << self.size
         self.size += n
 
-    def word(self, code: int, n: int) -> None:
-        """One prefix code word of up to 16 bits, the highest bit first."""
-        self.number((int(FLIPPED[code & 255]) << 8 | int(FLIPPED[code >> 8])) >> 16 - n, n)
-
-    def _close(self) -> None:
-        if self.size:
-            raw = np.frombuffer(self.field.to_bytes(-(-self.size // 8), "little"), np.uint8)
-            self.parts.append(np.unpackbits(raw, count=self.size, bitorder="little"))
-            self.field = self.size = 0
-
-    def words(self, codes: np.ndarray, lengths: np.ndarray) -> None:
-        """Prefix code words of many symbols: rows of one code after the other's."""
-        self._close()
-        most = int(lengths.max(initial=0))
-        if most:
-            codes, lengths = codes.astype(np.int32), lengths.astype(np.int32)
-            shift = lengths[:, None] - np.arange(1, most + 1, dtype=np.int32)
-            self.parts.append(((codes[:, None] >> np.maximum(shift, 0)) & 1).astype(np.uint8)[shift >= 0])
+    def numbers(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Many numbers (uint64) of up to 63 bits, put together in words of 64."""
+        ends = np.cumsum(sizes)
+        n = int(ends[-1]) if len(ends) else 0
+        if not n:
+            return
+        at = ends - sizes
+        place, shift = at >> 6, (at & 63).astype(np.uint64)
+        first = np.concatenate([[0], (place[1:] != place[:-1]).nonzero()[0] + 1])
+        packed, place = np.zeros((n >> 6) + 2, np.uint64), place[first]
+        packed[place] = np.bitwise_or.reduceat(values << shift, first)
+        packed[place + 1] |= np.bitwise_or.reduceat(values >> np.uint64(1) >> np.uint64(63) - shift, first)
+        self.number(int.from_bytes(packed.astype("<u8").tobytes(), "little"), n)
 
     def bytes(self) -> bytes:
-        self._close()
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        return self.field.to_bytes(-(-self.size // 8), "little")
 
 
 def huffman_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     """Lengths of an optimal code, made flatter until none exceeds `limit`; 1 for a lone symbol."""
     counts = np.asarray(counts, np.int64)
     lengths, used = np.zeros(len(counts), np.int64), np.flatnonzero(counts)
-    if len(used) < 2:
+    n = len(used)
+    if n < 2:
         lengths[used] = 1
         return lengths
     while True:
-        n = len(used)
-        heap = [(c, i) for i, c in enumerate(counts[used].tolist())]
-        parents = [0] * (2 * n - 1)
-        heapq.heapify(heap)
-        for made in range(n, 2 * n - 1):
-            (a, i), (b, k) = heapq.heappop(heap), heap[0]
-            parents[i] = parents[k] = made
-            heapq.heapreplace(heap, (a + b, made))
-        depth = [0] * (2 * n - 1)
-        for i in range(2 * n - 3, -1, -1):
-            depth[i] = depth[parents[i]] + 1
-        if max(depth) <= limit:
-            lengths[used] = depth[:n]
+        # the smallest two are the next of the sorted symbols or of the sums, which are made in order
+        order = np.argsort(counts[used], kind="stable")
+        leaves, sums, parents, i, k = [*counts[used[order]].tolist(), 1 << 62], [1 << 62] * n, [0] * (2 * n - 1), 0, 0
+        for made in range(n - 1):
+            if leaves[i] <= sums[k]:
+                both, parents[i] = leaves[i], made
+                i += 1
+            else:
+                both, parents[n + k] = sums[k], made
+                k += 1
+            if leaves[i] <= sums[k]:
+                both += leaves[i]
+                parents[i] = made
+                i += 1
+            else:
+                both += sums[k]
+                parents[n + k] = made
+                k += 1
+            sums[made] = both
+        depth = [0] * (n - 1)
+        for i in range(n - 3, -1, -1):
+            depth[i] = depth[parents[n + i]] + 1
+        found = np.array(depth)[parents[:n]] + 1
+        if found.max() <= limit:
+            lengths[used[order]] = found
             return lengths
         counts = np.where(counts > 0, counts // 2 + 1, 0)
 
 
-def canonical(lengths: np.ndarray) -> np.ndarray:
-    """The code word of each symbol."""
-    codes = np.zeros(len(lengths), np.int64)
-    used = np.flatnonzero(lengths)
-    order = used[np.argsort(lengths[used], kind="stable")]
-    sizes = lengths[order]
-    spans = np.left_shift(1, 15 - sizes)
-    codes[order] = (np.cumsum(spans) - spans) >> (15 - sizes)
-    return codes
+#: How many words of 15 bits begin with a code word of each length, and all those words with the first bit lowest.
+_SPANS = 1 << 15 - np.arange(16)
+_WORDS = ((FLIPPED[np.arange(1 << 15) & 0xFF] << 8 | FLIPPED[np.arange(1 << 15) >> 8]) >> 1).astype(np.uint64)
+
+
+def stream_words(lengths: np.ndarray) -> np.ndarray:
+    """The code word of each symbol as a number whose lowest bit comes first."""
+    words, used = np.zeros(len(lengths), np.uint64), lengths.nonzero()[0]
+    order = used[lengths[used].argsort(kind="stable")]
+    spans = _SPANS[lengths[order]]
+    words[order] = _WORDS[spans.cumsum() - spans]
+    return words
 
 
-def _length_tokens(lengths: np.ndarray) -> list[tuple[int, int, int]]:
-    """Code lengths as (symbol, extra value, extra bits)."""
+#: Tokens of code lengths: the lengths 0 to 15, 3 to 6 times the last one, 3 to 10 and 11 to 138 zeros. Of each its symbol, its extra value and the bits of that.
+_TOKEN_SYMBOLS = np.concatenate([np.arange(16), np.repeat([16, 17, 18], [4, 8, 128])])
+_TOKEN_EXTRA = np.concatenate([np.zeros(16, np.int64), np.arange(4), np.arange(8), np.arange(128)]).astype(np.uint64)
+_TOKEN_BITS = np.repeat([0, 2, 3, 7], [16, 4, 8, 128])
+
+
+def _length_tokens(lengths: np.ndarray) -> list[int]:
+    """Code lengths as tokens."""
     out = []
-    ends = np.r_[np.flatnonzero(np.diff(lengths)) + 1, len(lengths)]
-    at = 0
-    for end in ends.tolist():
-        value, times = int(lengths[at]), end - at
+    edges = np.concatenate([[0], (lengths[1:] != lengths[:-1]).nonzero()[0] + 1, [len(lengths)]])
+    for value, times in zip(lengths[edges[:-1]].tolist(), (edges[1:] - edges[:-1]).tolist(), strict=True):
+        if times == 1:
+            out.append(value)
+            continue
         if value:
-            out.append((value, 0, 0))
+            out.append(value)
             times -= 1
         while times >= 3:
             if value:
                 n = min(times, 6)
-                out.append((16, n - 3, 2))
+                out.append(16 + n - 3)
             elif times >= 11:
                 n = min(times, 138)
-                out.append((18, n - 11, 7))
+                out.append(28 + n - 11)
             else:
                 n = times
-                out.append((17, n - 3, 3))
+                out.append(20 + n - 3)
             times -= n
-        out += [(value, 0, 0)] * times
-        at = end
+        if times:
+            out += [value] * times
     return out
 
 
 @lru_cache(4096)
-def _code_field(packed: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """A code as it is written (number, bits), and the words and lengths of its symbols in the stream."""
+def _code_field(packed: bytes) -> tuple[int, int, np.ndarray]:
+    """A code as it is written (number, bits), and the lengths that its symbols take in the stream."""
     lengths, out = np.frombuffer(packed, np.int64), Writer()
     used = np.flatnonzero(lengths)
     if len(used) <= 1 and (not len(used) or used[0] < 256):
         out.number(1 | (1 << 2), 3)
         out.number(int(used[0]) if len(used) else 0, 8)
-        return out.field, out.size, np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        return out.field, out.size, np.zeros(len(lengths), np.int64)
     if len(used) == 1:
         lengths = lengths.copy()
         lengths[0] = lengths[used[0]] = 1
-    tokens = _length_tokens(lengths)
-    own = huffman_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
-    words = canonical(own).tolist()
+    tokens = np.array(_length_tokens(lengths))
+    symbols = _TOKEN_SYMBOLS[tokens]
+    own = huffman_lengths(np.bincount(symbols, minlength=19), 7)
+    words, sizes = stream_words(own), own.tolist()
     out.number(0, 1)
     out.number(15, 4)
-    for k in LENGTH_ORDER:
-        out.number(int(own[k]), 3)
+    out.number(sum(sizes[k] << 3 * i for i, k in enumerate(LENGTH_ORDER)), 3 * len(sizes))
     out.number(0, 1)
-    own = own.tolist() if (own > 0).sum() > 1 else [0] * len(own)
-    for symbol, extra, n in tokens:
-        out.word(words[symbol], own[symbol])
-        out.number(extra, n)
-    return out.field, out.size, canonical(lengths), lengths
+    if (own > 0).sum() < 2:
+        own, words = np.zeros_like(own), np.zeros_like(words)
+    own = own[symbols]
+    out.numbers(words[symbols] | _TOKEN_EXTRA[tokens] << own.astype(np.uint64), own + _TOKEN_BITS[tokens])
+    return out.field, out.size, lengths
 
 
-def _write_code(out: Writer, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Write a code; returns the words and the lengths that its symbols take in the stream."""
-    field, size, words, sizes = _code_field(lengths.tobytes())
+def _write_code(out: Writer, lengths: np.ndarray) -> np.ndarray:
+    """Write a code; returns the lengths that its symbols take in the stream."""
+    field, size, sizes = _code_field(lengths.tobytes())
     out.number(field, size)
-    return words, sizes
+    return sizes
 
 
 def _prefix_of(value: int) -> tuple[int, int, int]:
@@ -678,7 +824,7 @@ def _prefix_of(value: int) -> tuple[int, int, int]:
 
 def _runs(argb: np.ndarray) -> list[tuple[int, int, int]]:
     """Back-references (start, length, distance) to the pixel before, for runs of one colour."""
-    edge = np.r_[0, np.flatnonzero(np.diff(argb)) + 1, len(argb)]
+    edge = np.concatenate([[0], np.flatnonzero(argb[1:] != argb[:-1]) + 1, [len(argb)]])
     long = np.flatnonzero(np.diff(edge) > LEAST_RUN)
     out = []
     for k in long.tolist():
@@ -692,52 +838,65 @@ def _runs(argb: np.ndarray) -> list[tuple[int, int, int]]:
 
 def _write_image(out: Writer, argb: np.ndarray, width: int, main: bool, references: list[tuple[int, int, int]], cache_bits: int = 0) -> None:
     """An entropy-coded image with one group of codes, in which all channels have one alphabet: that makes a code, not four, to be written and read."""
-    channels = _channels(argb)[:, [2, 1, 3, 0]]  # green, red, blue, alpha
-    copied = np.zeros(len(argb), bool)
+    copied, symbols = np.zeros(len(argb), bool), argb >> 8 & 0xFF  # of green, or of a cached pixel
     for start, n, _ in references:
         copied[start : start + n] = True
-    cached = np.full(len(argb), -1, np.int64)
+    literal = ~copied
+    if cache_bits:  # a pixel that is the last one before with its slot
+        slots = _slots(argb, cache_bits).astype(np.int64)
+        order = np.argsort(slots, kind="stable")
+        hit = order[1:][(slots[order[1:]] == slots[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])]
+        hit = hit[literal[hit]]
+        literal[hit] = False
+        symbols = symbols.astype(np.int64)
+        symbols[hit] = N_LITERAL + N_LENGTH + slots[hit]
+    shared = np.bincount(argb[literal].view(np.uint8), minlength=N_LITERAL)
+    special = np.zeros(N_LENGTH + (1 << cache_bits if cache_bits else 0), np.int64)
     if cache_bits:
-        cache: dict[int, int] = {}
-        for i, p in enumerate(argb.tolist()):
-            slot = ((CACHE_FACTOR * p) & 0xFFFFFFFF) >> (32 - cache_bits)
-            if not copied[i] and cache.get(slot) == p:
-                cached[i] = slot
-            cache[slot] = p
-    literal = ~copied & (cached < 0)
-    sizes = (N_LITERAL + N_LENGTH + (1 << cache_bits if cache_bits else 0), 256, 256, 256, N_DISTANCE)
-    counts = [np.bincount(channels[literal, k], minlength=sizes[k]) for k in range(4)] + [np.zeros(N_DISTANCE, np.int64)]
-    counts[0] = counts[0] + np.bincount(N_LITERAL + N_LENGTH + cached[cached >= 0], minlength=sizes[0])
-    near = {x + y * width: k + 1 for k, (x, y) in reversed(list(enumerate(NEAR))) if x + y * width > 0}
-    coded = [(start, n, _prefix_of(n), _prefix_of(near.get(d, d + len(NEAR)))) for start, n, d in references]
-    for _, _, length, distance in coded:
-        counts[0][N_LITERAL + length[0]] += 1
-        counts[4][distance[0]] += 1
-    shared = sum(c[:N_LITERAL] for c in counts[:4])
-    counts[:4] = [np.concatenate([shared, counts[0][N_LITERAL:]]), shared, shared, shared]
+        special += np.bincount(symbols[hit] - N_LITERAL, minlength=len(special))
+    near, far = _near(width), np.zeros(N_DISTANCE, np.int64)
+    coded = [(_prefix_of(n), _prefix_of(near.get(d, d + len(NEAR)))) for _, n, d in references]
+    for length, distance in coded:
+        special[length[0]] += 1
+        far[distance[0]] += 1
     out.number(cache_bits << 1 | 1, 5) if cache_bits else out.number(0, 1)
     if main:
         out.number(0, 1)
-    lengths = [huffman_lengths(counts[k], 15) for k in (0, 1, 4)]
-    made = [_write_code(out, lengths[k]) for k in (0, 1, 1, 1, 2)]
-
-    def pixels(a: int, b: int) -> None:
-        for first in range(a, b, WINDOW):
-            px, hit = channels[first : min(first + WINDOW, b)].copy(), cached[first : min(first + WINDOW, b)]
-            px[hit >= 0, 0] = N_LITERAL + N_LENGTH + hit[hit >= 0]
-            words, lengths = made[1][0].take(px, mode="clip"), made[1][1].take(px, mode="clip")  # red, blue and alpha have one code
-            words[:, 0], lengths[:, 0] = made[0][0].take(px[:, 0]), made[0][1].take(px[:, 0])
-            lengths[hit >= 0, 1:] = 0
-            out.words(words.ravel(), lengths.ravel())
-
-    at = 0
-    for start, n, length, distance in coded:
-        pixels(at, start)
-        for (symbol, extra, bits), (words, lengths), base in ((length, made[0], N_LITERAL), (distance, made[4], 0)):
-            out.word(int(words[base + symbol]), int(lengths[base + symbol]))
-            out.number(extra, bits)
-        at = start + n
-    pixels(at, len(argb))
+    own = huffman_lengths(shared, 15)
+    first = huffman_lengths(np.concatenate([shared, special]), 15) if special.any() else np.concatenate([own, special])
+    sizes = [_write_code(out, lengths) for lengths in (first, own, own, own, huffman_lengths(far, 15))]
+    of_green, of_others = sizes[0], sizes[1]
+    other_words = stream_words(of_others)
+    green_words = stream_words(of_green) if special.any() else other_words
+    distances = (stream_words(sizes[4]), sizes[4])
+    words, sizes = green_words[symbols], of_green[symbols]
+    for shift in (16, 0, 24):
+        channel = argb >> shift & 0xFF
+        own_words, own_sizes = other_words[channel], of_others[channel]
+        if cache_bits:
+            own_words[hit], own_sizes[hit] = 0, 0
+        words |= own_words << sizes.astype(np.uint64)
+        sizes += own_sizes
+    if references:
+        starts = [start for start, _, _ in references]
+        for start, pair in zip(starts, coded, strict=True):
+            value = size = 0
+            for (symbol, extra, bits), (of, each), base in zip(pair, ((green_words, of_green), distances), (N_LITERAL, 0), strict=True):
+                value |= int(of[base + symbol]) << size
+                size += int(each[base + symbol])
+                value |= extra << size
+                size += bits
+            words[start], sizes[start] = value, size
+        kept = ~copied
+        kept[starts] = True
+        words, sizes = words[kept], sizes[kept]
+    out.numbers(words, sizes)
+
+
+@lru_cache
+def _near(width: int) -> dict[int, int]:
+    """The distance code of each near place in an image of this width."""
+    return {x + y * width: k + 1 for k, (x, y) in reversed(list(enumerate(NEAR))) if x + y * width > 0}
 
 
 def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, references: list[tuple[int, int, int]] | None = None) -> bytes:
@@ -756,7 +915,7 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, refe
     out.number(height - 1, 14)
     out.number(1, 1)
     out.number(0, 3)
-    own = pixels[..., [3, 0, 1, 2]].astype(np.int64)
+    argb = _swapped(np.ascontiguousarray(pixels).view("<u4")[..., 0])
     for kind, *rest in transforms:
         out.number(1 | kind << 1, 3)
         if kind in (PREDICTOR, CROSS_COLOUR):
@@ -765,27 +924,25 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, refe
             full = np.zeros((*table.shape[:2], 4), np.int64)
             if kind == PREDICTOR:
                 full[..., 2] = table
-                own = differences(own, table, block)
+                argb = _joined(differences(_channels(argb), table, block))
             else:
                 full = table
-                own = _cross_colour(own, table, block, True)
+                argb = _joined(_cross_colour(_channels(argb), table, block, True))
             _write_image(out, _joined(full).ravel(), full.shape[1], False, [])
         elif kind == SUBTRACT_GREEN:
-            own[..., [1, 3]] = (own[..., [1, 3]] - own[..., [2]]) & 0xFF
+            argb = (argb & _GREEN_ALPHA) | ((argb & _RED_BLUE) + np.uint32(0x1000100) - (argb >> 8 & 0xFF) * _TWICE & _RED_BLUE)
         else:
-            colours, index = np.unique(_joined(own), return_inverse=True)
+            colours, index = np.unique(argb, return_inverse=True)
             if len(colours) > 256:
                 raise ValueError("too many colours for a palette")
-            table = _channels(colours)
             out.number(len(colours) - 1, 8)
-            _write_image(out, _joined(np.diff(table, axis=0, prepend=0)), len(colours), False, [])
+            _write_image(out, _joined(np.diff(_channels(colours), axis=0, prepend=0)), len(colours), False, [])
             index, halvings = index.reshape(height, width), _packing(len(colours))
             index = np.pad(index, ((0, 0), (0, -width % (1 << halvings)))).reshape(height, -1, 1 << halvings)
-            own = np.zeros((height, index.shape[1], 4), np.int64)
-            own[..., 0], own[..., 2] = 255, (index << (np.arange(1 << halvings) * (8 >> halvings))).sum(-1)
-            width = own.shape[1]
+            argb = (0xFF000000 | (index << (np.arange(1 << halvings) * (8 >> halvings))).sum(-1) << 8).astype(np.uint32)
+            width = argb.shape[1]
     out.number(0, 1)
-    argb = _joined(own).ravel()
+    argb = argb.ravel()
     _write_image(out, argb, width, True, _runs(argb) if references is None else references, cache_bits)
     body = bytes([SIGNATURE]) + out.bytes()
     padded = body + b"\0" * (len(body) % 2)

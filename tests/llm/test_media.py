@@ -202,3 +202,49 @@ def test_copy_and_cache_written_by_hand():
     field = (out.field, out.size)
     made = bits_of((3, 14), (0, 14), (0, 1), (0, 3), (0, 1), (1, 1), (1, 4), (0, 1), field, *ONE(1), *ONE(2), *ONE(255), *ONE(1), "0", "10", "11", "0")
     assert webp.decode(made).tolist() == [[[1, 7, 2, 255]] * 4]
+
+
+def test_images_side_by_side(monkeypatch):
+    """Many images are read together, a pixel of each at a time; every coding and size gives what reading each alone does."""
+    monkeypatch.setattr(webp, "ABREAST", 4)
+    monkeypatch.setattr(webp, "STRETCH", 3)
+    monkeypatch.setattr(media, "ABREAST_BYTES", 40_000)
+    rng = random.Random(7)
+    data = [b"", b"\xff" * 700, b"ab" * 900]
+    for _ in range(120):
+        line = "".join(rng.choice("abcdefghij klmnop\x00\xff") for _ in range(rng.choice((20, 200, 1500, 4000))))
+        data.append(((line + line[: rng.randrange(800)] + "=" * rng.randrange(300)) * rng.choice((1, 1, 3))).encode())
+    stored = [media.to_media(d) for d in data]
+    got = [p.tobytes() for p in media.many_from_media(stored)]
+    assert got == [media.from_media(m).tobytes() for m in stored]
+    assert all(g[: len(d)] == d for g, d in zip(got, data, strict=True))
+    assert list(media.many_from_media([])) == []
+
+
+@pytest.mark.parametrize("cut", [30, 300])
+def test_one_broken_file_among_many_is_refused(monkeypatch, cut):
+    monkeypatch.setattr(webp, "ABREAST", 2)
+    whole = [webp.encode(picture(k, 20, 30)) for k in range(6)]
+    with pytest.raises((ValueError, IndexError)):
+        webp.decode_many([*whole[:3], whole[3][:-cut], *whole[3:]])
+
+
+def test_a_row_costs_few_calls():
+    """Short images are written and read by array operations, and without many calls for each pixel or code word."""
+    import sys
+
+    rng = random.Random(3)
+    data = [" ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(600)).encode() for _ in range(100)]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call" or event == "c_call"
+
+    sys.setprofile(count)
+    try:
+        pixels = list(media.many_from_media([media.to_media(d) for d in data])) if hasattr(media, "many_from_media") else [media.from_media(media.to_media(d)) for d in data]
+    finally:
+        sys.setprofile(None)
+    assert all(p.tobytes().startswith(d) for p, d in zip(pixels, data, strict=True))
+    assert calls < 2500 * len(data)
