@@ -61,19 +61,20 @@ def canonical_labels(labels: DataFrame, taxonomy: DataFrame, label: str = "label
     distinct = labels.select(F.col(label).alias("_label")).distinct().withColumn("_norm", normalised_label(F.col("_label")))
     keys = taxonomy.select("priority", F.replace("smell_key", F.lit("_"), F.lit(" ")).alias("name"), F.lit(False).alias("anywhere"))
     names = keys.unionByName(taxonomy.select("priority", F.col("synonym").alias("name"), F.lit(True).alias("anywhere"))).filter("name IS NOT NULL").distinct()
-    if names.count() > most_names:
+    many = names.count() > most_names
+    if many:
         found = _joined(distinct, names)
     else:
         rows = [tuple(r) for r in names.select("priority", "name", "anywhere").collect()]
         found = distinct.withColumn("_priority", F.lit(None).cast("int")).mapInPandas(_searcher(rows), "_label string, _norm string, _priority int")
     categories = taxonomy.groupBy(F.col("priority").alias("_priority")).agg(F.first("smell_key").alias("smell_key"), F.first("smell_type").alias("smell_type"), F.first("code").alias("code"))
-    named = found.join(categories, "_priority", "left").select(
+    named = found.join(categories.hint("merge") if many else categories, "_priority", "left").select(
         "_label",
         F.coalesce("smell_key", F.lit(CUSTOM_KEY)).alias("smell_key"),
         F.coalesce("smell_type", F.concat(F.lit("Custom Tool Smell ("), F.coalesce("_label", F.lit("")), F.lit(")"))).alias("smell_type"),
         F.coalesce("code", F.lit(CUSTOM_CODE)).alias("code"),
     )
-    return labels.join(named, F.col(label).eqNullSafe(F.col("_label")), "left").drop("_label")
+    return labels.join(named.hint("merge"), F.col(label).eqNullSafe(F.col("_label")), "left").drop("_label")
 
 
 def _grams(text: Column, size: Column) -> Column:
@@ -88,23 +89,25 @@ def _joined(labels: DataFrame, names: DataFrame) -> DataFrame:
     Names that are a label are found by equality. A name that stands in a label
     has all its runs of `GRAM` characters there (or is itself the run, if it is shorter), so the two meet
     by that run of the name which the fewest labels have; names with a run that no label has fall out.
+    All joins are told to shuffle: both sides grow with the input, and their files are so much smaller
+    than their rows that Spark would take a side for small and send it through the driver.
     """
     labels = written(labels.withColumn("_id", F.monotonically_increasing_id()), "labels")
     forms = lambda c: F.explode(F.array_distinct(F.array(F.col(c), F.replace(c, F.lit(" "), F.lit(""))))).alias("form")
     whole = names.select(forms("name"), "priority").groupBy("form").agg(F.min("priority").alias("priority"))
-    equal = labels.select("_id", forms("_norm")).join(whole, "form").select("_id", "priority")
+    equal = labels.select("_id", forms("_norm")).join(whole.hint("merge"), "form").select("_id", "priority")
     size = F.least(F.length("name"), F.lit(GRAM))
     anywhere = written(names.filter("anywhere AND name <> ''").groupBy("name").agg(F.min("priority").alias("priority")).withColumn("size", size), "names")
     sizes = [r[0] for r in anywhere.select("size").distinct().collect()]  # GRAM at most
     runs = F.flatten(F.array(*[_grams(F.col("_norm"), F.lit(s)) for s in sizes])) if sizes else F.array().cast("array<string>")
     grams = labels.select("_id", F.explode(runs).alias("gram"))
     common = grams.groupBy("gram").agg(F.count("*").alias("labels"))
-    own = anywhere.select("name", "priority", F.explode(_grams(F.col("name"), F.col("size"))).alias("gram")).join(common, "gram", "left")
+    own = anywhere.select("name", "priority", F.explode(_grams(F.col("name"), F.col("size"))).alias("gram")).join(common.hint("merge"), "gram", "left")
     rarest = own.groupBy("name", "priority").agg(F.min(F.struct(F.coalesce("labels", F.lit(0)).alias("labels"), "gram")).alias("r")).filter("r.labels > 0")
-    meet = grams.join(rarest.select(F.col("r.gram").alias("gram"), "name", "priority"), "gram").select("_id", "name", "priority")
-    within = meet.join(labels.select("_id", "_norm"), "_id").filter(F.contains("_norm", "name")).select("_id", "priority")
+    meet = grams.join(rarest.select(F.col("r.gram").alias("gram"), "name", "priority").hint("merge"), "gram").select("_id", "name", "priority")
+    within = meet.join(labels.select("_id", "_norm").hint("merge"), "_id").filter(F.contains("_norm", "name")).select("_id", "priority")
     best = equal.unionByName(within).groupBy("_id").agg(F.min("priority").cast("int").alias("_priority"))
-    return labels.join(best, "_id", "left").select("_label", "_norm", "_priority")
+    return labels.join(best.hint("merge"), "_id", "left").select("_label", "_norm", "_priority")
 
 
 def _searcher(rows: list[tuple[int, str, bool]]):

@@ -295,3 +295,11 @@ def test_costs_of_new_runs_are_ranked_among_those_stored_before(spark, root):
     told = {r.model_id: json.loads(r.checks_json)["checks"][-1]["detail"] for r in stored}
     assert len(stored) == 8 and told["m1"].endswith("among 4 runs") and told["m2"].endswith("among 8 runs")
     assert store.current(spark, root, "suggested_scores").count() == 8
+
+
+def test_names_and_labels_meet_without_a_broadcast(spark):
+    part = spark.range(40).select(F.col("id").cast("int").alias("priority"), F.concat(F.lit("k_"), "id").alias("smell_key"), F.lit("T").alias("smell_type"), F.lit("C").alias("code"), F.concat(F.lit("name "), "id").alias("synonym"))
+    labels = spark.range(40).select(F.concat(F.lit("a name "), "id").alias("label"))
+    joined = naming.canonical_labels(labels, part, most_names=3)
+    assert {r.smell_key for r in joined.collect()} == {"k_0", *(f"k_{n}" for n in range(1, 10)), *(f"k_{n // 10}" for n in range(10, 40))}
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
