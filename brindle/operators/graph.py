@@ -13,40 +13,43 @@ from brindle.session import written
 
 #: Edges that one task takes at once.
 TASK_EDGES = 200_000
+#: Searches that the small parts of a large graph are dealt to, at least.
+BINS = 64
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """graph, v, component (the smallest member) of all vertices of edges (graph, a, b).
 
     Graphs of up to TASK_EDGES edges are searched whole, one a task. Larger ones
-    lose edges that are in no cycle and are cut into weakly connected parts, which are searched the same way where
-    they fit. Parts beyond that stay spread out over tasks and are coloured, so
+    lose edges that are in no cycle and are cut into weakly connected parts, of which as many
+    are searched by a task as fit. Parts beyond that stay spread out over tasks and are coloured, so
     a graph may be far larger than one task. Edges without a start or end are
     left out; repeated ones count once; an empty table gives no rows.
+    Joins of vertices are told to shuffle, as files of them are far smaller than the vertices.
     """
     edges = written(edges.select("graph", "a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct(), "scc-edges")
-    found, large = _searched(edges.withColumn("part", F.lit("")))
+    found, large = _searched(edges.withColumn("part", F.lit(0).cast("long")))
     if large is None:
         return found
     large = large.drop("part")
     # what no cycle can go through may be all that holds the rest together
     left = _trimmed(large)
-    own = left.join(_weak_parts(left).select("graph", F.col("v").alias("a"), "part"), ["graph", "a"])
-    more, rest = _searched(own)
+    more, rest = _searched(_in_parts(left), BINS + 2 * left.count() // max(1, TASK_EDGES))
     more = written(more if rest is None else more.unionByName(_coloured(rest.drop("part"))), "scc-found")
     ends = large.select("graph", F.explode(F.array("a", "b")).alias("v")).distinct()
-    singles = ends.join(more.select("graph", "v"), ["graph", "v"], "left_anti").withColumn("component", F.col("v"))
+    singles = ends.join(more.select("graph", "v").hint("merge"), ["graph", "v"], "left_anti").withColumn("component", F.col("v"))
     return found.unionByName(more).unionByName(singles)
 
 
-def _searched(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The components of the parts (graph, part) that fit a task, and the edges of all others, if any."""
+def _searched(edges: DataFrame, bins: int = 1) -> tuple[DataFrame, DataFrame | None]:
+    """The components of the parts (graph, part) that fit a task, and the edges of all others, if any. Parts of a graph are dealt to `bins` searches."""
+    schema = f"{_columns(edges)}, component {_kind(edges)}"
+    search = lambda df: df.withColumn("bin", F.pmod("part", F.lit(bins))).groupBy("graph", "bin").applyInPandas(_search, schema)
     sizes = edges.groupBy("graph", "part").agg(F.count("*").alias("n"))
     many = sizes.filter(F.col("n") > TASK_EDGES).select("graph", "part")
     if not many.limit(1).count():
-        return edges.groupBy("graph", "part").applyInPandas(_search, f"{_columns(edges)}, component {_kind(edges)}"), None
-    fits = edges.join(many, ["graph", "part"], "left_anti").groupBy("graph", "part").applyInPandas(_search, f"{_columns(edges)}, component {_kind(edges)}")
-    return fits, written(edges.join(many, ["graph", "part"], "left_semi"), "scc-large")
+        return search(edges), None
+    return search(edges.join(many, ["graph", "part"], "left_anti")), written(edges.join(many, ["graph", "part"], "left_semi"), "scc-large")
 
 
 def _kind(edges: DataFrame) -> str:
@@ -95,20 +98,50 @@ def _search(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"graph": edges["graph"].iloc[0], "v": names, "component": names.take(least)})
 
 
-def _weak_parts(edges: DataFrame) -> DataFrame:
-    """graph, v, part: a name of each vertex's weakly connected part, by labels that jump over labels."""
-    both = edges.select("graph", "a", "b").unionByName(edges.select("graph", F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = written(both.select("graph", F.col("a").alias("v")).distinct().withColumn("part", F.col("v")), "scc-parts")
-    while True:
-        near = both.join(labels.select("graph", F.col("v").alias("b"), "part"), ["graph", "b"]).select("graph", F.col("a").alias("v"), "part")
-        low = labels.unionByName(near).groupBy("graph", "v").agg(F.min("part").alias("part"))
-        # what a label's own vertex is called now holds for all that have the label
-        hooked = labels.select("graph", F.col("part").alias("old"), "v").join(low, ["graph", "v"]).groupBy("graph", "old").agg(F.min("part").alias("root"))
-        moved = low.join(hooked.withColumnRenamed("old", "part"), ["graph", "part"], "left").select("graph", "v", F.coalesce("root", "part").alias("part"))
-        moved = written(moved, "scc-parts")
-        if not moved.join(labels, ["graph", "v", "part"], "left_anti").limit(1).count():
-            return moved.withColumn("part", F.col("part").cast("string"))
-        labels = moved
+def _in_parts(edges: DataFrame) -> DataFrame:
+    """edges with `part`: a number for each weakly connected part.
+
+    Vertices are hashes, which take new values in each round, and a vertex is merged into the least of itself and its
+    neighbours. So as many as half of them are left or fewer, whatever the shape of the graph, until
+    a task can take all that is between them. What two vertices of one hash join by mistake is searched together and comes out apart.
+    """
+    hashed = lambda c: F.xxhash64("graph", c)
+    left, rounds = _between(edges.select(hashed("a").alias("a"), hashed("b").alias("b"))), []
+    while left.count() > TASK_EDGES:
+        anew = lambda c: F.xxhash64(F.lit(len(rounds)), c)  # noqa: E731, B023
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        merged = written(both.groupBy(F.col("a").alias("v")).agg(F.min(anew("b")).alias("least")).select("v", F.least("least", anew("v")).alias("into")), "scc-merged")
+        into = lambda c: merged.select(F.col("v").alias(c), F.col("into").alias(f"_{c}")).hint("merge")  # noqa: E731, B023
+        left = _between(left.join(into("a"), "a").join(into("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+        rounds.append(merged)
+    parts = left.groupBy().applyInPandas(_connected, "v long, part long")
+    for merged in reversed(rounds):
+        parts = merged.join(parts.withColumnRenamed("v", "into").hint("merge"), "into", "left").select("v", F.coalesce("part", "into").alias("part"))
+    parts = written(parts, "scc-parts")
+    own = edges.withColumn("v", hashed("a")).join(parts.hint("merge"), "v", "left")
+    return own.select("graph", "a", "b", F.coalesce("part", "v").alias("part"))
+
+
+def _between(edges: DataFrame) -> DataFrame:
+    """The different pairs of vertices that edges join."""
+    return written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "scc-between")
+
+
+def _connected(edges: pd.DataFrame) -> pd.DataFrame:
+    """The least vertex of each weakly connected part of one graph."""
+    codes, names = pd.factorize(pd.concat([edges["a"], edges["b"]], ignore_index=True), sort=True)
+    least, m = list(range(len(names))), len(edges)
+
+    def root(v: int) -> int:
+        while least[v] != v:
+            least[v] = v = least[least[v]]
+        return v
+
+    for a, b in zip(codes[:m].tolist(), codes[m:].tolist(), strict=True):
+        a, b = root(a), root(b)
+        if a != b:
+            least[max(a, b)] = min(a, b)
+    return pd.DataFrame({"v": names, "part": names.take([root(v) for v in range(len(names))])})
 
 
 def _coloured(edges: DataFrame) -> DataFrame:
@@ -139,7 +172,7 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     before = edges.count()
     while before:
         starts, ends = edges.select("graph", F.col("a").alias("v")).distinct(), edges.select("graph", F.col("b").alias("v")).distinct()
-        inner = edges.join(ends.withColumnRenamed("v", "a"), ["graph", "a"], "left_semi").join(starts.withColumnRenamed("v", "b"), ["graph", "b"], "left_semi")
+        inner = edges.join(ends.withColumnRenamed("v", "a").hint("merge"), ["graph", "a"], "left_semi").join(starts.withColumnRenamed("v", "b").hint("merge"), ["graph", "b"], "left_semi")
         edges = written(inner.select("graph", "a", "b"), "scc-trimmed")
         after = edges.count()
         if 10 * (before - after) < before:
@@ -175,7 +208,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     edges = written(edges.select("graph", "a", "b"), "cycle-edges")
     loops = edges.filter("a = b").select("graph", F.col("a").alias("component"), F.lit(True).alias("loop")).distinct()
     groups = strong_components(edges).groupBy("graph", "component").agg(F.array_sort(F.collect_set("v")).alias("members"))
-    real = groups.join(loops, ["graph", "component"], "left").filter((F.size("members") > 1) | F.col("loop"))
+    real = groups.join(loops.hint("merge"), ["graph", "component"], "left").filter((F.size("members") > 1) | F.col("loop"))
     # components share no member, so their first ones, which name them, have the order of the lists
     return number_rows(real, [F.col("component")], by=("graph",)).select("graph", F.col("n").cast("int").alias("n"), "members", F.size("members").alias("size"))
 

@@ -295,6 +295,26 @@ def test_rings_that_share_a_sink_are_searched_apart(spark, monkeypatch):
     assert found == [*[("g", r + 1, 10, f"{r}.0") for r in range(5)], ("h", 1, 1, "x")]
 
 
+def test_long_rings_are_parts_after_a_few_rounds(spark, monkeypatch):
+    from brindle.operators import graph
+
+    made, rounds = graph.written, []
+    monkeypatch.setattr(graph, "TASK_EDGES", 300)
+    monkeypatch.setattr(graph, "written", lambda df, name: (rounds.append(name), made(df, name))[1])
+    # rings in order of name, in which the least name would need a step for each member
+    rings = [("g", r * 1000 + k, r * 1000 + (k + 1) % 250) for r in range(8) for k in range(250)]
+    edges = spark.createDataFrame([*rings, *[("g", r * 1000, 9999) for r in range(8)]], "graph string, a long, b long")
+    found = sorted((r.n, r.size, r.members[0], r.members[-1]) for r in graph.cycles(edges).collect())
+    assert found == [(r + 1, 250, r * 1000, r * 1000 + 249) for r in range(8)]
+    assert len(rounds) < 25 and 0 < rounds.count("scc-merged") < 9 and "Broadcast" not in plan_of_cycles(edges)
+
+
+def plan_of_cycles(edges):
+    from brindle.operators import graph
+
+    return graph._in_parts(edges)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_an_import_reads_its_edges_once(spark, tmp_path, monkeypatch):
     root, seen = str(tmp_path / "store"), tmp_path / "seen"
     seen.mkdir()
