@@ -157,13 +157,13 @@ def _coloured(edges: DataFrame) -> DataFrame:
         left = _trimmed(left)
         colours = left.select("graph", F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("colour", F.col("v"))
         colours = _spread(colours, left, "a", "b")
-        tagged = left.join(colours.select("graph", F.col("v").alias("a"), F.col("colour").alias("ca")), ["graph", "a"]).join(colours.select("graph", F.col("v").alias("b"), F.col("colour").alias("cb")), ["graph", "b"])
+        tagged = left.join(colours.select("graph", F.col("v").alias("a"), F.col("colour").alias("ca")).hint("merge"), ["graph", "a"]).join(colours.select("graph", F.col("v").alias("b"), F.col("colour").alias("cb")).hint("merge"), ["graph", "b"])
         inside = written(tagged.filter("ca = cb").select("graph", "a", "b", F.col("ca").alias("colour")), "scc-inside")
         reached = _backwards(colours, inside)
         found = found.unionByName(written(reached.select("graph", "v", F.min("v").over(Window.partitionBy("graph", "colour")).alias("component")), "scc-found"))
         gone = reached.select("graph", "v")
-        left = written(left.join(gone.withColumnRenamed("v", "a"), ["graph", "a"], "left_anti").join(gone.withColumnRenamed("v", "b"), ["graph", "b"], "left_anti").select("graph", "a", "b"), "scc-edges")
-    singles = done.join(found.select("graph", "v"), ["graph", "v"], "left_anti")
+        left = written(left.join(gone.withColumnRenamed("v", "a").hint("merge"), ["graph", "a"], "left_anti").join(gone.withColumnRenamed("v", "b").hint("merge"), ["graph", "b"], "left_anti").select("graph", "a", "b"), "scc-edges")
+    singles = done.join(found.select("graph", "v").hint("merge"), ["graph", "v"], "left_anti")
     return found.unionByName(singles)
 
 
@@ -184,9 +184,9 @@ def _trimmed(edges: DataFrame) -> DataFrame:
 def _spread(colours: DataFrame, edges: DataFrame, start: str, end: str) -> DataFrame:
     """Colours carried along edges until each vertex has the largest that reaches it."""
     while True:
-        carried = edges.join(colours.withColumnRenamed("v", start), ["graph", start]).select("graph", F.col(end).alias("v"), "colour")
+        carried = edges.join(colours.withColumnRenamed("v", start).hint("merge"), ["graph", start]).select("graph", F.col(end).alias("v"), "colour")
         after = written(colours.unionByName(carried).groupBy("graph", "v").agg(F.max("colour").alias("colour")), "scc-colours")
-        if not after.join(colours, ["graph", "v", "colour"], "left_anti").limit(1).count():
+        if not after.join(colours.hint("merge"), ["graph", "v", "colour"], "left_anti").limit(1).count():
             return after
         colours = after
 
@@ -195,8 +195,8 @@ def _backwards(colours: DataFrame, inside: DataFrame) -> DataFrame:
     """The vertices that reach the one their colour is named after, within the colour."""
     reached = written(colours.filter("v = colour"), "scc-reached")
     while True:
-        more = inside.join(reached.withColumnRenamed("v", "b"), ["graph", "b", "colour"]).select("graph", F.col("a").alias("v"), "colour").distinct()
-        new = more.join(reached, ["graph", "v"], "left_anti")
+        more = inside.join(reached.withColumnRenamed("v", "b").hint("merge"), ["graph", "b", "colour"]).select("graph", F.col("a").alias("v"), "colour").distinct()
+        new = more.join(reached.hint("merge"), ["graph", "v"], "left_anti")
         after = written(reached.unionByName(new.select(*reached.columns)), "scc-reached")
         if after.count() == reached.count():
             return after

@@ -295,6 +295,16 @@ def test_rings_that_share_a_sink_are_searched_apart(spark, monkeypatch):
     assert found == [*[("g", r + 1, 10, f"{r}.0") for r in range(5)], ("h", 1, 1, "x")]
 
 
+def test_supplier_cycles_of_light_edges_are_found(spark, tmp_path):
+    from brindle.plans import catalogue
+
+    ends = [(1, 2)] * 60 + [(3, 4), (4, 5), (5, 3), (5, 6)]
+    lines = [(n, at, s) for n, e in enumerate(ends) for at, s in enumerate(e, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = catalogue.queries()["scc_cycles"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in found] == [(1, "3|4|5", 3)]
+
+
 def test_long_rings_are_parts_after_a_few_rounds(spark, monkeypatch):
     from brindle.operators import graph
 
