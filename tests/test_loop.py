@@ -303,3 +303,45 @@ def test_names_and_labels_meet_without_a_broadcast(spark):
     joined = naming.canonical_labels(labels, part, most_names=3)
     assert {r.smell_key for r in joined.collect()} == {"k_0", *(f"k_{n}" for n in range(1, 10)), *(f"k_{n // 10}" for n in range(10, 40))}
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prompts_are_dealt_out_by_their_keys_alone(spark, root, tmp_path, monkeypatch):
+    """Whether few rows are asked, few are not, or both are many; no prompt or answer is shuffled for the rows that are asked."""
+    from brindle.sources import calls
+
+    users = ["a", "b", "a", "c", "a", "d", "b", "e"]
+    for n, few in enumerate((100, 3, 0)):
+        monkeypatch.setattr(calls, "FEW", few)
+        folder = str(tmp_path / f"calls{n}")
+        own, model = Calls(f"{root}{n}", "m"), lambda folder=folder: Counting(folder)
+        said = own.ask(prompts(spark, users).repartition(3), model)
+        assert sorted(r.user for r in said.collect()) == sorted(users) and calls_made(folder) == 5
+        again = own.ask(prompts(spark, [*users, "f", "f"]), model).collect()
+        assert sorted(r.user for r in again) == sorted([*users, "f", "f"]) and calls_made(folder) == 6 and all(r.answer for r in again)
+
+
+def test_what_is_done_leaves_the_shared_folder(spark, root, monkeypatch):
+    from pathlib import Path
+
+    from brindle.session import shared_folder
+
+    there = lambda: {p.name for p in Path(shared_folder(spark)).iterdir() if any(p.rglob("*.parquet"))}
+    before = there()
+    stored_cases(spark, root, 4)
+    cases = store.current(spark, root, "evidence_cases", "p").withColumns({"skill_text": F.lit("t"), "skill_version": F.lit("v0")})
+    reviewing.save_runs(agents.run_agents(cases, "skill", calls=Calls(root, "m")), root)
+    reviewing.rescore(spark, root, "p")
+    left = {name.rpartition("-")[0] for name in there() - before}
+    assert left <= {"said", "ranks"}  # what the caller's runs are read from
+    assert store.current(spark, root, "agent_runs").filter("checks_json IS NOT NULL").count() == 4
+
+
+def test_a_repair_joins_nothing(spark, root):
+    class Never:
+        def answer(self, system, user):
+            return "no object"
+
+    stored_cases(spark, root, 3)
+    cases = store.current(spark, root, "evidence_cases", "p").withColumns({"skill_text": F.lit("t"), "skill_version": F.lit("v0")})
+    runs = agents.run_agents(cases, "skill", Never, calls=Calls(root, "m"))
+    assert "Join" not in plan_of(runs) and [(r.status, r.repair_attempted) for r in runs.collect()] == [("invalid_json", True)] * 3
