@@ -346,3 +346,29 @@ def test_an_import_reads_its_edges_once(spark, tmp_path, monkeypatch):
     imports.import_file(spark, root, "demo", "static_graph", str(tmp_path / "edges.csv"))
     assert len(list(seen.iterdir())) == 1
     assert store.current(spark, root, "graph_edges", "demo").count() == store.current(spark, root, "raw_findings", "demo").count() == 50
+
+
+def test_a_stream_reads_what_arrived_once(spark, tmp_path, monkeypatch):
+    from brindle.streaming import imports as stream
+
+    made, names = stream.written, []
+    monkeypatch.setattr(stream, "written", lambda df, name: (names.append((name, df)), made(df, name))[1])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"edges": [{"from": "a", "to": "b"}, {"from": "b", "to": "a"}]}')
+    root = str(tmp_path / "store")
+    stream.import_stream(spark, str(tmp_path / "in"), root, "p", "arcan", str(tmp_path / "checkpoint")).awaitTermination()
+    names = [name for name, _ in names]  # a batch without files may follow
+    assert names[:2] == ["arrived", "arrived-edges"] and names.count("arrived") == names.count("arrived-edges") == len(names) / 2
+    assert store.current(spark, root, "graph_edges", "p").count() == 2 and store.current(spark, root, "raw_findings", "p").count() == 2
+
+
+def test_refused_reviews_can_be_dropped_once_read(spark, tmp_path):
+    from pathlib import Path
+
+    from brindle.plans import catalogue
+    from brindle.session import shared_folder
+
+    before = {p.name for p in Path(shared_folder(spark)).iterdir()}
+    catalogue.queries()["saved_reviews"](spark, "/root/testdata/sf0.001").count()
+    left = {p.name.rpartition("-")[0] for p in Path(shared_folder(spark)).iterdir() if p.name not in before and any(p.rglob("*.parquet"))} - {""}
+    assert left == set()
