@@ -372,3 +372,8 @@ def test_refused_reviews_can_be_dropped_once_read(spark, tmp_path):
     catalogue.queries()["saved_reviews"](spark, "/root/testdata/sf0.001").count()
     left = {p.name.rpartition("-")[0] for p in Path(shared_folder(spark)).iterdir() if p.name not in before and any(p.rglob("*.parquet"))} - {""}
     assert left == set()
+
+
+def test_a_table_without_files_needs_no_python(spark, tmp_path):
+    none = store.read(spark, str(tmp_path / "nothing"), "tool_runs")
+    assert none.count() == 0 and none.columns[-1] == "first_at" and "RDD" not in none._jdf.queryExecution().executedPlan().toString()
